@@ -12,17 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import EVENT_TIME, KEY, SCORE
-from .operators.latest import latest_per_key
+from .constants import EVENT_TIME, EXCLUDED_TRAINING_COLUMNS, KEY, LABEL, SCORE, SHIFT_BASE, SOURCE_LABEL
+from .functions.metrics import average_precision, regression_metrics, roc_auc, threshold_metrics
+from .operators.encoding import ordinal_fit
 from .operators.relational import (
-    audience,
     distinct_keys,
     drop_incomplete,
+    exclude_columns,
     join_on_key,
     key_coverage,
+    rename_columns,
     restrict_to_keys,
 )
-from .plans import features
+from .operators.split import exact_split, hash_split, label_shift, shift_value
+from .plans import features, training
 from .sources import standins
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -229,3 +232,270 @@ def q_key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "med": standins.media_engagement(spark, sf_dir),
         "fsb": standins.engagement_scores(spark, sf_dir),
     })
+
+
+# ---------------------------------------------------------------------------------
+# Encoding: E1 E2 E3 E4 on the lineitem training stand-in, household rows and the log
+# ---------------------------------------------------------------------------------
+SQL_TRAINING_FRAME = """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey AS ehhn,
+           l_shipdate AS LogEntryTime, l_returnflag, l_linestatus, p_brand, p_type,
+           o_orderpriority, o_orderstatus, l_quantity, l_discount, l_tax, p_size,
+           p_retailprice, o_totalprice, l_extendedprice AS MediaCostInBucks
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+"""
+_TRAINING_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ehhn",
+                     "LogEntryTime", *standins.TRAINING_CATEGORICALS, *standins.TRAINING_NUMERICS,
+                     "MediaCostInBucks"]
+TRAINING_ORDER_KEY = "l_orderkey"
+
+
+@register("ordinal_fit", sql_ordinal_mapping(SQL_TRAINING_FRAME, standins.TRAINING_CATEGORICALS,
+                                             TRAINING_ORDER_KEY))
+def q_ordinal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = standins.training_frame(spark, sf_dir)
+    return ordinal_fit(tf, standins.TRAINING_CATEGORICALS, TRAINING_ORDER_KEY).mapping
+
+
+@register("ordinal_transform", sql_ordinal_transform(
+    SQL_TRAINING_FRAME, _TRAINING_COLUMNS, standins.TRAINING_CATEGORICALS,
+    sql_ordinal_mapping("SELECT * FROM t", standins.TRAINING_CATEGORICALS, TRAINING_ORDER_KEY)))
+def q_ordinal_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = standins.training_frame(spark, sf_dir)
+    enc = ordinal_fit(tf, standins.TRAINING_CATEGORICALS, TRAINING_ORDER_KEY)
+    return enc.transform(tf)
+
+
+@register("ordinal_fit_by_cohort", sql_ordinal_mapping(
+    SQL_RAW_FEATURES, features.FEATURE_CATEGORICALS, features.FEATURE_ORDER_KEY, ["cohort"]))
+def q_ordinal_fit_by_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = features.raw_feature_vectors(spark, sf_dir)
+    return ordinal_fit(raw, features.FEATURE_CATEGORICALS, features.FEATURE_ORDER_KEY,
+                       scope=["cohort"]).mapping
+
+
+_LOG_COLUMNS = list(features.LOG_COLUMNS)
+_FIRST_DAY_END = "2024-01-02 00:00:00"
+
+
+@register("ordinal_unknown", sql_ordinal_transform(
+    SQL_LOG, _LOG_COLUMNS, standins.LOG_CATEGORICALS,
+    sql_ordinal_mapping(f"SELECT * FROM t WHERE LogEntryTime < TIMESTAMP '{_FIRST_DAY_END}'",
+                        standins.LOG_CATEGORICALS, "event_id")))
+def q_ordinal_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the first day of the log, apply to the whole log: later categories that the
+    first day never saw get -1."""
+    log = features.impression_log(spark, sf_dir)
+    enc = ordinal_fit(log.where(F.col(EVENT_TIME) < standins.ntz(_FIRST_DAY_END)),
+                      standins.LOG_CATEGORICALS, "event_id")
+    return enc.transform(log)
+
+
+# ---------------------------------------------------------------------------------
+# Split, exclusion, label shift: T2 T3 P4 P6 P9 P11 P12
+# ---------------------------------------------------------------------------------
+SPLIT_SEED = 42
+_KEY_SQL = ", ".join(
+    ["CAST(l_orderkey AS VARCHAR)", "CAST(l_linenumber AS VARCHAR)", "CAST(l_partkey AS VARCHAR)",
+     "CAST(l_suppkey AS VARCHAR)", "CAST(CAST(MediaCostInBucks AS DECIMAL(18,2)) AS VARCHAR)"])
+_SPLIT_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "MediaCostInBucks"]
+_SQL_HASHED = f"SELECT *, md5(concat_ws('|', '{SPLIT_SEED}', {_KEY_SQL})) AS h FROM ({SQL_TRAINING_FRAME})"
+
+
+def _split_case(pos: str, a: str, b: str) -> str:
+    return f"CASE WHEN {pos} < {a} THEN 'train' WHEN {pos} < {b} THEN 'validation' ELSE 'test' END"
+
+
+@register("hash_split", f"""
+    SELECT {', '.join(_SPLIT_KEY)},
+        {_split_case("CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 100", "60", "80")} AS split
+    FROM ({_SQL_HASHED})""")
+def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = standins.training_frame(spark, sf_dir)
+    return hash_split(tf, _SPLIT_KEY, SPLIT_SEED).select(*_SPLIT_KEY, "split")
+
+
+@register("exact_split", f"""
+    SELECT {', '.join(_SPLIT_KEY)},
+        CASE WHEN rn <= (n * 60) // 100 THEN 'train' WHEN rn <= (n * 80) // 100 THEN 'validation'
+             ELSE 'test' END AS split
+    FROM (SELECT *, row_number() OVER (ORDER BY h, {', '.join(_SPLIT_KEY)}) AS rn,
+                 count(*) OVER () AS n FROM ({_SQL_HASHED}))""")
+def q_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = standins.training_frame(spark, sf_dir)
+    return exact_split(tf, _SPLIT_KEY, SPLIT_SEED).select(*_SPLIT_KEY, "split")
+
+
+@register("exclude_columns", "SELECT * EXCLUDE (ehhn, LogEntryTime) FROM (" + SQL_TRAINING_FRAME + ")")
+def q_exclude_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exclude_columns(standins.training_frame(spark, sf_dir), EXCLUDED_TRAINING_COLUMNS)
+
+
+_U = shift_value(SPLIT_SEED)
+
+
+@register("label_shift", f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        CAST(MediaCostInBucks AS DOUBLE) - CAST('{SHIFT_BASE!r}' AS DOUBLE)
+            + CAST('{_U!r}' AS DOUBLE) AS biddingprice
+    FROM ({SQL_TRAINING_FRAME})""")
+def q_label_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = rename_columns(standins.training_frame(spark, sf_dir), {SOURCE_LABEL: LABEL})
+    shifted = label_shift(tf, LABEL, _U)
+    return shifted.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", LABEL)
+
+
+# Impression-level training rows (the frame the bid model is trained on).
+SQL_MEDIA_LATEST = f"""
+    SELECT * FROM ({SQL_MEDIA}) QUALIFY row_number() OVER (PARTITION BY ehhn
+        ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC NULLS LAST) = 1"""
+SQL_BID_ROWS = f"""
+    SELECT lg.event_id AS ImpressionId, lg.ehhn, lg.LogEntryTime, lg.event_type, lg.prop_k,
+           s.ngr_score, s.cohort, m.o_totalprice, m.o_orderstatus, m.o_orderpriority,
+           CASE WHEN lg.event_type = 'purchase' THEN 1 ELSE 0 END AS converted,
+           lg.cost AS MediaCostInBucks
+    FROM ({SQL_LOG}) lg
+    JOIN ({SQL_SCORES}) s ON lg.ehhn = s.ehhn
+    JOIN ({SQL_MEDIA_LATEST}) m ON lg.ehhn = m.ehhn"""
+_BID_ROW_COLUMNS = ["ImpressionId", "ehhn", "LogEntryTime", "event_type", "prop_k", "ngr_score",
+                    "cohort", "o_totalprice", "o_orderstatus", "o_orderpriority", "converted",
+                    "MediaCostInBucks", "split"]
+_SQL_BID_SPLIT = f"""
+    SELECT *, {_split_case(
+        "CAST(('0x' || substr(md5(concat_ws('|', '{0}', CAST(ImpressionId AS VARCHAR))), 1, 8))"
+        " AS BIGINT) % 100".format(training.DEFAULT_SEED), "60", "80")} AS split
+    FROM ({SQL_BID_ROWS})"""
+_U_BID = shift_value(training.DEFAULT_SEED)
+
+
+@register("prepared_training", f"""
+    SELECT split, event_type, prop_k, ngr_score, cohort, o_totalprice, o_orderstatus,
+           o_orderpriority, converted,
+           CAST(MediaCostInBucks AS DOUBLE) - CAST('{SHIFT_BASE!r}' AS DOUBLE)
+               + CAST('{_U_BID!r}' AS DOUBLE) AS biddingprice
+    FROM ({sql_ordinal_transform(
+        _SQL_BID_SPLIT, _BID_ROW_COLUMNS, training.BID_CATEGORICALS,
+        sql_ordinal_mapping("SELECT * FROM t", training.BID_CATEGORICALS, "ImpressionId"))})""")
+def q_prepared_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = training.bid_training_rows(spark, sf_dir)
+    prepared, _ = training.prepare_training(rows, training.BID_CATEGORICALS, training.ROW_ID,
+                                            training.DEFAULT_SEED)
+    return prepared
+
+
+# ---------------------------------------------------------------------------------
+# Metrics: X1-X8 on deterministic predictions derived from the tables
+# ---------------------------------------------------------------------------------
+@register("metric_regression", """
+    WITH t AS (
+        SELECT l_returnflag, l_extendedprice AS y,
+               avg(l_extendedprice) OVER (PARTITION BY p_brand) AS p
+        FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n,
+        round(CASE WHEN var_pop(y) * count(y) > 0
+              THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) END, 9) AS r2,
+        round(sum((y - p) * (y - p)) / count(*), 2) AS mse
+    FROM t GROUP BY l_returnflag""")
+def q_metric_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R^2 and MSE of a brand-mean baseline price, per return flag."""
+    li = standins.table(spark, sf_dir, "lineitem", ["l_partkey", "l_extendedprice", "l_returnflag"])
+    part = standins.table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+    rows = li.join(part, li.l_partkey == part.p_partkey)
+    brand_mean = rows.groupBy("p_brand").agg(F.avg("l_extendedprice").alias("p"))
+    scored = rows.join(brand_mean, "p_brand")
+    return regression_metrics(scored, "l_extendedprice", "p", ["l_returnflag"])
+
+
+SQL_OUTCOMES = """
+    SELECT lang, toxic, quality,
+           CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + CAST(2000.0 AS DOUBLE)) AS s
+    FROM labels JOIN documents USING (doc_id)"""
+
+
+def outcome_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deterministic score per labelled document (longer documents score higher)."""
+    n = F.col("n_chars").cast("double")
+    return standins.binary_outcomes(spark, sf_dir).select(
+        "lang", "toxic", "quality", (n / (n + F.lit(2000.0))).alias("s"))
+
+
+def _sql_threshold(label: str, group: str) -> str:
+    pred = "(s > 0.5 AND NOT isnan(s))"
+    return f"""
+    WITH c AS (
+        SELECT {group},
+            CAST(count(*) FILTER (WHERE {label} = 1 AND {pred}) AS BIGINT) AS tp,
+            CAST(count(*) FILTER (WHERE {label} <> 1 AND {pred}) AS BIGINT) AS fp,
+            CAST(count(*) FILTER (WHERE {label} = 1 AND NOT {pred}) AS BIGINT) AS fn,
+            CAST(count(*) FILTER (WHERE {label} <> 1 AND NOT {pred}) AS BIGINT) AS tn
+        FROM ({SQL_OUTCOMES}) GROUP BY {group}),
+    r AS (SELECT *,
+            CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS tpr,
+            CASE WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / CAST(tn + fp AS DOUBLE) END AS tnr
+          FROM c)
+    SELECT {group}, tp, fp, fn, tn,
+        CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
+        CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
+        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0
+             ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1,
+        CASE WHEN (tpr IS NOT NULL)::INT + (tnr IS NOT NULL)::INT > 0
+             THEN (coalesce(tpr, 0.0) + coalesce(tnr, 0.0))
+                  / CAST((tpr IS NOT NULL)::INT + (tnr IS NOT NULL)::INT AS DOUBLE) END
+             AS balanced_accuracy
+    FROM r"""
+
+
+def _sql_counts(label: str, group_select: str) -> str:
+    return f"""SELECT {group_select}, s,
+            CAST(count(*) FILTER (WHERE {label} = 1) AS BIGINT) AS pos,
+            CAST(count(*) FILTER (WHERE {label} <> 1) AS BIGINT) AS neg
+        FROM ({SQL_OUTCOMES}) GROUP BY ALL"""
+
+
+def _sql_auc(label: str, group: str | None) -> str:
+    g = group or "'all'"
+    out = f"g AS {group}, " if group else ""
+    return f"""
+    WITH c AS ({_sql_counts(label, g + " AS g")}),
+    r AS (SELECT *, sum(neg) OVER (PARTITION BY g ORDER BY s ASC NULLS FIRST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM c)
+    SELECT {out}
+        CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+            CAST(sum(CAST(pos AS DECIMAL(38,0)) * CAST(2 * neg_cum - neg AS DECIMAL(38,0))) AS DOUBLE)
+            / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) * 2.0) END AS auc
+    FROM r GROUP BY g"""
+
+
+def _sql_ap(label: str, group: str) -> str:
+    return f"""
+    WITH c AS ({_sql_counts(label, group)}),
+    r AS (SELECT *,
+            sum(pos) OVER (PARTITION BY {group} ORDER BY s DESC NULLS LAST
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pos_cum,
+            sum(pos + neg) OVER (PARTITION BY {group} ORDER BY s DESC NULLS LAST
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt_cum
+          FROM c)
+    SELECT {group}, CASE WHEN sum(pos) > 0 THEN round(
+            sum(CAST(pos AS DOUBLE) * CAST(pos_cum AS DOUBLE) / CAST(cnt_cum AS DOUBLE))
+            / CAST(sum(pos) AS DOUBLE), 9) END AS average_precision
+    FROM r GROUP BY {group}"""
+
+
+@register("metric_threshold", _sql_threshold("toxic", "lang"))
+def q_metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_metrics(outcome_scores(spark, sf_dir), "toxic", "s", 0.5, ["lang"])
+
+
+@register("metric_auc", _sql_auc("toxic", "lang"))
+def q_metric_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roc_auc(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"])
+
+
+@register("metric_auc_overall", _sql_auc("quality", None))
+def q_metric_auc_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roc_auc(outcome_scores(spark, sf_dir), "quality", "s")
+
+
+@register("metric_average_precision", _sql_ap("toxic", "lang"))
+def q_metric_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return average_precision(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"])

@@ -28,9 +28,10 @@ def _as_col(c: str | Column) -> Column:
 
 def running_totals(df: DataFrame, order_cols: Sequence[str | Column], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), partitions: int | None = None,
-                   suffix: str = "_cum") -> DataFrame:
+                   suffix: str = "_cum", with_total: bool = False) -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over all rows of the group up to and including
-    this row, in ``order_cols`` order (a Column may carry ``.desc()``)."""
+    this row, in ``order_cols`` order (a Column may carry ``.desc()``). With
+    ``with_total`` also ``<c>_total``, the sum over the whole group."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(group_cols)
@@ -43,18 +44,21 @@ def running_totals(df: DataFrame, order_cols: Sequence[str | Column], sum_cols:
     totals = ranged.groupBy(_PART, *groups).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     w_off = (Window.partitionBy(*groups).orderBy(_PART)
              .rowsBetween(Window.unboundedPreceding, -1))
+    w_all = Window.partitionBy(*groups)
     offsets = totals.select(
         F.col(_PART).alias("_o_part"), *[F.col(g).alias(f"_o_{g}") for g in groups],
         *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}")
           for c in sum_cols],
+        *[F.sum(f"_tot_{c}").over(w_all).alias(f"_all_{c}") for c in sum_cols],
     )
     cond = reduce(lambda a, b: a & b,
                   [F.col(_PART) == F.col("_o_part")]
                   + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups])
     out = local.join(offsets, cond, "inner")
+    extra = [F.col(f"_all_{c}").alias(f"{c}_total") for c in sum_cols] if with_total else []
     return out.select(*df.columns,
                       *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{c}{suffix}")
-                        for c in sum_cols])
+                        for c in sum_cols], *extra)
 
 
 def row_numbers(df: DataFrame, order_cols: Sequence[str | Column], out_col: str = "row_number",
