@@ -12,7 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import EVENT_TIME, EXCLUDED_TRAINING_COLUMNS, KEY, LABEL, SCORE, SHIFT_BASE, SOURCE_LABEL
+from .constants import (
+    CONVERSION_COLUMN,
+    EVENT_TIME,
+    EXCLUDED_TRAINING_COLUMNS,
+    KEY,
+    LABEL,
+    SCORE,
+    SHIFT_BASE,
+    SOURCE_LABEL,
+)
 from .functions.metrics import average_precision, regression_metrics, roc_auc, threshold_metrics
 from .operators.encoding import ordinal_fit
 from .operators.relational import (
@@ -25,8 +34,20 @@ from .operators.relational import (
     restrict_to_keys,
 )
 from .operators.split import exact_split, hash_split, label_shift, shift_value
-from .plans import features, training
+from .models.score import load_model
+from .models.train import save_model
+from .plans import features, scoring, training
+from .plans.report import conversion_share, score_bins
+from .session import stage_path
 from .sources import standins
+from .sources.files import (
+    latest_partition,
+    read_cohorts,
+    read_partition,
+    stage,
+    write_csv,
+    write_parquet,
+)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -356,7 +377,13 @@ SQL_BID_ROWS = f"""
            lg.cost AS MediaCostInBucks
     FROM ({SQL_LOG}) lg
     JOIN ({SQL_SCORES}) s ON lg.ehhn = s.ehhn
-    JOIN ({SQL_MEDIA_LATEST}) m ON lg.ehhn = m.ehhn"""
+    JOIN ({SQL_MEDIA_LATEST}) m ON lg.ehhn = m.ehhn
+    WHERE lg.event_id IS NOT NULL AND lg.ehhn IS NOT NULL AND lg.LogEntryTime IS NOT NULL
+      AND lg.event_type IS NOT NULL AND lg.prop_k IS NOT NULL
+      AND s.ngr_score IS NOT NULL AND NOT isnan(s.ngr_score) AND s.cohort IS NOT NULL
+      AND m.o_totalprice IS NOT NULL AND NOT isnan(m.o_totalprice)
+      AND m.o_orderstatus IS NOT NULL AND m.o_orderpriority IS NOT NULL
+      AND lg.cost IS NOT NULL AND NOT isnan(lg.cost)"""
 _BID_ROW_COLUMNS = ["ImpressionId", "ehhn", "LogEntryTime", "event_type", "prop_k", "ngr_score",
                     "cohort", "o_totalprice", "o_orderstatus", "o_orderpriority", "converted",
                     "MediaCostInBucks", "split"]
@@ -499,3 +526,168 @@ def q_metric_auc_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("metric_average_precision", _sql_ap("toxic", "lang"))
 def q_metric_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return average_precision(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"])
+
+
+# ---------------------------------------------------------------------------------
+# Report: J4 F2 A2 R1 R2 on a deterministic conversion score
+# ---------------------------------------------------------------------------------
+SQL_HOUSEHOLD_VECTORS = f"""
+    SELECT l.ehhn, l.event_id, l.LogEntryTime, l.event_type, l.prop_k, l.cost,
+           s.ngr_score, s.cohort, m.o_orderkey, m.o_orderdate, m.o_totalprice,
+           m.o_orderstatus, m.o_orderpriority
+    FROM ({SQL_LATEST}) l
+    JOIN ({SQL_SCORES}) s ON l.ehhn = s.ehhn
+    JOIN ({SQL_MEDIA_LATEST}) m ON l.ehhn = m.ehhn
+    WHERE s.ngr_score IS NOT NULL AND NOT isnan(s.ngr_score)"""
+_PRICE_SCALE = 250000.0
+SQL_STANDIN_PREDICTIONS = f"""
+    SELECT ehhn, cohort,
+        o_totalprice / (o_totalprice + CAST({_PRICE_SCALE!r} AS DOUBLE)) AS sales_conversion
+    FROM ({SQL_HOUSEHOLD_VECTORS})"""
+SQL_SCORED = f"""
+    SELECT s.ehhn, s.ngr_score, p.cohort, p.sales_conversion
+    FROM ({SQL_SCORES}) s JOIN ({SQL_STANDIN_PREDICTIONS}) p ON s.ehhn = p.ehhn"""
+
+
+def standin_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deterministic conversion score per household: its latest order value squashed
+    into (0, 1). Stands in for model output where an exact oracle is wanted."""
+    hv = scoring.household_vectors(spark, sf_dir)
+    price = F.col("o_totalprice")
+    return hv.select(KEY, "cohort", (price / (price + F.lit(_PRICE_SCALE))).alias(CONVERSION_COLUMN))
+
+
+@register("cohort_share", f"""
+    WITH agg AS (
+        SELECT cohort, count(*) AS households,
+               count(*) FILTER (WHERE sales_conversion > 0.5 AND NOT isnan(sales_conversion))
+                   AS converting
+        FROM ({SQL_SCORED}) GROUP BY cohort),
+    names AS (SELECT * FROM (VALUES ('BUILDING'), ('FURNITURE'), ('MACHINERY')) v(cohort))
+    SELECT n.cohort, CAST(coalesce(households, 0) AS BIGINT) AS households,
+           CAST(coalesce(converting, 0) AS BIGINT) AS converting,
+           CASE WHEN households > 0 THEN CAST(converting AS DOUBLE) / CAST(households AS DOUBLE)
+           END AS share
+    FROM names n LEFT JOIN agg ON n.cohort = agg.cohort""")
+def q_cohort_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds = standin_predictions(spark, sf_dir)
+    return conversion_share(preds, standins.campaign_scores(spark, sf_dir), standins.COHORTS)
+
+
+@register("score_bins", f"""
+    WITH j AS (SELECT * FROM ({SQL_SCORED}) WHERE ngr_score IS NOT NULL AND NOT isnan(ngr_score)
+               AND sales_conversion IS NOT NULL AND NOT isnan(sales_conversion))
+    SELECT cohort,
+        CAST(least(floor(sales_conversion * 20), 19) AS INTEGER) AS p_bin,
+        CAST(least(floor((ngr_score - (SELECT min(ngr_score) FROM j))
+             / ((SELECT max(ngr_score) - min(ngr_score) FROM j) / 20)), 19) AS INTEGER) AS s_bin,
+        CAST(count(*) AS BIGINT) AS households
+    FROM j GROUP BY ALL""")
+def q_score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds = standin_predictions(spark, sf_dir)
+    return score_bins(preds, standins.campaign_scores(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------
+# Models: M1-M3 M5-M9 S6 K5 P14 P15 (no SQL twin: rows-only checks)
+# ---------------------------------------------------------------------------------
+SMALL_REGRESSORS = {"RF": {"numTrees": [10], "maxDepth": [5]},
+                    "GBM": {"maxIter": [10], "maxDepth": [4]},
+                    "LM": {"regParam": [0.0, 0.1]}}
+SMALL_CLASSIFIERS = {"RF": {"numTrees": [10], "maxDepth": [5]}, "LR": {"regParam": [0.0, 0.01]}}
+
+
+@register("train_leaderboard")
+def q_train_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.train_bid_model(spark, sf_dir, SMALL_REGRESSORS).result.leaderboard
+
+
+@register("bid_test_metrics")
+def q_bid_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bt = training.train_bid_model(spark, sf_dir, {"LM": None, "RF": {"numTrees": [10]}})
+    return bt.test_metrics
+
+
+@register("score_bids")
+def q_score_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, save, load the champion, score every audience household once."""
+    bt = training.train_bid_model(spark, sf_dir, {"LM": None, "RF": {"numTrees": [10]}})
+    path = save_model(bt.result.best, stage_path(spark, "bid-model"))
+    model = load_model(spark, path)
+    vectors = scoring.household_vectors(spark, sf_dir, bt.encoding)
+    return scoring.score_bids(model, vectors)
+
+
+def _conversion_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, enc = training.prepared_bid_rows(spark, sf_dir)
+    result = training.train_conversion_model(spark, prepared, SMALL_CLASSIFIERS)
+    path = save_model(result.best, stage_path(spark, "conversion-model"))
+    model = load_model(spark, path)
+    return scoring.score_conversion(model, scoring.household_vectors(spark, sf_dir, enc))
+
+
+@register("score_conversion")
+def q_score_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversion_predictions(spark, sf_dir)
+
+
+@register("conversion_report")
+def q_conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds = _conversion_predictions(spark, sf_dir)
+    return conversion_share(preds, standins.campaign_scores(spark, sf_dir), standins.COHORTS)
+
+
+# ---------------------------------------------------------------------------------
+# Sources and sinks: S2 S3 S4 S5 K1 K2 K3 (+ latest partition)
+# ---------------------------------------------------------------------------------
+SQL_SNAPSHOT_TREE = """
+    SELECT o_custkey AS ehhn, o_orderkey, o_orderdate, o_totalprice, o_orderpriority,
+           o_orderstatus AS channel_type, CAST(date_trunc('month', o_orderdate) AS DATE) AS cycle_date
+    FROM orders"""
+_SNAPSHOT_CHANNEL, _SNAPSHOT_DATE = "F", "1998-06-01"
+
+
+def write_snapshot_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The orders table as a ``channel_type=/cycle_date=`` tree under the staging folder."""
+    orders = standins.table(spark, sf_dir, "orders")
+    tree = orders.select(
+        F.col("o_custkey").alias(KEY), "o_orderkey", "o_orderdate", "o_totalprice",
+        "o_orderpriority", F.col("o_orderstatus").alias("channel_type"),
+        F.trunc(F.col("o_orderdate").cast("date"), "month").alias("cycle_date"))
+    path = stage_path(spark, "snapshot-tree")
+    write_parquet(tree, path, partition_by=["channel_type", "cycle_date"])
+    return path
+
+
+@register("partition_scan", f"""
+    SELECT * FROM ({SQL_SNAPSHOT_TREE})
+    WHERE channel_type = '{_SNAPSHOT_CHANNEL}' AND cycle_date = DATE '{_SNAPSHOT_DATE}'""")
+def q_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = write_snapshot_tree(spark, sf_dir)
+    return read_partition(spark, root, channel_type=_SNAPSHOT_CHANNEL, cycle_date=_SNAPSHOT_DATE)
+
+
+@register("latest_partition", f"""
+    SELECT * FROM ({SQL_SNAPSHOT_TREE}) WHERE channel_type = '{_SNAPSHOT_CHANNEL}'
+      AND cycle_date = (SELECT max(cycle_date) FROM ({SQL_SNAPSHOT_TREE})
+                        WHERE channel_type = '{_SNAPSHOT_CHANNEL}')""")
+def q_latest_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = write_snapshot_tree(spark, sf_dir)
+    return latest_partition(spark, root, "cycle_date", channel_type=_SNAPSHOT_CHANNEL)
+
+
+SCORE_SCHEMA = "ehhn bigint, ngr_score double"
+
+
+@register("csv_round_trip", SQL_SCORES)
+def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as CSV per cohort directory, read back as one frame by cohort."""
+    scores = standins.campaign_scores(spark, sf_dir)
+    root = write_csv(scores, stage_path(spark, "scores-csv"), partition_by=["cohort"])
+    paths = {c: f"{root}/cohort={c}" for c in standins.COHORTS}
+    return read_cohorts(spark, paths, SCORE_SCHEMA)
+
+
+@register("staged_reread", SQL_LATEST)
+def q_staged_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(features.latest_impressions(spark, sf_dir), "latest-impressions")

@@ -24,7 +24,13 @@ from ..functions.metrics import regression_metrics
 from ..models.train import PREDICTION, TrainingResult, class_weights, train_classifiers, train_regressors
 from ..operators.encoding import OrdinalEncoding, ordinal_fit
 from ..operators.latest import latest_per_key
-from ..operators.relational import exclude_columns, join_on_key, rename_columns, restrict_to_keys
+from ..operators.relational import (
+    drop_incomplete,
+    exclude_columns,
+    join_on_key,
+    rename_columns,
+    restrict_to_keys,
+)
 from ..operators.split import SPLIT, TEST, TRAIN, VALIDATION, hash_split, label_shift, shift_value
 from ..sources import standins
 from ..sources.files import stage
@@ -49,17 +55,18 @@ def household_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bid_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete impression rows (no null or NaN in any column)."""
     log = features.impression_log(spark, sf_dir)
     scores = standins.campaign_scores(spark, sf_dir)
     restricted = restrict_to_keys(log, scores.select(KEY))
     rows = join_on_key(join_on_key(restricted, scores.select(KEY, SCORE, "cohort")),
                        household_snapshot(spark, sf_dir))
-    return rows.select(
+    return drop_incomplete(rows.select(
         F.col("event_id").alias(ROW_ID), KEY, EVENT_TIME, "event_type", "prop_k", SCORE,
         "cohort", "o_totalprice", "o_orderstatus", "o_orderpriority",
         F.when(F.col("event_type") == CONVERSION_EVENT, 1).otherwise(0).alias(CONVERSION_LABEL),
         F.col("cost").alias(SOURCE_LABEL),
-    )
+    ))
 
 
 def prepare_training(rows: DataFrame, categoricals: list[str], row_id: str, seed: int,
@@ -81,13 +88,19 @@ class BidTraining:
     test_metrics: DataFrame
 
 
+def prepared_bid_rows(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED
+                      ) -> tuple[DataFrame, OrdinalEncoding]:
+    """Steps 1-5: the prepared training table, staged, and its encoding."""
+    prep, encoding = prepare_training(bid_training_rows(spark, sf_dir), BID_CATEGORICALS,
+                                      ROW_ID, seed)
+    return stage(prep, "bid-training"), encoding
+
+
 def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int = DEFAULT_SEED,
                     prepared: DataFrame | None = None,
                     encoding: OrdinalEncoding | None = None) -> BidTraining:
     if prepared is None:
-        prep, encoding = prepare_training(bid_training_rows(spark, sf_dir), BID_CATEGORICALS,
-                                          ROW_ID, seed)
-        prepared = stage(prep, "bid-training")
+        prepared, encoding = prepared_bid_rows(spark, sf_dir, seed)
     train = prepared.where(F.col(SPLIT) == TRAIN)
     val = prepared.where(F.col(SPLIT) == VALIDATION)
     test = prepared.where(F.col(SPLIT) == TEST)
