@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NULL_CODE, UNKNOWN_CODE
 from ..sources.files import stage, write_parquet
-from .relational import broadcast_max_rows
+from .broadcast import broadcast_max_rows
 from .sequence import row_numbers
 
 FEATURE = "feature"

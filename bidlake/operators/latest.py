@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EVENT_TIME, KEY
+from .broadcast import maybe_broadcast
 
 
 def latest_order(time_col: str, tie_breaker: str | Sequence[str] | None) -> list:
@@ -31,3 +32,22 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str] = KEY, time_col: str
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*latest_order(time_col, tie_breaker))
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
+
+
+def latest_within_keys(df: DataFrame, keys: DataFrame, key: str = KEY,
+                       time_col: str = EVENT_TIME, tie_breaker: str | Sequence[str] | None = None,
+                       max_broadcast_rows: int | None = None) -> DataFrame:
+    """Latest row per key, for keys present in ``keys`` only (J1 + W2).
+
+    Same rows in either order; the order is chosen by the size of ``keys``:
+    * a key set proven small is broadcast and filters the rows map-side first, so less
+      data is sorted for the window;
+    * a large key set is applied after the window: the map-side group limit has already
+      cut every key (hot ones included) to one row per task, and the semi join reuses the
+      window's partitioning on ``key``, so only ``keys`` is shuffled.
+    """
+    keys = keys.select(key)
+    small_keys, small = maybe_broadcast(keys, max_broadcast_rows)
+    if small:
+        return latest_per_key(df.join(small_keys, key, "left_semi"), key, time_col, tie_breaker)
+    return latest_per_key(df, key, time_col, tie_breaker).join(keys, key, "left_semi")

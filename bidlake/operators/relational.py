@@ -14,13 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import KEY
+from .broadcast import broadcast_max_rows, maybe_broadcast  # noqa: F401
 from .latest import latest_per_key
 
-# Largest number of keys we broadcast. 10M bigint keys is roughly 160 MB as a hashed
-# relation; override with the session conf ``bidlake.broadcast.maxRows``.
-DEFAULT_BROADCAST_MAX_ROWS = 10_000_000
-
-
 class FanOutError(ValueError):
     """Raised when a join that must be one-to-one finds repeated keys on the right."""
 
@@ -65,30 +61,13 @@ def audience(log: DataFrame, scores: DataFrame, key: str = KEY) -> DataFrame:
     return log.select(key).intersect(scores.select(key))
 
 
-def broadcast_max_rows(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("bidlake.broadcast.maxRows", None)
-    return int(conf) if conf else DEFAULT_BROADCAST_MAX_ROWS
-
-
-def maybe_broadcast(small: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast ``small`` only when a row count proves it is at most ``max_rows``;
-    otherwise return it unchanged and let the planner shuffle both sides.
-
-    Call this on a dimension-sized frame (a key list, a mapping table), never on a fact
-    table: the count is an action over ``small``.
-    """
-    limit = broadcast_max_rows(small) if max_rows is None else max_rows
-    n = small.count()
-    if n <= limit:
-        return F.broadcast(small), True
-    return small, False
-
-
 def restrict_to_keys(df: DataFrame, keys: DataFrame, key: str = KEY,
                      max_broadcast_rows: int | None = None) -> DataFrame:
     """Keep rows of ``df`` whose key is in ``keys`` (left semi join: no duplicate
     rows, no right columns). ``keys`` is broadcast only behind a row-count check; a large
-    key set falls back to a shuffled semi join, which AQE can split when skewed."""
+    key set falls back to a shuffled semi join, which AQE can split when skewed.
+    Before a per-key window prefer ``latest_within_keys``, which orders the two steps so
+    a hot key never reaches one task whole."""
     # Duplicate keys do not change a semi join, so no distinct (and no shuffle) first;
     # the row count is then an upper bound on the distinct keys.
     keys, _ = maybe_broadcast(keys.select(key), max_broadcast_rows)

@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import EVENT_TIME, KEY, SCORE
 from ..operators.encoding import OrdinalEncoding, ordinal_fit
-from ..operators.latest import latest_per_key
+from ..operators.latest import latest_within_keys
 from ..operators.relational import (
     audience,
     drop_incomplete,
     join_on_key,
-    restrict_to_keys,
     union_logs,
 )
 from ..sources import standins
+from ..sources.files import stage
 
 # --- fixed values -------------------------------------------------------------
 LOG_COLUMNS = ["event_id", KEY, EVENT_TIME, "event_type", "prop_k", "cost"]
@@ -49,11 +49,12 @@ def audience_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audience(impression_log(spark, sf_dir), standins.campaign_scores(spark, sf_dir))
 
 
-def latest_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_impressions(spark: SparkSession, sf_dir: str,
+                       max_broadcast_rows: int | None = None) -> DataFrame:
+    """Steps 2-3: each audience household's latest impression."""
     log = impression_log(spark, sf_dir)
     scores = standins.campaign_scores(spark, sf_dir)
-    restricted = restrict_to_keys(log, scores.select(KEY))
-    return latest_per_key(restricted, KEY, EVENT_TIME, "event_id")
+    return latest_within_keys(log, scores, KEY, EVENT_TIME, "event_id", max_broadcast_rows)
 
 
 def raw_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,10 @@ def raw_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_vectors(spark: SparkSession, sf_dir: str,
                     encoding: OrdinalEncoding | None = None) -> DataFrame:
-    """Steps 1-6. Without a given ``encoding`` one is fitted on these rows."""
+    """Steps 1-6. Without a given ``encoding`` one is fitted on these rows; the rows are
+    then staged first so the fit and the transform share one scan of the log."""
     raw = raw_feature_vectors(spark, sf_dir)
     if encoding is None:
+        raw = stage(raw, "raw-feature-vectors")
         encoding = ordinal_fit(raw, FEATURE_CATEGORICALS, FEATURE_ORDER_KEY)
     return encoding.transform(raw)

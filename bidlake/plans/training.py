@@ -29,8 +29,8 @@ from ..operators.relational import (
     exclude_columns,
     join_on_key,
     rename_columns,
-    restrict_to_keys,
 )
+from ..operators.broadcast import maybe_broadcast
 from ..operators.split import SPLIT, TEST, TRAIN, VALIDATION, hash_split, label_shift, shift_value
 from ..sources import standins
 from ..sources.files import stage
@@ -55,12 +55,20 @@ def household_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bid_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete impression rows (no null or NaN in any column)."""
+    """Complete impression rows (no null or NaN in any column).
+
+    The household side (campaign score + latest snapshot order) has one row per key, so
+    it is joined first and the log is joined to it once: that single inner join both
+    restricts the log to the audience and attaches the features. A single join (rather
+    than a chain on the same key) is one AQE can split when a household is hot; the
+    household side is broadcast when its row count allows.
+    """
     log = features.impression_log(spark, sf_dir)
-    scores = standins.campaign_scores(spark, sf_dir)
-    restricted = restrict_to_keys(log, scores.select(KEY))
-    rows = join_on_key(join_on_key(restricted, scores.select(KEY, SCORE, "cohort")),
-                       household_snapshot(spark, sf_dir))
+    scores = standins.campaign_scores(spark, sf_dir).select(KEY, SCORE, "cohort")
+    households = join_on_key(scores, household_snapshot(spark, sf_dir))
+    # At most one row per score row: the score table's count bounds the household side.
+    households, _ = maybe_broadcast(households, bound=scores)
+    rows = log.join(households, KEY, "inner")
     return drop_incomplete(rows.select(
         F.col("event_id").alias(ROW_ID), KEY, EVENT_TIME, "event_type", "prop_k", SCORE,
         "cohort", "o_totalprice", "o_orderstatus", "o_orderpriority",
@@ -70,9 +78,17 @@ def bid_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepare_training(rows: DataFrame, categoricals: list[str], row_id: str, seed: int,
-                     encoding: OrdinalEncoding | None = None) -> tuple[DataFrame, OrdinalEncoding]:
-    """Steps 1-4 on any frame that has ``row_id``, the categoricals and the source label."""
+                     encoding: OrdinalEncoding | None = None, materialize: bool = True
+                     ) -> tuple[DataFrame, OrdinalEncoding]:
+    """Steps 1-4 on any frame that has ``row_id``, the categoricals and the source label.
+
+    With ``materialize`` the split rows are staged once, so the encoder fit (which reads
+    only the categorical columns and the id) and the transform both read the staged copy
+    instead of recomputing the joins and rescanning the log.
+    """
     with_split = hash_split(rows, [row_id], seed)
+    if materialize:
+        with_split = stage(with_split, "training-rows")
     enc = encoding or ordinal_fit(with_split, categoricals, row_id)
     encoded = enc.transform(with_split)
     kept = exclude_columns(encoded, EXCLUDED_TRAINING_COLUMNS)
@@ -90,10 +106,10 @@ class BidTraining:
 
 def prepared_bid_rows(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED
                       ) -> tuple[DataFrame, OrdinalEncoding]:
-    """Steps 1-5: the prepared training table, staged, and its encoding."""
-    prep, encoding = prepare_training(bid_training_rows(spark, sf_dir), BID_CATEGORICALS,
-                                      ROW_ID, seed)
-    return stage(prep, "bid-training"), encoding
+    """Steps 1-5: the prepared training table (over the staged rows) and its encoding.
+    Re-reading it for every candidate fit costs a scan plus broadcast joins on the small
+    mapping, not the joins that built the rows."""
+    return prepare_training(bid_training_rows(spark, sf_dir), BID_CATEGORICALS, ROW_ID, seed)
 
 
 def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int = DEFAULT_SEED,
