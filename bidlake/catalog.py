@@ -24,6 +24,7 @@ from .constants import (
 )
 from .functions.metrics import average_precision, regression_metrics, roc_auc, threshold_metrics
 from .operators.encoding import ordinal_fit
+from .operators.impute import impute
 from .operators.relational import (
     distinct_keys,
     drop_incomplete,
@@ -39,6 +40,7 @@ from .models.train import save_model
 from .plans import features, scoring, training
 from .plans.report import conversion_share, score_bins
 from .session import stage_path
+from .streaming import realtime
 from .sources import standins
 from .sources.files import (
     latest_partition,
@@ -637,6 +639,40 @@ def q_conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversion_share(preds, standins.campaign_scores(spark, sf_dir), standins.COHORTS)
 
 
+@register("live_pricing")
+def q_live_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 + D2: the impression log replayed as a file stream and priced per impression
+    against the weekly household features (rows-only check)."""
+    bt = training.train_bid_model(spark, sf_dir, {"LM": None})
+    weekly = scoring.household_vectors(spark, sf_dir, bt.encoding).select(
+        KEY, *training.BID_FEATURES)
+    stream = realtime.impression_stream(spark, sf_dir, file_name="events.parquet")
+    bids = realtime.live_bids(stream, weekly, bt.encoding, bt.result.best)
+    sink = stage_path(spark, "live-bids")
+    query = realtime.start_live_pricing(bids, sink, stage_path(spark, "live-bids-checkpoint"))
+    query.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@register("combined_predictions")
+def q_combined_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bid and conversion predictions of the same households in one table."""
+    prepared, enc = training.prepared_bid_rows(spark, sf_dir)
+    bid = training.train_bid_model(spark, sf_dir, {"LM": None}, prepared=prepared, encoding=enc)
+    conv = training.train_conversion_model(spark, prepared, {"LR": None})
+    vectors = scoring.household_vectors(spark, sf_dir, enc)
+    return scoring.combined_predictions(scoring.score_bids(bid.result.best, vectors),
+                                        scoring.score_conversion(conv.best, vectors))
+
+
+@register("impute_scores", f"""
+    WITH s AS ({SQL_SCORES})
+    SELECT ehhn, coalesce(ngr_score, (SELECT avg(ngr_score) FROM s)) AS ngr_score, cohort FROM s""")
+def q_impute_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing campaign scores filled with the mean score instead of dropping rows."""
+    return impute(standins.campaign_scores(spark, sf_dir), numeric=[SCORE], categorical=["cohort"])
+
+
 # ---------------------------------------------------------------------------------
 # Sources and sinks: S2 S3 S4 S5 K1 K2 K3 (+ latest partition)
 # ---------------------------------------------------------------------------------

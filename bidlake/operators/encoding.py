@@ -44,8 +44,9 @@ class OrdinalEncoding:
     columns: list[str]
     scope: list[str] = field(default_factory=list)
 
-    def transform(self, df: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
-        return ordinal_transform(df, self, max_broadcast_rows)
+    def transform(self, df: DataFrame, max_broadcast_rows: int | None = None,
+                  columns: Sequence[str] | None = None) -> DataFrame:
+        return ordinal_transform(df, self, max_broadcast_rows, columns)
 
     def save(self, path: str, mode: str = "errorifexists") -> str:
         write_parquet(self.mapping, path, mode=mode)
@@ -94,16 +95,21 @@ def ordinal_fit(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
 
 
 def ordinal_transform(df: DataFrame, enc: OrdinalEncoding,
-                      max_broadcast_rows: int | None = None) -> DataFrame:
-    """Replace each encoded column by its integer code, in place."""
+                      max_broadcast_rows: int | None = None,
+                      columns: Sequence[str] | None = None) -> DataFrame:
+    """Replace each encoded column (or only ``columns``) by its integer code."""
     limit = broadcast_max_rows(df) if max_broadcast_rows is None else max_broadcast_rows
-    missing = [c for c in enc.columns + enc.scope if c not in df.columns]
+    targets = list(enc.columns if columns is None else columns)
+    unknown = [c for c in targets if c not in enc.columns]
+    if unknown:
+        raise ValueError(f"encoding has no mapping for {unknown}")
+    missing = [c for c in targets + enc.scope if c not in df.columns]
     if missing:
         raise ValueError(f"frame lacks encoded columns {missing}")
     sizes = {r[FEATURE]: r["n"] for r in
              enc.mapping.groupBy(FEATURE).agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
-    for c in enc.columns:
+    for c in targets:
         m = enc.mapping.where(F.col(FEATURE) == c).select(
             *[F.col(s).alias(f"_m_{s}") for s in enc.scope],
             F.col(CATEGORY).alias("_m_cat"), F.col(CODE).alias("_m_code"))

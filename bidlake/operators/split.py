@@ -87,3 +87,10 @@ def label_shift(df: DataFrame, label: str = LABEL, u: float = 0.0) -> DataFrame:
 def features_and_label(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
     """The frame without the label, and the label alone."""
     return df.drop(label), df.select(label)
+
+
+def stratified_sample(df: DataFrame, label: str, fractions: dict, seed: int) -> DataFrame:
+    """A seeded per-class sample (e.g. keep every rare positive, a share of the
+    negatives) for the "sampled" training set the workflow trains on. A sampling
+    operator: the fractions are the feature, nothing else is capped."""
+    return df.sampleBy(label, fractions=fractions, seed=seed)

@@ -45,3 +45,11 @@ def write_scores(scores: DataFrame, path: str, partition_by=("cohort", "week"))
     """K3: CSV without an index column; cohort and week in the directory names."""
     cols = [c for c in partition_by if c in scores.columns]
     return write_csv(scores, path, partition_by=cols)
+
+
+def combined_predictions(bids: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Bid and conversion outputs as one table per household and week
+    ``(ehhn, cohort, week, basebid, sales_conversion)``; both sides have one row per
+    household and week, so the join neither drops bids nor multiplies rows."""
+    return bids.join(conversions, [KEY, "week"], "inner").select(
+        KEY, "cohort", "week", "basebid", "sales_conversion")
