@@ -18,6 +18,7 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -25,10 +26,10 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.ml.functions import vector_to_array
 
 from ..functions.metrics import METRICS, evaluate
 
@@ -136,7 +137,21 @@ def train_classifiers(train: DataFrame, validation: DataFrame, feature_cols: Seq
 
 def _train(train, validation, feature_cols, label, families, metric, seed, make, score_col):
     m = METRICS[metric]
+    # Every candidate (and every boosting/tree iteration) re-reads these two frames; keep
+    # them on the executors for the loop. A lost block is recomputed from the staged
+    # training table, so this is a cache, not a lineage cut.
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _search(train, validation, feature_cols, label, families, m, make, score_col)
+    finally:
+        train.unpersist()
+        validation.unpersist()
+
+
+def _search(train, validation, feature_cols, label, families, m, make, score_col):
     rows, best = [], None
+    metric = m.name
     for fam, grid in families.items():
         for params in expand_grid(grid):
             t = time.time()
