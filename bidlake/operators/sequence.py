@@ -7,6 +7,10 @@ most partitions x groups-per-partition rows) give each partition its offset, and
 offsets are joined back. Every task handles about 1/partitions of the data, whatever
 the group sizes.
 
+Without group columns the offsets are a running sum over the per-partition totals in one
+task: that table has at most ``partitions`` rows, so the single task is bounded by the
+partition count, not by the data.
+
 The order columns must be a total order within each group (rows with equal order
 values land in the same range partition, but their relative order is arbitrary).
 """

@@ -31,7 +31,8 @@ def conversion_share(predictions: DataFrame, scores: DataFrame, cohorts: Sequenc
     )
     spark = predictions.sparkSession
     # The cohort list is a parameter (a handful of names), so broadcasting it is bounded.
-    names = spark.createDataFrame([(c,) for c in cohorts], f"{cohort_col} string")
+    names = spark.range(1).select(
+        F.explode(F.array(*[F.lit(str(c)) for c in cohorts])).alias(cohort_col))
     out = F.broadcast(names).join(agg, cohort_col, "left")
     share = F.try_divide(F.col("converting").cast("double"), F.col("households").cast("double"))
     return out.select(cohort_col,
