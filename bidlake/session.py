@@ -6,7 +6,6 @@ file system path). Only when that is unset (local runs, tests) do we create our
 
 from __future__ import annotations
 
-import os
 import tempfile
 import time
 import uuid
@@ -69,20 +68,3 @@ def stage_path(spark: SparkSession, name: str) -> str:
 def run_stamp(at: float | None = None) -> str:
     """Run stamp with hour resolution (month, day, year, hour), computed once per run."""
     return time.strftime(RUN_STAMP_PYTHON, time.gmtime(at if at is not None else time.time()))
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    if is_local_path(path):
-        return os.path.exists(local_path(path))
-    jvm = spark.sparkContext._jvm  # Hadoop FileSystem check for remote stores
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from bidlake.models.train import train_regressors
 from bidlake.operators.encoding import ordinal_fit
 from bidlake.session import stage_path
