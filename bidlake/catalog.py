@@ -34,7 +34,15 @@ from .operators.relational import (
     rename_columns,
     restrict_to_keys,
 )
-from .operators.split import exact_split, hash_split, label_shift, shift_value
+from .operators.split import (
+    SPLIT,
+    TEST,
+    exact_split,
+    features_and_label,
+    hash_split,
+    label_shift,
+    shift_value,
+)
 from .models.score import load_model
 from .models.train import save_model
 from .plans import features, scoring, training
@@ -412,6 +420,18 @@ def q_prepared_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared
 
 
+@register("test_features", f"""
+    SELECT * EXCLUDE (split, biddingprice) FROM ({ORACLE_SQL["prepared_training"]})
+    WHERE split = 'test'""")
+def q_test_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The held-out split's feature matrix (label removed); its label vector is the
+    other half of ``features_and_label``."""
+    prepared = q_prepared_training(spark, sf_dir)
+    test = prepared.where(F.col(SPLIT) == TEST).drop(SPLIT)
+    feats, _label = features_and_label(test, LABEL)
+    return feats
+
+
 # ---------------------------------------------------------------------------------
 # Metrics: X1-X8 on deterministic predictions derived from the tables
 # ---------------------------------------------------------------------------------

@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..constants import BID_COLUMN, KEY
 from ..models.score import check_features
 from ..models.train import PREDICTION
+from ..operators.broadcast import maybe_broadcast
 from ..operators.encoding import OrdinalEncoding
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
@@ -68,6 +69,9 @@ def live_features(impressions: DataFrame, weekly: DataFrame, encoding: OrdinalEn
     encoded = encoding.transform(impressions, columns=to_encode)
     weekly_cols = [c for c in weekly.columns if c != KEY]
     w = weekly.select(KEY, *[F.col(c).alias(f"_w_{c}") for c in weekly_cols])
+    # The weekly side is static: broadcast it when its row count allows, so a micro-batch
+    # never shuffles it; otherwise every batch shuffle-joins it on the key.
+    w, _ = maybe_broadcast(w)
     joined = encoded.join(w, KEY, "inner")
     out = []
     for c in encoded.columns:

@@ -105,3 +105,18 @@ def test_key_coverage_counts(spark):
     got = key_coverage(base, {"o": other}).collect()[0]
     assert (got.base_keys, got.source_keys, got.shared_keys) == (3, 3, 2)
     assert not math.isnan(got.shared_keys)
+
+
+def test_large_audience_path_limits_before_its_only_log_shuffle(spark):
+    from bidlake.operators.latest import latest_within_keys
+
+    # One hot key holds a third of the rows.
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS ehhn",
+                                      "id AS t")
+    keys = spark.range(0, 3000, 7).selectExpr("id AS ehhn")
+    out = latest_within_keys(df, keys, "ehhn", "t", max_broadcast_rows=0)
+    plan = plan_text(out, "simple")
+    assert plan.count("WindowGroupLimit") >= 2 and "LeftSemi" in plan
+    assert plan.index("LeftSemi") < plan.index("Window [")  # semi join above the window
+    got = {r.ehhn: r.t for r in out.collect()}
+    assert got[7] == 2999 - (2999 % 3)
