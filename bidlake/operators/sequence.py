@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stage
+
 _PART = "_seq_part"
 
 
@@ -42,10 +44,18 @@ def running_totals(df: DataFrame, order_cols: Sequence[str | Column], sum_cols:
     order = [_as_col(c) for c in order_cols]
     ranged = (df.repartitionByRange(n, *[F.col(g) for g in groups], *order)
               .withColumn(_PART, F.spark_partition_id()))
+    # Local running sums and per-partition totals come from one window stage over the same
+    # rows. That result is staged before it is read twice (for the offsets and for the
+    # final join): two separately planned range exchanges would sample their bounds
+    # independently, and a row could then carry different partition ids in the two reads.
     w_local = (Window.partitionBy(_PART, *groups).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
-    totals = ranged.groupBy(_PART, *groups).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    w_part = Window.partitionBy(_PART, *groups)
+    local = stage(ranged.select(
+        "*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols],
+        *[F.sum(c).over(w_part).alias(f"_tot_{c}") for c in sum_cols]), "running-totals")
+    totals = local.groupBy(_PART, *groups).agg(
+        *[F.max(f"_tot_{c}").alias(f"_tot_{c}") for c in sum_cols])
     w_off = (Window.partitionBy(*groups).orderBy(_PART)
              .rowsBetween(Window.unboundedPreceding, -1))
     w_all = Window.partitionBy(*groups)

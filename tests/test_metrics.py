@@ -88,3 +88,22 @@ def test_rank_metrics_match_brute_force(spark, pairs):
     got_ap = average_precision(df, "y", "s", partitions=3).first().average_precision
     exp_ap = brute_ap(ys, ss)
     assert (got_ap is None and exp_ap is None) or math.isclose(got_ap, exp_ap, abs_tol=1e-8)
+
+
+def test_rank_metrics_many_distinct_scores_per_partition(spark):
+    """More distinct scores per input partition than the range sampler's sample size:
+    the partition ids used for the offsets must be the same rows' ids everywhere."""
+    import random
+
+    rnd = random.Random(5)
+    data = [(rnd.choice(["a", "b", "c"]), int(rnd.random() < 0.3), round(rnd.random(), 4))
+            for _ in range(6000)]
+    df = spark.createDataFrame(data, "g string, y int, s double").repartition(7)
+    got = {r.g: r.auc for r in roc_auc(df, "y", "s", ["g"], partitions=8).collect()}
+    got_ap = {r.g: r.average_precision
+              for r in average_precision(df, "y", "s", ["g"], partitions=8).collect()}
+    for g in ("a", "b", "c"):
+        ys = [y for gg, y, _ in data if gg == g]
+        ss = [s for gg, _, s in data if gg == g]
+        assert math.isclose(got[g], brute_auc(ys, ss), rel_tol=1e-12)
+        assert math.isclose(got_ap[g], brute_ap(ys, ss), abs_tol=1e-8)
