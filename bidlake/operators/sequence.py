@@ -34,28 +34,41 @@ def _as_col(c: str | Column) -> Column:
 
 def running_totals(df: DataFrame, order_cols: Sequence[str | Column], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), partitions: int | None = None,
-                   suffix: str = "_cum", with_total: bool = False) -> DataFrame:
+                   suffix: str = "_cum", with_total: bool = False,
+                   bucket: Column | None = None) -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over all rows of the group up to and including
     this row, in ``order_cols`` order (a Column may carry ``.desc()``). With
-    ``with_total`` also ``<c>_total``, the sum over the whole group."""
+    ``with_total`` also ``<c>_total``, the sum over the whole group.
+
+    ``bucket``: optional integer Column, a deterministic function of the row that never
+    decreases along ``order_cols`` within a group and spreads rows evenly (e.g. a prefix
+    of a hash the rows are ordered by). It replaces the sampled range partitioning: both
+    the local sums and the per-bucket totals compute the same bucket from the row, so
+    nothing has to be staged."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(group_cols)
     order = [_as_col(c) for c in order_cols]
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in groups], *order)
-              .withColumn(_PART, F.spark_partition_id()))
-    # Local running sums and per-partition totals come from one window stage over the same
-    # rows. That result is staged before it is read twice (for the offsets and for the
-    # final join): two separately planned range exchanges would sample their bounds
-    # independently, and a row could then carry different partition ids in the two reads.
     w_local = (Window.partitionBy(_PART, *groups).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_part = Window.partitionBy(_PART, *groups)
-    local = stage(ranged.select(
-        "*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols],
-        *[F.sum(c).over(w_part).alias(f"_tot_{c}") for c in sum_cols]), "running-totals")
-    totals = local.groupBy(_PART, *groups).agg(
-        *[F.max(f"_tot_{c}").alias(f"_tot_{c}") for c in sum_cols])
+    if bucket is not None:
+        keyed = df.withColumn(_PART, bucket)
+        local = keyed.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
+        totals = keyed.groupBy(_PART, *groups).agg(
+            *[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    else:
+        ranged = (df.repartitionByRange(n, *[F.col(g) for g in groups], *order)
+                  .withColumn(_PART, F.spark_partition_id()))
+        # Local running sums and per-partition totals come from one window stage over the
+        # same rows. That result is staged before it is read twice (for the offsets and for
+        # the final join): two separately planned range exchanges would sample their bounds
+        # independently, and a row could then carry different partition ids in the two reads.
+        w_part = Window.partitionBy(_PART, *groups)
+        local = stage(ranged.select(
+            "*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols],
+            *[F.sum(c).over(w_part).alias(f"_tot_{c}") for c in sum_cols]), "running-totals")
+        totals = local.groupBy(_PART, *groups).agg(
+            *[F.max(f"_tot_{c}").alias(f"_tot_{c}") for c in sum_cols])
     w_off = (Window.partitionBy(*groups).orderBy(_PART)
              .rowsBetween(Window.unboundedPreceding, -1))
     w_all = Window.partitionBy(*groups)

@@ -6,8 +6,8 @@ answer on every rerun and in any SQL engine with md5.
 
 Exact split: the reference cuts a shuffled frame at positions floor(.6n) and floor(.8n).
 Here the "shuffle" is the order of the full md5 hash (ties broken by the key), positions
-come from range-partitioned running counts (no one-task window), and n from the same
-pass's per-partition totals.
+come from running counts over hash-prefix buckets (no one-task window), and n from the
+per-bucket totals.
 """
 
 from __future__ import annotations
@@ -64,8 +64,14 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], seed: int,
     a, b = _percent(fractions)
     h = "_split_hash"
     tagged = df.withColumn(h, hash_text(df, key_cols, seed)).withColumn("_one", F.lit(1).cast("bigint"))
+    # md5 is uniform, so its first 6 hex digits cut the order into even, ordered buckets
+    # (no sampling pass, no staging): bucket = prefix * B / 16^6.
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(n * 16, 16 ** 6))
+    prefix = F.conv(F.substring(F.col(h), 1, 6), 16, 10).cast("bigint")
+    bucket = F.floor(prefix * F.lit(buckets) / F.lit(16 ** 6)).cast("int")
     ranked = running_totals(tagged, [h, *key_cols], ["_one"], partitions=partitions,
-                            with_total=True)
+                            with_total=True, bucket=bucket)
     pos = F.col("_one_cum")
     label = (F.when(pos <= F.expr(f"(_one_total * {a}) div 100"), TRAIN)
              .when(pos <= F.expr(f"(_one_total * {b}) div 100"), VALIDATION).otherwise(TEST))
