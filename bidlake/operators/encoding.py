@@ -53,10 +53,12 @@ class OrdinalEncoding:
         return path
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, scope: Sequence[str] = ()) -> OrdinalEncoding:
+    def load(cls, spark: SparkSession, path: str) -> OrdinalEncoding:
+        """Read a saved mapping; scope columns are the ones besides feature/category/code."""
         mapping = spark.read.parquet(path)
+        scope = [c for c in mapping.columns if c not in (FEATURE, CATEGORY, CODE)]
         cols = [r[FEATURE] for r in mapping.select(FEATURE).distinct().orderBy(FEATURE).collect()]
-        return cls(mapping, cols, list(scope))
+        return cls(mapping, cols, scope)
 
 
 def _order_value(order_by: Sequence[str]) -> Column:
@@ -97,8 +99,19 @@ def ordinal_fit(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
 def ordinal_transform(df: DataFrame, enc: OrdinalEncoding,
                       max_broadcast_rows: int | None = None,
                       columns: Sequence[str] | None = None) -> DataFrame:
-    """Replace each encoded column (or only ``columns``) by its integer code."""
-    limit = broadcast_max_rows(df) if max_broadcast_rows is None else max_broadcast_rows
+    """Replace each encoded column (or only ``columns``) by its integer code.
+
+    A column's mapping is broadcast when its category count is within
+    ``bidlake.encoding.maxBroadcastRows`` (default: the general broadcast bound). The
+    mapping grows with the number of categories, not with the data. A column with more
+    categories than that is shuffle-joined; AQE then splits a hot category's partition
+    (left outer join, skewed left side).
+    """
+    if max_broadcast_rows is None:
+        conf = df.sparkSession.conf.get("bidlake.encoding.maxBroadcastRows", None)
+        limit = int(conf) if conf else broadcast_max_rows(df)
+    else:
+        limit = max_broadcast_rows
     targets = list(enc.columns if columns is None else columns)
     unknown = [c for c in targets if c not in enc.columns]
     if unknown:

@@ -25,20 +25,21 @@ def conversion_share(predictions: DataFrame, scores: DataFrame, cohorts: Sequenc
                      cohort_col: str = "cohort") -> DataFrame:
     joined = join_on_key(scores.select(KEY, SCORE), predictions.select(KEY, cohort_col, prob_col))
     p = F.col(prob_col)
-    agg = joined.groupBy(cohort_col).agg(
-        F.count(F.lit(1)).cast("bigint").alias("households"),
-        F.count_if((p > F.lit(threshold)) & ~F.isnan(p)).cast("bigint").alias("converting"),
-    )
+    counts = (joined.where(F.col(cohort_col).isin(list(cohorts)))
+              .groupBy(cohort_col).agg(
+                  F.count(F.lit(1)).cast("bigint").alias("households"),
+                  F.count_if((p > F.lit(threshold)) & ~F.isnan(p)).cast("bigint").alias("converting")))
+    # Every listed cohort gets a row: zero counts are unioned in and summed, so an empty
+    # cohort reports 0 households and a NULL share (no join needed).
     spark = predictions.sparkSession
-    # The cohort list is a parameter (a handful of names), so broadcasting it is bounded.
-    names = spark.range(1).select(
-        F.explode(F.array(*[F.lit(str(c)) for c in cohorts])).alias(cohort_col))
-    out = F.broadcast(names).join(agg, cohort_col, "left")
+    zeros = spark.range(1).select(
+        F.explode(F.array(*[F.lit(str(c)) for c in cohorts])).alias(cohort_col),
+        F.lit(0).cast("bigint").alias("households"), F.lit(0).cast("bigint").alias("converting"))
+    out = counts.unionByName(zeros).groupBy(cohort_col).agg(
+        F.sum("households").cast("bigint").alias("households"),
+        F.sum("converting").cast("bigint").alias("converting"))
     share = F.try_divide(F.col("converting").cast("double"), F.col("households").cast("double"))
-    return out.select(cohort_col,
-                      F.coalesce(F.col("households"), F.lit(0)).cast("bigint").alias("households"),
-                      F.coalesce(F.col("converting"), F.lit(0)).cast("bigint").alias("converting"),
-                      share.alias("share"))
+    return out.select(cohort_col, "households", "converting", share.alias("share"))
 
 
 def score_bins(predictions: DataFrame, scores: DataFrame, prob_bins: int = 20,

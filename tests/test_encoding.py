@@ -39,6 +39,9 @@ def test_scope_fits_per_cohort(spark):
     assert got == {("x", "b"): 1, ("x", "a"): 2, ("y", "a"): 1, ("y", "b"): 2}
     out = {(r.o, r.cohort): r.c for r in enc.transform(df).collect()}
     assert out == {(1, "x"): 1, (2, "x"): 2, (1, "y"): 1, (2, "y"): 2}
+    loaded = OrdinalEncoding.load(spark, enc.save(stage_path(spark, "enc-scope")))
+    assert loaded.scope == ["cohort"]
+    assert sorted(loaded.transform(df).collect()) == sorted(enc.transform(df).collect())
 
 
 def test_save_load_round_trip(spark):
