@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -149,27 +150,39 @@ def _train(train, validation, feature_cols, label, families, metric, seed, make,
         validation.unpersist()
 
 
+def _fit_one(train, validation, feature_cols, label, m, make, score_col, fam, params):
+    t = time.time()
+    model = _pipeline(feature_cols, make(fam, params)).fit(train)
+    secs = time.time() - t
+    pred = model.transform(validation)
+    if score_col == P_CLASS1:
+        pred = pred.withColumn(P_CLASS1, vector_to_array(PROBABILITY)[1])
+    score = evaluate(pred, m.name, label, score_col).first()[m.column]
+    return model, (float("nan") if score is None else float(score)), secs
+
+
 def _search(train, validation, feature_cols, label, families, m, make, score_col):
-    rows, best = [], None
-    metric = m.name
-    for fam, grid in families.items():
-        for params in expand_grid(grid):
-            t = time.time()
-            model = _pipeline(feature_cols, make(fam, params)).fit(train)
-            secs = time.time() - t
-            pred = model.transform(validation)
-            if score_col == P_CLASS1:
-                pred = pred.withColumn(P_CLASS1, vector_to_array(PROBABILITY)[1])
-            score = evaluate(pred, metric, label, score_col).first()[m.column]
-            score = float("nan") if score is None else float(score)
-            rows.append([fam, json.dumps(params, sort_keys=True), metric, score, secs, False])
-            better = best is None or (
-                score == score and (best[0] != best[0] or
-                                    (score > best[0] if m.higher_is_better else score < best[0])))
-            if better:
-                best = (score, len(rows) - 1, model, fam, params)
-    if best is None:
+    candidates = [(fam, params) for fam, grid in families.items() for params in expand_grid(grid)]
+    if not candidates:
         raise ValueError("no model family to train")
+    # Candidates are independent Spark jobs; a few run at once so one candidate's
+    # driver-side iteration gaps are filled by another's tasks (like CrossValidator's
+    # ``parallelism``). Results are collected in candidate order, so ties break the same
+    # way on every run.
+    workers = max(1, min(int(train.sparkSession.conf.get("bidlake.train.parallelism", "4")),
+                         len(candidates)))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        futures = [pool.submit(_fit_one, train, validation, feature_cols, label, m, make,
+                               score_col, fam, params) for fam, params in candidates]
+        fitted = [f.result() for f in futures]
+    rows, best = [], None
+    for (fam, params), (model, score, secs) in zip(candidates, fitted):
+        rows.append([fam, json.dumps(params, sort_keys=True), m.name, score, secs, False])
+        better = best is None or (
+            score == score and (best[0] != best[0] or
+                                (score > best[0] if m.higher_is_better else score < best[0])))
+        if better:
+            best = (score, len(rows) - 1, model, fam, params)
     rows[best[1]][5] = True
     board = _leaderboard(train.sparkSession, [tuple(r) for r in rows])
     return TrainingResult(board, best[2], best[3], best[4], best[0])
