@@ -31,7 +31,16 @@ from ..operators.relational import (
     rename_columns,
 )
 from ..operators.broadcast import maybe_broadcast
-from ..operators.split import SPLIT, TEST, TRAIN, VALIDATION, hash_split, label_shift, shift_value
+from ..operators.split import (
+    SPLIT,
+    TEST,
+    TRAIN,
+    VALIDATION,
+    hash_split,
+    label_shift,
+    shift_value,
+    stratified_sample,
+)
 from ..sources import standins
 from ..sources.files import stage
 from . import features
@@ -114,10 +123,15 @@ def prepared_bid_rows(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED
 
 def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int = DEFAULT_SEED,
                     prepared: DataFrame | None = None,
-                    encoding: OrdinalEncoding | None = None) -> BidTraining:
+                    encoding: OrdinalEncoding | None = None,
+                    train_fraction: float | None = None) -> BidTraining:
+    """``train_fraction``: fit on a seeded sample of the training split (the workflow
+    trains on a sampled set); validation and test stay whole. Default: the whole split."""
     if prepared is None:
         prepared, encoding = prepared_bid_rows(spark, sf_dir, seed)
     train = prepared.where(F.col(SPLIT) == TRAIN)
+    if train_fraction is not None:
+        train = train.sample(fraction=train_fraction, seed=seed)
     val = prepared.where(F.col(SPLIT) == VALIDATION)
     test = prepared.where(F.col(SPLIT) == TEST)
     result = train_regressors(train, val, BID_FEATURES, LABEL, families, "r2", seed)
@@ -126,12 +140,16 @@ def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int =
 
 
 def train_conversion_model(spark: SparkSession, prepared: DataFrame, families=None,
-                           seed: int = DEFAULT_SEED, weighted: bool = True) -> TrainingResult:
+                           seed: int = DEFAULT_SEED, weighted: bool = True,
+                           class_fractions: dict | None = None) -> TrainingResult:
     """M7: conversion classifier on the same prepared rows (label ``converted``), with
-    inverse-frequency class weights for the imbalance."""
+    inverse-frequency class weights for the imbalance. ``class_fractions`` (D7) samples
+    the training split per class, e.g. ``{1: 1.0, 0: 0.2}`` keeps every conversion."""
     del spark
     data = class_weights(prepared, CONVERSION_LABEL) if weighted else prepared
     train = data.where(F.col(SPLIT) == TRAIN)
+    if class_fractions is not None:
+        train = stratified_sample(train, CONVERSION_LABEL, class_fractions, seed)
     val = data.where(F.col(SPLIT) == VALIDATION)
     return train_classifiers(train, val, CONVERSION_FEATURES, CONVERSION_LABEL, families,
                              "auc", seed, "weight" if weighted else None)

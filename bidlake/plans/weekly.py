@@ -31,7 +31,8 @@ CONVERSION_SCHEMA = f"{KEY} bigint, {CONVERSION_COLUMN} double"
 
 def run_weekly(spark: SparkSession, sf_dir: str, out_root: str, week: int = 1,
                seed: int = training.DEFAULT_SEED, regressors=None, classifiers=None,
-               stamp: str | None = None) -> dict[str, str]:
+               stamp: str | None = None, train_fraction: float | None = None,
+               class_fractions: dict | None = None) -> dict[str, str]:
     root = f"{out_root.rstrip('/')}/run={stamp or run_stamp()}"
     paths: dict[str, str] = {}
 
@@ -45,11 +46,13 @@ def run_weekly(spark: SparkSession, sf_dir: str, out_root: str, week: int = 1,
     # Training: one prepared table, one encoding, both models.
     prepared, encoding = training.prepared_bid_rows(spark, sf_dir, seed)
     encoding.save(out("encoding"))
-    bid = training.train_bid_model(spark, sf_dir, regressors, seed, prepared, encoding)
+    bid = training.train_bid_model(spark, sf_dir, regressors, seed, prepared, encoding,
+                                   train_fraction)
     write_parquet(bid.result.leaderboard, out("bid_leaderboard"))
     write_parquet(bid.test_metrics, out("bid_test_metrics"))
     save_model(bid.result.best, out("bid_model"))
-    conv = training.train_conversion_model(spark, prepared, classifiers, seed)
+    conv = training.train_conversion_model(spark, prepared, classifiers, seed,
+                                           class_fractions=class_fractions)
     write_parquet(conv.leaderboard, out("conversion_leaderboard"))
     save_model(conv.best, out("conversion_model"))
 
@@ -78,9 +81,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--week", type=int, default=1)
     ap.add_argument("--seed", type=int, default=training.DEFAULT_SEED)
     ap.add_argument("--master", default="local[8]")
+    ap.add_argument("--train-fraction", type=float, default=None,
+                    help="fit the bid model on this seeded share of the training split")
     args = ap.parse_args(argv)
     spark = build_session(args.master)
-    print(json.dumps(run_weekly(spark, args.data, args.out, args.week, args.seed), indent=1))
+    paths = run_weekly(spark, args.data, args.out, args.week, args.seed,
+                       train_fraction=args.train_fraction)
+    print(json.dumps(paths, indent=1))
 
 
 if __name__ == "__main__":
