@@ -22,7 +22,7 @@ from ..models.score import load_model
 from ..models.train import save_model
 from ..session import build_session, run_stamp
 from ..sources import standins
-from ..sources.files import read_csv, stage, write_parquet
+from ..sources.files import read_csv, write_parquet
 from . import features, scoring, training
 from .report import conversion_share, score_bins
 
@@ -57,8 +57,9 @@ def run_weekly(spark: SparkSession, sf_dir: str, out_root: str, week: int = 1,
     save_model(conv.best, out("conversion_model"))
 
     # Scoring: household vectors once, both models from their saved directories.
-    vectors = stage(scoring.household_vectors(spark, sf_dir, encoding), "household-vectors")
-    write_parquet(vectors, out("inference_vectors"))
+    # The written output doubles as the lineage cut both scorers read from.
+    write_parquet(scoring.household_vectors(spark, sf_dir, encoding), out("inference_vectors"))
+    vectors = spark.read.parquet(paths["inference_vectors"])
     bids = scoring.score_bids(load_model(spark, paths["bid_model"]), vectors, week)
     scoring.write_scores(bids, out("bids"))
     conversions = scoring.score_conversion(load_model(spark, paths["conversion_model"]),
