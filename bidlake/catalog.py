@@ -134,7 +134,7 @@ def sql_ordinal_mapping(source: str, columns: list[str], order_key: str,
         WITH src AS ({source}), lng AS ({parts})
         SELECT {sc}feature, category,
                CAST(row_number() OVER (PARTITION BY {part_by}
-                    ORDER BY min(ord), category NULLS FIRST) AS INTEGER) AS code
+                    ORDER BY min(ord) NULLS LAST, category NULLS FIRST) AS INTEGER) AS code
         FROM lng GROUP BY {sc}feature, category
     """
 

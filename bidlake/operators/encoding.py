@@ -86,7 +86,9 @@ def ordinal_fit(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
     ).select(*scope, "_ord", F.col(f"_kv.{FEATURE}").alias(FEATURE),
              F.col(f"_kv.{CATEGORY}").alias(CATEGORY))
     firsts = long.groupBy(*scope, FEATURE, CATEGORY).agg(F.min("_ord").alias("_first"))
-    ranked = row_numbers(firsts, ["_first", F.col(CATEGORY).asc_nulls_first()], CODE,
+    # Categories seen only on rows without an order value come last.
+    ranked = row_numbers(firsts, [F.col("_first").asc_nulls_last(),
+                                  F.col(CATEGORY).asc_nulls_first()], CODE,
                          group_cols=[*scope, FEATURE], partitions=partitions)
     mapping = ranked.select(*scope, FEATURE, CATEGORY, F.col(CODE).cast("int").alias(CODE))
     if materialize:

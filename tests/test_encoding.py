@@ -69,3 +69,8 @@ def test_matches_brute_force(spark, values):
     enc = ordinal_fit(df, ["c"], "o", partitions=3)
     got = {k[1]: v for k, v in _codes(enc).items()}
     assert got == _brute(values)
+
+
+def test_rows_without_order_value_come_last(spark):
+    df = spark.createDataFrame([(None, "z"), (2, "b"), (1, "a")], "o int, c string")
+    assert _codes(ordinal_fit(df, ["c"], "o")) == {("c", "a"): 1, ("c", "b"): 2, ("c", "z"): 3}
