@@ -40,9 +40,9 @@ def _safe_ratio(num: Column, den: Column) -> Column:
 # ----------------------------------------------------------------------------- regression
 def regression_metrics(df: DataFrame, label: str, prediction: str,
                        group_cols: Sequence[str] = ()) -> DataFrame:
-    """X1 + X2: ``n``, ``r2``, ``mse`` per group."""
+    """X1 + X2: ``n``, ``r2``, ``mse`` per group, over rows with both values present."""
     y, p = _i(label), _i(prediction)
-    agg = df.groupBy(*group_cols).agg(
+    agg = df.where(y.isNotNull() & p.isNotNull()).groupBy(*group_cols).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.sum((y - p) * (y - p)).alias("_sse"),
         (F.var_pop(y) * F.count(y)).alias("_sst"),

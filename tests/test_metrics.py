@@ -107,3 +107,10 @@ def test_rank_metrics_many_distinct_scores_per_partition(spark):
         ss = [s for gg, _, s in data if gg == g]
         assert math.isclose(got[g], brute_auc(ys, ss), rel_tol=1e-12)
         assert math.isclose(got_ap[g], brute_ap(ys, ss), abs_tol=1e-8)
+
+
+def test_regression_ignores_rows_missing_a_value(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (3.0, 3.0), (None, 2.0), (2.0, None)],
+                               "y double, p double")
+    r = regression_metrics(df, "y", "p").first()
+    assert (r.n, r.r2, r.mse) == (2, 1.0, 0.0)
