@@ -50,7 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if conf_dir:
         return conf_dir
-    # Local/test fallback: the cluster always names a shared folder.
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach; "
+                           "bidlake stages intermediates there")
+    # Local/test fallback only: one process, so a temporary folder is shared by all tasks.
     key = spark.sparkContext.applicationId
     if key not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[key] = tempfile.mkdtemp(prefix="bidlake-ckpt-")
