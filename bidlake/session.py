@@ -18,11 +18,13 @@ _LOCAL_FALLBACK: dict[str, str] = {}
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "bidlake", driver_memory: str = "8g") -> SparkSession:
+                  app_name: str = "bidlake", driver_memory: str = "8g",
+                  event_log_dir: str | None = None) -> SparkSession:
     """A session tuned for this workload.
 
     AQE coalesces small shuffles and splits skewed join partitions at run time;
-    the UI is off (no HTTP server); timestamps are compared in UTC.
+    the UI is off (no HTTP server); timestamps are compared in UTC. ``event_log_dir``
+    turns on Spark's event log (stage and task times for offline inspection).
     """
     builder = (
         SparkSession.builder.master(master)
@@ -37,6 +39,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
     )
+    if event_log_dir:
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_log_dir))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
