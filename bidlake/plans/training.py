@@ -68,15 +68,19 @@ def bid_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The household side (campaign score + latest snapshot order) has one row per key, so
     it is joined first and the log is joined to it once: that single inner join both
-    restricts the log to the audience and attaches the features. A single join (rather
-    than a chain on the same key) is one AQE can split when a household is hot; the
-    household side is broadcast when its row count allows.
+    restricts the log to the audience and attaches the features. The household side is
+    broadcast when its row count allows; otherwise it is staged, so the join reads two
+    plain shuffles and AQE can split a hot household's partition.
     """
     log = features.impression_log(spark, sf_dir)
     scores = standins.campaign_scores(spark, sf_dir).select(KEY, SCORE, "cohort")
     households = join_on_key(scores, household_snapshot(spark, sf_dir))
     # At most one row per score row: the score table's count bounds the household side.
-    households, _ = maybe_broadcast(households, bound=scores)
+    households, small = maybe_broadcast(households, bound=scores)
+    if not small:
+        # Staged so both join inputs are plain shuffle reads: only then can AQE split a
+        # hot household's share of the log over several tasks (docs/SKEW.md).
+        households = stage(households, "households")
     rows = log.join(households, KEY, "inner")
     return drop_incomplete(rows.select(
         F.col("event_id").alias(ROW_ID), KEY, EVENT_TIME, "event_type", "prop_k", SCORE,
