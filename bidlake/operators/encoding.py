@@ -43,6 +43,15 @@ class OrdinalEncoding:
     mapping: DataFrame
     columns: list[str]
     scope: list[str] = field(default_factory=list)
+    # Categories per column, read once from the (small, staged) mapping and reused by
+    # every transform's broadcast decision.
+    sizes: dict[str, int] | None = None
+
+    def category_counts(self) -> dict[str, int]:
+        if self.sizes is None:
+            self.sizes = {r[FEATURE]: r["n"] for r in self.mapping.groupBy(FEATURE)
+                          .agg(F.count(F.lit(1)).alias("n")).collect()}
+        return self.sizes
 
     def transform(self, df: DataFrame, max_broadcast_rows: int | None = None,
                   columns: Sequence[str] | None = None) -> DataFrame:
@@ -121,8 +130,7 @@ def ordinal_transform(df: DataFrame, enc: OrdinalEncoding,
     missing = [c for c in targets + enc.scope if c not in df.columns]
     if missing:
         raise ValueError(f"frame lacks encoded columns {missing}")
-    sizes = {r[FEATURE]: r["n"] for r in
-             enc.mapping.groupBy(FEATURE).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = enc.category_counts()
     out = df
     for c in targets:
         m = enc.mapping.where(F.col(FEATURE) == c).select(
