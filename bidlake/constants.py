@@ -62,9 +62,6 @@ RUN_STAMP_SPARK = "MMddyyyyHH"
 BID_COLUMN = "basebid"
 CONVERSION_COLUMN = "sales_conversion"
 
-# Model families tried for the bid price (reference sizes: RF 100 trees,
-# boosting 10 000 rounds; extra-trees, CatBoost and NN have no MLlib regressor).
-REFERENCE_FAMILY_SIZES = {"RF": {"n_estimators": 100}, "GBM": {"num_boost_round": 10000}}
 # --- end of fixed values -------------------------------------------------------
 
 # Ordinal codes for values not seen at fit time and for nulls not seen at fit time.

@@ -10,9 +10,10 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-from .constants import RUN_STAMP_PYTHON
+from .constants import RUN_STAMP_PYTHON, RUN_STAMP_SPARK
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 
@@ -76,3 +77,9 @@ def stage_path(spark: SparkSession, name: str) -> str:
 def run_stamp(at: float | None = None) -> str:
     """Run stamp with hour resolution (month, day, year, hour), computed once per run."""
     return time.strftime(RUN_STAMP_PYTHON, time.gmtime(at if at is not None else time.time()))
+
+
+def run_stamp_column(ts: Column | str) -> Column:
+    """The same stamp computed on the executors from a timestamp column (e.g. to tag
+    rows by the hour they were produced)."""
+    return F.date_format(ts if isinstance(ts, Column) else F.col(ts), RUN_STAMP_SPARK)

@@ -35,9 +35,14 @@ def test_stage_round_trip(spark):
     assert sorted(r.id for r in stage(df, "rt").collect()) == [0, 1, 2, 3, 4]
 
 
-def test_run_stamp_format():
+def test_run_stamp_format(spark):
+    from bidlake.session import run_stamp_column
+
     assert re.fullmatch(r"\d{10}", run_stamp())
     assert run_stamp(0) == "0101197000"
+    row = spark.sql("SELECT TIMESTAMP_NTZ'2023-07-30 13:45:00' AS ts").select(
+        run_stamp_column("ts").alias("s")).first()
+    assert row.s == "0730202313"
 
 
 def test_cohort_csv_round_trip_keeps_nulls(spark):
