@@ -16,12 +16,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import EVENT_TIME, EXCLUDED_TRAINING_COLUMNS, KEY, LABEL, SCORE, SOURCE_LABEL
-from ..functions.metrics import regression_metrics
-from ..models.train import PREDICTION, TrainingResult, class_weights, train_classifiers, train_regressors
+from ..functions.metrics import average_precision, regression_metrics, roc_auc, threshold_metrics
+from ..models.train import (
+    P_CLASS1,
+    PREDICTION,
+    PROBABILITY,
+    TrainingResult,
+    class_weights,
+    train_classifiers,
+    train_regressors,
+)
+from ..operators.broadcast import maybe_broadcast
 from ..operators.encoding import OrdinalEncoding, ordinal_fit
 from ..operators.latest import latest_per_key
 from ..operators.relational import (
@@ -30,7 +40,6 @@ from ..operators.relational import (
     join_on_key,
     rename_columns,
 )
-from ..operators.broadcast import maybe_broadcast
 from ..operators.split import (
     SPLIT,
     TEST,
@@ -157,3 +166,17 @@ def train_conversion_model(spark: SparkSession, prepared: DataFrame, families=No
     val = data.where(F.col(SPLIT) == VALIDATION)
     return train_classifiers(train, val, CONVERSION_FEATURES, CONVERSION_LABEL, families,
                              "auc", seed, "weight" if weighted else None)
+
+
+def conversion_test_metrics(model, prepared: DataFrame, group_cols=("cohort",),
+                            threshold: float = 0.5) -> DataFrame:
+    """Held-out evaluation of the conversion model per cohort: AUC, average precision and
+    the threshold metrics of ``P(class 1) > threshold``, one row per cohort."""
+    test = prepared.where(F.col(SPLIT) == TEST)
+    scored = model.transform(test).withColumn(P_CLASS1, vector_to_array(PROBABILITY)[1])
+    groups = list(group_cols)
+    auc = roc_auc(scored, CONVERSION_LABEL, P_CLASS1, groups)
+    ap = average_precision(scored, CONVERSION_LABEL, P_CLASS1, groups)
+    thr = threshold_metrics(scored, CONVERSION_LABEL, P_CLASS1, threshold, groups)
+    # One row per cohort on each side (a handful of rows), joined on the cohort.
+    return thr.join(auc, groups, "left").join(ap, groups, "left")

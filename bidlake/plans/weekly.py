@@ -54,6 +54,8 @@ def run_weekly(spark: SparkSession, sf_dir: str, out_root: str, week: int = 1,
     conv = training.train_conversion_model(spark, prepared, classifiers, seed,
                                            class_fractions=class_fractions)
     write_parquet(conv.leaderboard, out("conversion_leaderboard"))
+    write_parquet(training.conversion_test_metrics(conv.best, prepared),
+                  out("conversion_test_metrics"))
     save_model(conv.best, out("conversion_model"))
 
     # Scoring: household vectors once, both models from their saved directories.

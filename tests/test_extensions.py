@@ -28,6 +28,9 @@ def test_weekly_run_writes_every_output(spark, sf_small):
                        regressors={"LM": None}, classifiers={"LR": None}, stamp="0101202400")
     for name in ("audience", "bid_leaderboard", "bids", "conversions", "conversion_share"):
         assert name in paths
+    cm = spark.read.parquet(paths["conversion_test_metrics"]).collect()
+    assert {r.cohort for r in cm} <= {"BUILDING", "FURNITURE", "MACHINERY"} and cm
+    assert all(r.auc is None or 0.0 <= r.auc <= 1.0 for r in cm)
     share = spark.read.parquet(paths["conversion_share"]).collect()
     assert {r.cohort for r in share} == {"BUILDING", "FURNITURE", "MACHINERY"}
     bids = spark.read.option("header", True).csv(paths["bids"])
