@@ -653,6 +653,14 @@ def q_score_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversion_predictions(spark, sf_dir)
 
 
+@register("conversion_test_metrics")
+def q_conversion_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversion champion scored on the held-out split, per cohort (rows-only)."""
+    prepared, _ = training.prepared_bid_rows(spark, sf_dir)
+    result = training.train_conversion_model(spark, prepared, SMALL_CLASSIFIERS)
+    return training.conversion_test_metrics(result.best, prepared)
+
+
 @register("conversion_report")
 def q_conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds = _conversion_predictions(spark, sf_dir)

@@ -15,6 +15,8 @@ EXPECTED = {
     "conversion_report": {"cohort", "households", "converting", "share"},
     "live_pricing": {"ehhn", "event_id", "event_ts", "basebid"},
     "combined_predictions": {"ehhn", "cohort", "week", "basebid", "sales_conversion"},
+    "conversion_test_metrics": {"cohort", "tp", "fp", "fn", "tn", "precision", "recall", "f1",
+                                "balanced_accuracy", "auc", "average_precision"},
 }
 
 
