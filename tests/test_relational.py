@@ -120,3 +120,31 @@ def test_large_audience_path_limits_before_its_only_log_shuffle(spark):
     assert plan.index("LeftSemi") < plan.index("Window [")  # semi join above the window
     got = {r.ehhn: r.t for r in out.collect()}
     assert got[7] == 2999 - (2999 % 3)
+
+
+def test_maybe_broadcast_decision(spark):
+    from planutil import plan_text as _pt
+
+    from bidlake.operators.broadcast import maybe_broadcast
+
+    small = spark.range(5).withColumnRenamed("id", "ehhn")
+    big_bound = spark.range(100)
+    b, ok = maybe_broadcast(small, max_rows=10)
+    assert ok and "broadcast" in _pt(spark.range(3).withColumnRenamed("id", "ehhn")
+                                     .join(b, "ehhn"), "simple").lower()
+    assert maybe_broadcast(small, max_rows=10, bound=big_bound)[1] is False
+    assert maybe_broadcast(small, max_rows=0)[1] is False
+    spark.conf.set("bidlake.broadcast.maxRows", "3")
+    try:
+        assert maybe_broadcast(small)[1] is False
+    finally:
+        spark.conf.unset("bidlake.broadcast.maxRows")
+
+
+def test_latest_policy_needs_an_order(spark):
+    left = spark.createDataFrame([(1, "a")], "ehhn bigint, x string")
+    right = spark.createDataFrame([(1, 1.0)], "ehhn bigint, y double")
+    with pytest.raises(ValueError):
+        join_on_key(left, right, on_duplicate="latest")
+    with pytest.raises(ValueError):
+        join_on_key(left, right, on_duplicate="nope")
