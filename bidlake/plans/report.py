@@ -6,7 +6,7 @@
   without rows reports a NULL share.
 * ``score_bins``: the 2-D histogram a probability-vs-score scatter plot needs,
   ``(cohort, p_bin, s_bin, households)``; bins are computed on the executors, only the
-  min/max of the score reach the driver.
+  min/max of the score reach the driver; the joined rows are staged so the join runs once.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CONVERSION_COLUMN, CONVERSION_THRESHOLD, KEY, SCORE
 from ..operators.relational import join_on_key
+from ..sources.files import stage
 
 
 def conversion_share(predictions: DataFrame, scores: DataFrame, cohorts: Sequence[str],
@@ -48,6 +49,9 @@ def score_bins(predictions: DataFrame, scores: DataFrame, prob_bins: int = 20,
     joined = join_on_key(scores.select(KEY, SCORE), predictions.select(KEY, cohort_col, prob_col))
     joined = joined.where(F.col(SCORE).isNotNull() & ~F.isnan(SCORE)
                           & F.col(prob_col).isNotNull() & ~F.isnan(prob_col))
+    # The join is done once: its three needed columns are staged, then read for the range
+    # and again for the bins.
+    joined = stage(joined.select(cohort_col, SCORE, prob_col), "score-bins-input")
     lo, hi = joined.agg(F.min(SCORE), F.max(SCORE)).first()
     if lo is None:
         return joined.select(cohort_col, F.lit(0).alias("p_bin"), F.lit(0).alias("s_bin"),
