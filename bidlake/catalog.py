@@ -78,7 +78,8 @@ def register(name: str, sql: str | None = None):
 # ---------------------------------------------------------------------------------
 _LOG_SELECT = (
     "SELECT event_id, user_id AS ehhn, ts AS LogEntryTime, event_type, "
-    "json_extract_string(props, '$.k') AS prop_k, value AS cost FROM events"
+    "json_extract_string(props, '$.k') AS prop_k, "
+    "CAST(dayofweek(ts) * 24 + hour(ts) AS INTEGER) AS UserHourOfWeek, value AS cost FROM events"
 )
 SQL_LOG = (
     f"{_LOG_SELECT} WHERE ts < TIMESTAMP '2024-01-16 00:00:00' "
@@ -105,14 +106,14 @@ SQL_LATEST = f"""
         ORDER BY LogEntryTime DESC NULLS LAST, event_id DESC NULLS LAST) = 1
 """
 SQL_RAW_FEATURES = f"""
-    SELECT l.ehhn, l.event_id, l.LogEntryTime, l.event_type, l.prop_k, l.cost,
-           s.ngr_score, s.cohort, m.o_orderkey, m.o_orderdate, m.o_totalprice,
+    SELECT l.ehhn, l.event_id, l.LogEntryTime, l.event_type, l.prop_k, l.UserHourOfWeek,
+           l.cost, s.ngr_score, s.cohort, m.o_orderkey, m.o_orderdate, m.o_totalprice,
            m.o_orderstatus, m.o_orderpriority
     FROM ({SQL_LATEST}) l
     JOIN ({SQL_SCORES}) s ON l.ehhn = s.ehhn
     JOIN ({SQL_MEDIA}) m ON l.ehhn = m.ehhn
     WHERE l.ehhn IS NOT NULL AND l.event_id IS NOT NULL AND l.LogEntryTime IS NOT NULL
-      AND l.event_type IS NOT NULL AND l.prop_k IS NOT NULL
+      AND l.event_type IS NOT NULL AND l.prop_k IS NOT NULL AND l.UserHourOfWeek IS NOT NULL
       AND l.cost IS NOT NULL AND NOT isnan(l.cost)
       AND s.ngr_score IS NOT NULL AND NOT isnan(s.ngr_score) AND s.cohort IS NOT NULL
       AND m.o_orderkey IS NOT NULL AND m.o_orderdate IS NOT NULL
@@ -158,7 +159,8 @@ def sql_ordinal_transform(source: str, all_columns: list[str], encoded: list[str
             + " ".join(joins))
 
 
-_RAW_COLUMNS = ["ehhn", "event_id", "LogEntryTime", "event_type", "prop_k", "cost", "ngr_score",
+_RAW_COLUMNS = ["ehhn", "event_id", "LogEntryTime", "event_type", "prop_k", "UserHourOfWeek",
+                "cost", "ngr_score",
                 "cohort", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus",
                 "o_orderpriority"]
 
@@ -382,6 +384,7 @@ SQL_MEDIA_LATEST = f"""
         ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC NULLS LAST) = 1"""
 SQL_BID_ROWS = f"""
     SELECT lg.event_id AS ImpressionId, lg.ehhn, lg.LogEntryTime, lg.event_type, lg.prop_k,
+           lg.UserHourOfWeek,
            s.ngr_score, s.cohort, m.o_totalprice, m.o_orderstatus, m.o_orderpriority,
            CASE WHEN lg.event_type = 'purchase' THEN 1 ELSE 0 END AS converted,
            lg.cost AS MediaCostInBucks
@@ -389,12 +392,13 @@ SQL_BID_ROWS = f"""
     JOIN ({SQL_SCORES}) s ON lg.ehhn = s.ehhn
     JOIN ({SQL_MEDIA_LATEST}) m ON lg.ehhn = m.ehhn
     WHERE lg.event_id IS NOT NULL AND lg.ehhn IS NOT NULL AND lg.LogEntryTime IS NOT NULL
-      AND lg.event_type IS NOT NULL AND lg.prop_k IS NOT NULL
+      AND lg.event_type IS NOT NULL AND lg.prop_k IS NOT NULL AND lg.UserHourOfWeek IS NOT NULL
       AND s.ngr_score IS NOT NULL AND NOT isnan(s.ngr_score) AND s.cohort IS NOT NULL
       AND m.o_totalprice IS NOT NULL AND NOT isnan(m.o_totalprice)
       AND m.o_orderstatus IS NOT NULL AND m.o_orderpriority IS NOT NULL
       AND lg.cost IS NOT NULL AND NOT isnan(lg.cost)"""
-_BID_ROW_COLUMNS = ["ImpressionId", "ehhn", "LogEntryTime", "event_type", "prop_k", "ngr_score",
+_BID_ROW_COLUMNS = ["ImpressionId", "ehhn", "LogEntryTime", "event_type", "prop_k",
+                    "UserHourOfWeek", "ngr_score",
                     "cohort", "o_totalprice", "o_orderstatus", "o_orderpriority", "converted",
                     "MediaCostInBucks", "split"]
 _SQL_BID_SPLIT = f"""
@@ -406,7 +410,8 @@ _U_BID = shift_value(training.DEFAULT_SEED)
 
 
 @register("prepared_training", f"""
-    SELECT split, event_type, prop_k, ngr_score, cohort, o_totalprice, o_orderstatus,
+    SELECT split, event_type, prop_k, UserHourOfWeek, ngr_score, cohort, o_totalprice,
+           o_orderstatus,
            o_orderpriority, converted,
            CAST(MediaCostInBucks AS DOUBLE) - CAST('{SHIFT_BASE!r}' AS DOUBLE)
                + CAST('{_U_BID!r}' AS DOUBLE) AS biddingprice
@@ -554,8 +559,8 @@ def q_metric_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Report: J4 F2 A2 R1 R2 on a deterministic conversion score
 # ---------------------------------------------------------------------------------
 SQL_HOUSEHOLD_VECTORS = f"""
-    SELECT l.ehhn, l.event_id, l.LogEntryTime, l.event_type, l.prop_k, l.cost,
-           s.ngr_score, s.cohort, m.o_orderkey, m.o_orderdate, m.o_totalprice,
+    SELECT l.ehhn, l.event_id, l.LogEntryTime, l.event_type, l.prop_k, l.UserHourOfWeek,
+           l.cost, s.ngr_score, s.cohort, m.o_orderkey, m.o_orderdate, m.o_totalprice,
            m.o_orderstatus, m.o_orderpriority
     FROM ({SQL_LATEST}) l
     JOIN ({SQL_SCORES}) s ON l.ehhn = s.ehhn

@@ -42,7 +42,7 @@ from ..sources import standins
 from ..sources.files import stage
 
 # --- fixed values -------------------------------------------------------------
-LOG_COLUMNS = ["event_id", KEY, EVENT_TIME, "event_type", "prop_k", "cost"]
+LOG_COLUMNS = ["event_id", KEY, EVENT_TIME, "event_type", "prop_k", "UserHourOfWeek", "cost"]
 FEATURE_CATEGORICALS = ["event_type", "prop_k", "o_orderstatus", "o_orderpriority"]
 # One feature row per (household, snapshot order): o_orderkey orders the rows for the
 # first-appearance encoding.

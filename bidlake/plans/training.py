@@ -58,11 +58,12 @@ from . import features
 DEFAULT_SEED = 42
 ROW_ID = "ImpressionId"
 BID_CATEGORICALS = ["event_type", "prop_k", "o_orderstatus", "o_orderpriority"]
-BID_FEATURES = ["event_type", "prop_k", "ngr_score", "o_totalprice", "o_orderstatus",
-                "o_orderpriority"]
+BID_FEATURES = ["event_type", "prop_k", "UserHourOfWeek", "ngr_score", "o_totalprice",
+                "o_orderstatus", "o_orderpriority"]
 CONVERSION_LABEL = "converted"
 CONVERSION_EVENT = "purchase"
-CONVERSION_FEATURES = ["prop_k", "ngr_score", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+CONVERSION_FEATURES = ["prop_k", "UserHourOfWeek", "ngr_score", "o_totalprice", "o_orderstatus",
+                       "o_orderpriority"]
 # --- end of fixed values -------------------------------------------------------
 
 
@@ -92,7 +93,8 @@ def bid_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         households = stage(households, "households")
     rows = log.join(households, KEY, "inner")
     return drop_incomplete(rows.select(
-        F.col("event_id").alias(ROW_ID), KEY, EVENT_TIME, "event_type", "prop_k", SCORE,
+        F.col("event_id").alias(ROW_ID), KEY, EVENT_TIME, "event_type", "prop_k",
+        "UserHourOfWeek", SCORE,
         "cohort", "o_totalprice", "o_orderstatus", "o_orderpriority",
         F.when(F.col("event_type") == CONVERSION_EVENT, 1).otherwise(0).alias(CONVERSION_LABEL),
         F.col("cost").alias(SOURCE_LABEL),

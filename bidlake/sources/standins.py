@@ -2,7 +2,8 @@
 
 | role                          | table(s)                    | mapping                                   |
 |-------------------------------|-----------------------------|-------------------------------------------|
-| two yearly impression logs    | events, cut at 2024-01-16   | user_id -> ehhn, ts -> LogEntryTime        |
+| two yearly impression logs    | events, cut at 2024-01-16   | user_id -> ehhn, ts -> LogEntryTime,       |
+|                               |                             | hour of week -> UserHourOfWeek             |
 | campaign score                | customer, three segments    | c_custkey -> ehhn, c_acctbal -> ngr_score  |
 | media-engagement snapshot     | orders of one year          | o_custkey -> ehhn (several rows per key)  |
 | engagement score              | orders of one priority      | o_custkey -> ehhn                          |
@@ -61,6 +62,7 @@ def _log_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias(EVENT_TIME),
         F.col("event_type"),
         F.get_json_object("props", "$.k").alias("prop_k"),
+        ((F.dayofweek("ts") - 1) * 24 + F.hour("ts")).alias("UserHourOfWeek"),
         F.col("value").alias("cost"),
     )
 

@@ -50,6 +50,7 @@ def impression_stream(spark: SparkSession, path: str, file_name: str | None = No
         F.col("ts").cast("timestamp").alias(EVENT_TS),
         F.col("event_type"),
         F.get_json_object("props", "$.k").alias("prop_k"),
+        ((F.dayofweek("ts") - 1) * 24 + F.hour("ts")).alias("UserHourOfWeek"),
         F.col("value").alias("cost"),
     )
 
@@ -84,7 +85,8 @@ def live_features(impressions: DataFrame, weekly: DataFrame, encoding: OrdinalEn
 
 
 def live_bids(impressions: DataFrame, weekly: DataFrame, encoding: OrdinalEncoding,
-              model: PipelineModel, live_columns: Sequence[str] = ("event_type", "prop_k"),
+              model: PipelineModel,
+              live_columns: Sequence[str] = ("event_type", "prop_k", "UserHourOfWeek"),
               watermark: str = "1 hour") -> DataFrame:
     feats = live_features(deduplicated(impressions, watermark), weekly, encoding, live_columns)
     check_features(feats, model)
