@@ -15,3 +15,15 @@ def test_flagship_plan_shape(spark, sf_small):
 
 def test_flagship_runs(spark, sf_small):
     assert features.feature_vectors(spark, sf_small).count() > 0
+
+
+def test_hour_of_week_matches_python(spark, sf_small):
+    log = features.impression_log(spark, sf_small)
+    rows = log.select("LogEntryTime", "UserHourOfWeek").collect()
+    for r in rows:
+        ts = r.LogEntryTime
+        # Python: Monday=0 ... Sunday=6; hour of week counts from Sunday 00:00.
+        expect = ((ts.weekday() + 1) % 7) * 24 + ts.hour
+        assert r.UserHourOfWeek == expect
+    assert min(r.UserHourOfWeek for r in rows) >= 0
+    assert max(r.UserHourOfWeek for r in rows) <= 167
