@@ -259,9 +259,12 @@ def q_raw_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
               WHERE k.source = n.source) AS BIGINT) AS shared_keys
     FROM names n""")
 def q_key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = features.latest_impressions(spark, sf_dir)
-    return key_coverage(latest, {
-        "ngr": standins.campaign_scores(spark, sf_dir),
+    # The households of the latest-impression table are exactly the audience households
+    # of the log: taking their keys from the restricted log needs no window (no sort).
+    scores = standins.campaign_scores(spark, sf_dir)
+    audience_log = restrict_to_keys(features.impression_log(spark, sf_dir).select(KEY), scores)
+    return key_coverage(audience_log, {
+        "ngr": scores,
         "med": standins.media_engagement(spark, sf_dir),
         "fsb": standins.engagement_scores(spark, sf_dir),
     })
