@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, warc_revisit
+from . import chat_format, decontaminate, line_dedup, packing, warc_revisit
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_warc_revisit": warc_revisit.op10_warc_revisit,
 }
 
 ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_warc_revisit": warc_revisit.OP10_SQL,
