@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, packing, warc_revisit
+from . import chat_format, decontaminate, line_dedup, packing, toxicity, warc_revisit
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
