@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, packing, toxicity, warc_revisit
+from . import (
+    chat_format,
+    decontaminate,
+    line_dedup,
+    ngram_join,
+    packing,
+    toxicity,
+    warc_revisit,
+)
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
