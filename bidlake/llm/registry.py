@@ -8,6 +8,7 @@ from . import (
     line_dedup,
     ngram_join,
     packing,
+    suffix_dedup,
     toxicity,
     warc_revisit,
 )
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
