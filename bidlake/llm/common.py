@@ -7,8 +7,10 @@ files instead of repeating the plan. Nothing is kept on one machine only.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +23,7 @@ ARROW_ROWS = 256
 BLOCK_BYTES = 2 << 20
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -55,10 +58,28 @@ def release(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hand few rows at once to Python: a batch of 10,000 long texts would not fit."""
+    """Hand few rows at once to Python: a batch of 10,000 long texts would not fit. Python
+    workers get this package from the driver, wherever they run."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="bidlake-code-"), "bidlake-code.zip")
+    with zipfile.ZipFile(target, "w") as code:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                code.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,7 @@ from . import (
     decontaminate,
     line_dedup,
     ngram_join,
+    nn_descent,
     packing,
     suffix_dedup,
     toxicity,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_nn_descent": nn_descent.op6_nn_descent,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
