@@ -9,12 +9,14 @@ from . import (
     ngram_join,
     nn_descent,
     packing,
+    pii_surrogates,
     suffix_dedup,
     toxicity,
     warc_revisit,
 )
 
 QUERIES = {
+    "op1_pii_surrogates": pii_surrogates.op1_pii_surrogates,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_toxicity": toxicity.op4_toxicity,

@@ -277,12 +277,14 @@ def evidence(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray,
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], cost: np.ndarray, known: np.ndarray,
-                  weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+                  weights: np.ndarray, keep_text: bool = False) -> Iterator[pa.RecordBatch]:
     restorer = Restorer(cost)
     for table in blocks(batches, "text"):
         raw, offsets = restored(table.column("text"), restorer)
         columns = {n: table.column(n) for n in table.column_names
                    if n not in ("text", "evidence")}
+        if keep_text:
+            columns["text"] = table.column("text")
         columns["evidence"] = pa.array(evidence(raw, offsets, known, weights))
         yield from pa.table(columns).to_batches()
 
@@ -361,17 +363,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     return model
 
 
-def score_documents(documents: DataFrame, model: dict) -> DataFrame:
-    """``documents`` (all columns but text) with ``score``; other columns pass through, and
-    one named evidence or score is replaced."""
+def score_documents(documents: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
+    """``documents`` (the text only if ``keep_text``) with ``score``; other columns pass
+    through, and one named evidence or score is replaced."""
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(
         (model["cost"], model["features"], model["weights"]))
     rest = [f for f in documents.schema if f.name not in ("text", "evidence", "score")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
-                       + ["evidence double"])
+                       + ["text string"] * keep_text + ["evidence double"])
     found = documents.select(*[F.col(f"`{f.name}`") for f in rest], "text").mapInArrow(
-        lambda b: score_batches(b, *shared.value), schema)
+        lambda b: score_batches(b, *shared.value, keep_text), schema)
     logit = F.lit(model["slope"]) * F.col("evidence") + F.lit(model["base"])
     return found.withColumn("score", 1 / (1 + F.exp(-logit))).drop("evidence")
 
