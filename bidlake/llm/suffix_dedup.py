@@ -314,6 +314,13 @@ def unsqueezed(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
             at = end
 
 
+def runs_of(doc: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where the rows of each document lie in a sorted array."""
+    ids, first = np.unique(doc, return_index=True)
+    last = [*first[1:].tolist(), len(doc)] if len(doc) else []
+    return {d: (a, b) for d, a, b in zip(ids.tolist(), first.tolist(), last, strict=True)}
+
+
 def cut_out(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The bytes of picked regions, dealt by anchor; windows of hot anchors one by one."""
     texts: list[dict] = []
@@ -323,9 +330,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     if not len(doc):
         return
     pieces: list[bytes] = [b""] * len(doc)
-    ids, first = np.unique(doc, return_index=True)
-    last = np.append(first[1:], len(doc))
-    where = {d: (a, b) for d, a, b in zip(ids.tolist(), first.tolist(), last.tolist(), strict=True)}
+    where = runs_of(doc)
     for d, text in unsqueezed(texts):
         a, b = where.get(d, (0, 0))
         for k in range(a, b):
@@ -435,9 +440,7 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got, _ = gathered(batches, COVER, texts)
     order = np.lexsort((got["start"], got["doc"]))
     doc, start, count = (got[n][order] for n in ("doc", "start", "count"))
-    ids, first = np.unique(doc, return_index=True)
-    last = np.append(first[1:], len(doc))
-    where = {d: (a, b) for d, a, b in zip(ids.tolist(), first.tolist(), last.tolist(), strict=True)}
+    where = runs_of(doc)
     rows, held = [], 0
     for d, text in unsqueezed(texts):
         a, b = where.get(d, (0, 0))
