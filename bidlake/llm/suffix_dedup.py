@@ -52,6 +52,8 @@ RUN = 60_000
 #: Suffixes sorted at once.
 SUFFIXES = 1 << 20
 BLOCK = 4 << 20
+#: Windows hashed at once.
+SLICE = 1 << 20
 
 REGION, COVER, PICK, TEXT, CONTENT = range(5)
 FIELDS = ("doc", "start", "count", "key", "mark", "body")
@@ -159,34 +161,45 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(raw: np.ndarray, offsets: np.ndarray):
-    """(first window, windows, anchor hash, region hash) of all regions of a block."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < LENGTH:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    text = PrefixHash(raw)
-    grams = mix(text.of(np.arange(len(raw) - GRAM + 1), GRAM))
+    """(first window, windows, anchor hash, region hash) of all regions of a block.
+
+    The block is worked on in slices of windows, so a long text takes no more memory than a
+    short one; a region that a slice's end cuts is two regions, which changes no result.
+    """
+    parts = [slice_regions(raw, offsets, at) for at in range(
+        0, max(1, len(raw) - LENGTH + 1), SLICE)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def slice_regions(raw: np.ndarray, offsets: np.ndarray, at: int):
+    """Regions of the windows that start in [at, at + SLICE)."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    piece = raw[at:at + SLICE + LENGTH - 1]
+    n = len(piece) - LENGTH + 1
+    low = np.maximum(offsets[:-1] - at, 0)
+    high = np.minimum(offsets[1:] - LENGTH + 1 - at, n)
+    live = low < high
+    if not live.any():
+        return none[0], none[0], none[1], none[1]
+    inside = np.zeros(n + 1, np.int32)
+    np.add.at(inside, low[live], 1)
+    np.add.at(inside, high[live], -1)
+    window = np.flatnonzero(np.cumsum(inside[:-1]))
+    text = PrefixHash(piece)
+    grams = mix(text.of(np.arange(len(piece) - GRAM + 1), GRAM))
     anchor = sliding_minimum(grams, LENGTH - GRAM + 1)
     passed = anchor == grams[:len(anchor)]  # the next window has left its anchor's place
     del grams
-    inside = np.zeros(len(anchor) + 1, np.int32)
-    sizes = np.diff(offsets)
-    long = sizes >= LENGTH
-    np.add.at(inside, offsets[:-1][long], 1)
-    np.add.at(inside, offsets[:-1][long] + sizes[long] - LENGTH + 1, -1)
-    window = np.flatnonzero(np.cumsum(inside[:-1]))
-    if not len(window):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     value = anchor[window]
     new = np.ones(len(window), bool)
     new[1:] = ((value[1:] != value[:-1]) | (window[1:] != window[:-1] + 1)
                | passed[window[:-1]])
-    doc_start = np.isin(window, offsets[:-1][long], assume_unique=False)
-    new |= doc_start
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(window)))
-    start = window[at]
+    new |= np.isin(window, low[live])
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(window)))
+    start = window[head]
     mark = mix(text.of(start, count + LENGTH - 1) ^ count.astype(np.uint64))
-    return start, count, value[at], mark
+    return start + at, count, value[head], mark
 
 
 def deal(key: np.ndarray, parts: int):

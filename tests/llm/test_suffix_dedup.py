@@ -81,6 +81,28 @@ def test_empty_table(spark, texts):
     assert found(texts([])) == {}
 
 
+def test_slices_change_nothing(spark, texts, monkeypatch):
+    whole = suffix_dedup.slice_regions
+    rng = random.Random(4)
+    raw = np.frombuffer((noise(rng, 900) * 2).encode(), np.uint8)
+    offsets = np.array([0, 300, 300, 1100, len(raw)])
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1 << 20)
+    one = sorted(zip(*suffix_dedup.regions(raw, offsets)[:2], strict=True))
+    monkeypatch.setattr(suffix_dedup, "SLICE", 70)
+    many = sorted(zip(*suffix_dedup.regions(raw, offsets)[:2], strict=True))
+    windows = [{s + k for s, c in x for k in range(c)} for x in (one, many)]
+    assert windows[0] == windows[1] and whole is suffix_dedup.slice_regions
+    docs = corpus()
+    got = suffix_dedup.find_regions
+
+    def small(batches, parts):
+        suffix_dedup.SLICE = 70
+        return got(batches, parts)
+
+    monkeypatch.setattr(suffix_dedup, "find_regions", small)
+    assert found(texts(docs)) == without_repeats(docs)
+
+
 def test_mergesort_orders_suffixes():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 99, 600).astype(np.uint8)
