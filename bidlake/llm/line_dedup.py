@@ -6,7 +6,8 @@ goes from every page of that host. Elsewhere the same line stays.
 
 Lines are counted by a 128-bit digest after trimming, once per page. A host has at most
 (lines per page / max_ratio) boilerplate lines, so one host's list is a short array however
-many pages it has; pages meet it in a join on the host, which AQE splits for a hot host.
+many pages it has; pages meet it in a join on the host and one of ``SALTS`` hashes of the text,
+so a hot host's pages go to many tasks.
 
 Defined results: blank lines are never boilerplate and stay; a null text stays null; an empty
 text stays empty; rows without a host belong to no site and stay as they are; repeated rows
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
+#: Tasks that the pages of one host are dealt to, at most.
+SALTS = 32
 
 
 def url_host(url: Column) -> Column:
@@ -49,7 +52,8 @@ def drop_boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: fl
     (host_pages, n_lines, n_dropped; lines that are not blank)."""
     rows = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != stats]).alias("row"),
-        F.col(f"`{host}`").alias("host"), F.split(F.col(f"`{text}`"), "\n").alias("lines"))
+        F.col(f"`{host}`").alias("host"), F.split(F.col(f"`{text}`"), "\n").alias("lines"),
+        F.pmod(F.xxhash64(f"`{text}`"), F.lit(SALTS)).alias("salt"))
     sited = rows.where(F.col("host").isNotNull())
     totals = sited.groupBy("host").agg(F.count("*").alias("host_pages"))
     keys = F.array_distinct(F.transform(
@@ -59,8 +63,9 @@ def drop_boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: fl
     sites = (counts.join(totals, "host")
              .where(F.col("n") > F.lit(max_ratio) * F.col("host_pages"))
              .groupBy("host").agg(F.collect_list("key").alias("boilerplate")))
-    known = totals.join(sites, "host", "left")
-    joined = rows.join(known, "host", "left")
+    known = totals.join(sites, "host", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = rows.join(known, ["host", "salt"], "left")
     spoken = F.filter("lines", lambda x: F.trim(x) != "")
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(
