@@ -20,11 +20,15 @@ from .constants import (
     LABEL,
     SCORE,
     SHIFT_BASE,
+    SOURCE_KEY,
     SOURCE_LABEL,
+    SOURCE_SCORE,
 )
 from .functions.metrics import average_precision, regression_metrics, roc_auc, threshold_metrics
+from .operators.broadcast import maybe_broadcast
 from .operators.encoding import ordinal_fit
 from .operators.impute import impute
+from .operators.latest import latest_per_key
 from .operators.relational import (
     distinct_keys,
     drop_incomplete,
@@ -47,12 +51,13 @@ from .models.score import load_model
 from .models.train import save_model
 from .plans import features, scoring, training
 from .plans.report import conversion_share, score_bins
-from .session import stage_path
+from .session import run_stamp_column, stage_path
 from .streaming import realtime
 from .sources import standins
 from .sources.files import (
     latest_partition,
     read_cohorts,
+    read_csv,
     read_partition,
     stage,
     write_csv,
@@ -194,13 +199,26 @@ def q_audience_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict_to_keys(log, standins.campaign_scores(spark, sf_dir))
 
 
-@register("distinct_keys", f"SELECT DISTINCT ehhn FROM ({SQL_MEDIA})")
+@register("distinct_keys", "SELECT DISTINCT o_custkey AS ehhn FROM orders")
 def q_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_keys(standins.media_engagement(spark, sf_dir))
+    orders = standins.table(spark, sf_dir, "orders", ["o_custkey"])
+    return distinct_keys(rename_columns(orders, {"o_custkey": KEY}))
 
 
-@register("latest_per_key", SQL_LATEST)
+SQL_LATEST_ALL = f"""
+    SELECT * FROM ({SQL_LOG}) lg QUALIFY row_number() OVER (PARTITION BY ehhn
+        ORDER BY LogEntryTime DESC NULLS LAST, event_id DESC NULLS LAST) = 1
+"""
+
+
+@register("latest_per_key", SQL_LATEST_ALL)
 def q_latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest impression of every household in the log."""
+    return latest_per_key(features.impression_log(spark, sf_dir), KEY, EVENT_TIME, "event_id")
+
+
+@register("latest_in_audience", SQL_LATEST)
+def q_latest_in_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.latest_impressions(spark, sf_dir)
 
 
@@ -233,10 +251,51 @@ def q_join_fanout_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_on_key(latest, standins.media_engagement(spark, sf_dir))
 
 
-@register("drop_incomplete", f"SELECT * FROM ({SQL_SCORES}) WHERE ehhn IS NOT NULL AND "
+# Every customer; a negative balance has no score, which makes real nulls.
+SQL_ALL_SCORES = (
+    "SELECT c_custkey AS ehhn, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS ngr_score, "
+    "c_mktsegment AS cohort FROM customer"
+)
+
+
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every customer, keyed as delivered (``HSHD_CODE``, ``campaign_score``) and
+    brought to the library's names."""
+    delivered = standins.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias(SOURCE_KEY),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias(SOURCE_SCORE),
+        F.col("c_mktsegment").alias("cohort"))
+    return features.campaign_scores_from_source(delivered)
+
+
+@register("keyed_source", SQL_ALL_SCORES)
+def q_keyed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key and score renamed from their source names."""
+    return all_scores(spark, sf_dir)
+
+
+@register("drop_incomplete", f"SELECT * FROM ({SQL_ALL_SCORES}) WHERE ehhn IS NOT NULL AND "
                              f"ngr_score IS NOT NULL AND NOT isnan(ngr_score) AND cohort IS NOT NULL")
 def q_drop_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_incomplete(standins.campaign_scores(spark, sf_dir))
+    return drop_incomplete(all_scores(spark, sf_dir))
+
+
+# Two order columns: the first has few values, so the second decides; ties go to the key.
+@register("join_fanout_latest_two", f"""
+    SELECT l.*, m.o_orderkey, m.o_orderdate, m.o_totalprice, m.o_orderstatus, m.o_orderpriority
+    FROM ({SQL_LATEST_ALL}) l JOIN (
+        SELECT o_custkey AS ehhn, o_orderkey, o_orderdate, o_totalprice, o_orderstatus,
+               o_orderpriority FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey
+            ORDER BY o_orderpriority DESC NULLS LAST, o_orderdate DESC NULLS LAST,
+                     o_orderkey DESC NULLS LAST) = 1
+    ) m ON l.ehhn = m.ehhn""")
+def q_join_fanout_latest_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = standins.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias(KEY), "o_orderkey", "o_orderdate", "o_totalprice",
+        "o_orderstatus", "o_orderpriority")
+    return join_on_key(q_latest_per_key(spark, sf_dir), orders, on_duplicate="latest",
+                       order_by=["o_orderpriority", "o_orderdate"], tie_breaker="o_orderkey")
 
 
 @register("raw_feature_vectors", SQL_RAW_FEATURES)
@@ -248,6 +307,8 @@ def q_raw_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH base AS (SELECT DISTINCT ehhn FROM ({SQL_LATEST})),
     src AS (
         SELECT 'ngr' AS source, ehhn FROM ({SQL_SCORES})
+        UNION ALL SELECT 'all', ehhn FROM ({SQL_ALL_SCORES})
+        UNION ALL SELECT 'ord', o_custkey FROM orders
         UNION ALL SELECT 'med', ehhn FROM ({SQL_MEDIA})
         UNION ALL SELECT 'fsb', ehhn FROM ({SQL_ENGAGEMENT})),
     srck AS (SELECT DISTINCT source, ehhn FROM src),
@@ -265,6 +326,8 @@ def q_key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     audience_log = restrict_to_keys(features.impression_log(spark, sf_dir).select(KEY), scores)
     return key_coverage(audience_log, {
         "ngr": scores,
+        "all": all_scores(spark, sf_dir),
+        "ord": standins.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias(KEY)),
         "med": standins.media_engagement(spark, sf_dir),
         "fsb": standins.engagement_scores(spark, sf_dir),
     })
@@ -310,19 +373,32 @@ def q_ordinal_fit_by_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
                        scope=["cohort"]).mapping
 
 
+@register("ordinal_transform_by_cohort", sql_ordinal_transform(
+    SQL_RAW_FEATURES, _RAW_COLUMNS, features.FEATURE_CATEGORICALS, sql_ordinal_mapping(
+        "SELECT * FROM t", features.FEATURE_CATEGORICALS, features.FEATURE_ORDER_KEY, ["cohort"]),
+    ["cohort"]))
+def q_ordinal_transform_by_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cohort encoded with its own mapping."""
+    raw = features.raw_feature_vectors(spark, sf_dir)
+    return ordinal_fit(raw, features.FEATURE_CATEGORICALS, features.FEATURE_ORDER_KEY,
+                       scope=["cohort"]).transform(raw)
+
+
 _LOG_COLUMNS = list(features.LOG_COLUMNS)
-_FIRST_DAY_END = "2024-01-02 00:00:00"
+_SQL_GAPPED_LOG = f"""
+    SELECT * REPLACE (CASE WHEN event_id % 10 <> 0 THEN prop_k END AS prop_k) FROM ({SQL_LOG})"""
 
 
 @register("ordinal_unknown", sql_ordinal_transform(
-    SQL_LOG, _LOG_COLUMNS, standins.LOG_CATEGORICALS,
-    sql_ordinal_mapping(f"SELECT * FROM t WHERE LogEntryTime < TIMESTAMP '{_FIRST_DAY_END}'",
+    _SQL_GAPPED_LOG, _LOG_COLUMNS, standins.LOG_CATEGORICALS,
+    sql_ordinal_mapping("SELECT * FROM t WHERE CAST(prop_k AS INTEGER) % 7 <> 0",
                         standins.LOG_CATEGORICALS, "event_id")))
 def q_ordinal_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the first day of the log, apply to the whole log: later categories that the
-    first day never saw get -1."""
-    log = features.impression_log(spark, sf_dir)
-    enc = ordinal_fit(log.where(F.col(EVENT_TIME) < standins.ntz(_FIRST_DAY_END)),
+    """Every tenth row's ``prop_k`` is null; the fit sees neither nulls nor multiples of
+    7, so the transform gives -2 and -1 to them."""
+    log = features.impression_log(spark, sf_dir).withColumn(
+        "prop_k", F.when(F.col("event_id") % 10 != 0, F.col("prop_k")))
+    enc = ordinal_fit(log.where(F.col("prop_k").cast("int") % 7 != 0),
                       standins.LOG_CATEGORICALS, "event_id")
     return enc.transform(log)
 
@@ -331,13 +407,19 @@ def q_ordinal_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Split, exclusion, label shift: T2 T3 P4 P6 P9 P11 P12
 # ---------------------------------------------------------------------------------
 SPLIT_SEED = 42
-_KEY_SQL = ", ".join(
-    ["CAST(l_orderkey AS VARCHAR)", "CAST(l_linenumber AS VARCHAR)", "CAST(l_partkey AS VARCHAR)",
-     "CAST(l_suppkey AS VARCHAR)", "CAST(CAST(MediaCostInBucks AS DECIMAL(18,2)) AS VARCHAR)"])
+_KEY_SQL = ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    "CAST(MediaCostInBucks AS DECIMAL(18,2))"))
 _SPLIT_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "MediaCostInBucks"]
 _SQL_HASHED = f"SELECT *, md5(concat_ws('|', '{SPLIT_SEED}', {_KEY_SQL})) AS h FROM ({SQL_TRAINING_FRAME})"
 
 
+def _money_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training frame with the cost as money, whose text is the same in every engine."""
+    return standins.training_frame(spark, sf_dir).withColumn(
+        SOURCE_LABEL, F.col(SOURCE_LABEL).cast("decimal(18,2)"))
+
+
 def _split_case(pos: str, a: str, b: str) -> str:
     return f"CASE WHEN {pos} < {a} THEN 'train' WHEN {pos} < {b} THEN 'validation' ELSE 'test' END"
 
@@ -347,8 +429,9 @@ def _split_case(pos: str, a: str, b: str) -> str:
         {_split_case("CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 100", "60", "80")} AS split
     FROM ({_SQL_HASHED})""")
 def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = standins.training_frame(spark, sf_dir)
-    return hash_split(tf, _SPLIT_KEY, SPLIT_SEED).select(*_SPLIT_KEY, "split")
+    split = hash_split(_money_keyed(spark, sf_dir), _SPLIT_KEY, SPLIT_SEED)
+    return split.select(*_SPLIT_KEY, "split").withColumn(
+        SOURCE_LABEL, F.col(SOURCE_LABEL).cast("double"))
 
 
 @register("exact_split", f"""
@@ -358,8 +441,9 @@ def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, row_number() OVER (ORDER BY h, {', '.join(_SPLIT_KEY)}) AS rn,
                  count(*) OVER () AS n FROM ({_SQL_HASHED}))""")
 def q_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = standins.training_frame(spark, sf_dir)
-    return exact_split(tf, _SPLIT_KEY, SPLIT_SEED).select(*_SPLIT_KEY, "split")
+    narrow = _money_keyed(spark, sf_dir).select(*_SPLIT_KEY)
+    return exact_split(narrow, _SPLIT_KEY, SPLIT_SEED).withColumn(
+        SOURCE_LABEL, F.col(SOURCE_LABEL).cast("double"))
 
 
 @register("exclude_columns", "SELECT * EXCLUDE (ehhn, LogEntryTime) FROM (" + SQL_TRAINING_FRAME + ")")
@@ -381,6 +465,18 @@ def q_label_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shifted.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", LABEL)
 
 
+@register("label_from_text", f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        CAST(CAST(CAST(MediaCostInBucks AS DECIMAL(18,2)) AS VARCHAR) AS DOUBLE)
+            - CAST('{SHIFT_BASE!r}' AS DOUBLE) + CAST('{_U!r}' AS DOUBLE) AS biddingprice
+    FROM ({SQL_TRAINING_FRAME})""")
+def q_label_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label delivered as text is cast before the shift."""
+    text = _money_keyed(spark, sf_dir).withColumn(SOURCE_LABEL, F.col(SOURCE_LABEL).cast("string"))
+    shifted = label_shift(rename_columns(text, {SOURCE_LABEL: LABEL}), LABEL, _U)
+    return shifted.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", LABEL)
+
+
 # Impression-level training rows (the frame the bid model is trained on).
 SQL_MEDIA_LATEST = f"""
     SELECT * FROM ({SQL_MEDIA}) QUALIFY row_number() OVER (PARTITION BY ehhn
@@ -406,7 +502,7 @@ _BID_ROW_COLUMNS = ["ImpressionId", "ehhn", "LogEntryTime", "event_type", "prop_
                     "MediaCostInBucks", "split"]
 _SQL_BID_SPLIT = f"""
     SELECT *, {_split_case(
-        "CAST(('0x' || substr(md5(concat_ws('|', '{0}', CAST(ImpressionId AS VARCHAR))), 1, 8))"
+        "CAST(('0x' || substr(md5(concat_ws('|', '{0}', '=' || CAST(ImpressionId AS VARCHAR))), 1, 8))"
         " AS BIGINT) % 100".format(training.DEFAULT_SEED), "60", "80")} AS split
     FROM ({SQL_BID_ROWS})"""
 _U_BID = shift_value(training.DEFAULT_SEED)
@@ -443,24 +539,42 @@ def q_test_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------
 # Metrics: X1-X8 on deterministic predictions derived from the tables
 # ---------------------------------------------------------------------------------
-@register("metric_regression", """
+def _sql_regression(scale: str, places_r2: int, mse: str) -> str:
+    return f"""
     WITH t AS (
-        SELECT l_returnflag, l_extendedprice AS y,
-               avg(l_extendedprice) OVER (PARTITION BY p_brand) AS p
+        SELECT l_returnflag, l_extendedprice / {scale} AS y,
+               avg(l_extendedprice / {scale}) OVER (PARTITION BY p_brand) AS p
         FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n,
+    SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_missing,
         round(CASE WHEN var_pop(y) * count(y) > 0
-              THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) END, 9) AS r2,
-        round(sum((y - p) * (y - p)) / count(*), 2) AS mse
-    FROM t GROUP BY l_returnflag""")
-def q_metric_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R^2 and MSE of a brand-mean baseline price, per return flag."""
+              THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) END, {places_r2}) AS r2,
+        {mse.format("sum((y - p) * (y - p)) / count(*)")} AS mse
+    FROM t GROUP BY l_returnflag"""
+
+
+def brand_baseline(spark: SparkSession, sf_dir: str, scale: float) -> DataFrame:
+    """Item prices (over ``scale``) with the mean of their brand as prediction. The joined
+    rows are written once and read twice; the brand means are joined by size check."""
     li = standins.table(spark, sf_dir, "lineitem", ["l_partkey", "l_extendedprice", "l_returnflag"])
     part = standins.table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
-    rows = li.join(part, li.l_partkey == part.p_partkey)
-    brand_mean = rows.groupBy("p_brand").agg(F.avg("l_extendedprice").alias("p"))
-    scored = rows.join(brand_mean, "p_brand")
-    return regression_metrics(scored, "l_extendedprice", "p", ["l_returnflag"])
+    rows = stage(li.join(part, li.l_partkey == part.p_partkey).select(
+        "l_returnflag", "p_brand", (F.col("l_extendedprice") / scale).alias("y")), "priced")
+    means, _ = maybe_broadcast(rows.groupBy("p_brand").agg(F.avg("y").alias("p")))
+    return rows.join(means, "p_brand")
+
+
+@register("metric_regression", _sql_regression("1.0", 9, "round({}, 2)"))
+def q_metric_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R^2 and MSE of a brand-mean baseline price, per return flag."""
+    out = regression_metrics(brand_baseline(spark, sf_dir, 1.0), "y", "p", ["l_returnflag"])
+    return out.withColumns({"r2": F.round("r2", 9), "mse": F.round("mse", 2)})
+
+
+@register("metric_regression_bid_scale", _sql_regression("1e7", 9, "round({} * 1e12, 3)"))
+def q_metric_regression_bid_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the scale of bids (a few thousandths); the MSE is shown times 1e12."""
+    out = regression_metrics(brand_baseline(spark, sf_dir, 1e7), "y", "p", ["l_returnflag"])
+    return out.withColumns({"r2": F.round("r2", 9), "mse": F.round(F.col("mse") * 1e12, 3)})
 
 
 SQL_OUTCOMES = """
@@ -476,7 +590,7 @@ def outcome_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang", "toxic", "quality", (n / (n + F.lit(2000.0))).alias("s"))
 
 
-def _sql_threshold(label: str, group: str) -> str:
+def _sql_threshold(label: str, group: str, source: str = SQL_OUTCOMES) -> str:
     pred = "(s > 0.5 AND NOT isnan(s))"
     return f"""
     WITH c AS (
@@ -485,7 +599,7 @@ def _sql_threshold(label: str, group: str) -> str:
             CAST(count(*) FILTER (WHERE {label} <> 1 AND {pred}) AS BIGINT) AS fp,
             CAST(count(*) FILTER (WHERE {label} = 1 AND NOT {pred}) AS BIGINT) AS fn,
             CAST(count(*) FILTER (WHERE {label} <> 1 AND NOT {pred}) AS BIGINT) AS tn
-        FROM ({SQL_OUTCOMES}) GROUP BY {group}),
+        FROM ({source}) GROUP BY {group}),
     r AS (SELECT *,
             CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS tpr,
             CASE WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / CAST(tn + fp AS DOUBLE) END AS tnr
@@ -502,18 +616,18 @@ def _sql_threshold(label: str, group: str) -> str:
     FROM r"""
 
 
-def _sql_counts(label: str, group_select: str) -> str:
+def _sql_counts(label: str, group_select: str, source: str = SQL_OUTCOMES) -> str:
     return f"""SELECT {group_select}, s,
             CAST(count(*) FILTER (WHERE {label} = 1) AS BIGINT) AS pos,
             CAST(count(*) FILTER (WHERE {label} <> 1) AS BIGINT) AS neg
-        FROM ({SQL_OUTCOMES}) GROUP BY ALL"""
+        FROM ({source}) GROUP BY ALL"""
 
 
-def _sql_auc(label: str, group: str | None) -> str:
+def _sql_auc(label: str, group: str | None, source: str = SQL_OUTCOMES) -> str:
     g = group or "'all'"
     out = f"g AS {group}, " if group else ""
     return f"""
-    WITH c AS ({_sql_counts(label, g + " AS g")}),
+    WITH c AS ({_sql_counts(label, g + " AS g", source)}),
     r AS (SELECT *, sum(neg) OVER (PARTITION BY g ORDER BY s ASC NULLS FIRST
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM c)
     SELECT {out}
@@ -523,9 +637,9 @@ def _sql_auc(label: str, group: str | None) -> str:
     FROM r GROUP BY g"""
 
 
-def _sql_ap(label: str, group: str) -> str:
+def _sql_ap(label: str, group: str, source: str = SQL_OUTCOMES) -> str:
     return f"""
-    WITH c AS ({_sql_counts(label, group)}),
+    WITH c AS ({_sql_counts(label, group, source)}),
     r AS (SELECT *,
             sum(pos) OVER (PARTITION BY {group} ORDER BY s DESC NULLS LAST
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pos_cum,
@@ -555,7 +669,8 @@ def q_metric_auc_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("metric_average_precision", _sql_ap("toxic", "lang"))
 def q_metric_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return average_precision(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"])
+    return average_precision(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"]).withColumn(
+        "average_precision", F.round("average_precision", 9))
 
 
 # ---------------------------------------------------------------------------------
@@ -619,7 +734,8 @@ def q_score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------
-# Models: M1-M3 M5-M9 S6 K5 P14 P15 (no SQL twin: rows-only checks)
+# Models: M1-M3 M5-M9 S6 K5 P14 P15 on realistic labels (no SQL twin: rows-only checks).
+# These queries fit small grids, for the time they take; the library's defaults are larger.
 # ---------------------------------------------------------------------------------
 SMALL_REGRESSORS = {"RF": {"numTrees": [10], "maxDepth": [5]},
                     "GBM": {"maxIter": [10], "maxDepth": [4]},
@@ -643,16 +759,16 @@ def q_score_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, save, load the champion, score every audience household once."""
     bt = training.train_bid_model(spark, sf_dir, {"LM": None, "RF": {"numTrees": [10]}})
     path = save_model(bt.result.best, stage_path(spark, "bid-model"))
-    model = load_model(spark, path)
+    model = load_model(path)
     vectors = scoring.household_vectors(spark, sf_dir, bt.encoding)
     return scoring.score_bids(model, vectors)
 
 
 def _conversion_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared, enc = training.prepared_bid_rows(spark, sf_dir)
-    result = training.train_conversion_model(spark, prepared, SMALL_CLASSIFIERS)
+    result = training.train_conversion_model(prepared, SMALL_CLASSIFIERS)
     path = save_model(result.best, stage_path(spark, "conversion-model"))
-    model = load_model(spark, path)
+    model = load_model(path)
     return scoring.score_conversion(model, scoring.household_vectors(spark, sf_dir, enc))
 
 
@@ -665,7 +781,7 @@ def q_score_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_conversion_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversion champion scored on the held-out split, per cohort (rows-only)."""
     prepared, _ = training.prepared_bid_rows(spark, sf_dir)
-    result = training.train_conversion_model(spark, prepared, SMALL_CLASSIFIERS)
+    result = training.train_conversion_model(prepared, SMALL_CLASSIFIERS)
     return training.conversion_test_metrics(result.best, prepared)
 
 
@@ -678,12 +794,16 @@ def q_conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("live_pricing")
 def q_live_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 + D2: the impression log replayed as a file stream and priced per impression
-    against the weekly household features (rows-only check)."""
+    against the weekly household features (rows-only check; ``live_pricing_exact`` has SQL)."""
     bt = training.train_bid_model(spark, sf_dir, {"LM": None})
-    weekly = scoring.household_vectors(spark, sf_dir, bt.encoding).select(
-        KEY, *training.BID_FEATURES)
+    return _live(spark, sf_dir, bt.encoding, bt.result.best)
+
+
+def _live(spark: SparkSession, sf_dir: str, encoding, model) -> DataFrame:
+    weekly = stage(scoring.household_vectors(spark, sf_dir, encoding).select(
+        KEY, *training.BID_FEATURES), "weekly-features")
     stream = realtime.impression_stream(spark, sf_dir, file_name="events.parquet")
-    bids = realtime.live_bids(stream, weekly, bt.encoding, bt.result.best)
+    bids = realtime.live_bids(stream, weekly, encoding, model, watermark="30 days")
     sink = stage_path(spark, "live-bids")
     query = realtime.start_live_pricing(bids, sink, stage_path(spark, "live-bids-checkpoint"))
     query.awaitTermination()
@@ -695,18 +815,230 @@ def q_combined_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bid and conversion predictions of the same households in one table."""
     prepared, enc = training.prepared_bid_rows(spark, sf_dir)
     bid = training.train_bid_model(spark, sf_dir, {"LM": None}, prepared=prepared, encoding=enc)
-    conv = training.train_conversion_model(spark, prepared, {"LR": None})
+    conv = training.train_conversion_model(prepared, {"LR": None})
     vectors = scoring.household_vectors(spark, sf_dir, enc)
-    return scoring.combined_predictions(scoring.score_bids(bid.result.best, vectors),
-                                        scoring.score_conversion(conv.best, vectors))
+    return scoring.combined_predictions(bid.result.best, conv.best, vectors)
 
 
 @register("impute_scores", f"""
-    WITH s AS ({SQL_SCORES})
-    SELECT ehhn, coalesce(ngr_score, (SELECT avg(ngr_score) FROM s)) AS ngr_score, cohort FROM s""")
+    WITH s AS (SELECT ehhn, ngr_score, CASE WHEN ehhn % 5 <> 0 THEN cohort END AS cohort
+               FROM ({SQL_ALL_SCORES})),
+    m AS (SELECT cohort FROM s WHERE cohort IS NOT NULL GROUP BY cohort
+          ORDER BY count(*) DESC, cohort LIMIT 1)
+    SELECT ehhn, round(coalesce(ngr_score, (SELECT avg(ngr_score) FROM s)), 6) AS ngr_score,
+           coalesce(cohort, (SELECT cohort FROM m)) AS cohort FROM s""")
 def q_impute_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing campaign scores filled with the mean score instead of dropping rows."""
-    return impute(standins.campaign_scores(spark, sf_dir), numeric=[SCORE], categorical=["cohort"])
+    """Missing campaign scores filled with the mean, missing cohorts (of every fifth
+    household here) with the most frequent one."""
+    gaps = all_scores(spark, sf_dir).withColumn(
+        "cohort", F.when(F.col(KEY) % 5 != 0, F.col("cohort")))
+    filled = impute(gaps, numeric=[SCORE], categorical=["cohort"])
+    return filled.withColumn(SCORE, F.round(SCORE, 6))
+
+
+# ---------------------------------------------------------------------------------
+# The same model operators where the fit has a closed form, so SQL can say what must come out:
+# * bid model: the label is a linear function of the features, which the linear family must
+#   find exactly; with an enormous penalty it predicts the training mean;
+# * conversion model: one tree of depth 1 on a yes/no feature without bootstrap, so P(class 1)
+#   is the weighted share of the row's leaf. The outcome depends on the feature, as a tree
+#   whose leaves predict the same class is pruned to its root.
+# ---------------------------------------------------------------------------------
+EXACT_WEIGHTS = {"event_type": 1e-5, "prop_k": 1e-7, "UserHourOfWeek": 2e-6, "ngr_score": 3e-8,
+                 "o_totalprice": 1e-9, "o_orderstatus": 5e-5, "o_orderpriority": 7e-6}
+EXACT_BASE = 0.002
+EXACT_REGRESSORS = {"LM": {"regParam": [0.0, 1e12]}}
+EXACT_CLASSIFIER = {"RF": {"numTrees": [1], "maxDepth": [1], "bootstrap": [False],
+                           "featureSubsetStrategy": ["all"]}}
+EXACT_FLAG = "early"
+_PREPARED = f"({ORACLE_SQL['prepared_training']})"
+
+
+def _sql_price(prefix: str = "") -> str:
+    return " + ".join([f"{EXACT_BASE!r}::DOUBLE"] + [
+        f"{w!r}::DOUBLE * {prefix}{c}" for c, w in EXACT_WEIGHTS.items()])
+
+
+def _exact_bid(spark: SparkSession, sf_dir: str, prepared=None, encoding=None):
+    if prepared is None:
+        prepared, encoding = training.prepared_bid_rows(spark, sf_dir)
+    price = F.lit(EXACT_BASE)
+    for c, w in EXACT_WEIGHTS.items():
+        price = price + F.lit(w) * F.col(c)
+    return training.train_bid_model(spark, sf_dir, EXACT_REGRESSORS,
+                                    prepared=prepared.withColumn(LABEL, price), encoding=encoding)
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(EXACT_FLAG, (F.col("UserHourOfWeek") < 84).cast("int"))
+
+
+def _with_outcome(prepared: DataFrame) -> DataFrame:
+    """About one in four early rows converts, and three in four of the others."""
+    flagged = _flagged(prepared)
+    odds = F.when(F.col(EXACT_FLAG) == 1, 1).otherwise(3)
+    return flagged.withColumn(training.CONVERSION_LABEL, (
+        F.floor("ngr_score") % 4 < odds).cast("int"))
+
+
+_SQL_OUTCOME = f"""(SELECT * REPLACE ((CAST(floor(ngr_score) AS BIGINT) % 4
+    < CASE WHEN UserHourOfWeek < 84 THEN 1 ELSE 3 END)::INT AS converted) FROM {_PREPARED})"""
+
+
+def _exact_conversion(prepared: DataFrame):
+    return training.train_conversion_model(_with_outcome(prepared), EXACT_CLASSIFIER,
+                                           feature_cols=[EXACT_FLAG])
+
+
+# Households as the scorers see them: latest impression and order, encoded like the training rows.
+_VECTOR_COLUMNS = ["ehhn", "cohort", "event_type", "prop_k", "UserHourOfWeek", "ngr_score",
+                   "o_totalprice", "o_orderstatus", "o_orderpriority"]
+
+
+def _sql_encoded(rows: str, columns: list[str], categoricals: list[str]) -> str:
+    return sql_ordinal_transform(rows, columns, categoricals, sql_ordinal_mapping(
+        SQL_BID_ROWS, training.BID_CATEGORICALS, "ImpressionId"))
+
+
+SQL_VECTORS = _sql_encoded(SQL_HOUSEHOLD_VECTORS, _VECTOR_COLUMNS, training.BID_CATEGORICALS)
+SQL_LEAVES = f"""
+    SELECT (UserHourOfWeek < 84)::INT AS early,
+           sum(CASE WHEN converted = 1 THEN w1 ELSE 0 END)
+             / sum(CASE WHEN converted = 1 THEN w1 ELSE w0 END) AS p
+    FROM {_SQL_OUTCOME}, (SELECT count(*) / (2.0::DOUBLE * sum(converted)) AS w1,
+        count(*) / (2.0::DOUBLE * sum(1 - converted)) AS w0 FROM {_SQL_OUTCOME})
+    WHERE split = 'train' GROUP BY 1"""
+SQL_EXACT_CONVERSION = f"""
+    SELECT v.ehhn, v.cohort, CAST(1 AS INTEGER) AS week, round(l.p, 9) AS sales_conversion
+    FROM ({SQL_VECTORS}) v JOIN ({SQL_LEAVES}) l ON l.early = (v.UserHourOfWeek < 84)::INT"""
+SQL_EXACT_BIDS = f"SELECT ehhn, CAST(1 AS INTEGER) AS week, round({_sql_price()}, 9) AS basebid " \
+                 f"FROM ({SQL_VECTORS})"
+
+
+@register("train_leaderboard_exact", f"""
+    WITH t AS (SELECT split, {_sql_price()} AS y FROM {_PREPARED}),
+    m AS (SELECT avg(y) AS m FROM t WHERE split = 'train')
+    SELECT 'LM' AS family, '{{"regParam": 0.0}}' AS params, 'r2' AS metric,
+           1.0::DOUBLE AS score, true AS is_champion
+    UNION ALL
+    SELECT 'LM', '{{"regParam": 1000000000000.0}}', 'r2',
+           round(1 - sum((y - m) * (y - m)) / (var_pop(y) * count(y)), 6), false
+    FROM t, m WHERE split = 'validation'""")
+def q_train_leaderboard_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 M2 M3: two points of a grid; the exact one wins with R^2 = 1."""
+    board = _exact_bid(spark, sf_dir).result.leaderboard
+    return board.withColumn("score", F.round("score", 6))
+
+
+@register("bid_test_metrics_exact", f"""
+    SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_missing, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS mse
+    FROM {_PREPARED} WHERE split = 'test'""")
+def q_bid_test_metrics_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: the champion on the held-out split; the MSE is shown times 1e12."""
+    out = _exact_bid(spark, sf_dir).test_metrics
+    return out.withColumns({"r2": F.round("r2", 6), "mse": F.round(F.col("mse") * 1e12, 6)})
+
+
+@register("score_bids_exact", SQL_EXACT_BIDS)
+def q_score_bids_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, save, load, score every audience household."""
+    bt = _exact_bid(spark, sf_dir)
+    model = load_model(save_model(bt.result.best, stage_path(spark, "bid-model")))
+    bids = scoring.score_bids(model, scoring.household_vectors(spark, sf_dir, bt.encoding))
+    return bids.withColumn("basebid", F.round("basebid", 9))
+
+
+def _exact_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, enc = training.prepared_bid_rows(spark, sf_dir)
+    model = load_model(save_model(_exact_conversion(prepared).best,
+                                  stage_path(spark, "conversion-model")))
+    vectors = _flagged(scoring.household_vectors(spark, sf_dir, enc))
+    return scoring.score_conversion(model, vectors)
+
+
+@register("score_conversion_exact", SQL_EXACT_CONVERSION)
+def q_score_conversion_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all cohorts in one pass."""
+    return _exact_conversions(spark, sf_dir).withColumn(
+        CONVERSION_COLUMN, F.round(CONVERSION_COLUMN, 9))
+
+
+@register("score_from_csv", SQL_EXACT_CONVERSION)
+def q_score_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 S4 into M6: vectors written as CSV per cohort, read back and scored."""
+    prepared, enc = training.prepared_bid_rows(spark, sf_dir)
+    model = _exact_conversion(prepared).best
+    vectors = _flagged(scoring.household_vectors(spark, sf_dir, enc)).select(
+        KEY, EXACT_FLAG, "cohort")
+    root = write_csv(vectors, stage_path(spark, "vectors-csv"), partition_by=["cohort"])
+    back = read_cohorts(spark, {c: f"{root}/cohort={c}" for c in standins.COHORTS},
+                        f"{KEY} bigint, {EXACT_FLAG} int")
+    return scoring.score_conversion(model, back).withColumn(
+        CONVERSION_COLUMN, F.round(CONVERSION_COLUMN, 9))
+
+
+@register("conversion_report_exact", f"""
+    WITH j AS (SELECT p.cohort, p.sales_conversion FROM ({SQL_EXACT_CONVERSION}) p
+               JOIN ({SQL_SCORES}) s ON p.ehhn = s.ehhn),
+    names AS (SELECT * FROM (VALUES ('BUILDING'), ('FURNITURE'), ('MACHINERY')) v(cohort))
+    SELECT n.cohort, count(j.cohort) AS households,
+           count(*) FILTER (WHERE sales_conversion > 0.5) AS converting,
+           CASE WHEN count(j.cohort) > 0 THEN CAST(count(*) FILTER (WHERE sales_conversion > 0.5)
+                AS DOUBLE) / CAST(count(j.cohort) AS DOUBLE) END AS share
+    FROM names n LEFT JOIN j ON n.cohort = j.cohort GROUP BY n.cohort""")
+def q_conversion_report_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversion_share(_exact_conversions(spark, sf_dir),
+                            standins.campaign_scores(spark, sf_dir), standins.COHORTS)
+
+
+_SQL_TEST_SCORES = f"""SELECT t.cohort, t.converted, l.p AS s FROM {_SQL_OUTCOME} t
+    JOIN ({SQL_LEAVES}) l ON l.early = (t.UserHourOfWeek < 84)::INT WHERE t.split = 'test'"""
+
+
+@register("conversion_test_metrics_exact", f"""
+    SELECT t.*, round(a.auc, 9) AS auc, p.average_precision
+    FROM ({_sql_threshold("converted", "cohort", _SQL_TEST_SCORES)}) t
+    JOIN ({_sql_auc("converted", "cohort", _SQL_TEST_SCORES)}) a USING (cohort)
+    JOIN ({_sql_ap("converted", "cohort", _SQL_TEST_SCORES)}) p USING (cohort)""")
+def q_conversion_test_metrics_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, _ = training.prepared_bid_rows(spark, sf_dir)
+    out = training.conversion_test_metrics(_exact_conversion(prepared).best, _with_outcome(prepared))
+    return out.withColumns({c: F.round(c, 9) for c in ("auc", "average_precision")})
+
+
+@register("combined_predictions_exact", f"""
+    SELECT b.ehhn, c.cohort, b.week, b.basebid, c.sales_conversion
+    FROM ({SQL_EXACT_BIDS}) b JOIN ({SQL_EXACT_CONVERSION}) c USING (ehhn)""")
+def q_combined_predictions_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models over the same rows in one pass."""
+    prepared, enc = training.prepared_bid_rows(spark, sf_dir)
+    bid = _exact_bid(spark, sf_dir, prepared, enc).result.best
+    vectors = _flagged(scoring.household_vectors(spark, sf_dir, enc))
+    out = scoring.combined_predictions(bid, _exact_conversion(prepared).best, vectors)
+    return out.withColumns({c: F.round(c, 9) for c in ("basebid", CONVERSION_COLUMN)})
+
+
+_SQL_LIVE_ROWS = f"""
+    SELECT lg.event_id, lg.ehhn, lg.LogEntryTime, lg.event_type, lg.prop_k, lg.UserHourOfWeek,
+           w.ngr_score, w.o_totalprice, w.o_orderstatus, w.o_orderpriority,
+           w.ehhn IS NOT NULL AS weekly
+    FROM ({SQL_LOG}) lg LEFT JOIN ({SQL_VECTORS}) w ON lg.ehhn = w.ehhn"""
+
+
+@register("live_pricing_exact", f"""
+    SELECT ehhn, event_id, LogEntryTime AS event_ts,
+           CASE WHEN weekly THEN round({_sql_price()}, 9) END AS basebid,
+           CASE WHEN NOT weekly THEN 'no weekly features' END AS reason
+    FROM ({_sql_encoded(_SQL_LIVE_ROWS, ["event_id", "ehhn", "LogEntryTime", "event_type", "prop_k",
+                                         "UserHourOfWeek", "ngr_score", "o_totalprice",
+                                         "o_orderstatus", "o_orderpriority", "weekly"],
+                        ["event_type", "prop_k"])})""")
+def q_live_pricing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 + D2: one row per impression of the whole log, with a bid or the reason why not."""
+    bt = _exact_bid(spark, sf_dir)
+    live = _live(spark, sf_dir, bt.encoding, bt.result.best)
+    return live.withColumns({"basebid": F.round("basebid", 9),
+                             "event_ts": F.col("event_ts").cast("timestamp_ntz")})
 
 
 # ---------------------------------------------------------------------------------
@@ -727,7 +1059,9 @@ def write_snapshot_tree(spark: SparkSession, sf_dir: str) -> str:
         "o_orderpriority", F.col("o_orderstatus").alias("channel_type"),
         F.trunc(F.col("o_orderdate").cast("date"), "month").alias("cycle_date"))
     path = stage_path(spark, "snapshot-tree")
-    write_parquet(tree, path, partition_by=["channel_type", "cycle_date"])
+    # dealt by leaf first: each leaf's files don't multiply with the tasks
+    write_parquet(tree.repartition("channel_type", "cycle_date"), path,
+                  partition_by=["channel_type", "cycle_date"])
     return path
 
 
@@ -751,15 +1085,33 @@ def q_latest_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORE_SCHEMA = "ehhn bigint, ngr_score double"
 
 
-@register("csv_round_trip", SQL_SCORES)
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@register("csv_round_trip", SQL_ALL_SCORES)
 def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores written as CSV per cohort directory, read back as one frame by cohort."""
-    scores = standins.campaign_scores(spark, sf_dir)
-    root = write_csv(scores, stage_path(spark, "scores-csv"), partition_by=["cohort"])
-    paths = {c: f"{root}/cohort={c}" for c in standins.COHORTS}
+    root = write_csv(all_scores(spark, sf_dir), stage_path(spark, "scores-csv"),
+                     partition_by=["cohort"])
+    paths = {c: f"{root}/cohort={c}" for c in SEGMENTS}
     return read_cohorts(spark, paths, SCORE_SCHEMA)
 
 
-@register("staged_reread", SQL_LATEST)
+@register("weekly_csv", f"""
+    SELECT ehhn, ngr_score, cohort, CAST(3 AS INTEGER) AS week,
+           strftime(TIMESTAMP '2024-01-01 07:00:00' + INTERVAL 1 HOUR * (ehhn % 50), '%m%d%Y%H')
+               AS stamp FROM ({SQL_ALL_SCORES})""")
+def q_weekly_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 + K4: scores with a run stamp, written as CSV by cohort and week, read back."""
+    at = F.expr(f"timestamp_ntz'2024-01-01 07:00:00' + make_dt_interval(0, int({KEY} % 50))")
+    rows = all_scores(spark, sf_dir).withColumn("week", F.lit(3)).withColumn(
+        "stamp", run_stamp_column(at))
+    root = scoring.write_scores(rows, stage_path(spark, "weekly-csv"))
+    back = read_csv(spark, root, f"{SCORE_SCHEMA}, stamp string")
+    return back.select(KEY, SCORE, F.col("cohort").cast("string").alias("cohort"),
+                       F.col("week").cast("int").alias("week"), "stamp")
+
+
+@register("staged_reread", SQL_LATEST_ALL)
 def q_staged_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(features.latest_impressions(spark, sf_dir), "latest-impressions")
+    return stage(q_latest_per_key(spark, sf_dir), "latest-impressions")

@@ -14,8 +14,11 @@ the libraries differ or warn):
   (recall_n - recall_n-1) * precision_n; NULL without positives.
 
 Ratios of counts are single divisions of exact integers. AUC's numerator is an exact
-integer too. Sums of floating values are rounded (r2 to 9 places, mse to 2) so that
-the summation order of a distributed aggregate does not show in the result.
+integer too. Nothing is rounded here: a bid price is a few thousandths, so its squared
+error is far below any fixed number of decimals. Callers that compare engines round.
+
+Regression rows whose label or prediction is missing can't be scored; they are counted in
+``n_missing``, so a model that predicts nothing for hard rows shows.
 """
 
 from __future__ import annotations
@@ -40,16 +43,19 @@ def _safe_ratio(num: Column, den: Column) -> Column:
 # ----------------------------------------------------------------------------- regression
 def regression_metrics(df: DataFrame, label: str, prediction: str,
                        group_cols: Sequence[str] = ()) -> DataFrame:
-    """X1 + X2: ``n``, ``r2``, ``mse`` per group, over rows with both values present."""
-    y, p = _i(label), _i(prediction)
-    agg = df.where(y.isNotNull() & p.isNotNull()).groupBy(*group_cols).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
+    """X1 + X2: ``n``, ``n_missing``, ``r2``, ``mse`` per group, over rows with both values
+    present (``n``); the others are counted in ``n_missing``."""
+    both = _i(label).isNotNull() & _i(prediction).isNotNull()
+    y, p = F.when(both, _i(label)), F.when(both, _i(prediction))
+    agg = df.groupBy(*group_cols).agg(
+        F.count(y).cast("bigint").alias("n"),
+        F.count_if(~both).cast("bigint").alias("n_missing"),
         F.sum((y - p) * (y - p)).alias("_sse"),
         (F.var_pop(y) * F.count(y)).alias("_sst"),
     )
     r2 = F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))
-    return agg.select(*group_cols, "n", F.round(r2, 9).alias("r2"),
-                      F.round(F.col("_sse") / F.col("n"), 2).alias("mse"))
+    return agg.select(*group_cols, "n", "n_missing", r2.alias("r2"),
+                      F.try_divide("_sse", "n").alias("mse"))
 
 
 # ------------------------------------------------------------------------- classification
@@ -125,7 +131,7 @@ def average_precision(df: DataFrame, label: str, score: str, group_cols: Sequenc
               / F.col("cnt_cum").cast("double")).alias("_s"),
         F.sum("pos").alias("_p"),
     )
-    ap = F.when(F.col("_p") > 0, F.round(F.col("_s") / F.col("_p").cast("double"), 9))
+    ap = F.when(F.col("_p") > 0, F.col("_s") / F.col("_p").cast("double"))
     return agg.select(*group_cols, ap.alias("average_precision"))
 
 

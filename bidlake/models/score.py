@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BID_COLUMN, CONVERSION_COLUMN, KEY
@@ -23,9 +23,8 @@ class MissingFeatureError(ValueError):
     pass
 
 
-def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    """Load a saved pipeline."""
-    del spark
+def load_model(path: str) -> PipelineModel:
+    """Load a saved pipeline (with the active session)."""
     return PipelineModel.load(path)
 
 

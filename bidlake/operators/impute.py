@@ -9,7 +9,6 @@ driver, and ``fillna`` applies them in a single projection.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +22,15 @@ def fill_values(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequenc
         row = df.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in numeric]).first()
         values.update({c: row[c] for c in numeric if row[c] is not None})
     if categorical:
-        # Per column: counts per value (partial aggregate), then the top value. One union
-        # of small per-value count tables instead of a global mode buffer in one task.
-        counts = [
-            df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column"), "value", "n")
-            for c in categorical
-        ]
-        ranked = reduce(lambda a, b: a.unionByName(b), counts)
-        best = ranked.groupBy("column").agg(F.max("n").alias("_n"))
-        # Ties on the count: the smallest value wins (min over the values with the max n).
-        top = ranked.join(best.select("column", "_n"), "column").where(F.col("n") == F.col("_n"))
-        for r in top.groupBy("column").agg(F.min("value").alias("value")).collect():
-            values[r["column"]] = r["value"]
+        # One pass: every row gives its (column, value) pairs, counted with a partial
+        # aggregate; per column the most frequent value wins, ties the smallest.
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+            for c in categorical])).alias("p")).select("p.column", "p.value")
+        counts = (pairs.where(F.col("value").isNotNull()).groupBy("column", "value")
+                  .agg(F.count(F.lit(1)).alias("n")))
+        top = counts.groupBy("column").agg(F.min(F.struct(-F.col("n"), "value")).alias("best"))
+        values.update({r["column"]: r["best"]["value"] for r in top.collect()})
     return values
 
 

@@ -17,17 +17,19 @@ from ..constants import EVENT_TIME, KEY
 from .broadcast import maybe_broadcast
 
 
-def latest_order(time_col: str, tie_breaker: str | Sequence[str] | None) -> list:
-    """Newest first; null times last; ties broken by the greatest tie-breaker value.
+def latest_order(time_col: str | Sequence[str],
+                 tie_breaker: str | Sequence[str] | None) -> list:
+    """Newest first by ``time_col`` (several columns: the first decides, then the next);
+    null times last; ties broken by the greatest tie-breaker value.
     (The reference leaves ties arbitrary; a fixed tie-break makes reruns reproducible.)"""
-    cols = [F.col(time_col).desc_nulls_last()]
-    if tie_breaker:
-        ties = [tie_breaker] if isinstance(tie_breaker, str) else list(tie_breaker)
-        cols += [F.col(t).desc_nulls_last() for t in ties]
-    return cols
+    names: list[str] = []
+    for part in (time_col, tie_breaker or ()):
+        names += [part] if isinstance(part, str) else list(part)
+    return [F.col(c).desc_nulls_last() for c in names]
 
 
-def latest_per_key(df: DataFrame, key: str | Sequence[str] = KEY, time_col: str = EVENT_TIME,
+def latest_per_key(df: DataFrame, key: str | Sequence[str] = KEY,
+                   time_col: str | Sequence[str] = EVENT_TIME,
                    tie_breaker: str | Sequence[str] | None = None) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*latest_order(time_col, tie_breaker))

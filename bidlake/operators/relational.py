@@ -91,7 +91,8 @@ def join_on_key(left: DataFrame, right: DataFrame, key: str = KEY, how: str = "i
     ``on_duplicate`` chooses what a repeated key on the right does:
     ``keep``   - every match is kept (rows multiply, as an inner join does);
     ``error``  - raise FanOutError before joining;
-    ``latest`` - keep the right row with the greatest ``order_by`` (then ``tie_breaker``).
+    ``latest`` - keep the right row with the greatest ``order_by`` (all its columns, in
+    order, then ``tie_breaker``).
     Nulls never match (SQL semantics).
     """
     if on_duplicate == "error":
@@ -99,7 +100,7 @@ def join_on_key(left: DataFrame, right: DataFrame, key: str = KEY, how: str = "i
     elif on_duplicate == "latest":
         if not order_by:
             raise ValueError("on_duplicate='latest' needs order_by")
-        right = latest_per_key(right, key, order_by[0], tie_breaker)
+        right = latest_per_key(right, key, list(order_by), tie_breaker)
     elif on_duplicate != "keep":
         raise ValueError(f"unknown on_duplicate policy {on_duplicate!r}")
     shared = (set(left.columns) & set(right.columns)) - {key}

@@ -19,27 +19,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LABEL, SHIFT_BASE, SHIFT_SPAN, SPLIT_FRACTIONS
+from ..sources.files import stage
 from .sequence import running_totals
 
 SPLIT = "split"
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 
-def _key_text(c: str, df: DataFrame) -> Column:
-    # Doubles are written with two decimals so the text (and the hash) is the same in
-    # every engine; integers and strings as they are.
-    dtype = dict(df.dtypes)[c]
-    if dtype in ("double", "float"):
-        return F.col(c).cast("decimal(18,2)").cast("string")
-    return F.col(c).cast("string")
+def _key_text(c: str) -> Column:
+    # Spark's text of a double holds all its digits, so near values hash apart. A null is
+    # written as such ("-"), or ('a', null) and (null, 'a') would hash alike. A caller that
+    # needs the same text from another engine passes a string or decimal column.
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
 
 
-def hash_text(df: DataFrame, key_cols: Sequence[str], seed: int) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_key_text(c, df) for c in key_cols]))
+def hash_text(key_cols: Sequence[str], seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_key_text(c) for c in key_cols]))
 
 
-def hash_bucket(df: DataFrame, key_cols: Sequence[str], seed: int, buckets: int = 100) -> Column:
-    head = F.substring(hash_text(df, key_cols, seed), 1, 8)
+def hash_bucket(key_cols: Sequence[str], seed: int, buckets: int = 100) -> Column:
+    head = F.substring(hash_text(key_cols, seed), 1, 8)
     return F.conv(head, 16, 10).cast("bigint") % F.lit(buckets)
 
 
@@ -52,7 +51,7 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], seed: int,
                fractions: Sequence[float] = SPLIT_FRACTIONS, out_col: str = SPLIT) -> DataFrame:
     """T3 (default mode): add ``split`` in {train, validation, test}; about 60/20/20."""
     a, b = _percent(fractions)
-    bucket = hash_bucket(df, key_cols, seed)
+    bucket = hash_bucket(key_cols, seed)
     return df.withColumn(out_col, F.when(bucket < a, TRAIN).when(bucket < b, VALIDATION)
                          .otherwise(TEST))
 
@@ -63,7 +62,10 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], seed: int,
     """T2 + T3 (exact mode): sizes floor(.6n), floor(.8n) - floor(.6n), n - floor(.8n)."""
     a, b = _percent(fractions)
     h = "_split_hash"
-    tagged = df.withColumn(h, hash_text(df, key_cols, seed)).withColumn("_one", F.lit(1).cast("bigint"))
+    # Written once: the local ranks and the buckets' totals both read it, so the input plan
+    # (joins, say) and the hash are computed once.
+    tagged = stage(df.withColumn(h, hash_text(key_cols, seed))
+                   .withColumn("_one", F.lit(1).cast("bigint")), "exact-split")
     # md5 is uniform, so its first 6 hex digits cut the order into even, ordered buckets
     # (no sampling pass, no staging): bucket = prefix * B / 16^6.
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

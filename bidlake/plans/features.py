@@ -76,13 +76,15 @@ def latest_in_audience(logs: Sequence[DataFrame], scores: DataFrame,
 def complete_rows(latest: DataFrame, scores: DataFrame, media: DataFrame,
                   score_columns: Sequence[str] | None = None,
                   on_media_duplicate: str = "keep",
-                  media_order: Sequence[str] | None = None) -> DataFrame:
+                  media_order: Sequence[str] | None = None,
+                  media_tie_breaker: str | None = None) -> DataFrame:
     """Steps 4-5: join the score and the media snapshot on ``ehhn``, keep complete rows.
-    ``on_media_duplicate`` is the fan-out policy for repeated keys in the snapshot."""
+    ``on_media_duplicate`` is the fan-out policy for repeated keys in the snapshot; for
+    ``latest`` the snapshot rows are ordered by ``media_order``, then ``media_tie_breaker``."""
     cols = list(score_columns) if score_columns else scores.columns
     with_score = join_on_key(latest, scores.select(*cols))
     with_media = join_on_key(with_score, media, on_duplicate=on_media_duplicate,
-                             order_by=media_order)
+                             order_by=media_order, tie_breaker=media_tie_breaker)
     return drop_incomplete(with_media)
 
 

@@ -3,7 +3,8 @@
 * ``conversion_share``: per cohort, the share of scored households whose conversion
   probability is strictly above the threshold, among households that also have a
   campaign score. NaN is not above the threshold but counts in the denominator; a cohort
-  without rows reports a NULL share.
+  without rows reports a NULL share. Scored cohorts that the caller doesn't list are
+  reported too.
 * ``score_bins``: the 2-D histogram a probability-vs-score scatter plot needs,
   ``(cohort, p_bin, s_bin, households)``; bins are computed on the executors, only the
   min/max of the score reach the driver; the joined rows are staged so the join runs once.
@@ -26,8 +27,7 @@ def conversion_share(predictions: DataFrame, scores: DataFrame, cohorts: Sequenc
                      cohort_col: str = "cohort") -> DataFrame:
     joined = join_on_key(scores.select(KEY, SCORE), predictions.select(KEY, cohort_col, prob_col))
     p = F.col(prob_col)
-    counts = (joined.where(F.col(cohort_col).isin(list(cohorts)))
-              .groupBy(cohort_col).agg(
+    counts = (joined.groupBy(cohort_col).agg(
                   F.count(F.lit(1)).cast("bigint").alias("households"),
                   F.count_if((p > F.lit(threshold)) & ~F.isnan(p)).cast("bigint").alias("converting")))
     # Every listed cohort gets a row: zero counts are unioned in and summed, so an empty

@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import KEY, SCORE
+from ..constants import BID_COLUMN, CONVERSION_COLUMN, KEY, SCORE
 from ..models.score import score_probability, score_regression
 from ..operators.encoding import OrdinalEncoding
 from ..operators.relational import drop_incomplete, join_on_key
@@ -22,6 +22,10 @@ from . import features
 from .training import household_snapshot
 
 
+#: Files of one cohort and week, at most.
+FILES_PER_LEAF = 8
+
+
 def household_vectors(spark: SparkSession, sf_dir: str, encoding: OrdinalEncoding | None = None
                       ) -> DataFrame:
     latest = features.latest_impressions(spark, sf_dir)
@@ -42,14 +46,20 @@ def score_conversion(model: PipelineModel, vectors: DataFrame, week: int = 1) ->
 
 
 def write_scores(scores: DataFrame, path: str, partition_by=("cohort", "week")) -> str:
-    """K3: CSV without an index column; cohort and week in the directory names."""
+    """K3: CSV without an index column; cohort and week in the directory names. Rows are
+    first dealt by those columns (and salted by the key), so a cohort is a few files
+    whatever the number of tasks, and a large one isn't written by one task."""
     cols = [c for c in partition_by if c in scores.columns]
-    return write_csv(scores, path, partition_by=cols)
+    spread = F.pmod(F.xxhash64(KEY), F.lit(FILES_PER_LEAF))
+    return write_csv(scores.repartition(*cols, spread), path, partition_by=cols)
 
 
-def combined_predictions(bids: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Bid and conversion outputs as one table per household and week
-    ``(ehhn, cohort, week, basebid, sales_conversion)``; both sides have one row per
-    household and week, so the join neither drops bids nor multiplies rows."""
-    return bids.join(conversions, [KEY, "week"], "inner").select(
-        KEY, "cohort", "week", "basebid", "sales_conversion")
+def combined_predictions(bid_model: PipelineModel, conversion_model: PipelineModel,
+                         vectors: DataFrame, week: int = 1) -> DataFrame:
+    """Bid and conversion of each household as one table
+    ``(ehhn, cohort, week, basebid, sales_conversion)``. Both models run over the same
+    rows in one pass, so the vectors are computed once and nothing is joined."""
+    keep = vectors.columns
+    bids = score_regression(bid_model, vectors, keep=[c for c in keep if c != KEY])
+    both = score_probability(conversion_model, bids, keep=("cohort", BID_COLUMN))
+    return both.select(KEY, "cohort", F.lit(week).alias("week"), BID_COLUMN, CONVERSION_COLUMN)

@@ -8,7 +8,8 @@ score and latest snapshot features; the label is the impression's cost
 2. fit the ordinal encoding on all rows, ordered by impression id (E1), and apply it (E2);
 3. drop identifier/leakage columns by the exclusion list (P6); rename the label (P4);
 4. second-price label shift with one seeded constant (P11, P12);
-5. stage the prepared table (lineage cut; every candidate fit re-reads it);
+5. the split rows are staged before encoding (lineage cut): the encoder fit and every
+   candidate fit re-read them, and encoding them again is a broadcast join of the mapping;
 6. fit the model families, keep the best validation R^2 (M1-M3), score the test split.
 """
 
@@ -154,19 +155,19 @@ def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int =
     return BidTraining(prepared, encoding, result, test_metrics)
 
 
-def train_conversion_model(spark: SparkSession, prepared: DataFrame, families=None,
+def train_conversion_model(prepared: DataFrame, families=None,
                            seed: int = DEFAULT_SEED, weighted: bool = True,
-                           class_fractions: dict | None = None) -> TrainingResult:
+                           class_fractions: dict | None = None,
+                           feature_cols=tuple(CONVERSION_FEATURES)) -> TrainingResult:
     """M7: conversion classifier on the same prepared rows (label ``converted``), with
     inverse-frequency class weights for the imbalance. ``class_fractions`` (D7) samples
     the training split per class, e.g. ``{1: 1.0, 0: 0.2}`` keeps every conversion."""
-    del spark
     data = class_weights(prepared, CONVERSION_LABEL) if weighted else prepared
     train = data.where(F.col(SPLIT) == TRAIN)
     if class_fractions is not None:
         train = stratified_sample(train, CONVERSION_LABEL, class_fractions, seed)
     val = data.where(F.col(SPLIT) == VALIDATION)
-    return train_classifiers(train, val, CONVERSION_FEATURES, CONVERSION_LABEL, families,
+    return train_classifiers(train, val, list(feature_cols), CONVERSION_LABEL, families,
                              "auc", seed, "weight" if weighted else None)
 
 
@@ -175,8 +176,12 @@ def conversion_test_metrics(model, prepared: DataFrame, group_cols=("cohort",),
     """Held-out evaluation of the conversion model per cohort: AUC, average precision and
     the threshold metrics of ``P(class 1) > threshold``, one row per cohort."""
     test = prepared.where(F.col(SPLIT) == TEST)
-    scored = model.transform(test).withColumn(P_CLASS1, vector_to_array(PROBABILITY)[1])
     groups = list(group_cols)
+    if not groups:
+        raise ValueError("conversion_test_metrics needs a group column")
+    # The model is applied once: the three metrics read the staged scores.
+    scored = stage(model.transform(test).select(
+        *groups, CONVERSION_LABEL, vector_to_array(PROBABILITY)[1].alias(P_CLASS1)), "scored-test")
     auc = roc_auc(scored, CONVERSION_LABEL, P_CLASS1, groups)
     ap = average_precision(scored, CONVERSION_LABEL, P_CLASS1, groups)
     thr = threshold_metrics(scored, CONVERSION_LABEL, P_CLASS1, threshold, groups)

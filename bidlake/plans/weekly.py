@@ -51,7 +51,7 @@ def run_weekly(spark: SparkSession, sf_dir: str, out_root: str, week: int = 1,
     write_parquet(bid.result.leaderboard, out("bid_leaderboard"))
     write_parquet(bid.test_metrics, out("bid_test_metrics"))
     save_model(bid.result.best, out("bid_model"))
-    conv = training.train_conversion_model(spark, prepared, classifiers, seed,
+    conv = training.train_conversion_model(prepared, classifiers, seed,
                                            class_fractions=class_fractions)
     write_parquet(conv.leaderboard, out("conversion_leaderboard"))
     write_parquet(training.conversion_test_metrics(conv.best, prepared),
@@ -62,9 +62,9 @@ def run_weekly(spark: SparkSession, sf_dir: str, out_root: str, week: int = 1,
     # The written output doubles as the lineage cut both scorers read from.
     write_parquet(scoring.household_vectors(spark, sf_dir, encoding), out("inference_vectors"))
     vectors = spark.read.parquet(paths["inference_vectors"])
-    bids = scoring.score_bids(load_model(spark, paths["bid_model"]), vectors, week)
+    bids = scoring.score_bids(load_model(paths["bid_model"]), vectors, week)
     scoring.write_scores(bids, out("bids"))
-    conversions = scoring.score_conversion(load_model(spark, paths["conversion_model"]),
+    conversions = scoring.score_conversion(load_model(paths["conversion_model"]),
                                            vectors, week)
     scoring.write_scores(conversions, out("conversions"))
 

@@ -8,6 +8,7 @@ stamp must not silently overwrite each other.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from pyspark.sql.types import StructType
 from ..session import stage_path
 
 
+#: Directory value that stands for a null partition value.
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
 def read_parquet(spark: SparkSession, path: str | Sequence[str],
                  columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet dataset scan; ``columns`` become the scan's ReadSchema."""
@@ -42,13 +47,23 @@ def latest_partition(spark: SparkSession, root: str, partition_col: str,
                      **fixed_values) -> DataFrame:
     """Read the newest value of ``partition_col`` (e.g. the latest ``cycle_date``).
 
-    The max is computed over the partition column only, which Spark answers from the
-    directory listing plus a tiny aggregate; the result is then used as a literal filter
-    so the main scan is pruned to one directory.
+    The newest value comes from the file names (``inputFiles``; no data is read); as a
+    literal filter it then prunes the scan to one directory. Values compare as Spark reads
+    them (dates as dates, numbers as numbers).
     """
     df = read_partition(spark, root, **fixed_values)
-    newest = df.agg(F.max(partition_col).alias("m")).first()["m"]
-    return df.where(F.col(partition_col) == F.lit(newest))
+    leaves = ({unquote(k): unquote(v) for k, e, v in (
+        part.partition("=") for part in file.split("/")) if e}
+        for file in spark.read.parquet(root).inputFiles())
+    names = {leaf[partition_col] for leaf in leaves
+             if all(leaf.get(k) == str(v) for k, v in fixed_values.items())}
+    names.discard(DEFAULT_PARTITION)
+    if not names:
+        return df.where(F.lit(False))
+    kind = df.schema[partition_col].dataType
+    values = spark.createDataFrame([(n,) for n in sorted(names)], "v string").select(
+        F.max(F.col("v").cast(kind)).alias("m"))
+    return df.where(F.col(partition_col) == F.lit(values.first()["m"]))
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str,

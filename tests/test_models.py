@@ -33,7 +33,7 @@ def test_classifier_probabilities_and_contract(spark, frame):
     train, val = frame.where("ehhn % 5 != 0"), frame.where("ehhn % 5 = 0")
     res = train_classifiers(train, val, ["a", "b"], "c", {"LR": None}, seed=1)
     path = save_model(res.best, stage_path(spark, "model-test"))
-    model = load_model(spark, path)
+    model = load_model(path)
     assert model_features(model) == ["a", "b"]
     out = score_probability(model, frame).collect()
     assert len(out) == 400 and all(0.0 <= r.sales_conversion <= 1.0 for r in out)

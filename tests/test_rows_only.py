@@ -6,14 +6,15 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from bidlake import catalog
 
 EXPECTED = {
-    "train_leaderboard": {"family", "params", "metric", "score", "fit_seconds", "is_champion"},
-    "bid_test_metrics": {"n", "r2", "mse"},
+    "train_leaderboard": {"family", "params", "metric", "score", "is_champion"},
+    "bid_test_metrics": {"n", "n_missing", "r2", "mse"},
     "score_bids": {"ehhn", "week", "basebid"},
     "score_conversion": {"ehhn", "cohort", "week", "sales_conversion"},
     "conversion_report": {"cohort", "households", "converting", "share"},
-    "live_pricing": {"ehhn", "event_id", "event_ts", "basebid"},
+    "live_pricing": {"ehhn", "event_id", "event_ts", "basebid", "reason"},
     "combined_predictions": {"ehhn", "cohort", "week", "basebid", "sales_conversion"},
     "conversion_test_metrics": {"cohort", "tp", "fp", "fn", "tn", "precision", "recall", "f1",
                                 "balanced_accuracy", "auc", "average_precision"},
@@ -21,7 +22,7 @@ EXPECTED = {
 
 
 def test_every_rows_only_query_is_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == set(EXPECTED)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == set(EXPECTED)
 
 
 @pytest.mark.parametrize("name", sorted(EXPECTED))

@@ -31,14 +31,32 @@ def test_live_pricing_dedups_and_falls_back_to_weekly(spark):
     weekly = spark.createDataFrame([(10, 1, 1), (11, 2, 2)], "ehhn bigint, event_type int, prop_k int")
 
     stream = realtime.impression_stream(spark, src)
-    bids = realtime.live_bids(stream, weekly, enc, model)
+    bids = realtime.live_bids(stream, weekly, enc, model, watermark="1 hour")
     sink = stage_path(spark, "stream-sink")
     q = realtime.start_live_pricing(bids, sink, stage_path(spark, "stream-ckpt"))
     q.awaitTermination()
     out = spark.read.parquet(sink)
     got = {r.event_id: r for r in out.collect()}
-    assert sorted(got) == [1, 2]          # duplicate dropped, unknown household not priced
-    assert all(r.basebid is not None for r in got.values())
+    assert sorted(got) == [1, 2, 3] and out.count() == 3      # duplicate dropped
+    assert all(got[i].basebid is not None and got[i].reason is None for i in (1, 2))
+    assert got[3].basebid is None and got[3].reason == realtime.NO_WEEKLY
+    assert realtime.late_rows(q) == 0
+
+
+def test_late_impressions_are_counted(spark):
+    """Files come one by one; a row two hours behind the newest is late by an hour."""
+    t0 = dt.datetime(2024, 1, 1, 12, 0)
+    src = stage_path(spark, "late-src")
+    for k, minutes in enumerate((0, 300, 60)):
+        row = (k, t0 + dt.timedelta(minutes=minutes), 10, "click", 1.0, '{"k": 1}')
+        write_parquet(_events(spark, [row]).coalesce(1), src, mode="append")
+    stream = realtime.impression_stream(spark, src, max_files_per_trigger=1)
+    seen = realtime.deduplicated(stream, "1 hour").select("ehhn", "event_id")
+    sink = stage_path(spark, "late-sink")
+    q = realtime.start_live_pricing(seen, sink, stage_path(spark, "late-ckpt"))
+    q.awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [0, 1]
+    assert realtime.late_rows(q) == 1
 
 
 def test_impression_stream_schema(spark, sf_small):
