@@ -14,8 +14,11 @@ Plan shape at scale:
 * fit: unpivot -> partial+final hash aggregate to ``(feature, category, first_seen)``
   -> range-partitioned row numbers (no one-task window, even for a column with
   millions of categories);
-* transform: one left join per column on the (broadcast, size-checked) mapping of that
-  column; a column whose mapping is too large to broadcast is shuffle-joined.
+* transform: one left join per column on that column's mapping. Mappings are broadcast,
+  smallest first, while their measured bytes together stay within the bound; the others are
+  shuffle-joined on the category and a salt, so a hot category (or null) goes to
+  ``bidlake.encoding.salts`` tasks. AQE alone couldn't split it: it doesn't split a join
+  that is fed by another join.
 """
 
 from __future__ import annotations
@@ -23,17 +26,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import NULL_CODE, UNKNOWN_CODE
 from ..sources.files import stage, write_parquet
-from .broadcast import broadcast_max_rows
+from .broadcast import broadcast_max_bytes, maybe_broadcast, measured_bytes
 from .sequence import row_numbers
 
 FEATURE = "feature"
 CATEGORY = "category"
 CODE = "code"
+#: Tasks that one category's rows are dealt to when its mapping isn't broadcast.
+SALTS = 16
 
 
 @dataclass
@@ -43,19 +48,19 @@ class OrdinalEncoding:
     mapping: DataFrame
     columns: list[str]
     scope: list[str] = field(default_factory=list)
-    # Categories per column, read once from the (small, staged) mapping and reused by
+    # Bytes of each column's mapping, measured once on the staged mapping and reused by
     # every transform's broadcast decision.
     sizes: dict[str, int] | None = None
 
-    def category_counts(self) -> dict[str, int]:
+    def mapping_bytes(self) -> dict[str, int]:
         if self.sizes is None:
-            self.sizes = {r[FEATURE]: r["n"] for r in self.mapping.groupBy(FEATURE)
-                          .agg(F.count(F.lit(1)).alias("n")).collect()}
+            self.sizes = {r[FEATURE]: r["b"] for r in self.mapping.groupBy(FEATURE)
+                          .agg(measured_bytes(self.mapping).alias("b")).collect()}
         return self.sizes
 
-    def transform(self, df: DataFrame, max_broadcast_rows: int | None = None,
+    def transform(self, df: DataFrame, max_broadcast_bytes: int | None = None,
                   columns: Sequence[str] | None = None) -> DataFrame:
-        return ordinal_transform(df, self, max_broadcast_rows, columns)
+        return ordinal_transform(df, self, max_broadcast_bytes, columns)
 
     def save(self, path: str, mode: str = "errorifexists") -> str:
         write_parquet(self.mapping, path, mode=mode)
@@ -70,12 +75,22 @@ class OrdinalEncoding:
         return cls(mapping, cols, scope)
 
 
-def _order_value(order_by: Sequence[str]) -> Column:
-    # One order column keeps the aggregate buffer fixed-width (hash aggregate);
-    # several are compared lexicographically as a struct.
-    if len(order_by) == 1:
-        return F.col(order_by[0])
-    return F.struct(*[F.col(c) for c in order_by])
+def _first_seen(long: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """The least order values (``_ord0``, then ``_ord1`` among those rows, ...) of each
+    category, as ``_first0``, ``_first1``, ...
+
+    A minimum over a struct has no hash aggregate: it would sort all rows before the shuffle.
+    So each column is a hash aggregate of its own, over the rows that have the least values
+    so far; those values are a row per category, broadcast if that is small."""
+    firsts = long.groupBy(*keys).agg(F.min("_ord0").alias("_first0"))
+    for k in range(1, parts):
+        least, _ = maybe_broadcast(firsts.select(
+            *[F.col(c).alias(f"_k_{c}") for c in keys], *[f"_first{j}" for j in range(k)]))
+        match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [
+            F.col(f"_ord{j}").eqNullSafe(F.col(f"_first{j}")) for j in range(k)]
+        firsts = long.join(least, match).groupBy(
+            *keys, *[f"_first{j}" for j in range(k)]).agg(F.min(f"_ord{k}").alias(f"_first{k}"))
+    return firsts
 
 
 def ordinal_fit(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] | str,
@@ -87,16 +102,17 @@ def ordinal_fit(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
     scope = list(scope)
     long = df.select(
         *scope,
-        _order_value(order_by).alias("_ord"),
+        *[F.col(c).alias(f"_ord{k}") for k, c in enumerate(order_by)],
         F.explode(F.array(*[
             F.struct(F.lit(c).alias(FEATURE), F.col(c).cast("string").alias(CATEGORY))
             for c in columns
         ])).alias("_kv"),
-    ).select(*scope, "_ord", F.col(f"_kv.{FEATURE}").alias(FEATURE),
+    ).select(*scope, *[f"_ord{k}" for k in range(len(order_by))], F.col(f"_kv.{FEATURE}").alias(FEATURE),
              F.col(f"_kv.{CATEGORY}").alias(CATEGORY))
-    firsts = long.groupBy(*scope, FEATURE, CATEGORY).agg(F.min("_ord").alias("_first"))
     # Categories seen only on rows without an order value come last.
-    ranked = row_numbers(firsts, [F.col("_first").asc_nulls_last(),
+    firsts = _first_seen(long, [*scope, FEATURE, CATEGORY], len(order_by))
+    ranked = row_numbers(firsts, [*[F.col(f"_first{k}").asc_nulls_last()
+                                    for k in range(len(order_by))],
                                   F.col(CATEGORY).asc_nulls_first()], CODE,
                          group_cols=[*scope, FEATURE], partitions=partitions)
     mapping = ranked.select(*scope, FEATURE, CATEGORY, F.col(CODE).cast("int").alias(CODE))
@@ -108,21 +124,19 @@ def ordinal_fit(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
 
 
 def ordinal_transform(df: DataFrame, enc: OrdinalEncoding,
-                      max_broadcast_rows: int | None = None,
+                      max_broadcast_bytes: int | None = None,
                       columns: Sequence[str] | None = None) -> DataFrame:
     """Replace each encoded column (or only ``columns``) by its integer code.
 
-    A column's mapping is broadcast when its category count is within
-    ``bidlake.encoding.maxBroadcastRows`` (default: the general broadcast bound). The
-    mapping grows with the number of categories, not with the data. A column with more
-    categories than that is shuffle-joined; AQE then splits a hot category's partition
-    (left outer join, skewed left side).
+    ``max_broadcast_bytes`` bounds all broadcast mappings of one transform together (default
+    ``bidlake.encoding.maxBroadcastBytes``, else the general broadcast bound).
     """
-    if max_broadcast_rows is None:
-        conf = df.sparkSession.conf.get("bidlake.encoding.maxBroadcastRows", None)
-        limit = int(conf) if conf else broadcast_max_rows(df)
-    else:
-        limit = max_broadcast_rows
+    conf = df.sparkSession.conf
+    left = max_broadcast_bytes
+    if left is None:
+        own = conf.get("bidlake.encoding.maxBroadcastBytes", None)
+        left = int(own) if own else broadcast_max_bytes(df)
+    salts = int(conf.get("bidlake.encoding.salts", str(SALTS)))
     targets = list(enc.columns if columns is None else columns)
     unknown = [c for c in targets if c not in enc.columns]
     if unknown:
@@ -130,18 +144,29 @@ def ordinal_transform(df: DataFrame, enc: OrdinalEncoding,
     missing = [c for c in targets + enc.scope if c not in df.columns]
     if missing:
         raise ValueError(f"frame lacks encoded columns {missing}")
-    sizes = enc.category_counts()
+    sizes = enc.mapping_bytes()
+    small = set()
+    for c in sorted(targets, key=lambda c: sizes.get(c, 0)):
+        left -= sizes.get(c, 0)
+        if left >= 0:
+            small.add(c)
     out = df
     for c in targets:
         m = enc.mapping.where(F.col(FEATURE) == c).select(
             *[F.col(s).alias(f"_m_{s}") for s in enc.scope],
             F.col(CATEGORY).alias("_m_cat"), F.col(CODE).alias("_m_code"))
-        if sizes.get(c, 0) <= limit:
-            m = F.broadcast(m)
         cond = F.col(c).cast("string").eqNullSafe(F.col("_m_cat"))
         for s in enc.scope:
             cond = cond & F.col(s).eqNullSafe(F.col(f"_m_{s}"))
-        joined = out.join(m, cond, "left")
+        if c in small:
+            m = F.broadcast(m)
+            rows = out
+        else:
+            m = m.withColumn("_m_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            rows = out.withColumn("_salt", F.pmod(F.xxhash64(*map(F.col, df.columns)),
+                                                  F.lit(salts)).cast("int"))
+            cond = cond & (F.col("_salt") == F.col("_m_salt"))
+        joined = rows.join(m, cond, "left")
         code = (F.when(F.col("_m_code").isNotNull(), F.col("_m_code"))
                 .when(F.col(c).isNull(), F.lit(NULL_CODE))
                 .otherwise(F.lit(UNKNOWN_CODE)))

@@ -38,7 +38,7 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str] = KEY,
 
 def latest_within_keys(df: DataFrame, keys: DataFrame, key: str = KEY,
                        time_col: str = EVENT_TIME, tie_breaker: str | Sequence[str] | None = None,
-                       max_broadcast_rows: int | None = None) -> DataFrame:
+                       max_broadcast_bytes: int | None = None) -> DataFrame:
     """Latest row per key, for keys present in ``keys`` only (J1 + W2).
 
     Same rows in either order; the order is chosen by the size of ``keys``:
@@ -49,7 +49,7 @@ def latest_within_keys(df: DataFrame, keys: DataFrame, key: str = KEY,
       window's partitioning on ``key``, so only ``keys`` is shuffled.
     """
     keys = keys.select(key)
-    small_keys, small = maybe_broadcast(keys, max_broadcast_rows)
+    small_keys, small = maybe_broadcast(keys, max_broadcast_bytes)
     if small:
         return latest_per_key(df.join(small_keys, key, "left_semi"), key, time_col, tie_breaker)
     return latest_per_key(df, key, time_col, tie_breaker).join(keys, key, "left_semi")

@@ -1,7 +1,7 @@
 """Projection, union, audience restriction, joins and key coverage (P*, U*, J*, F3, A1-A4).
 
 All operators are plain DataFrame transformations. The only actions are bounded
-checks: a row count of a dimension-sized side before broadcasting it, and an
+checks: the size of a dimension-sized side before broadcasting it, and an
 optional key-uniqueness check before a join.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import KEY
-from .broadcast import broadcast_max_rows, maybe_broadcast  # noqa: F401
+from .broadcast import maybe_broadcast
 from .latest import latest_per_key
 
 class FanOutError(ValueError):
@@ -62,15 +62,15 @@ def audience(log: DataFrame, scores: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def restrict_to_keys(df: DataFrame, keys: DataFrame, key: str = KEY,
-                     max_broadcast_rows: int | None = None) -> DataFrame:
+                     max_broadcast_bytes: int | None = None) -> DataFrame:
     """Keep rows of ``df`` whose key is in ``keys`` (left semi join: no duplicate
-    rows, no right columns). ``keys`` is broadcast only behind a row-count check; a large
+    rows, no right columns). ``keys`` is broadcast only behind a check of its bytes; a large
     key set falls back to a shuffled semi join, which AQE can split when skewed.
     Before a per-key window prefer ``latest_within_keys``, which orders the two steps so
     a hot key never reaches one task whole."""
     # Duplicate keys do not change a semi join, so no distinct (and no shuffle) first;
-    # the row count is then an upper bound on the distinct keys.
-    keys, _ = maybe_broadcast(keys.select(key), max_broadcast_rows)
+    # its size is then an upper bound on the distinct keys'.
+    keys, _ = maybe_broadcast(keys.select(key), max_broadcast_bytes)
     return df.join(keys, key, "left_semi")
 
 

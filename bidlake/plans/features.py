@@ -3,7 +3,7 @@
 Steps (one lazy plan from scan to encoded output; nothing is collected):
 1. union the yearly logs by name and project the used columns (U1, P1);
 2. restrict to the campaign audience with a left semi join on the household key (J1);
-   the key list is broadcast only when its row count is below the broadcast bound;
+   the key list is broadcast only when its bytes are below the broadcast bound;
 3. keep each household's latest impression (W1, W2; tie-break on ``event_id``);
 4. join the campaign score (J2) and the media-engagement snapshot (J3);
 5. drop rows with any null (F3);
@@ -67,10 +67,10 @@ def campaign_scores_from_source(df: DataFrame) -> DataFrame:
 def latest_in_audience(logs: Sequence[DataFrame], scores: DataFrame,
                        log_columns: Sequence[str] | None = IMPRESSION_COLUMNS,
                        tie_breaker: str | Sequence[str] | None = None,
-                       max_broadcast_rows: int | None = None) -> DataFrame:
+                       max_broadcast_bytes: int | None = None) -> DataFrame:
     """Steps 1-3 on any yearly logs and score table keyed ``ehhn``."""
     log = union_logs(list(logs), log_columns)
-    return latest_within_keys(log, scores, KEY, EVENT_TIME, tie_breaker, max_broadcast_rows)
+    return latest_within_keys(log, scores, KEY, EVENT_TIME, tie_breaker, max_broadcast_bytes)
 
 
 def complete_rows(latest: DataFrame, scores: DataFrame, media: DataFrame,
@@ -127,11 +127,11 @@ def audience_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_impressions(spark: SparkSession, sf_dir: str,
-                       max_broadcast_rows: int | None = None) -> DataFrame:
+                       max_broadcast_bytes: int | None = None) -> DataFrame:
     """Steps 2-3: each audience household's latest impression."""
     return latest_in_audience(standins.impression_logs(spark, sf_dir),
                               standins.campaign_scores(spark, sf_dir), LOG_COLUMNS,
-                              "event_id", max_broadcast_rows)
+                              "event_id", max_broadcast_bytes)
 
 
 def raw_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..constants import CONVERSION_COLUMN, KEY
 from ..models.score import load_model
 from ..models.train import save_model
-from ..session import build_session, run_stamp
+from ..session import build_session, release, run_stamp
 from ..sources import standins
 from ..sources.files import read_csv, write_parquet
 from . import features, scoring, training
@@ -83,13 +83,14 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--week", type=int, default=1)
     ap.add_argument("--seed", type=int, default=training.DEFAULT_SEED)
-    ap.add_argument("--master", default="local[8]")
+    ap.add_argument("--master", default=None, help="only to override the submit command's")
     ap.add_argument("--train-fraction", type=float, default=None,
                     help="fit the bid model on this seeded share of the training split")
     args = ap.parse_args(argv)
     spark = build_session(args.master)
     paths = run_weekly(spark, args.data, args.out, args.week, args.seed,
                        train_fraction=args.train_fraction)
+    release(spark)
     print(json.dumps(paths, indent=1))
 
 

@@ -18,19 +18,20 @@ from .constants import RUN_STAMP_PYTHON, RUN_STAMP_SPARK
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "bidlake", driver_memory: str = "8g",
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app_name: str = "bidlake", driver_memory: str | None = None,
                   event_log_dir: str | None = None) -> SparkSession:
     """A session tuned for this workload.
 
     AQE coalesces small shuffles and splits skewed join partitions at run time;
     the UI is off (no HTTP server); timestamps are compared in UTC. ``event_log_dir``
-    turns on Spark's event log (stage and task times for offline inspection).
+    turns on Spark's event log (stage and task times for offline inspection). Master, shuffle
+    partitions and driver memory are set only if given: on a cluster they come from the
+    submit command.
     """
     builder = (
-        SparkSession.builder.master(master)
+        SparkSession.builder
         .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -38,8 +39,12 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", driver_memory)
     )
+    given = {"spark.master": master, "spark.sql.shuffle.partitions": shuffle_partitions,
+             "spark.driver.memory": driver_memory}
+    for name, value in given.items():
+        if value is not None:
+            builder = builder.config(name, str(value))
     if event_log_dir:
         builder = (builder.config("spark.eventLog.enabled", "true")
                    .config("spark.eventLog.dir", event_log_dir))
@@ -56,7 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if conf_dir:
         return conf_dir
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach; "
                            "bidlake stages intermediates there")
     # Local/test fallback only: one process, so a temporary folder is shared by all tasks.
@@ -68,10 +73,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or path
 
 
+def is_local(master: str) -> bool:
+    """Whether all tasks run in the driver's own process."""
+    return master == "local" or master.startswith("local[")
+
+
+def stage_root(spark: SparkSession) -> str:
+    """This application's own part of the staging folder."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/bidlake-stage/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared staging folder for one materialised table."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/bidlake-stage/{name}-{run_stamp()}-{uuid.uuid4().hex[:12]}"
+    return f"{stage_root(spark)}/{name}-{run_stamp()}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has staged. Call it when a run's outputs are
+    written: plans that read staged tables no longer work afterwards."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run_stamp(at: float | None = None) -> str:

@@ -12,7 +12,8 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 def spark():
     from bidlake.session import build_session
 
-    s = build_session("local[4]", shuffle_partitions=8, app_name="bidlake-tests")
+    s = build_session("local[4]", shuffle_partitions=8, app_name="bidlake-tests",
+                      driver_memory="8g")
     yield s
     s.stop()
 

@@ -21,7 +21,7 @@ from bidlake.session import build_session  # noqa: E402
 def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv and argv[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv if not a.startswith("/")]
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, driver_memory="8g")
     queries, sqls = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in names or list(queries):

@@ -74,3 +74,40 @@ def test_matches_brute_force(spark, values):
 def test_rows_without_order_value_come_last(spark):
     df = spark.createDataFrame([(None, "z"), (2, "b"), (1, "a")], "o int, c string")
     assert _codes(ordinal_fit(df, ["c"], "o")) == {("c", "a"): 1, ("c", "b"): 2, ("c", "z"): 3}
+
+
+def test_unknown_query_has_both_codes(spark, sf_small):
+    from bidlake import catalog
+
+    codes = {r.prop_k for r in catalog.QUERIES["ordinal_unknown"](spark, sf_small).collect()}
+    assert {-1, -2} < codes
+
+
+def test_large_mappings_are_not_broadcast_together(spark):
+    """Nine mappings that fit the bound one by one don't all get a hint; the salted
+    shuffle join gives the same codes, hot category and null included."""
+    from planutil import plan_text
+
+    rows = [(i, "hot" if i % 3 else f"c{i}", None if i % 5 == 0 else str(i % 40)) for i in range(600)]
+    df = spark.createDataFrame(rows, "o int, a string, b string")
+    enc = ordinal_fit(df, ["a", "b"], "o")
+    whole = sorted(map(tuple, enc.transform(df).collect()))
+    sizes = enc.mapping_bytes()
+    one = enc.transform(df, max_broadcast_bytes=max(sizes.values()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan_text(one, "simple").count("BroadcastHashJoin") == 1
+        none = enc.transform(df, max_broadcast_bytes=0)
+        assert "BroadcastHashJoin" not in plan_text(none, "simple")
+        assert sorted(map(tuple, none.collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, one.collect())) == whole
+
+
+def test_several_order_columns(spark):
+    rows = [(2, 1, "a"), (1, 9, "b"), (1, 3, "c"), (None, 0, "d"), (2, 0, "e"), (1, 3, "a")]
+    df = spark.createDataFrame(rows, "t int, k int, x string")
+    enc = ordinal_fit(df, ["x"], ["t", "k"])
+    codes = {r.category: r.code for r in enc.mapping.collect()}
+    assert codes == {"a": 1, "c": 2, "b": 3, "e": 4, "d": 5}

@@ -114,3 +114,24 @@ def test_regression_ignores_rows_missing_a_value(spark):
                                "y double, p double")
     r = regression_metrics(df, "y", "p").first()
     assert (r.n, r.r2, r.mse) == (2, 1.0, 0.0)
+
+
+def test_mse_champion_at_bid_scale(spark):
+    """Labels of a few thousandths: the MSE is tiny but not 0, and the better model wins."""
+    from bidlake.models.train import train_regressors
+
+    df = spark.range(200).selectExpr("id", "CAST(id % 17 AS DOUBLE) AS a",
+                                     "0.002 + (id % 17) * 0.0001 AS y")
+    for order in ([0.0, 1e6], [1e6, 0.0]):
+        got = train_regressors(df, df, ["a"], "y", {"LM": {"regParam": order}}, metric="mse")
+        assert got.best_params == {"regParam": 0.0}
+        assert max(r.score for r in got.leaderboard.collect()) > 1e-8
+
+
+def test_regression_metrics_full_precision_and_missing(spark):
+    rows = [(0.002, 0.0021), (0.004, 0.0039), (0.003, None), (None, 0.001)]
+    r = regression_metrics(spark.createDataFrame(rows, "y double, p double"), "y", "p").first()
+    assert (r.n, r.n_missing) == (2, 2)
+    assert math.isclose(r.mse, 1e-8, rel_tol=1e-9) and math.isclose(r.r2, 0.99, rel_tol=1e-9)
+    none = regression_metrics(spark.createDataFrame([(None, 1.0)], "y double, p double"), "y", "p")
+    assert none.first().asDict() == {"n": 0, "n_missing": 1, "r2": None, "mse": None}

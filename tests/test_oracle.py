@@ -31,11 +31,11 @@ NO_BROADCAST = ["prepared_training", "feature_vectors", "latest_per_key", "audie
 @pytest.mark.parametrize("name", NO_BROADCAST)
 def test_large_data_paths_match_duckdb(spark, sf_small, name):
     """The plans taken when nothing may be broadcast (size checks fail) give the same rows."""
-    spark.conf.set("bidlake.broadcast.maxRows", "0")
+    spark.conf.set("bidlake.broadcast.maxBytes", "0")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         res = compare(spark, entry.queries()[name], SQL[name], sf_small)
     finally:
-        spark.conf.unset("bidlake.broadcast.maxRows")
+        spark.conf.unset("bidlake.broadcast.maxBytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert res["hash_match"] and res["cols_match"], res

@@ -3,6 +3,7 @@ import math
 import pytest
 from planutil import plan_text
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from bidlake.operators.latest import latest_per_key
 from bidlake.operators.relational import (
@@ -96,7 +97,7 @@ def test_restrict_semi_join_no_duplicates(spark):
     keys = spark.createDataFrame([(1,), (1,)], "ehhn bigint")
     assert restrict_to_keys(df, keys).collect() == [Row(ehhn=1, x="a")]
     # The shuffled fallback (no broadcast) gives the same rows.
-    assert restrict_to_keys(df, keys, max_broadcast_rows=0).collect() == [Row(ehhn=1, x="a")]
+    assert restrict_to_keys(df, keys, max_broadcast_bytes=0).collect() == [Row(ehhn=1, x="a")]
 
 
 def test_key_coverage_counts(spark):
@@ -114,7 +115,7 @@ def test_large_audience_path_limits_before_its_only_log_shuffle(spark):
     df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS ehhn",
                                       "id AS t")
     keys = spark.range(0, 3000, 7).selectExpr("id AS ehhn")
-    out = latest_within_keys(df, keys, "ehhn", "t", max_broadcast_rows=0)
+    out = latest_within_keys(df, keys, "ehhn", "t", max_broadcast_bytes=0)
     plan = plan_text(out, "simple")
     assert plan.count("WindowGroupLimit") >= 2 and "LeftSemi" in plan
     assert plan.index("LeftSemi") < plan.index("Window [")  # semi join above the window
@@ -129,16 +130,39 @@ def test_maybe_broadcast_decision(spark):
 
     small = spark.range(5).withColumnRenamed("id", "ehhn")
     big_bound = spark.range(100)
-    b, ok = maybe_broadcast(small, max_rows=10)
+    b, ok = maybe_broadcast(small, max_bytes=1000)
     assert ok and "broadcast" in _pt(spark.range(3).withColumnRenamed("id", "ehhn")
                                      .join(b, "ehhn"), "simple").lower()
-    assert maybe_broadcast(small, max_rows=10, bound=big_bound)[1] is False
-    assert maybe_broadcast(small, max_rows=0)[1] is False
-    spark.conf.set("bidlake.broadcast.maxRows", "3")
+    assert maybe_broadcast(small, max_bytes=1000, bound=big_bound)[1] is False
+    assert maybe_broadcast(small, max_bytes=0)[1] is False
+    spark.conf.set("bidlake.broadcast.maxBytes", "100")
     try:
         assert maybe_broadcast(small)[1] is False
     finally:
-        spark.conf.unset("bidlake.broadcast.maxRows")
+        spark.conf.unset("bidlake.broadcast.maxBytes")
+
+
+def test_broadcast_counts_bytes_not_rows(spark):
+    from bidlake.operators.broadcast import maybe_broadcast, parse_bytes
+
+    wide = spark.range(50).selectExpr("id AS ehhn", "repeat('x', 1000) AS t")
+    assert maybe_broadcast(wide.select("ehhn"), max_bytes=10_000)[1] is True
+    assert maybe_broadcast(wide, max_bytes=10_000)[1] is False
+    nine_million = spark.range(9_000_000).selectExpr("concat('household-', id) AS ehhn")
+    assert maybe_broadcast(nine_million)[1] is False
+    assert [parse_bytes(x) for x in ("10485760b", "256k", "1gb", "-1")] == [
+        10485760, 262144, 1 << 30, -1]
+
+
+def test_latest_join_honours_every_order_column(spark):
+    left = spark.createDataFrame([(1, "a")], "ehhn bigint, x string")
+    right = spark.createDataFrame(
+        [(1, 5, 1, 1), (1, 5, 9, 2), (1, 5, 9, 3), (1, 4, 99, 4), (1, None, 100, 5)],
+        "ehhn bigint, d int, h int, id int")
+    for rows in (right, right.orderBy(F.desc("id"))):
+        got = join_on_key(left, rows, on_duplicate="latest", order_by=["d", "h"],
+                          tie_breaker="id").collect()
+        assert [(r.d, r.h, r.id) for r in got] == [(5, 9, 3)]
 
 
 def test_latest_policy_needs_an_order(spark):

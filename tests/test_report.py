@@ -19,3 +19,11 @@ def test_score_bins_cover_all_rows(spark):
     bins = score_bins(preds, scores, 10, 5).collect()
     assert sum(r.households for r in bins) == 50
     assert max(r.s_bin for r in bins) == 4 and max(r.p_bin for r in bins) == 9
+
+
+def test_scored_cohorts_that_are_not_listed_stay(spark):
+    preds = spark.createDataFrame([(1, "A", 0.9), (2, "B", 0.1)],
+                                  "ehhn bigint, cohort string, sales_conversion double")
+    scores = spark.createDataFrame([(1, 1.0), (2, 2.0)], "ehhn bigint, ngr_score double")
+    got = {r.cohort: r.households for r in conversion_share(preds, scores, ["A"]).collect()}
+    assert got == {"A": 1, "B": 1}

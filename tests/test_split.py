@@ -34,3 +34,12 @@ def test_label_shift_constant(spark):
     shifted = label_shift(df, "biddingprice", u).select(F.col("biddingprice")).collect()
     deltas = {round(s.biddingprice - float(o.biddingprice), 12) for s, o in zip(shifted, df.collect())}
     assert len(deltas) == 1
+
+
+def test_hash_tells_near_doubles_and_nulls_apart(spark):
+    from bidlake.operators.split import hash_text
+
+    rows = [(0.0021, "a", None), (0.0024, "a", None), (1e17, "a", None), (0.0021, None, "a")]
+    df = spark.createDataFrame(rows, "x double, p string, q string")
+    hashes = [r.h for r in df.select(hash_text(["x", "p", "q"], 1).alias("h")).collect()]
+    assert len(set(hashes)) == 4

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from bidlake.models.train import train_regressors
 from bidlake.operators.encoding import ordinal_fit
@@ -44,18 +45,20 @@ def test_live_pricing_dedups_and_falls_back_to_weekly(spark):
 
 
 def test_late_impressions_are_counted(spark):
-    """Files come one by one; a row two hours behind the newest is late by an hour."""
+    """Files come one by one; the last row is far behind the others. (Spark judges lateness
+    by the watermark of the batch before.)"""
     t0 = dt.datetime(2024, 1, 1, 12, 0)
     src = stage_path(spark, "late-src")
-    for k, minutes in enumerate((0, 300, 60)):
+    for k, minutes in enumerate((0, 300, 301, 60)):
         row = (k, t0 + dt.timedelta(minutes=minutes), 10, "click", 1.0, '{"k": 1}')
         write_parquet(_events(spark, [row]).coalesce(1), src, mode="append")
+        time.sleep(1.1)  # files are read in the order of their times
     stream = realtime.impression_stream(spark, src, max_files_per_trigger=1)
     seen = realtime.deduplicated(stream, "1 hour").select("ehhn", "event_id")
     sink = stage_path(spark, "late-sink")
     q = realtime.start_live_pricing(seen, sink, stage_path(spark, "late-ckpt"))
     q.awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [0, 1]
+    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [0, 1, 2]
     assert realtime.late_rows(q) == 1
 
 

@@ -44,15 +44,15 @@ def main() -> None:
     out = ["# Physical plans", "",
            f"Generated by `tools/explain_plans.py` on `{sf_dir}`. \"local\": as run here. "
            "\"at scale\": auto-broadcast off, AQE off (static plan), and the audience key set "
-           "treated as too large to broadcast (`bidlake.broadcast.maxRows=0`). Encoder "
-           "mappings keep their own bound (`bidlake.encoding.maxBroadcastRows`): they grow "
+           "treated as too large to broadcast (`bidlake.broadcast.maxBytes=0`). Encoder "
+           "mappings keep their own bound (`bidlake.encoding.maxBroadcastBytes`): they grow "
            "with the number of categories, not with the data.", ""]
     for mode in ("local", "at scale"):
         if mode == "at scale":
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
             spark.conf.set("spark.sql.adaptive.enabled", "false")
-            spark.conf.set("bidlake.broadcast.maxRows", "0")
-            spark.conf.set("bidlake.encoding.maxBroadcastRows", "10000000")
+            spark.conf.set("bidlake.broadcast.maxBytes", "0")
+            spark.conf.set("bidlake.encoding.maxBroadcastBytes", "10000000")
         for key in KEYS:
             df = catalog.QUERIES[key](spark, sf_dir)
             out += [f"## {key} ({mode})", "", "```", plan(df), "```", ""]

@@ -57,7 +57,7 @@ def main() -> None:
 
     sc = spark.sparkContext
     sc.setJobGroup("bidlake", "bidlake")
-    a = latest_within_keys(log, keys, "ehhn", "LogEntryTime", "event_id", max_broadcast_rows=0)
+    a = latest_within_keys(log, keys, "ehhn", "LogEntryTime", "event_id", max_broadcast_bytes=0)
     a.write.format("noop").mode("overwrite").save()
     sc.setJobGroup("naive", "naive")
     b = latest_per_key(log.join(keys, "ehhn", "left_semi"), "ehhn", "LogEntryTime", "event_id")
