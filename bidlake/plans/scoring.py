@@ -26,13 +26,21 @@ from .training import household_snapshot
 FILES_PER_LEAF = 8
 
 
+def household_vectors_from(latest: DataFrame, scores: DataFrame, snapshot: DataFrame,
+                           encoding: OrdinalEncoding | None = None) -> DataFrame:
+    """One complete row per household from the caller's tables: its latest impression, its
+    score and its snapshot row, all keyed ``ehhn``; encoded with the training encoding."""
+    complete = drop_incomplete(join_on_key(join_on_key(latest, scores), snapshot))
+    return encoding.transform(complete) if encoding is not None else complete
+
+
 def household_vectors(spark: SparkSession, sf_dir: str, encoding: OrdinalEncoding | None = None
                       ) -> DataFrame:
-    latest = features.latest_impressions(spark, sf_dir)
-    scores = standins.campaign_scores(spark, sf_dir).select(KEY, SCORE, "cohort")
-    rows = join_on_key(join_on_key(latest, scores), household_snapshot(spark, sf_dir))
-    complete = drop_incomplete(rows)
-    return encoding.transform(complete) if encoding is not None else complete
+    """The same over the stand-in tables."""
+    return household_vectors_from(
+        features.latest_impressions(spark, sf_dir),
+        standins.campaign_scores(spark, sf_dir).select(KEY, SCORE, "cohort"),
+        household_snapshot(spark, sf_dir), encoding)
 
 
 def score_bids(model: PipelineModel, vectors: DataFrame, week: int = 1) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import EVENT_TIME, EXCLUDED_TRAINING_COLUMNS, KEY, LABEL, SCORE, SOURCE_LABEL
@@ -68,38 +68,55 @@ CONVERSION_FEATURES = ["prop_k", "UserHourOfWeek", "ngr_score", "o_totalprice",
 # --- end of fixed values -------------------------------------------------------
 
 
-def household_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest snapshot order per household (one row per key)."""
-    return latest_per_key(standins.media_engagement(spark, sf_dir), KEY, "o_orderdate",
-                          "o_orderkey")
-
+def training_rows_from(log: DataFrame, scores: DataFrame, snapshot: DataFrame,
+                       converted: Column | None = None) -> DataFrame:
+    """Complete training rows (no null or NaN in any column) from the caller's tables.
 
-def bid_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete impression rows (no null or NaN in any column).
+    ``log`` holds impressions with their cost and a row id; ``scores`` and ``snapshot`` one row
+    per household; all are keyed ``ehhn``. ``converted`` is the 0/1 outcome of an impression.
 
-    The household side (campaign score + latest snapshot order) has one row per key, so
-    it is joined first and the log is joined to it once: that single inner join both
-    restricts the log to the audience and attaches the features. The household side is
-    broadcast when its row count allows; otherwise it is staged, so the join reads two
-    plain shuffles and AQE can split a hot household's partition.
+    The household side has one row per key, so it is joined first and the log is joined to
+    it once: that single inner join both restricts the log to the audience and attaches the
+    features. The household side is broadcast when its size allows; otherwise it is staged, so
+    the join reads two plain shuffles and AQE can split a hot household's partition
+    (docs/SKEW.md).
     """
-    log = features.impression_log(spark, sf_dir)
-    scores = standins.campaign_scores(spark, sf_dir).select(KEY, SCORE, "cohort")
-    households = join_on_key(scores, household_snapshot(spark, sf_dir))
+    households = join_on_key(scores, snapshot)
     # At most one row per score row: the score table's count bounds the household side.
     households, small = maybe_broadcast(households, bound=scores)
     if not small:
-        # Staged so both join inputs are plain shuffle reads: only then can AQE split a
-        # hot household's share of the log over several tasks (docs/SKEW.md).
         households = stage(households, "households")
     rows = log.join(households, KEY, "inner")
-    return drop_incomplete(rows.select(
-        F.col("event_id").alias(ROW_ID), KEY, EVENT_TIME, "event_type", "prop_k",
-        "UserHourOfWeek", SCORE,
-        "cohort", "o_totalprice", "o_orderstatus", "o_orderpriority",
-        F.when(F.col("event_type") == CONVERSION_EVENT, 1).otherwise(0).alias(CONVERSION_LABEL),
-        F.col("cost").alias(SOURCE_LABEL),
-    ))
+    if converted is not None:
+        rows = rows.withColumn(CONVERSION_LABEL, converted.cast("int"))
+    return drop_incomplete(rows)
+
+
+# ---------------------------------------------------------------------------------
+# The same over the driver's stand-in tables.
+# ---------------------------------------------------------------------------------
+SNAPSHOT_FEATURES = ["o_totalprice", "o_orderstatus", "o_orderpriority"]
+
+
+def household_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest snapshot order per household (one row per key)."""
+    return latest_per_key(standins.media_engagement(spark, sf_dir), KEY, "o_orderdate",
+                          "o_orderkey")
+
+
+def standin_training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = rename_columns(features.impression_log(spark, sf_dir),
+                         {"event_id": ROW_ID, "cost": SOURCE_LABEL})
+    return log.select(ROW_ID, KEY, EVENT_TIME, "event_type", "prop_k", "UserHourOfWeek",
+                      SOURCE_LABEL)
+
+
+def bid_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_rows_from(
+        standin_training_log(spark, sf_dir),
+        standins.campaign_scores(spark, sf_dir).select(KEY, SCORE, "cohort"),
+        household_snapshot(spark, sf_dir).select(KEY, *SNAPSHOT_FEATURES),
+        F.col("event_type") == CONVERSION_EVENT)
 
 
 def prepare_training(rows: DataFrame, categoricals: list[str], row_id: str, seed: int,
@@ -140,8 +157,9 @@ def prepared_bid_rows(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED
 def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int = DEFAULT_SEED,
                     prepared: DataFrame | None = None,
                     encoding: OrdinalEncoding | None = None,
-                    train_fraction: float | None = None) -> BidTraining:
-    """``train_fraction``: fit on a seeded sample of the training split (the workflow
+                    train_fraction: float | None = None,
+                    feature_cols=tuple(BID_FEATURES)) -> BidTraining:
+    """Train on ``prepared`` rows (default: the stand-ins'). ``train_fraction``: fit on a seeded sample of the training split (the workflow
     trains on a sampled set); validation and test stay whole. Default: the whole split."""
     if prepared is None:
         prepared, encoding = prepared_bid_rows(spark, sf_dir, seed)
@@ -150,7 +168,7 @@ def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int =
         train = train.sample(fraction=train_fraction, seed=seed)
     val = prepared.where(F.col(SPLIT) == VALIDATION)
     test = prepared.where(F.col(SPLIT) == TEST)
-    result = train_regressors(train, val, BID_FEATURES, LABEL, families, "r2", seed)
+    result = train_regressors(train, val, list(feature_cols), LABEL, families, "r2", seed)
     test_metrics = regression_metrics(result.best.transform(test), LABEL, PREDICTION)
     return BidTraining(prepared, encoding, result, test_metrics)
 

@@ -1,8 +1,9 @@
 import math
 
+from bidlake import catalog
 from bidlake.operators.impute import fill_values, impute
 from bidlake.operators.split import stratified_sample
-from bidlake.plans.weekly import run_weekly
+from bidlake.plans.weekly import run_weekly, standin_inputs
 from bidlake.session import stage_path
 
 
@@ -24,8 +25,11 @@ def test_stratified_sample_keeps_all_of_a_class(spark):
 
 
 def test_weekly_run_writes_every_output(spark, sf_small):
-    paths = run_weekly(spark, sf_small, stage_path(spark, "weekly"),
+    paths = run_weekly(spark, standin_inputs(spark, sf_small), stage_path(spark, "weekly"),
                        regressors={"LM": None}, classifiers={"LR": None}, stamp="0101202400")
+    vectors = spark.read.parquet(paths["feature_vectors"])
+    want = catalog.QUERIES["raw_feature_vectors"](spark, sf_small)
+    assert vectors.count() == want.count()
     for name in ("audience", "bid_leaderboard", "bids", "conversions", "conversion_share"):
         assert name in paths
     cm = spark.read.parquet(paths["conversion_test_metrics"]).collect()
