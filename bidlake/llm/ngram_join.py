@@ -37,7 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, partitions, release, small_batches, stage, text_bytes
+from .common import (
+    BLOCK_BYTES,
+    blocks,
+    mix,
+    partitions,
+    release,
+    small_batches,
+    stage,
+    text_bytes,
+)
 from .components import connected_components
 from .words import byte_class, lowered, word_bounds, word_hashes
 
@@ -134,7 +143,7 @@ def pack_sets(batches: Iterator[pa.RecordBatch], heavy: np.ndarray,
               parts: int) -> Iterator[pa.RecordBatch]:
     """Shingles with their classes, dealt by shingle; sizes and heavy shingles, dealt by class.
     A class goes out once per block."""
-    for table in blocks(batches, "text", 4 * (2 << 20)):
+    for table in blocks(batches, "text", 2 * BLOCK_BYTES):
         hashes, owners, docs = shingle_sets(*text_bytes(table.column("text")))
         sizes, names = set_names(hashes, owners, docs)
         once = np.zeros(docs, bool)
