@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 MAX_RATIO = 0.1
 MIN_PAGES = 5
 #: Tasks that the pages of one host are dealt to, at most.
@@ -49,7 +51,8 @@ def line_key(line: Column) -> Column:
 def drop_boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO,
                            min_pages: int = MIN_PAGES, stats: str = "line_stats") -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text``, and a struct column ``stats``
-    (host_pages, n_lines, n_dropped; lines that are not blank)."""
+    (host_pages, n_lines, n_dropped; lines that are not blank). ``pages`` is read three times;
+    if its plan is costly, pass a written table."""
     rows = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != stats]).alias("row"),
         F.col(f"`{host}`").alias("host"), F.split(F.col(f"`{text}`"), "\n").alias("lines"),
@@ -81,8 +84,10 @@ def drop_boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: fl
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All pages without the boilerplate lines of their site."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
-        "page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    # the lines are read three times, so they are taken from the HTML once and written
+    pages = stage(spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")),
+        "page-lines")
     out = drop_boilerplate_lines(pages, "host", "text")
     return out.select(
         "page_id", "host", "text",
