@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, partitions, small_batches, stage, text_bytes
+from .common import blocks, lean, mix, partitions, small_batches, stage, text_bytes
 from .words import powers
 
 LENGTH = 100
@@ -50,10 +50,10 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Windows of one span of covered windows at most; longer ones are cut.
 RUN = 60_000
 #: Suffixes sorted at once.
-SUFFIXES = 1 << 20
-BLOCK = 4 << 20
+SUFFIXES = 1 << 18
+BLOCK = 2 << 20
 #: Windows hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 REGION, COVER, PICK, TEXT, CONTENT = range(5)
 FIELDS = ("doc", "start", "count", "key", "mark", "body")
@@ -500,12 +500,12 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         names = stage(source.orderBy(F.col("doc_id").asc_nulls_last(), "text").select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
         source = names.select(F.col("row").alias("doc_id"), "text")
-    texts = source.mapInArrow(lambda b: squeeze(b, parts), PACKED)
+    texts = source.mapInArrow(lean(lambda b: squeeze(b, parts)), PACKED)
 
     def meet(rows: DataFrame, function, schema: str = PACKED) -> DataFrame:
-        return rows.repartitionById(parts, F.col("part")).mapInArrow(function, schema)
+        return rows.repartitionById(parts, F.col("part")).mapInArrow(lean(function), schema)
 
-    found = source.mapInArrow(lambda b: find_regions(b, parts), PACKED)
+    found = source.mapInArrow(lean(lambda b: find_regions(b, parts)), PACKED)
     settled = stage(meet(found, lambda b: compare_regions(b, parts)), "regions")
     contents = meet(settled.where(F.col("kind") == PICK).unionByName(texts),
                     lambda b: cut_out(b, parts))
