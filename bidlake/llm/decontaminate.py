@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, stage, text_bytes
+from .common import blocks, lean, small_batches, stage, text_bytes
 from .words import byte_class, lowered, word_bounds, word_hashes
 
 WINDOW = 10
@@ -351,7 +351,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, keep: list[st
         last, text = after is None, after is not None or cut
         schema = ", ".join(x for x in (plain, "text string" * text, added) if x)
         found = found.mapInArrow(
-            lambda b, t=shared, m=more, x=text, c=last and cut: scan(b, t.value, m, x, c), schema)
+            lean(lambda b, t=shared, m=more, x=text, c=last and cut: scan(b, t.value, m, x, c)),
+            schema)
         if not last:
             found = stage(found, "decontaminate")
         test, more = after, True

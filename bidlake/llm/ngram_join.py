@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import (
     BLOCK_BYTES,
     blocks,
+    lean,
     mix,
     partitions,
     release,
@@ -406,7 +407,7 @@ def joined(tasks: DataFrame) -> DataFrame:
     """Links found in all tasks (task, side, name, size, label, shingles, df)."""
     return (tasks.repartition(partitions(tasks.sparkSession), "task")
             .sortWithinPartitions("task", "name")
-            .mapInArrow(join_batches, "u bigint, v bigint"))
+            .mapInArrow(lean(join_batches), "u bigint, v bigint"))
 
 
 def set_links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -455,7 +456,7 @@ def near_duplicates(documents: DataFrame, chunk: int = CHUNK,
     parts = partitions(spark)
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stage(source.mapInArrow(
-        lambda b: describe(b, heavy_share),
+        lean(lambda b: describe(b, heavy_share)),
         "doc_id bigint, n_shingles bigint, name bigint, shingle bigint, n bigint"), "sets")
     named = described.where(F.col("name").isNotNull()).select("doc_id", "n_shingles", "name")
     total = named.count()
@@ -464,12 +465,12 @@ def near_duplicates(documents: DataFrame, chunk: int = CHUNK,
              .where(F.col("n") >= max(2.0, heavy_share * total / 2)).collect()]
     shared = spark.sparkContext.broadcast(np.sort(np.array(heavy, np.int64).view(np.uint64)))
     packed = source.select("text").mapInArrow(
-        lambda b: pack_sets(b, shared.value, parts), PACKED)
+        lean(lambda b: pack_sets(b, shared.value, parts)), PACKED)
     counted = packed.repartitionById(parts, F.col("part")).mapInArrow(
-        lambda b: count_shingles(b, parts), PACKED)
+        lean(lambda b: count_shingles(b, parts)), PACKED)
     sets = stage(counted.repartitionById(parts, F.col("part")).mapInArrow(
-        survivors, "name bigint, size bigint, shingles binary, df binary, head array<bigint>"),
-        "survivors")
+        lean(survivors),
+        "name bigint, size bigint, shingles binary, df binary, head array<bigint>"), "survivors")
     found = connected_components(set_links(sets, chunk))
     release(sets)
     classes = named.groupBy("name", "n_shingles").agg(F.min("doc_id").alias("least"))

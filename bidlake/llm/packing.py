@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import lean, small_batches, stage
 
 WINDOW = 1024
 END_ID = 0
@@ -194,7 +194,7 @@ def pack(documents: DataFrame, ranks_path: str | None = None, window: int = WIND
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     pieces = stage(texts.mapInArrow(
-        lambda batches: first_pieces(batches, path, window),
+        lean(lambda batches: first_pieces(batches, path, window)),
         "doc_id bigint, mark bigint, start bigint, length bigint, ids_crc32 bigint, "
         "doc_tokens bigint, task bigint, rank bigint"), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
@@ -240,7 +240,7 @@ def pack(documents: DataFrame, ranks_path: str | None = None, window: int = WIND
     sums = (texts.join(wanted, (texts["doc_id"].eqNullSafe(wanted["doc_id"]))
                        & (texts["mark"] == wanted["mark"]))
             .select(texts["doc_id"], texts["mark"], "text", "parts")
-            .mapInArrow(lambda batches: recut(batches, path),
+            .mapInArrow(lean(lambda batches: recut(batches, path)),
                         "doc_id bigint, mark bigint, start bigint, length bigint, crc bigint")
             .distinct())
     keys = ["doc_id", "mark", "start", "length"]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, release, small_batches, stage, text_bytes
+from .common import blocks, lean, release, small_batches, stage, text_bytes
 from .words import byte_class, word_bounds
 
 #: Labelled training rows that are used, at most.
@@ -73,7 +73,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def language_model(documents: DataFrame) -> np.ndarray:
     """-log P(symbol | two before), interpolated, from all texts of ``documents``."""
-    rows = (documents.select("text").mapInArrow(count_batches, "code bigint, n bigint")
+    rows = (documents.select("text").mapInArrow(lean(count_batches), "code bigint, n bigint")
             .groupBy("code").agg(F.sum("n").alias("n")).collect())
     counts = np.zeros(SYMBOLS ** 3)
     for row in rows:
@@ -335,7 +335,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         model["base"] = math.log((share + 1e-9) / (1 - share + 1e-9))
         return model
     counts = stage(sample.select("toxic", "text").mapInArrow(
-        lambda b: feature_batches(b, shared.value), "feature bigint, n1 bigint, n0 bigint")
+        lean(lambda b: feature_batches(b, shared.value)), "feature bigint, n1 bigint, n0 bigint")
         .groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "features")
     tested = counts.count()
     odds = F.log((F.col("n1") + 0.5) / (toxic + 1.0)) - F.log((F.col("n0") + 0.5) / (clean + 1.0))
@@ -354,7 +354,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     model["weights"] = np.array([r["w"] for r in kept])
     known, weights = model["features"], model["weights"]
     points = sample.select("toxic", "text").mapInArrow(
-        lambda b: score_batches(b, shared.value, known, weights),
+        lean(lambda b: score_batches(b, shared.value, known, weights)),
         "toxic int, evidence double").collect()
     x = np.array([r["evidence"] for r in points])
     y = np.array([r["toxic"] for r in points], float)
@@ -373,7 +373,7 @@ def score_documents(documents: DataFrame, model: dict, keep_text: bool = False)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
                        + ["text string"] * keep_text + ["evidence double"])
     found = documents.select(*[F.col(f"`{f.name}`") for f in rest], "text").mapInArrow(
-        lambda b: score_batches(b, *shared.value, keep_text), schema)
+        lean(lambda b: score_batches(b, *shared.value, keep_text)), schema)
     logit = F.lit(model["slope"]) * F.col("evidence") + F.lit(model["base"])
     return found.withColumn("score", 1 / (1 + F.exp(-logit))).drop("evidence")
 
