@@ -52,7 +52,8 @@ def latest_partition(spark: SparkSession, root: str, partition_col: str,
     them (dates as dates, numbers as numbers).
     """
     df = read_partition(spark, root, **fixed_values)
-    leaves = ({unquote(k): unquote(v) for k, e, v in (
+    # names are escaped twice: as partition values and as a URI
+    leaves = ({unquote(unquote(k)): unquote(unquote(v)) for k, e, v in (
         part.partition("=") for part in file.split("/")) if e}
         for file in spark.read.parquet(root).inputFiles())
     names = {leaf[partition_col] for leaf in leaves

@@ -27,3 +27,53 @@ def test_hour_of_week_matches_python(spark, sf_small):
         assert r.UserHourOfWeek == expect
     assert min(r.UserHourOfWeek for r in rows) >= 0
     assert max(r.UserHourOfWeek for r in rows) <= 167
+
+
+def test_inputs_are_computed_once(spark, sf_small):
+    """Queries whose result needs its input twice read a written copy, not the tables again."""
+    from bidlake import catalog
+
+    split = plan_text(catalog.QUERIES["exact_split"](spark, sf_small), "simple")
+    assert "lineitem.parquet" not in split and "exact-split" in split
+    metric = plan_text(catalog.QUERIES["metric_regression"](spark, sf_small), "simple")
+    assert "lineitem.parquet" not in metric and "priced" in metric
+    both = plan_text(catalog.QUERIES["combined_predictions_exact"](spark, sf_small), "simple")
+    assert both.count("events.parquet") == 2  # the two yearly logs, once each
+
+
+def test_first_seen_by_two_columns_is_a_hash_aggregate(spark):
+    from bidlake.operators.encoding import _first_seen
+
+    long = spark.range(100).selectExpr("'c' AS feature", "string(id % 7) AS category",
+                                       "timestamp_seconds(id) AS _ord0", "id AS _ord1")
+    plan = plan_text(_first_seen(long, ["feature", "category"], 2), "simple")
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_newest_partition_reads_one_directory(spark):
+    from bidlake.session import stage_path
+    from bidlake.sources.files import latest_partition, write_parquet
+
+    rows = [(k, c, d) for k in range(20) for c in ("A", "B=1") for d in (9, 10 + k % 3)]
+    root = stage_path(spark, "tree")
+    write_parquet(spark.createDataFrame(rows, "x int, channel string, day int"), root,
+                  partition_by=["channel", "day"])
+    got = latest_partition(spark, root, "day", channel="B=1")
+    assert {(r.channel, r.day) for r in got.collect()} == {("B=1", 12)}
+    plan = plan_text(got, "simple")
+    assert "Aggregate" not in plan and "= 12" in plan
+    assert latest_partition(spark, root, "day", channel="none").count() == 0
+
+
+def test_files_per_leaf_do_not_grow_with_tasks(spark):
+    import os
+
+    from bidlake.plans.scoring import FILES_PER_LEAF, write_scores
+    from bidlake.session import stage_path
+
+    rows = spark.range(2000).selectExpr("id AS ehhn", "string(id % 3) AS cohort", "1 AS week",
+                                        "0.5 AS p").repartition(40)
+    root = write_scores(rows, stage_path(spark, "leaves")).removeprefix("file:")
+    counts = [sum(f.endswith(".csv") for f in files) for _, _, files in os.walk(root)]
+    assert 1 <= max(counts) <= FILES_PER_LEAF
+    assert spark.read.option("header", True).csv(root).count() == 2000
