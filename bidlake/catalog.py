@@ -24,7 +24,15 @@ from .constants import (
     SOURCE_LABEL,
     SOURCE_SCORE,
 )
-from .functions.metrics import average_precision, regression_metrics, roc_auc, threshold_metrics
+from .functions.metrics import (
+    agreement_metrics,
+    average_precision,
+    error_metrics,
+    log_loss,
+    regression_metrics,
+    roc_auc,
+    threshold_metrics,
+)
 from .operators.broadcast import maybe_broadcast
 from .operators.encoding import ordinal_fit
 from .operators.impute import impute
@@ -577,6 +585,22 @@ def q_metric_regression_bid_scale(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.withColumns({"r2": F.round("r2", 9), "mse": F.round(F.col("mse") * 1e12, 3)})
 
 
+@register("metric_errors", """
+    WITH t AS (
+        SELECT l_returnflag, l_extendedprice AS y,
+               avg(l_extendedprice) OVER (PARTITION BY p_brand) AS p
+        FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT l_returnflag, round(avg(abs(y - p)), 4) AS mae,
+        round(CASE WHEN var_pop(y) > 0 THEN 1 - var_pop(y - p) / var_pop(y) END, 9)
+            AS explained_variance
+    FROM t GROUP BY l_returnflag""")
+def q_metric_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute error and explained variance of the brand-mean baseline."""
+    out = error_metrics(brand_baseline(spark, sf_dir, 1.0), "y", "p", ["l_returnflag"])
+    return out.withColumns({"mae": F.round("mae", 4),
+                            "explained_variance": F.round("explained_variance", 9)})
+
+
 SQL_OUTCOMES = """
     SELECT lang, toxic, quality,
            CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + CAST(2000.0 AS DOUBLE)) AS s
@@ -657,6 +681,21 @@ def q_metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_metrics(outcome_scores(spark, sf_dir), "toxic", "s", 0.5, ["lang"])
 
 
+@register("metric_agreement", f"""
+    WITH c AS (SELECT lang, toxic = 1 AS y, s > 0.5 AND NOT isnan(s) AS p, s FROM ({SQL_OUTCOMES})),
+    k AS (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (y = p)::DOUBLE AS r,
+            count(*) FILTER (p)::DOUBLE * count(*) FILTER (y)
+              + count(*) FILTER (NOT p)::DOUBLE * count(*) FILTER (NOT y) AS e,
+            avg(-CASE WHEN y THEN ln(s) ELSE ln(1 - s) END) AS l FROM c GROUP BY lang)
+    SELECT lang, r / n AS accuracy, CASE WHEN n * n > e THEN (n * r - e) / (n * n - e) END AS kappa,
+           round(l, 9) AS log_loss FROM k""")
+def q_metric_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, kappa and log-loss of a deterministic score, per language."""
+    scored = outcome_scores(spark, sf_dir)
+    loss = log_loss(scored, "toxic", "s", ["lang"]).withColumn("log_loss", F.round("log_loss", 9))
+    return agreement_metrics(scored, "toxic", "s", 0.5, ["lang"]).join(loss, "lang")
+
+
 @register("metric_auc", _sql_auc("toxic", "lang"))
 def q_metric_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roc_auc(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"])

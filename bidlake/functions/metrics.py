@@ -10,6 +10,10 @@ the libraries differ or warn):
   the denominator is 0.
 * ``balanced_accuracy`` = mean recall over the classes present in the labels.
 * ``auc`` = P(score of a positive > score of a negative), ties count 1/2; NULL with one class.
+* ``mae`` = mean absolute error; ``explained_variance`` = 1 - Var(y - p) / Var(y), NULL when
+  Var(y) = 0.
+* ``accuracy`` = share of right predictions; ``kappa`` = agreement beyond chance (Cohen), NULL
+  when chance agreement is 1; ``log_loss`` with scores kept ``LOG_LOSS_EPS`` away from 0 and 1.
 * ``average_precision`` = sum over distinct scores, descending, of
   (recall_n - recall_n-1) * precision_n; NULL without positives.
 
@@ -58,6 +62,17 @@ def regression_metrics(df: DataFrame, label: str, prediction: str,
                       F.try_divide("_sse", "n").alias("mse"))
 
 
+def error_metrics(df: DataFrame, label: str, prediction: str,
+                  group_cols: Sequence[str] = ()) -> DataFrame:
+    """``mae`` and ``explained_variance`` per group, over rows with both values present."""
+    both = _i(label).isNotNull() & _i(prediction).isNotNull()
+    y, p = F.when(both, _i(label)), F.when(both, _i(prediction))
+    agg = df.groupBy(*group_cols).agg(
+        F.avg(F.abs(y - p)).alias("mae"), F.var_pop(y - p).alias("_ve"), F.var_pop(y).alias("_vy"))
+    return agg.select(*group_cols, "mae", F.when(
+        F.col("_vy") > 0, 1 - F.col("_ve") / F.col("_vy")).alias("explained_variance"))
+
+
 # ------------------------------------------------------------------------- classification
 def confusion_counts(df: DataFrame, label: str, predicted: Column,
                      group_cols: Sequence[str] = ()) -> DataFrame:
@@ -91,6 +106,32 @@ def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float =
     )
 
 
+def agreement_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5,
+                      group_cols: Sequence[str] = ()) -> DataFrame:
+    """``accuracy`` and ``kappa`` of the prediction ``score > threshold``."""
+    s = F.col(score)
+    predicted = F.coalesce((s > F.lit(threshold)) & ~F.isnan(s), F.lit(False))
+    c = confusion_counts(df, label, predicted, group_cols)
+    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
+    n = tp + fp + fn + tn
+    right = tp + tn
+    # kappa = (n * right - chance) / (n^2 - chance), all whole numbers
+    chance = (tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)
+    return c.select(*group_cols, F.try_divide(right, n).alias("accuracy"), F.when(
+        n * n > chance, (n * right - chance) / (n * n - chance)).alias("kappa"))
+
+
+LOG_LOSS_EPS = 1e-15
+
+
+def log_loss(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """``log_loss`` of a probability score, over rows with label and score (no NaN)."""
+    p = F.least(F.greatest(_i(score), F.lit(LOG_LOSS_EPS)), F.lit(1 - LOG_LOSS_EPS))
+    known = F.col(label).isNotNull() & _i(score).isNotNull() & ~F.isnan(_i(score))
+    loss = -F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))
+    return df.groupBy(*group_cols).agg(F.avg(F.when(known, loss)).alias("log_loss"))
+
+
 def _score_counts(df: DataFrame, label: str, score: str, group_cols: Sequence[str]) -> DataFrame:
     # One row per distinct score: the rank metrics only need counts per score, and the
     # partial aggregate shrinks a billion rows to (at most) the distinct scores.
@@ -149,6 +190,12 @@ class Metric:
 METRICS: dict[str, Metric] = {
     "r2": Metric("r2", "regression", True, regression_metrics, "r2"),
     "mse": Metric("mse", "regression", False, regression_metrics, "mse"),
+    "mae": Metric("mae", "regression", False, error_metrics, "mae"),
+    "explained_variance": Metric("explained_variance", "regression", True, error_metrics,
+                                 "explained_variance"),
+    "accuracy": Metric("accuracy", "threshold", True, agreement_metrics, "accuracy"),
+    "kappa": Metric("kappa", "threshold", True, agreement_metrics, "kappa"),
+    "log_loss": Metric("log_loss", "rank", False, log_loss, "log_loss"),
     "balanced_accuracy": Metric("balanced_accuracy", "threshold", True, threshold_metrics,
                                 "balanced_accuracy"),
     "f1": Metric("f1", "threshold", True, threshold_metrics, "f1"),

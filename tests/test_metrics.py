@@ -135,3 +135,18 @@ def test_regression_metrics_full_precision_and_missing(spark):
     assert math.isclose(r.mse, 1e-8, rel_tol=1e-9) and math.isclose(r.r2, 0.99, rel_tol=1e-9)
     none = regression_metrics(spark.createDataFrame([(None, 1.0)], "y double, p double"), "y", "p")
     assert none.first().asDict() == {"n": 0, "n_missing": 1, "r2": None, "mse": None}
+
+
+def test_agreement_and_error_metrics(spark):
+    df = _frame(spark, [1, 1, 1, 0, 0, 0], [0.9, 0.8, 0.2, 0.7, 0.1, 0.1])
+    r = evaluate(df, "accuracy", "y", "s").first()
+    k = evaluate(df, "kappa", "y", "s").first()
+    assert math.isclose(r.accuracy, 4 / 6) and math.isclose(k.kappa, 1 / 3)
+    want = -sum(math.log(x) for x in (0.9, 0.8, 0.2, 0.3, 0.9, 0.9)) / 6
+    assert math.isclose(evaluate(df, "log_loss", "y", "s").first().log_loss, want)
+    one = _frame(spark, [1, 0], [0.0, float("nan")])
+    assert evaluate(one, "log_loss", "y", "s").first().log_loss < 40
+    assert evaluate(_frame(spark, [1, 1], [0.9, 0.9]), "kappa", "y", "s").first().kappa is None
+    reg = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0), (5.0, None)], "y double, p double")
+    assert evaluate(reg, "mae", "y", "p").first().mae == 1.0
+    assert evaluate(reg, "explained_variance", "y", "p").first().explained_variance == 1.0
