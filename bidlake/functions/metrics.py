@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequence import running_totals
+from ..sources.files import stage
 
 
 def _i(c: str | Column) -> Column:
@@ -141,12 +142,33 @@ def _score_counts(df: DataFrame, label: str, score: str, group_cols: Sequence[st
     )
 
 
+#: Slices of the score range at most; a slice's rows are ordered in one task.
+SLICES = 256
+
+
+def _sliced(counts: DataFrame, score: str, descending: bool,
+            partitions: int | None) -> tuple[DataFrame, Column]:
+    """Written counts, and for each row the slice of its score: quantile bounds taken once and
+    used as literals, so all reads agree on them and one exchange orders the rows."""
+    staged = stage(counts, "score-counts")
+    conf = staged.sparkSession.conf
+    n = min(SLICES, partitions or int(conf.get("spark.sql.shuffle.partitions")))
+    value = F.col(score).cast("double")
+    cuts = staged.agg(F.percentile_approx(
+        F.when(~F.isnan(value), value), [k / n for k in range(1, n)] or [0.5], 1000)).first()[0]
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]).cast("array<double>")
+    below = F.size(F.filter(bounds, lambda b: b < value))
+    # a null score comes first in ascending order and last in descending order
+    return staged, F.when(value.isNull(), 1 if descending else -1).otherwise(
+        -below if descending else below)
+
+
 def roc_auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
             partitions: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties as 1/2, per group; NULL when a class is missing."""
-    counts = _score_counts(df, label, score, group_cols)
+    counts, part = _sliced(_score_counts(df, label, score, group_cols), score, False, partitions)
     cum = running_totals(counts, [F.col(score).asc_nulls_first()], ["neg"], group_cols,
-                         partitions)
+                         partitions, bucket=part)
     # For the positives at score s: negatives below s, plus half the negatives at s.
     # Doubled to stay integral: pos * (2 * neg_below + neg_at) = pos * (2 * neg_cum - neg).
     # decimal(38,0): pos * neg_cum can pass 2^63 on billions of rows.
@@ -163,10 +185,10 @@ def roc_auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (
 def average_precision(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
                       partitions: int | None = None) -> DataFrame:
     """Average precision over distinct score thresholds, descending."""
-    counts = _score_counts(df, label, score, group_cols).withColumn(
-        "cnt", F.col("pos") + F.col("neg"))
+    counts, part = _sliced(_score_counts(df, label, score, group_cols).withColumn(
+        "cnt", F.col("pos") + F.col("neg")), score, True, partitions)
     cum = running_totals(counts, [F.col(score).desc_nulls_last()], ["pos", "cnt"], group_cols,
-                         partitions)
+                         partitions, bucket=part)
     agg = cum.groupBy(*group_cols).agg(
         F.sum(F.col("pos").cast("double") * F.col("pos_cum").cast("double")
               / F.col("cnt_cum").cast("double")).alias("_s"),
