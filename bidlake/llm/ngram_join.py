@@ -445,7 +445,10 @@ def set_links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .alias("task"),
         F.when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"),
         "name", "size", "label", "shingles", "df")
-    return links.unionByName(joined(pairs))
+    # what is connected already comes as stars, which the last components step keeps
+    stars = found.where(F.col("node") != F.col("component")).select(
+        F.col("node").alias("u"), F.col("component").alias("v"))
+    return stars.unionByName(joined(pairs))
 
 
 def near_duplicates(documents: DataFrame, chunk: int = CHUNK,
