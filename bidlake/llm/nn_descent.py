@@ -12,11 +12,12 @@ among its ``BEAM`` best: a join with the graph gives the neighbours, a join with
 their vectors. It ends when the beam is expanded. The beam is then scored in double precision
 on the original vectors, and nodes become their members.
 
-In the graph all vectors are scaled to the largest norm and get one more component that makes
-their norms equal, so nearness there is nearness by inner product; half precision serves for
-finding, never for the returned scores.
+In the graph all vectors are scaled by a power of two and get one more component that makes
+their norms equal, so nearness there is nearness by inner product. Nodes hold the table's own
+numbers without rounding (single or double precision, as the column), and all products are
+summed in double precision: the inner products of near copies differ by very little.
 
-``BEAM``, ``DEGREE``, ``ROUNDS`` and ``LEAF`` are parameters of an approximate index, which
+``BEAM``, ``DEGREE`` and ``LEAF`` are parameters of an approximate index, which
 holds every row. Of a hub's reverse neighbours the best 3 * ``DEGREE`` take part in a join (the
 best ``DEGREE`` in a search); the forward edges hold the others.
 
@@ -41,7 +42,6 @@ from .common import partitions, release, small_batches, stage
 NEIGHBOURS = 20
 DEGREE = 48
 BEAM = 112
-ROUNDS = 6
 LEAF = 400
 TREES = 8
 #: Rounds end when fewer than this share of all edges is new.
@@ -70,25 +70,26 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
 
 
-def encode(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
-    """Vectors in half precision, scaled, with the component that evens out the norms."""
+def encode(batches: Iterator[pa.RecordBatch], scale: float, norm: float,
+           dtype: str) -> Iterator[pa.RecordBatch]:
+    """Scaled vectors, with the component that evens out the norms."""
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.array(batch.column(1).to_pylist(), float) / scale
-        rest = np.sqrt(np.maximum(0, 1 - (rows * rows).sum(1)))
-        data = np.concatenate([rows, rest[:, None]], 1).astype(np.float16)
+        rest = np.sqrt(np.maximum(0, (norm / scale) ** 2 - (rows * rows).sum(1)))
+        data = np.concatenate([rows, rest[:, None]], 1).astype(dtype)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([r.tobytes() for r in data], pa.binary())],
             ["node", "vec"])
 
 
-EDGES = "src bigint, dst bigint, score float, new boolean"
+EDGES = "src bigint, dst bigint, score double, new boolean"
 
 
 def edge_batch(src, dst, score, new) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(score, pa.float32()),
+        [pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(score, pa.float64()),
          pa.array(new, pa.bool_())], ["src", "dst", "score", "new"])
 
 
@@ -111,13 +112,14 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def leaf_edges(batches: Iterator[pa.RecordBatch], degree: int) -> Iterator[pa.RecordBatch]:
+def leaf_edges(batches: Iterator[pa.RecordBatch], degree: int,
+               dtype: str) -> Iterator[pa.RecordBatch]:
     """Each leaf's best neighbours among its nodes."""
     for leaf in by_key(batches, "leaf"):
         ids = np.asarray(leaf.column("node"))
         if len(ids) < 2:
             continue
-        rows = matrix(leaf.column("vec"), np.float16).astype(np.float32)
+        rows = matrix(leaf.column("vec"), dtype).astype(float)
         k = min(degree, len(ids) - 1)
         for at in range(0, len(ids), 1024):
             score = rows[at:at + 1024] @ rows.T
@@ -151,7 +153,7 @@ def best_edges(edges: DataFrame, degree: int) -> DataFrame:
         lambda b: keep_best(b, degree), EDGES)
 
 
-def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def local_join(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     """Pairs among the (reverse) neighbours of each node that improve one of the two."""
     out, size = [], 0
     for group in by_key(batches, "hub"):
@@ -162,7 +164,7 @@ def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.zeros(len(ids), bool)
         fresh[np.searchsorted(ids, np.asarray(group.column("node"))[new])] = True
         low = np.asarray(group.column("low"))[first]
-        rows = matrix(group.column("vec").take(pa.array(first)), np.float16).astype(np.float32)
+        rows = matrix(group.column("vec").take(pa.array(first)), dtype).astype(float)
         score = rows @ rows.T
         better = (score > low[:, None]) & (fresh[:, None] | fresh[None])
         np.fill_diagonal(better, False)
@@ -180,7 +182,7 @@ def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def first_graph(nodes: DataFrame, count: int, width: int, degree: int, leaf: int,
-                trees: int) -> DataFrame:
+                trees: int, dtype: str) -> DataFrame:
     """Edges inside the leaves of ``trees`` random hyperplane codes."""
     bits = max(0, int(np.ceil(np.log2(max(1, count / leaf)))))
     planes = np.random.default_rng(7).standard_normal((trees, max(1, bits), width))
@@ -189,7 +191,7 @@ def first_graph(nodes: DataFrame, count: int, width: int, degree: int, leaf: int
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = matrix(batch.column(1), np.float16).astype(np.float32)
+            rows = matrix(batch.column(1), dtype).astype(float)
             weights = 2.0 ** np.arange(planes.shape[1]) * (bits > 0)
             for t in range(trees):
                 code = ((rows @ planes[t].T) > 0) @ weights
@@ -204,7 +206,7 @@ def first_graph(nodes: DataFrame, count: int, width: int, degree: int, leaf: int
         F.xxhash64("tree", "code", F.pmod(F.xxhash64("node", "tree"), F.ceil(
             F.col("n") / (2 * leaf)))).alias("leaf"), "node", "vec")
     edges = (leaves.repartition(partitions(nodes.sparkSession), "leaf")
-             .sortWithinPartitions("leaf").mapInArrow(lambda b: leaf_edges(b, degree), EDGES))
+             .sortWithinPartitions("leaf").mapInArrow(lambda b: leaf_edges(b, degree, dtype), EDGES))
     return best_edges(edges, degree)
 
 
@@ -217,46 +219,46 @@ def reverse_best(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def descend(nodes: DataFrame, graph: DataFrame, count: int, degree: int,
-            rounds: int) -> DataFrame:
-    """NN-descent rounds on ``graph`` until it settles."""
+            dtype: str) -> DataFrame:
+    """NN-descent rounds on ``graph`` until it settles; edges only get better, so it does."""
     spark = nodes.sparkSession
-    for _ in range(rounds):
+    while True:
         worst = graph.groupBy("src").agg(F.min("score").alias("low"), F.count("*").alias("n"))
         valued = nodes.join(worst, nodes["node"] == worst["src"], "left").select(
             "node", "vec", F.when(F.col("n") >= degree, F.col("low")).otherwise(
-                F.lit(float("-inf"))).cast("float").alias("low"))
+                F.lit(float("-inf"))).alias("low"))
         near = graph.unionByName(reverse_best(graph, 3 * degree)).select(
             F.col("src").alias("hub"), F.col("dst").alias("node"), "new")
         members = (near.join(valued, "node").select("hub", "node", "new", "low", "vec")
                    .repartition(partitions(spark), "hub").sortWithinPartitions("hub"))
-        found = members.mapInArrow(local_join, EDGES)
+        found = members.mapInArrow(lambda b: local_join(b, dtype), EDGES)
         old = graph.withColumn("new", F.lit(False))
         better = stage(best_edges(old.unionByName(found), degree), "graph")
         release(graph)
         graph = better
-        if graph.where("new").count() < SETTLED * count * degree:
-            break
-    return graph
+        if graph.where("new").count() <= SETTLED * count * degree:
+            return graph
 
 
-STATE = ("query bigint, vec binary, ids array<bigint>, scores array<float>, "
+STATE = ("query bigint, vec binary, ids array<bigint>, scores array<double>, "
          "expanded array<boolean>")
 
 
-def advance(state: pd.DataFrame, found: pd.DataFrame, beam: int) -> pd.DataFrame:
+def advance(state: pd.DataFrame, found: pd.DataFrame, beam: int, dtype: str) -> pd.DataFrame:
     """A query's beam after looking at its new candidates."""
     if state.empty:
         return state
     row = state.iloc[0]
-    ids, scores = np.asarray(row["ids"]), np.asarray(row["scores"], np.float32)
+    ids, scores = np.asarray(row["ids"]), np.asarray(row["scores"], float)
     expanded = np.ones(len(ids), bool)
     if len(found):
         fresh = ~np.isin(found["node"].to_numpy(), ids)
         more = found["node"].to_numpy()[fresh]
         if len(more):
-            rows = np.frombuffer(b"".join(found["near"][fresh]), np.float16).reshape(
-                len(more), -1)[:, :-1].astype(np.float32)
-            value = rows @ np.frombuffer(row["vec"], np.float16)[:-1].astype(np.float32)
+            rows = np.frombuffer(b"".join(found["near"][fresh]), dtype).reshape(
+                len(more), -1)[:, :-1].astype(float)
+            # summed row by row, so that a node always scores alike and one cut stays cut
+            value = (rows * np.frombuffer(row["vec"], dtype)[:-1].astype(float)).sum(1)
             ids, scores = np.concatenate([ids, more]), np.concatenate([scores, value])
             expanded = np.concatenate([expanded, np.zeros(len(more), bool)])
     order = np.lexsort((ids, -scores))[:beam]
@@ -265,32 +267,32 @@ def advance(state: pd.DataFrame, found: pd.DataFrame, beam: int) -> pd.DataFrame
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int,
-           degree: int, rounds: int = 12) -> DataFrame:
+           degree: int, dtype: str) -> DataFrame:
     """(query, node) of each query's beam; ``queries`` holds (query, node)."""
     near = stage(graph.unionByName(reverse_best(graph, degree)).select("src", "dst").distinct(),
                  "near")
     state = stage(queries.join(nodes, "node").select(
         "query", "vec", F.array("node").alias("ids"),
-        F.array(F.lit(float("inf")).cast("float")).alias("scores"),
+        F.array(F.lit(float("inf"))).alias("scores"),
         F.array(F.lit(False)).alias("expanded")), "beam")
-    for _ in range(rounds):
+    while True:
         opened = (state.select(F.col("query").alias("asker"),
                                F.explode(F.arrays_zip("ids", "expanded")).alias("x"))
                   .where(~F.col("x.expanded")).select("asker", F.col("x.ids").alias("src")))
         wanted = opened.join(near, "src").select("asker", F.col("dst").alias("node")).distinct()
+        held = state.select(F.col("query").alias("asker"), F.explode("ids").alias("node"))
+        wanted = wanted.join(held, ["asker", "node"], "left_anti")
         found = wanted.join(nodes, "node").select("asker", "node", F.col("vec").alias("near"))
         after = stage(state.groupBy("query").cogroup(found.groupBy("asker")).applyInPandas(
-            lambda s, f: advance(s, f, beam), STATE), "beam")
+            lambda s, f: advance(s, f, beam, dtype), STATE), "beam")
         release(state)
         state = after
         if state.where(F.exists("expanded", lambda x: ~x)).isEmpty():
-            break
-    return state.select("query", F.explode("ids").alias("node"))
+            return state.select("query", F.explode("ids").alias("node"))
 
 
 def nearest(embeddings: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS,
-            degree: int = DEGREE, beam: int = BEAM, rounds: int = ROUNDS, leaf: int = LEAF,
-            trees: int = TREES) -> DataFrame:
+            degree: int = DEGREE, beam: int = BEAM, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest rows of ``embeddings``
     (vec_id, embedding) found; ``is_query`` is a condition on vec_id."""
     small_batches(embeddings.sparkSession, 10_000)
@@ -303,15 +305,18 @@ def nearest(embeddings: DataFrame, is_query: Column, neighbours: int = NEIGHBOUR
     classes = stage(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")), "classes")
     row = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(dot(
         F.col("embedding"), F.col("embedding")))).alias("norm")).first()
-    count, scale = row["n"], (row["norm"] or 1.0) * (1 + 1e-9)
+    count, norm = row["n"], row["norm"] or 1.0
+    scale = 2.0 ** np.ceil(np.log2(norm))
+    single = rows.schema["embedding"].dataType.elementType.simpleString() == "float"
+    dtype = "float32" if single else "float64"
     members = stage(rows.join(classes, "embedding").select("node", "vec_id").distinct(),
                     "members")
     nodes = stage(classes.select("node", "embedding").mapInArrow(
-        lambda b: encode(b, scale), "node bigint, vec binary"), "nodes")
-    graph = stage(first_graph(nodes, count, width + 1, degree, leaf, trees), "graph")
-    graph = descend(nodes, graph, count, degree, rounds)
+        lambda b: encode(b, scale, norm, dtype), "node bigint, vec binary"), "nodes")
+    graph = stage(first_graph(nodes, count, width + 1, degree, leaf, trees, dtype), "graph")
+    graph = descend(nodes, graph, count, degree, dtype)
     queries = members.where(is_query).select(F.col("vec_id").alias("query"), "node")
-    found = search(queries, nodes, graph, beam, degree)
+    found = search(queries, nodes, graph, beam, degree, dtype)
     # a query needs at most its neighbours and itself from a node's members
     rank = Window.partitionBy("node").orderBy("vec_id")
     few = members.withColumn("r", F.row_number().over(rank)).where(

@@ -52,6 +52,23 @@ def test_graph_search_recall(spark):
     assert recall(got, brute(rows, range(0, 1500, 50))) >= 0.9
 
 
+def test_recall_among_near_copies(spark):
+    """A third of the rows within a relative spread of 0.01: their inner products differ by
+    less than half precision can tell."""
+    rng = np.random.default_rng(2)
+    data = rng.standard_normal((3000, 64))
+    data[:1000] = data[0] + 0.01 * rng.standard_normal((1000, 64))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    data = data.astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(data)]
+    df = spark.createDataFrame([(*r, 1) for r in rows],
+                               SCHEMA.replace("double", "float"))
+    got = found(df, 50)
+    want = brute(rows, range(0, 3000, 50))
+    assert recall(got, want) >= 0.9
+    assert recall(got, {q: x for q, x in want.items() if q < 1000}) >= 0.9
+
+
 def test_edge_cases(spark):
     """Copies, ties, vectors that take no part, few candidates: exact results."""
     good = [(k, [1.0, float(k % 3)]) for k in range(60)] + [(60, [1.0, 0.5])]
