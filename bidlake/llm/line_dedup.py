@@ -11,7 +11,8 @@ so a hot host's pages go to many tasks.
 
 Defined results: blank lines are never boilerplate and stay; a null text stays null; an empty
 text stays empty; rows without a host belong to no site and stay as they are; repeated rows
-count as pages of their own; other columns pass through, and a column that has the name of
+count as pages of their own, unless ``copies_once`` is set: then pages of a host with the same
+lines count as one page, in the share's numerator and denominator and in ``min_pages``; other columns pass through, and a column that has the name of
 ``stats`` is replaced.
 """
 
@@ -49,19 +50,23 @@ def line_key(line: Column) -> Column:
 
 
 def drop_boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO,
-                           min_pages: int = MIN_PAGES, stats: str = "line_stats") -> DataFrame:
+                           min_pages: int = MIN_PAGES, stats: str = "line_stats",
+                           copies_once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text``, and a struct column ``stats``
-    (host_pages, n_lines, n_dropped; lines that are not blank). ``pages`` is read three times;
+    (host_pages, n_lines, n_dropped; lines that are not blank). With ``copies_once`` a host's
+    pages are its distinct ones, so that a text isn't boilerplate for being copied. ``pages`` is read three times;
     if its plan is costly, pass a written table."""
     rows = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != stats]).alias("row"),
         F.col(f"`{host}`").alias("host"), F.split(F.col(f"`{text}`"), "\n").alias("lines"),
         F.pmod(F.xxhash64(f"`{text}`"), F.lit(SALTS)).alias("salt"))
-    sited = rows.where(F.col("host").isNotNull())
-    totals = sited.groupBy("host").agg(F.count("*").alias("host_pages"))
     keys = F.array_distinct(F.transform(
         F.filter("lines", lambda x: F.trim(x) != ""), line_key))
-    counts = (sited.select("host", F.explode(keys).alias("key"))
+    sited = rows.where(F.col("host").isNotNull()).select("host", keys.alias("keys"))
+    if copies_once:
+        sited = sited.distinct()
+    totals = sited.groupBy("host").agg(F.count("*").alias("host_pages"))
+    counts = (sited.select("host", F.explode("keys").alias("key"))
               .groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     sites = (counts.join(totals, "host")
              .where(F.col("n") > F.lit(max_ratio) * F.col("host_pages"))

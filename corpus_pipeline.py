@@ -6,7 +6,8 @@ one returns the packed pieces.
 1. toxicity: documents that score 0.7 or more go. The model is fitted on this stage's own
    documents and the labelled training rows.
 2. line_dedup: lines that stand in more than a tenth of a source's documents go from them;
-   a document keeps its row, even with an empty text.
+   documents of a source with the same lines count once, as whole copies are the next stage's
+   work; a document keeps its row, even with an empty text.
 3. ngram_join: of documents linked by a Jaccard similarity of 0.75 or more over five-word
    shingles the smallest doc_id stays.
 4. decontaminate: words of benchmark windows go from the texts.
@@ -34,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate of their source."""
     names = docs.columns
-    out = line_dedup.drop_boilerplate_lines(docs, "source", "text", stats="_lines")
+    out = line_dedup.drop_boilerplate_lines(docs, "source", "text", stats="_lines",
+                                            copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
                           ).select(names)
 

@@ -46,6 +46,23 @@ def test_lines(stages):
     assert stages["line_dedup"].where(F.col("n_chars") != F.length("text")).isEmpty()
 
 
+def test_copied_texts_outlive_the_line_stage(spark, sf_small):
+    """A third of one source is one text, and 6 of 50 documents of another: stage 2 leaves their
+    lines, but takes a line that distinct documents share; stage 3 keeps one of each."""
+    schema = spark.read.parquet(f"{sf_small}/documents.parquet").schema
+    words = "one two three four five six seven eight"
+    rows = [(k, f"copied text {words}\nits second line {words}" + " " * (k % 2), "en", "a", 0)
+            for k in range(30)]
+    rows += [(100 + k, f"menu\nown{k} a{k} b{k} c{k} d{k} e{k}", "en", "a", 0) for k in range(60)]
+    rows += [(200 + k, f"other copied {words}" if k < 6 else f"x{k} y{k} z{k} u{k} v{k} w{k}",
+              "en", "b", 0) for k in range(50)]
+    out = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, schema), sf_small)
+    want = {i: t.removeprefix("menu\n") for i, t, *_ in rows}
+    assert texts(out) == want
+    kept = texts(corpus_pipeline.drop_near_duplicates(spark, stage(out, "test"), sf_small))
+    assert kept == {i: t for i, t in want.items() if not (0 < i < 30 or 200 < i < 206)}
+
+
 def test_near_duplicates_go(stages):
     before = texts(stages["line_dedup"])
     kept = {i for i, (_, c) in near_duplicates(before.items()).items() if i == c}
