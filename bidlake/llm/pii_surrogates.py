@@ -1,7 +1,8 @@
 """Surrogates for personal data (operator 1; DataFrame functions only).
 
-Detected mentions (e-mail addresses, phone and card numbers, IP addresses, access keys,
-passwords and tokens, titled person names in Latin and Cyrillic script) are replaced by made-up
+Detected mentions (e-mail addresses, phone and card numbers, IP addresses, national ids, IBANs,
+access keys, passwords and tokens, titled person names in Latin and Cyrillic script, and those
+names and surnames without a title in the same document) are replaced by made-up
 ones of the same type and format:
 
 - *Coreference.* A mention is reduced to what it names (the digits of a phone or card number
@@ -11,7 +12,7 @@ ones of the same type and format:
 - *Keyed.* Characters come from SHA-512 over (key, type, name, attempt).
 - *Type and format.* Digits stay digits, letters keep their case, hex stays hex; a card number
   that passes the Luhn test still does; IP octets keep their lengths; mail domains are reserved
-  ones; given names keep gender and script, Cyrillic surnames their gender's ending.
+  ones; an IBAN keeps its country, but its check digits aren't made valid; given names keep gender and script, Cyrillic surnames their gender's ending.
 - *Distinctness.* The surrogates of all distinct names are compared: where several names of
   a type would get the same, or one that really occurs, all but one (none in the second case)
   draw again, until no two agree. A name that fails often draws from a longer format.
@@ -50,7 +51,24 @@ IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)"
 CARD = r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = (r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])"
          r"\d{3,4}[ .-]\d{3,4}(?!\w)")
-PATTERN = "|".join((EMAIL, AWS, PASSWORD, TOKEN, IP, CARD, PHONE, TITLED))
+HEX = r"[0-9A-Fa-f]{1,4}"
+IP6 = (rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}"
+       rf"|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)")
+IBAN = (r"(?<![A-Za-z0-9])(?=(?:[A-Z ]{0,8}\d){8})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}"
+        r"(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Social security numbers (US); DNI and NIE (Spain). A French NIR is found as a card number.
+NATIONAL = (r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?:\d{8}|[XYZ]-?\d{7})-?[A-Z])(?![\w-])")
+#: What may stand between two digits of a phone number.
+BETWEEN = r"(?: \(|\) |[ ()./-])?"
+DATE = r"\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?!\d)"
+#: International numbers however grouped; national ones with a leading 0; nine digits in the
+#: Spanish groups; ten North American digits without punctuation.
+PHONE_MORE = (rf"(?<![\w+])\+[1-9](?:{BETWEEN}\d){{6,14}}(?!\w)"
+              rf"|(?<![\w+.,/-])(?!{DATE})\(?0[1-9](?:{BETWEEN}\d){{6,10}}(?![\w]|[./-]\d)"
+              r"|(?<![\w+.,/-])[6-9]\d{2}(?:[ .-]\d{2}){3}(?![\w]|[./-]\d)"
+              r"|(?<![\w+.,$€£/-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|[.,]\d)")
+PHONES = rf"(?:{PHONE}|{PHONE_MORE})"
+PATTERN = "|".join((EMAIL, AWS, PASSWORD, TOKEN, IP, IP6, IBAN, NATIONAL, CARD, PHONES, TITLED))
 
 #: Made-up name parts: first, middle and last syllables by script; endings by gender.
 SYLLABLES = {
@@ -71,13 +89,18 @@ def kind_of(raw: Column) -> Column:
 
     return (F.when(whole(EMAIL), "email").when(whole(AWS), "key").when(whole(PASSWORD), "password")
             .when(whole(TOKEN), "token").when(whole(IP), "ip").when(whole(CARD), "card")
-            .when(whole(PHONE), "phone").otherwise("person"))
+            .when(whole(IP6), "ip6").when(whole(IBAN), "iban").when(whole(NATIONAL), "national")
+            .when(whole(PHONES), "phone").otherwise("person"))
 
 
 def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
+def signs(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^A-Za-z0-9]", "")
+
+
 def script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
@@ -104,6 +127,8 @@ def names_of(raw: Column, kind: Column) -> Column:
     return (F.when(kind == "email", one(kind, F.lower(raw)))
             .when(kind == "phone", one(kind, F.expr("right(regexp_replace(raw, '[^0-9]', ''), 10)")))
             .when(kind == "card", one(kind, digits(raw)))
+            .when(kind == "ip6", one(kind, F.lower(raw)))
+            .when(kind.isin("iban", "national"), one(kind, signs(raw)))
             .when(kind.isin("password", "token"), one(kind, F.regexp_extract(raw, SECRET, 2)))
             .when(kind == "person", F.when(F.size(parts) > 1, F.array(given, last))
                   .otherwise(F.array(last)))
@@ -158,7 +183,9 @@ def surrogate(type_: Column, name: Column, attempt: Column, key: str) -> Column:
                      F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")),
                                   draw(hash_, F.lit(61), 3) + 1))
     number = alike(F.concat(name, more), hash_, F.lit(False))
-    phone = F.concat(letter(hash_, F.lit(1), "23456789"), F.substring(number, 2, 99))
+    phone = F.concat(F.when(name.startswith("0"), "0").otherwise(
+        letter(hash_, F.lit(1), "23456789")), F.substring(number, 2, 99))
+    iban = F.concat(F.substring(name, 1, 2), F.substring(number, 3, 99))
     card = F.concat(F.substring(name, 1, 1), F.substring(number, 2, 99))
     octets = F.split(F.when(wider > 0, F.lit("100.100.100.100")).otherwise(name), r"\.")
     ip = F.array_join(F.transform(octets, lambda o, i: F.when(
@@ -186,6 +213,8 @@ def surrogate(type_: Column, name: Column, attempt: Column, key: str) -> Column:
     return (F.when(type_ == "email", email).when(type_ == "phone", phone)
             .when(type_ == "card", F.when(luhn_sum(name) == 0, checked).otherwise(card))
             .when(type_ == "ip", ip).when(type_ == "key", key_)
+            .when(type_ == "ip6", alike(F.concat(name, more), hash_, F.lit(True)))
+            .when(type_ == "iban", iban).when(type_ == "national", number)
             .when(type_.isin("password", "token"), alike(F.concat(name, more), hash_, hexa))
             .otherwise(words))
 
@@ -234,6 +263,16 @@ def written(raw: Column, kind: Column, parts: Column) -> Column:
     # digits that a longer surrogate has more than the mention lead
     number = F.concat(F.substring(value, F.lit(1), F.greatest(
         size - F.length(digits(raw)), F.lit(0))), number)
+
+    def place_sign(i: Column) -> Column:
+        c = F.substring(raw, i, F.lit(1))
+        behind = F.length(signs(F.substring(raw, i, F.length(raw))))
+        return F.when(c.rlike("[A-Za-z0-9]") & (behind <= size),
+                      F.substring(value, size - behind + 1, F.lit(1))).otherwise(c)
+
+    mixed = F.concat(
+        F.substring(value, F.lit(1), F.greatest(size - F.length(signs(raw)), F.lit(0))),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), place_sign), ""))
     title = F.regexp_extract(raw, r"^([^ ]+ )", 1)
     words = F.split(F.regexp_replace(raw, r"^[^ ]+ ", ""), " ")
     last_raw, last = F.element_at(words, -1), F.element_at(parts, -1)
@@ -243,11 +282,37 @@ def written(raw: Column, kind: Column, parts: Column) -> Column:
         in_case_of(words[0], value), F.lit(" "))).otherwise(""), in_case_of(last_raw, last))
     return (F.when(kind == "email", F.when(raw == F.upper(raw), F.upper(value)).otherwise(value))
             .when(kind.isin("phone", "card"), number)
+            .when(kind.isin("iban", "national"), mixed)
+            .when(kind == "ip6", F.when(raw == F.upper(raw), F.upper(value)).otherwise(value))
             .when(kind.isin("password", "token"), F.concat(
                 F.regexp_extract(raw, SECRET, 1), value, F.regexp_extract(raw, SECRET, 3)))
             .when(kind == "person", person).otherwise(value))
 
 
+def untitled(raw: Column, new: Column) -> Column:
+    """A titled mention's name and its surname alone, longest first, with what stands for them:
+    an array of (order, name, new)."""
+    def behind(text: Column, pattern: str) -> Column:
+        return F.regexp_replace(text, pattern, "")
+
+    return F.array(*[F.struct(
+        (-F.length(behind(raw, p))).alias("order"), behind(raw, p).alias("name"),
+        behind(new, p).alias("new")) for p in (r"^[^ ]+ ", r"^.* ")])
+
+
+def replace_untitled(piece: Column, bare: Column) -> tuple[Column, Column]:
+    """``piece`` with the names in ``bare`` (see :func:`untitled`) replaced, and their number."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(bare["name"], "|"),
+                       F.lit(r")(?![\p{L}\p{N}])"))
+    found = F.regexp_extract_all(piece, pattern, F.lit(0))
+    rebuilt = F.array_join(F.zip_with(
+        F.split(piece, pattern, -1), found, lambda p, m: F.concat(p, F.when(
+            m.isNull(), "").otherwise(F.element_at(
+                bare["new"], F.array_position(bare["name"], m).cast("int"))))), "")
+    none = F.size(bare) == 0
+    return F.when(none, piece).otherwise(rebuilt), F.when(none, 0).otherwise(F.size(found))
+
+
 def mentions_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
@@ -270,19 +335,24 @@ def replace_private(documents: DataFrame, text: str = "text", key: str = KEY,
     texts = (each.join(given, ["type", "name"]).groupBy("raw", "kind").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("place", "surrogate"))),
         lambda x: x["surrogate"]).alias("parts"))
-        .select("raw", written(F.col("raw"), F.col("kind"), F.col("parts")).alias("new")))
+        .select("raw", "kind", written(F.col("raw"), F.col("kind"), F.col("parts")).alias("new")))
     # a document is known by its text; equal texts are changed alike
     mark = F.struct(F.xxhash64(f"`{text}`"), F.md5(F.col(f"`{text}`")))
     per_text = held.select(mark.alias("_mark"), F.explode(
         F.array_distinct("_mentions")).alias("raw")).distinct().join(texts, "raw").groupBy(
-        "_mark").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("_new"))
+        "_mark").agg(
+        F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("_new"),
+        F.sort_array(F.flatten(F.collect_list(F.when(F.col("kind") == "person", untitled(
+            F.col("raw"), F.col("new")))))).alias("_bare"))
     joined = held.withColumn("_mark", mark).join(per_text, "_mark")
-    pieces = F.split(F.col(f"`{text}`"), PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(pieces, "_mentions", lambda p, m: F.concat(
+    pieces = F.transform(F.split(F.col(f"`{text}`"), PATTERN, -1), lambda p: F.struct(
+        *[c.alias(n) for c, n in zip(replace_untitled(p, F.col("_bare")), ("text", "n"))]))
+    rebuilt = F.array_join(F.zip_with(F.col("_pieces.text"), "_mentions", lambda p, m: F.concat(
         p, F.when(m.isNull(), "").otherwise(F.element_at(F.col("_new"), m)))), "")
-    changed = joined.select(
+    number = F.size("_mentions") + F.aggregate(F.col("_pieces.n"), F.lit(0), lambda t, n: t + n)
+    changed = joined.withColumn("_pieces", pieces).select(
         *[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        F.size("_mentions").cast("long").alias(count))
+        number.cast("long").alias(count))
     same = found.where(F.size("_mentions") == 0).select(
         *[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias(count))
     return same.unionByName(changed)

@@ -62,6 +62,40 @@ def test_types_format_and_coreference(spark):
     assert got[8] == c + " word" * 40_000
 
 
+FORMS = ["+14155552671", "4155552671", "+49 30 123456", "030/1234567", "01 23 45 67 89",
+         "+33 1 23 45 67 89", "+34 912 34 56 78", "912 34 56 78", "123-45-6789", "12345678Z",
+         "DE89 3704 0044 0532 0130 00", "NL91ABNA0417164300",
+         "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8::8a2e:370:7334"]
+PLAIN = ["01.02.2024", "1/2/2024", "10:30:15", "std::vector", "1700000000", "3.14159", "AB12 ONLY",
+         "1,000,000", "2024-01-16", "pages 100-200"]
+
+
+def test_more_forms(spark):
+    """Phone groupings of several countries, national ids, IBANs, IPv6; and what is none."""
+    rows = [(k, f"see {x}, please") for k, x in enumerate(FORMS + PLAIN)]
+    got = {i: (t, n) for i, t, n in run(spark, rows)}
+    for k, x in enumerate(FORMS):
+        new, n = got[k]
+        shape = re.sub(r"[A-Za-z0-9]", "x", f"see {x}, please")
+        assert n == 1 and x not in new and re.sub(r"[A-Za-z0-9]", "x", new) == shape, (x, new)
+    for k, x in enumerate(PLAIN, len(FORMS)):
+        assert got[k] == (f"see {x}, please", 0)
+    spaced, close = run(spark, [(1, "DE89 3704 0044 0532 0130 00"), (2, "DE89370400440532013000")])
+    assert spaced[1].replace(" ", "") == close[1].replace(" ", "")
+
+
+def test_untitled_names_of_a_titled_one(spark):
+    got = {i: (t, n) for i, t, n in run(spark, [
+        (1, "Mr. John Smith came. John Smith's hat; Smith left, Smithson and John stayed."),
+        (2, "John Smith without a title"), (3, "Frau Müller, 030/1234567. Müller kam.")])}
+    given, last, again, more, alone = re.fullmatch(
+        r"Mr\. (\w+) (\w+) came\. (\w+) (\w+)'s hat; (\w+) left, Smithson and John stayed\.",
+        got[1][0]).groups()
+    assert (given, last) == (again, more) != ("John", "Smith") and alone == last
+    assert got[1][1] == 3 and got[2] == ("John Smith without a title", 0)
+    assert got[3][1] == 3 and "Müller" not in got[3][0]
+
+
 def test_counts_keys_and_rows(spark):
     rows = run(spark, ROWS)
     counts = {i: n for i, _, n in rows}
