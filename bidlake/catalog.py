@@ -784,18 +784,24 @@ SMALL_CLASSIFIERS = {"RF": {"numTrees": [10], "maxDepth": [5]}, "LR": {"regParam
 
 @register("train_leaderboard")
 def q_train_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smaller fit than the reference's (100 trees, 10,000 boosting rounds): 10 trees of depth
+    5, 10 rounds of depth 4, two linear models. All rows are read."""
     return training.train_bid_model(spark, sf_dir, SMALL_REGRESSORS).result.leaderboard
 
 
 @register("bid_test_metrics")
 def q_bid_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smaller fit than the reference's (100 trees, 10,000 boosting rounds): a linear model and
+    10 trees, no GBM. All rows are read."""
     bt = training.train_bid_model(spark, sf_dir, {"LM": None, "RF": {"numTrees": [10]}})
     return bt.test_metrics
 
 
 @register("score_bids")
 def q_score_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, save, load the champion, score every audience household once."""
+    """Train, save, load the champion, score every audience household once. The fit is smaller
+    than the reference's (100 trees, 10,000 boosting rounds): a linear model and 10 trees, no
+    GBM."""
     bt = training.train_bid_model(spark, sf_dir, {"LM": None, "RF": {"numTrees": [10]}})
     path = save_model(bt.result.best, stage_path(spark, "bid-model"))
     model = load_model(path)
@@ -813,12 +819,15 @@ def _conversion_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("score_conversion")
 def q_score_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(class 1) by a smaller fit than the library's default (100 trees, 10,000 boosting rounds,
+    the reference's sizes): 10 trees of depth 5 and two logistic models, no GBM."""
     return _conversion_predictions(spark, sf_dir)
 
 
 @register("conversion_test_metrics")
 def q_conversion_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversion champion scored on the held-out split, per cohort (rows-only)."""
+    """The conversion champion scored on the held-out split, per cohort (rows-only); a smaller
+    fit, as in ``score_conversion``: 10 trees of depth 5 and two logistic models, no GBM."""
     prepared, _ = training.prepared_bid_rows(spark, sf_dir)
     result = training.train_conversion_model(prepared, SMALL_CLASSIFIERS)
     return training.conversion_test_metrics(result.best, prepared)
@@ -826,6 +835,8 @@ def q_conversion_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("conversion_report")
 def q_conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion share per cohort; a smaller fit, as in ``score_conversion``: 10 trees of depth 5
+    and two logistic models, no GBM."""
     preds = _conversion_predictions(spark, sf_dir)
     return conversion_share(preds, standins.campaign_scores(spark, sf_dir), standins.COHORTS)
 
