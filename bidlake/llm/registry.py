@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    centroid_clusters,
     chat_format,
     decontaminate,
     line_dedup,
@@ -10,7 +11,9 @@ from . import (
     nn_descent,
     packing,
     pii_surrogates,
+    prefix_trie,
     suffix_dedup,
+    token_counts,
     toxicity,
     warc_revisit,
 )
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_warc_revisit": warc_revisit.op10_warc_revisit,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 
 ORACLE_SQL = {
@@ -33,4 +39,6 @@ ORACLE_SQL = {
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_warc_revisit": warc_revisit.OP10_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_centroid_clusters": centroid_clusters.OP13_SQL,
 }
