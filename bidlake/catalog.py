@@ -56,7 +56,7 @@ from .operators.split import (
     shift_value,
 )
 from .models.score import load_model
-from .models.train import save_model
+from .models.train import PREDICTION, save_model
 from .plans import features, scoring, training
 from .plans.report import conversion_share, score_bins
 from .session import run_stamp_column, stage_path
@@ -940,6 +940,114 @@ def _exact_conversion(prepared: DataFrame):
                                            feature_cols=[EXACT_FLAG])
 
 
+# ---------------------------------------------------------------------------------
+# Trees on an outcome of three yes/no features, so that SQL can grow the same trees: a node's
+# best split is the feature whose sides' sums of squares over counts are largest.
+# ---------------------------------------------------------------------------------
+STEP_FEATURES = {"early": "UserHourOfWeek < 84", "dear": "o_totalprice > 150000",
+                 "scored": "ngr_score > 5000"}
+#: In the unit of bids: nothing may hang on the label's size.
+STEP_LABEL = "(4 * early + 2 * dear + scored + 0.5 * early * dear + UserHourOfWeek / 100.0) / 1000"
+#: Half of MLlib's step: it fits trees to twice the residual, so each round takes a whole step.
+BOOSTED_STUMPS = {"GBM": {"maxDepth": [1], "stepSize": [0.5], "validationTol": [0.001]}}
+_SQL_FLAGS = ", ".join(f"({c})::INT AS {f}" for f, c in STEP_FEATURES.items())
+SQL_STEPS = f"""SELECT *, {STEP_LABEL.replace("100.0", "100.0::DOUBLE")} AS y FROM (
+    SELECT split, UserHourOfWeek, {_SQL_FLAGS} FROM {_PREPARED})"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows with the yes/no features and the label made of them."""
+    prepared, _ = training.prepared_bid_rows(spark, sf_dir)
+    flagged = prepared.withColumns(
+        {f: F.expr(f"cast({c} as int)") for f, c in STEP_FEATURES.items()})
+    return flagged.withColumn(LABEL, F.expr(STEP_LABEL.replace("100.0", "100.0D")))
+
+
+def _sql_boosting(rounds: int, tol: float) -> str:
+    """Boosted stumps over the cells of the three features, round by round: ``f0`` holds the
+    model's value in each cell after no round, ``e1`` the validation loss after the first."""
+    def sides(cells: str) -> str:
+        return " UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS side, n, n * (y - v) AS r "
+                                  f"FROM {cells}" for f in STEP_FEATURES)
+
+    mine = " ".join(f"WHEN '{f}' THEN {f}" for f in STEP_FEATURES)
+    text = f"""WITH rows AS MATERIALIZED (
+        SELECT split, early, dear, scored,
+               (y - avg(y) FILTER (split = 'train') OVER ())
+               / stddev_pop(y) FILTER (split = 'train') OVER () AS y FROM ({SQL_STEPS})),
+    held AS MATERIALIZED (SELECT early, dear, scored, count(*) AS n, sum(y) AS y, sum(y * y) AS yy
+        FROM rows WHERE split = 'validation' GROUP BY ALL),
+    f0 AS MATERIALIZED (SELECT early, dear, scored, count(*) AS n, avg(y) AS y, 0.0::DOUBLE AS v
+        FROM rows WHERE split = 'train' GROUP BY ALL)"""
+    for k in range(rounds):
+        text += f""",
+    s{k} AS MATERIALIZED (SELECT f, side, sum(r) / sum(n) AS mean, sum(r) * sum(r) / sum(n) AS g
+        FROM ({sides(f"f{k}")}) GROUP BY f, side),
+    b{k} AS MATERIALIZED (SELECT f FROM s{k} GROUP BY f ORDER BY sum(g) DESC LIMIT 1),
+    f{k + 1} AS MATERIALIZED (SELECT c.early, c.dear, c.scored, c.n, c.y, c.v + s{k}.mean AS v
+        FROM f{k} c, b{k} JOIN s{k} USING (f) WHERE s{k}.side = CASE b{k}.f {mine} END),
+    e{k + 1} AS MATERIALIZED (SELECT {k + 1} AS k,
+        sum(h.yy - 2 * c.v * h.y + c.v * c.v * h.n) / sum(h.n) AS e
+        FROM held h JOIN f{k + 1} c USING (early, dear, scored))"""
+    losses = " UNION ALL ".join(f"SELECT * FROM e{k + 1}" for k in range(rounds))
+    return text + f""",
+    e AS (SELECT k, e, lag(e) OVER (ORDER BY k) AS before FROM ({losses})),
+    best AS (SELECT coalesce(min(k) FILTER (
+        before - e < {tol}::DOUBLE * greatest(e, 0.01::DOUBLE)), {rounds + 1}) - 1 AS k FROM e)
+    SELECT 'GBM' AS family, CAST(k AS INTEGER) AS rounds,
+           round(1 - e / (SELECT var_pop(y) FROM rows WHERE split = 'validation'), 6) AS score
+    FROM best JOIN e USING (k)"""
+
+
+@register("gbm_early_stop_exact", _sql_boosting(20, BOOSTED_STUMPS["GBM"]["validationTol"][0]))
+def q_gbm_early_stop_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 M3: boosted stumps with the default limit of 10 000 rounds; the rounds kept and their
+    validation R^2. SQL grows the same stumps (20 rounds of them; far fewer are kept)."""
+    result = training.train_bid_model(spark, sf_dir, BOOSTED_STUMPS, prepared=_steps(spark, sf_dir),
+                                      feature_cols=tuple(STEP_FEATURES)).result
+    return result.rounds.join(result.leaderboard, ["family", "params"]).select(
+        "family", "rounds", F.round("score", 6).alias("score"))
+
+
+def _sql_depth_two() -> str:
+    """A regression tree of depth 2 over the cells of the three features."""
+    names = list(STEP_FEATURES)
+
+    def side(of: str, table: str = "") -> str:
+        return f"CASE {of} " + " ".join(f"WHEN '{f}' THEN {table}{f}" for f in names) + " END"
+
+    roots = " UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS side, n, s FROM c" for f in names)
+    below = " UNION ALL ".join(f"SELECT {side('b.f')} AS top, '{f}' AS f, {f} AS side, n, s "
+                               f"FROM c, b WHERE b.f <> '{f}'" for f in names)
+    return f"""WITH rows AS MATERIALIZED ({SQL_STEPS}),
+    c AS MATERIALIZED (SELECT early, dear, scored, count(*) AS n, sum(y) AS s FROM rows
+        WHERE split = 'train' GROUP BY ALL),
+    b AS MATERIALIZED (SELECT f FROM (SELECT f, side, sum(s) * sum(s) / sum(n) AS g
+        FROM ({roots}) GROUP BY f, side) GROUP BY f ORDER BY sum(g) DESC LIMIT 1),
+    d AS MATERIALIZED (SELECT top, f, side, sum(s) / sum(n) AS p, sum(s) * sum(s) / sum(n) AS g
+        FROM ({below}) GROUP BY top, f, side),
+    w AS MATERIALIZED (SELECT top, f FROM d GROUP BY top, f
+        QUALIFY row_number() OVER (PARTITION BY top ORDER BY sum(g) DESC) = 1)
+    SELECT t.split, t.early, t.dear, t.scored, count(*) AS n,
+           round(any_value(d.p) * 1000, 9) AS bid
+    FROM rows t, b, w JOIN d USING (top, f)
+    WHERE w.top = {side("b.f", "t.")} AND d.side = {side("w.f", "t.")}
+    GROUP BY ALL"""
+
+
+@register("rf_regressor_exact", _sql_depth_two())
+def q_rf_regressor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: a forest of three trees of depth 2 without bootstrap or feature sampling, so all are
+    the tree that SQL grows; its predictions (times 1000) by cell and split."""
+    rows = _steps(spark, sf_dir)
+    grid = {"RF": {"numTrees": [3], "maxDepth": [2], "bootstrap": [False],
+                   "featureSubsetStrategy": ["all"]}}
+    best = training.train_bid_model(spark, sf_dir, grid, prepared=rows,
+                                    feature_cols=tuple(STEP_FEATURES)).result.best
+    return best.transform(rows).groupBy(SPLIT, *STEP_FEATURES).agg(
+        F.count("*").alias("n"), F.round(F.first(PREDICTION) * 1000, 9).alias("bid"))
+
+
 # Households as the scorers see them: latest impression and order, encoded like the training rows.
 _VECTOR_COLUMNS = ["ehhn", "cohort", "event_type", "prop_k", "UserHourOfWeek", "ngr_score",
                    "o_totalprice", "o_orderstatus", "o_orderpriority"]

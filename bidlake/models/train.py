@@ -5,6 +5,9 @@ split with the registered metric, and the best kept ("champion"). Fits run on th
 executors (MLlib trees and linear models are distributed); the driver only holds model
 metadata and one metric row per candidate.
 
+Boosting (``GBM``) stops on the validation rows (``boosting.py``), so its 10 000 rounds are a
+limit; ``TrainingResult.rounds`` has the rounds that each candidate kept.
+
 The feature contract (M8) is the VectorAssembler's input columns, saved inside the
 pipeline: scoring reads it back from the loaded model and fails clearly on a missing
 column.
@@ -20,35 +23,30 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS, evaluate
+from . import boosting
+from .boosting import FEATURES, PREDICTION
 
-FEATURES = "features"
-PREDICTION = "prediction"
 PROBABILITY = "probability"
 P_CLASS1 = "p1"
 
-# Defaults are the reference's sizes: 100 forest trees, 10 000 boosting rounds. Callers that
-# want less pass a grid (the registered queries do, and say so).
+# Defaults are the reference's sizes: 100 forest trees, at most 10 000 boosting rounds. Callers
+# that want less pass a grid.
+BOOSTED = "GBM"
 REGRESSOR_FAMILIES = {
     "RF": lambda label, seed, p: RandomForestRegressor(
         labelCol=label, featuresCol=FEATURES, seed=seed,
         numTrees=p.get("numTrees", 100), maxDepth=p.get("maxDepth", 6),
-        maxBins=p.get("maxBins", 128), subsamplingRate=p.get("subsamplingRate", 1.0)),
-    "GBM": lambda label, seed, p: GBTRegressor(
-        labelCol=label, featuresCol=FEATURES, seed=seed,
-        maxIter=p.get("maxIter", 10_000), maxDepth=p.get("maxDepth", 5),
-        maxBins=p.get("maxBins", 128), stepSize=p.get("stepSize", 0.1)),
+        maxBins=p.get("maxBins", 128), subsamplingRate=p.get("subsamplingRate", 1.0),
+        bootstrap=p.get("bootstrap", True),
+        featureSubsetStrategy=p.get("featureSubsetStrategy", "auto")),
     "LM": lambda label, seed, p: LinearRegression(
         labelCol=label, featuresCol=FEATURES,
         regParam=p.get("regParam", 0.0), elasticNetParam=p.get("elasticNetParam", 0.0)),
@@ -60,10 +58,6 @@ CLASSIFIER_FAMILIES = {
         numTrees=p.get("numTrees", 100), maxDepth=p.get("maxDepth", 6),
         maxBins=p.get("maxBins", 128), bootstrap=p.get("bootstrap", True),
         featureSubsetStrategy=p.get("featureSubsetStrategy", "auto")),
-    "GBM": lambda label, seed, p, w: GBTClassifier(
-        labelCol=label, featuresCol=FEATURES, seed=seed, weightCol=w,
-        maxIter=p.get("maxIter", 10_000), maxDepth=p.get("maxDepth", 5),
-        maxBins=p.get("maxBins", 128)),
     "LR": lambda label, seed, p, w: LogisticRegression(
         labelCol=label, featuresCol=FEATURES, weightCol=w,
         regParam=p.get("regParam", 0.0), maxIter=p.get("maxIter", 100)),
@@ -77,6 +71,8 @@ class TrainingResult:
     best_family: str
     best_params: dict
     best_score: float
+    #: (family, params, rounds): rounds kept, null for families without rounds
+    rounds: DataFrame
 
 
 def expand_grid(grid: Mapping[str, Sequence] | None) -> list[dict]:
@@ -115,9 +111,13 @@ def train_regressors(train: DataFrame, validation: DataFrame, feature_cols: Sequ
                      label: str, families: Mapping[str, Mapping[str, Sequence] | None] | None = None,
                      metric: str = "r2", seed: int = 7) -> TrainingResult:
     """M1 + M2 + M3: fit each family x grid point, keep the best validation ``metric``."""
-    families = families or {"RF": None, "GBM": None, "LM": None}
-    return _train(train, validation, feature_cols, label, families, metric, seed,
-                  lambda fam, p: REGRESSOR_FAMILIES[fam](label, seed, p), PREDICTION)
+    families = families or {"RF": None, BOOSTED: None, "LM": None}
+
+    def fit(rows, held_out, fam, p):
+        if fam == BOOSTED:
+            return boosting.fit_regressor(rows, held_out, feature_cols, label, seed, p)
+        return _pipeline(feature_cols, REGRESSOR_FAMILIES[fam](label, seed, p)).fit(rows)
+    return _train(train, validation, label, families, metric, fit, PREDICTION)
 
 
 def train_classifiers(train: DataFrame, validation: DataFrame, feature_cols: Sequence[str],
@@ -127,15 +127,18 @@ def train_classifiers(train: DataFrame, validation: DataFrame, feature_cols: Seq
     """M7: classifiers for the conversion probability; ``weight_col`` for imbalance."""
     families = families or {"RF": None, "LR": None}
 
-    def make(fam, p):
+    def fit(rows, held_out, fam, p):
+        if fam == BOOSTED:
+            return boosting.fit_classifier(rows, held_out, feature_cols, label, seed, p,
+                                           weight_col)
         est = CLASSIFIER_FAMILIES[fam](label, seed, p, weight_col)
         if weight_col is None:
             est.clear(est.weightCol)
-        return est
-    return _train(train, validation, feature_cols, label, families, metric, seed, make, P_CLASS1)
+        return _pipeline(feature_cols, est).fit(rows)
+    return _train(train, validation, label, families, metric, fit, P_CLASS1)
 
 
-def _train(train, validation, feature_cols, label, families, metric, seed, make, score_col):
+def _train(train, validation, label, families, metric, fit, score_col):
     m = METRICS[metric]
     # Every candidate (and every boosting/tree iteration) re-reads these two frames; keep
     # them on the executors for the loop. A lost block is recomputed from the staged
@@ -143,14 +146,14 @@ def _train(train, validation, feature_cols, label, families, metric, seed, make,
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _search(train, validation, feature_cols, label, families, m, make, score_col)
+        return _search(train, validation, label, families, m, fit, score_col)
     finally:
         train.unpersist()
         validation.unpersist()
 
 
-def _fit_one(train, validation, feature_cols, label, m, make, score_col, fam, params):
-    model = _pipeline(feature_cols, make(fam, params)).fit(train)
+def _fit_one(train, validation, label, m, fit, score_col, fam, params):
+    model = fit(train, validation, fam, params)
     pred = model.transform(validation)
     if score_col == P_CLASS1:
         pred = pred.withColumn(P_CLASS1, vector_to_array(PROBABILITY)[1])
@@ -158,7 +161,7 @@ def _fit_one(train, validation, feature_cols, label, m, make, score_col, fam, pa
     return model, (float("nan") if score is None else float(score))
 
 
-def _search(train, validation, feature_cols, label, families, m, make, score_col):
+def _search(train, validation, label, families, m, fit, score_col):
     candidates = [(fam, params) for fam, grid in families.items() for params in expand_grid(grid)]
     if not candidates:
         raise ValueError("no model family to train")
@@ -169,8 +172,8 @@ def _search(train, validation, feature_cols, label, families, m, make, score_col
     workers = max(1, min(int(train.sparkSession.conf.get("bidlake.train.parallelism", "4")),
                          len(candidates)))
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        futures = [pool.submit(_fit_one, train, validation, feature_cols, label, m, make,
-                               score_col, fam, params) for fam, params in candidates]
+        futures = [pool.submit(_fit_one, train, validation, label, m, fit, score_col, fam,
+                               params) for fam, params in candidates]
         fitted = [f.result() for f in futures]
     rows, best = [], None
     for (fam, params), (model, score) in zip(candidates, fitted):
@@ -182,7 +185,11 @@ def _search(train, validation, feature_cols, label, families, m, make, score_col
             best = (score, len(rows) - 1, model, fam, params)
     rows[best[1]][4] = True
     board = _leaderboard(train.sparkSession, [tuple(r) for r in rows])
-    return TrainingResult(board, best[2], best[3], best[4], best[0])
+    rounds = train.sparkSession.createDataFrame(
+        [(fam, json.dumps(params, sort_keys=True), boosting.rounds_used(model))
+         for (fam, params), (model, _) in zip(candidates, fitted)],
+        "family string, params string, rounds int")
+    return TrainingResult(board, best[2], best[3], best[4], best[0], rounds)
 
 
 def save_model(model: PipelineModel, path: str, overwrite: bool = False) -> str:
