@@ -36,10 +36,13 @@ from .boosting import FEATURES, PREDICTION
 
 PROBABILITY = "probability"
 P_CLASS1 = "p1"
+CANDIDATE = "_candidate"
 
 # Defaults are the reference's sizes: 100 forest trees, at most 10 000 boosting rounds. Callers
 # that want less pass a grid.
-BOOSTED = "GBM"
+#: Boosted trees: on the feature columns, and on target statistics of the categoricals
+#: (``operators/target_stats.py``; name its columns in ``feature_sets``).
+BOOSTED = ("GBM", "CAT")
 REGRESSOR_FAMILIES = {
     "RF": lambda label, seed, p: RandomForestRegressor(
         labelCol=label, featuresCol=FEATURES, seed=seed,
@@ -109,14 +112,17 @@ def _leaderboard(spark, rows: list[tuple]) -> DataFrame:
 
 def train_regressors(train: DataFrame, validation: DataFrame, feature_cols: Sequence[str],
                      label: str, families: Mapping[str, Mapping[str, Sequence] | None] | None = None,
-                     metric: str = "r2", seed: int = 7) -> TrainingResult:
-    """M1 + M2 + M3: fit each family x grid point, keep the best validation ``metric``."""
-    families = families or {"RF": None, BOOSTED: None, "LM": None}
+                     metric: str = "r2", seed: int = 7,
+                     feature_sets: Mapping[str, Sequence[str]] | None = None) -> TrainingResult:
+    """M1 + M2 + M3: fit each family x grid point, keep the best validation ``metric``. A family
+    named in ``feature_sets`` gets those columns instead of ``feature_cols``."""
+    families = families or {"RF": None, "GBM": None, "LM": None}
 
     def fit(rows, held_out, fam, p):
-        if fam == BOOSTED:
-            return boosting.fit_regressor(rows, held_out, feature_cols, label, seed, p)
-        return _pipeline(feature_cols, REGRESSOR_FAMILIES[fam](label, seed, p)).fit(rows)
+        columns = (feature_sets or {}).get(fam, feature_cols)
+        if fam in BOOSTED:
+            return boosting.fit_regressor(rows, held_out, columns, label, seed, p)
+        return _pipeline(columns, REGRESSOR_FAMILIES[fam](label, seed, p)).fit(rows)
     return _train(train, validation, label, families, metric, fit, PREDICTION)
 
 
@@ -128,7 +134,7 @@ def train_classifiers(train: DataFrame, validation: DataFrame, feature_cols: Seq
     families = families or {"RF": None, "LR": None}
 
     def fit(rows, held_out, fam, p):
-        if fam == BOOSTED:
+        if fam in BOOSTED:
             return boosting.fit_classifier(rows, held_out, feature_cols, label, seed, p,
                                            weight_col)
         est = CLASSIFIER_FAMILIES[fam](label, seed, p, weight_col)
@@ -152,13 +158,19 @@ def _train(train, validation, label, families, metric, fit, score_col):
         validation.unpersist()
 
 
-def _fit_one(train, validation, label, m, fit, score_col, fam, params):
-    model = fit(train, validation, fam, params)
-    pred = model.transform(validation)
-    if score_col == P_CLASS1:
-        pred = pred.withColumn(P_CLASS1, vector_to_array(PROBABILITY)[1])
-    score = evaluate(pred, m.name, label, score_col).first()[m.column]
-    return model, (float("nan") if score is None else float(score))
+def _validation_scores(models, validation, label, m, score_col) -> list[float]:
+    """The metric of every candidate on the validation rows, from one pass over all candidates'
+    predictions grouped by candidate (a rank metric stages and orders them once)."""
+    predictions = None
+    for k, model in enumerate(models):
+        pred = model.transform(validation)
+        score = vector_to_array(PROBABILITY)[1] if score_col == P_CLASS1 else F.col(score_col)
+        pred = pred.select(F.lit(k).alias(CANDIDATE), label, score.alias(score_col))
+        predictions = pred if predictions is None else predictions.unionByName(pred)
+    found = {r[CANDIDATE]: r[m.column] for r in evaluate(
+        predictions, m.name, label, score_col, [CANDIDATE]).collect()}
+    return [float("nan") if found.get(k) is None else float(found[k])
+            for k in range(len(models))]
 
 
 def _search(train, validation, label, families, m, fit, score_col):
@@ -172,9 +184,9 @@ def _search(train, validation, label, families, m, fit, score_col):
     workers = max(1, min(int(train.sparkSession.conf.get("bidlake.train.parallelism", "4")),
                          len(candidates)))
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        futures = [pool.submit(_fit_one, train, validation, label, m, fit, score_col, fam,
-                               params) for fam, params in candidates]
-        fitted = [f.result() for f in futures]
+        futures = [pool.submit(fit, train, validation, fam, params) for fam, params in candidates]
+        models = [f.result() for f in futures]
+    fitted = list(zip(models, _validation_scores(models, validation, label, m, score_col)))
     rows, best = [], None
     for (fam, params), (model, score) in zip(candidates, fitted):
         rows.append([fam, json.dumps(params, sort_keys=True), m.name, score, False])

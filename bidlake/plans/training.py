@@ -51,6 +51,7 @@ from ..operators.split import (
     shift_value,
     stratified_sample,
 )
+from ..operators.target_stats import TargetStatistics, ordered_target_statistics
 from ..sources import standins
 from ..sources.files import stage
 from . import features
@@ -138,6 +139,19 @@ def prepare_training(rows: DataFrame, categoricals: list[str], row_id: str, seed
     return label_shift(renamed, LABEL, shift_value(seed)), enc
 
 
+def prepare_with_statistics(rows: DataFrame, categoricals: list[str], row_id: str, seed: int
+                            ) -> tuple[DataFrame, OrdinalEncoding, TargetStatistics]:
+    """Steps 1-4 and, for each categorical, its ordered target statistics (``<column>_ts``): of
+    the training rows before it for a training row, of all training rows for any other."""
+    ordered = "_statistics_order"
+    prepared, enc = prepare_training(rows.withColumn(ordered, F.col(row_id)), categoricals,
+                                     row_id, seed)
+    train = prepared.where(F.col(SPLIT) == TRAIN)
+    with_own, stats = ordered_target_statistics(train, categoricals, LABEL, ordered, seed)
+    rest = stats.transform(prepared.where(F.col(SPLIT) != TRAIN))
+    return stage(with_own.unionByName(rest).drop(ordered), "with-statistics"), enc, stats
+
+
 @dataclass
 class BidTraining:
     prepared: DataFrame
@@ -158,9 +172,10 @@ def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int =
                     prepared: DataFrame | None = None,
                     encoding: OrdinalEncoding | None = None,
                     train_fraction: float | None = None,
-                    feature_cols=tuple(BID_FEATURES)) -> BidTraining:
-    """Train on ``prepared`` rows (default: the stand-ins'). ``train_fraction``: fit on a seeded sample of the training split (the workflow
-    trains on a sampled set); validation and test stay whole. Default: the whole split."""
+                    feature_cols=tuple(BID_FEATURES), feature_sets=None) -> BidTraining:
+    """Train on ``prepared`` rows (default: the stand-ins'). ``train_fraction``: fit on a seeded
+    sample of the training split (the workflow trains on a sampled set); validation and test stay
+    whole. Default: the whole split. ``feature_sets``: other columns for single families."""
     if prepared is None:
         prepared, encoding = prepared_bid_rows(spark, sf_dir, seed)
     train = prepared.where(F.col(SPLIT) == TRAIN)
@@ -168,7 +183,8 @@ def train_bid_model(spark: SparkSession, sf_dir: str, families=None, seed: int =
         train = train.sample(fraction=train_fraction, seed=seed)
     val = prepared.where(F.col(SPLIT) == VALIDATION)
     test = prepared.where(F.col(SPLIT) == TEST)
-    result = train_regressors(train, val, list(feature_cols), LABEL, families, "r2", seed)
+    result = train_regressors(train, val, list(feature_cols), LABEL, families, "r2", seed,
+                              feature_sets)
     test_metrics = regression_metrics(result.best.transform(test), LABEL, PREDICTION)
     return BidTraining(prepared, encoding, result, test_metrics)
 
