@@ -5,10 +5,12 @@ access keys, passwords and tokens, titled person names in Latin and Cyrillic scr
 names and surnames without a title in the same document) are replaced by made-up
 ones of the same type and format:
 
-- *Coreference.* A mention is reduced to what it names (the digits of a phone or card number
-  whatever their punctuation, an address in lower case, given name and surname apart). The
-  same name gets the same surrogate in all documents, written in the mention's own format;
-  "Mr. Smith" and "Mr. John Smith" keep one surname.
+- *Coreference.* A mention is reduced to what it names (the digits of a card number whatever
+  their punctuation, those of a phone number without country code and trunk 0, an address in
+  lower case, given name and surname apart). The same name gets the same surrogate in all
+  documents, written in the mention's own format; "Mr. Smith" and "Mr. John Smith" keep one
+  surname, and a number keeps its country code. A given name's gender is that of all its
+  mentions' titles together: neutral, if they have none or differ.
 - *Keyed.* Characters come from SHA-512 over (key, type, name, attempt).
 - *Type and format.* Digits stay digits, letters keep their case, hex stays hex; a card number
   that passes the Luhn test still does; IP octets keep their lengths; mail domains are reserved
@@ -17,12 +19,13 @@ ones of the same type and format:
   a type would get the same, or one that really occurs, all but one (none in the second case)
   draw again, until no two agree. A name that fails often draws from a longer format.
 
-Only distinct names and mentions and the documents that hold mentions are shuffled. A mention
-in very many documents is one row on its side of a join, which AQE splits.
+Mentions are searched once, and written beside their documents; only distinct names and mentions
+and the documents that hold mentions are shuffled. A mention in very many documents is one row on
+its side of a join, which AQE splits.
 
 Defined results: a null text stays null with no mentions; documents without mentions are
-unchanged; repeated rows are treated alike; other columns pass through; a column named as
-``count`` is replaced.
+unchanged; repeated rows are treated alike; other columns pass through, whatever their names; a
+column named as ``count`` is replaced.
 """
 
 from __future__ import annotations
@@ -39,18 +42,34 @@ DRAWS = 6
 MALE = "Mr|Herr|Sr|Señor|Monsieur|господин|г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Sra|Señora|Mme|Madame|госпожа|г-жа"
 EITHER = "Dr|Prof"
+CAPITALS = "MR|HERR|SR|MONSIEUR|MRS|MS|MISS|FRAU|SRA|MME|MADAME|DR|PROF"
 NAME = r"\p{Lu}[\p{L}'’-]+"
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{EITHER})\.? {NAME}(?: {NAME})?"
+#: Capitalised words that are no names (as in a heading: "The Dr. In The House").
+NO_NAME = r"(?!(?:A|An|And|At|By|Das|Der|Die|For|From|In|Is|Of|On|Or|The|To|Was|Who|With)\b)"
+TITLED = (rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{EITHER}|{CAPITALS})\.? "
+          rf"{NO_NAME}{NAME}(?: {NO_NAME}{NAME})?")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
          r"\.[A-Za-z]{2,}")
 AWS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 PASSWORD = r"(?i:\bpass(?:word|wd)|\bpwd)\s?[:=]\s?[^\s\"']{4,}"
+#: Keys that are known by their beginning, and private key blocks.
+STARTS = r"gh[pousr]_|sk_(?:live|test)_|xox[abprs]-|AIza"
+BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+BLOCK_END = r"-----END [A-Z ]{0,24}PRIVATE KEY-----"
+PREFIXED = (rf"(?<![A-Za-z0-9])(?:{STARTS})[A-Za-z0-9_-]{{16,}}"
+            rf"|{BLOCK}[A-Za-z0-9+/=\s]{{16,}}{BLOCK_END}")
 TOKEN = r"(?i:\btoken|\bapi[_-]?key|\bsecret)\s?[:=]\s?\"?[A-Za-z0-9_-]{16,}\"?"
 IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)"
-CARD = r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])"
-PHONE = (r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])"
-         r"\d{3,4}[ .-]\d{3,4}(?!\w)")
+#: Words before a number that is no phone or card number.
+LABELLED = (r"(?<!\b(?i:isbn(?:-1[03])?|part|order|item|ref|sku|serial|invoice|article|model|nr|no"
+            r"|number)[ .:#]{1,3})")
+BOOK = r"(?!97[89][ -]?\d)"
+CARD = rf"(?<![\w+-]){LABELLED}{BOOK}(?!00\d{{1,3}}[ -])\d(?:[ -]?\d){{12,18}}(?![\w-])"
+#: An amount with points between thousands.
+AMOUNT = r"\d{1,4}(?:\.\d{3})+(?![.\d])"
+PHONE = (rf"(?<![\w+]){LABELLED}{BOOK}(?!{AMOUNT})(?:\+\d{{1,3}}[ .-]?)?"
+         r"(?:\(\d{2,4}\)[ .-]?|(?!00)\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)")
 HEX = r"[0-9A-Fa-f]{1,4}"
 IP6 = (rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}"
        rf"|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)")
@@ -61,14 +80,19 @@ NATIONAL = (r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?:\d{8}|[XYZ]-?\d{7})-?[A-Z])(?![\
 #: What may stand between two digits of a phone number.
 BETWEEN = r"(?: \(|\) |[ ()./-])?"
 DATE = r"\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?!\d)"
-#: International numbers however grouped; national ones with a leading 0; nine digits in the
-#: Spanish groups; ten North American digits without punctuation.
+#: International numbers (+ or 00) however grouped; national ones with a leading 0 (ten or
+#: eleven digits, if nothing separates them); nine digits in the Spanish groups; ten North American
+#: digits without punctuation.
 PHONE_MORE = (rf"(?<![\w+])\+[1-9](?:{BETWEEN}\d){{6,14}}(?!\w)"
-              rf"|(?<![\w+.,/-])(?!{DATE})\(?0[1-9](?:{BETWEEN}\d){{6,10}}(?![\w]|[./-]\d)"
+              rf"|(?<![\w+.,/-]){LABELLED}00[1-9](?:{BETWEEN}\d){{7,14}}(?![\w]|[./-]\d)"
+              rf"|(?<![\w+.,/-]){LABELLED}(?!{DATE})(?!{AMOUNT})(?!\d{{8,9}}(?!\d))"
+              rf"\(?0[1-9](?:{BETWEEN}\d){{6,10}}(?![\w]|[./-]\d)"
               r"|(?<![\w+.,/-])[6-9]\d{2}(?:[ .-]\d{2}){3}(?![\w]|[./-]\d)"
-              r"|(?<![\w+.,$€£/-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|[.,]\d)")
+              rf"|(?<![\w+.,$€£/-]){LABELLED}[2-9]\d{{2}}[2-9]\d{{6}}(?![\w-]|[.,]\d)")
+#: Country calling codes of one and two digits; all others have three (fixed values).
+CALLING = (r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 PHONES = rf"(?:{PHONE}|{PHONE_MORE})"
-PATTERN = "|".join((EMAIL, AWS, PASSWORD, TOKEN, IP, IP6, IBAN, NATIONAL, CARD, PHONES, TITLED))
+PATTERN = "|".join((EMAIL, AWS, PASSWORD, TOKEN, PREFIXED, IP, IP6, IBAN, NATIONAL, CARD, PHONES, TITLED))
 
 #: Made-up name parts: first, middle and last syllables by script; endings by gender.
 SYLLABLES = {
@@ -88,7 +112,7 @@ def kind_of(raw: Column) -> Column:
         return raw.rlike(rf"^(?:{pattern})$")
 
     return (F.when(whole(EMAIL), "email").when(whole(AWS), "key").when(whole(PASSWORD), "password")
-            .when(whole(TOKEN), "token").when(whole(IP), "ip").when(whole(CARD), "card")
+            .when(whole(TOKEN), "token").when(whole(PREFIXED), "prefixed").when(whole(IP), "ip").when(whole(CARD), "card")
             .when(whole(IP6), "ip6").when(whole(IBAN), "iban").when(whole(NATIONAL), "national")
             .when(whole(PHONES), "phone").otherwise("person"))
 
@@ -106,6 +130,19 @@ def script(text: Column) -> Column:
 
 
 SECRET = r"^(.*?[:=]\s?\"?)(.*?)(\"?)$"
+PREFIXED_PARTS = rf"^({STARTS}|{BLOCK})([\s\S]*?)({BLOCK_END})?$"
+
+
+def secret_part(raw: Column, kind: Column, part: int) -> Column:
+    """What leads to a secret (1), the secret (2), what closes it (3)."""
+    return F.when(kind == "prefixed", F.regexp_extract(raw, PREFIXED_PARTS, part)).otherwise(
+        F.regexp_extract(raw, SECRET, part))
+
+
+def subscriber(raw: Column) -> Column:
+    """A phone number's digits without its country code and trunk 0."""
+    plain = F.regexp_replace(raw, r"[^\d+]", "")
+    return F.regexp_replace(F.regexp_replace(plain, rf"^(?:\+|00)(?:{CALLING})", ""), "^0", "")
 
 
 def names_of(raw: Column, kind: Column) -> Column:
@@ -113,28 +150,45 @@ def names_of(raw: Column, kind: Column) -> Column:
     def one(type_: Column, name: Column) -> Column:
         return F.array(F.struct(type_.alias("type"), name.alias("name")))
 
-    title = F.regexp_extract(raw, r"^([^ .]+)", 1)
-    gender = (F.when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title.rlike(f"^(?:{MALE})$"), "m")
-              .otherwise("n"))
     parts = F.split(F.regexp_replace(raw, r"^[^ ]+ ", ""), " ")
     surname = F.lower(F.element_at(parts, -1))
     # a Cyrillic surname's gender shows in its ending; the name is the one without it
     family = F.when(script(raw) == "cyrillic", F.regexp_replace(surname, r"а$", "")).otherwise(
         surname)
     last = F.struct(F.concat(F.lit("surname-"), script(raw)).alias("type"), family.alias("name"))
-    given = F.struct(F.concat(F.lit("given-"), script(raw), F.lit("-"), gender).alias("type"),
+    given = F.struct(F.concat(F.lit("given-"), script(raw)).alias("type"),
                      F.lower(parts[0]).alias("name"))
     return (F.when(kind == "email", one(kind, F.lower(raw)))
-            .when(kind == "phone", one(kind, F.expr("right(regexp_replace(raw, '[^0-9]', ''), 10)")))
+            .when(kind == "phone", one(kind, subscriber(raw)))
             .when(kind == "card", one(kind, digits(raw)))
             .when(kind == "ip6", one(kind, F.lower(raw)))
             .when(kind.isin("iban", "national"), one(kind, signs(raw)))
-            .when(kind.isin("password", "token"), one(kind, F.regexp_extract(raw, SECRET, 2)))
+            .when(kind.isin("password", "token", "prefixed"), one(kind, secret_part(raw, kind, 2)))
             .when(kind == "person", F.when(F.size(parts) > 1, F.array(given, last))
                   .otherwise(F.array(last)))
             .otherwise(one(kind, raw)))
 
 
+def gender_of(raw: Column) -> Column:
+    """m or f, if a mention's title says so."""
+    title = F.regexp_extract(raw, r"^([^ .]+)", 1)
+    return (F.when(title.rlike(f"(?iu)^(?:{FEMALE})$"), "f")
+            .when(title.rlike(f"(?iu)^(?:{MALE})$"), "m"))
+
+
+def with_gender(each: DataFrame) -> DataFrame:
+    """Given names' types with the gender on which all of a name's titles agree, n if none or
+    several do."""
+    given = F.col("type").startswith("given-")
+    titles = each.where(given).groupBy("type", "name").agg(
+        F.min(gender_of(F.col("raw"))).alias("least"), F.max(gender_of(F.col("raw"))).alias("most"))
+    agreed = titles.select("type", "name", F.when(
+        F.col("least") == F.col("most"), F.col("least")).otherwise("n").alias("gender"))
+    return each.join(agreed, ["type", "name"], "left").withColumn("type", F.when(
+        F.col("gender").isNotNull(), F.concat("type", F.lit("-"), "gender"))
+        .otherwise(F.col("type"))).drop("gender")
+
+
 def draw(hash_: Column, i: Column, of: int) -> Column:
     """A number below ``of`` for place ``i`` (from 1)."""
     return F.conv(F.substring(hash_, (i - 1) % 62 * 2 + 1, F.lit(3)), 16, 10).cast("int") % of
@@ -215,7 +269,8 @@ def surrogate(type_: Column, name: Column, attempt: Column, key: str) -> Column:
             .when(type_ == "ip", ip).when(type_ == "key", key_)
             .when(type_ == "ip6", alike(F.concat(name, more), hash_, F.lit(True)))
             .when(type_ == "iban", iban).when(type_ == "national", number)
-            .when(type_.isin("password", "token"), alike(F.concat(name, more), hash_, hexa))
+            .when(type_.isin("password", "token", "prefixed"),
+                  alike(F.concat(name, more), hash_, hexa))
             .otherwise(words))
 
 
@@ -284,8 +339,8 @@ def written(raw: Column, kind: Column, parts: Column) -> Column:
             .when(kind.isin("phone", "card"), number)
             .when(kind.isin("iban", "national"), mixed)
             .when(kind == "ip6", F.when(raw == F.upper(raw), F.upper(value)).otherwise(value))
-            .when(kind.isin("password", "token"), F.concat(
-                F.regexp_extract(raw, SECRET, 1), value, F.regexp_extract(raw, SECRET, 3)))
+            .when(kind.isin("password", "token", "prefixed"), F.concat(
+                secret_part(raw, kind, 1), value, secret_part(raw, kind, 3)))
             .when(kind == "person", person).otherwise(value))
 
 
@@ -322,40 +377,44 @@ def replace_private(documents: DataFrame, text: str = "text", key: str = KEY,
     """``documents`` (all columns) with surrogates in ``text`` and the number of mentions
     replaced in ``count``."""
     names = [c for c in documents.columns if c != count]
-    found = documents.select(*[F.col(f"`{c}`") for c in names]).withColumn(
-        "_mentions", F.coalesce(mentions_in(F.col(f"`{text}`")),
-                                F.array().cast("array<string>")))
-    held = stage(found.where(F.size("_mentions") > 0), "mentions")
-    raws = held.select(F.explode(F.array_distinct("_mentions")).alias("raw")).distinct()
+    # the caller's row is one column, so no name of ours meets one of theirs
+    own = F.col("row").getField(text)
+    found = stage(documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+        F.coalesce(mentions_in(F.col(f"`{text}`")), F.array().cast("array<string>"))
+        .alias("mentions")), "mentions")
+    held = found.where(F.size("mentions") > 0)
+    raws = held.select(F.explode(F.array_distinct("mentions")).alias("raw")).distinct()
     named = stage(raws.withColumn("kind", kind_of(F.col("raw"))).withColumn(
         "names", names_of(F.col("raw"), F.col("kind"))), "names")
-    each = named.select("raw", "kind", F.posexplode("names").alias("place", "part")).select(
-        "raw", "kind", "place", "part.type", "part.name")
+    each = stage(with_gender(named.select(
+        "raw", "kind", F.posexplode("names").alias("place", "part")).select(
+        "raw", "kind", "place", "part.type", "part.name")), "parts")
     given = assign(each.select("type", "name"), key)
     texts = (each.join(given, ["type", "name"]).groupBy("raw", "kind").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("place", "surrogate"))),
         lambda x: x["surrogate"]).alias("parts"))
         .select("raw", "kind", written(F.col("raw"), F.col("kind"), F.col("parts")).alias("new")))
     # a document is known by its text; equal texts are changed alike
-    mark = F.struct(F.xxhash64(f"`{text}`"), F.md5(F.col(f"`{text}`")))
-    per_text = held.select(mark.alias("_mark"), F.explode(
-        F.array_distinct("_mentions")).alias("raw")).distinct().join(texts, "raw").groupBy(
-        "_mark").agg(
-        F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("_new"),
+    marked = held.withColumn("mark", F.struct(F.xxhash64(own), F.md5(own)))
+    per_text = marked.select("mark", F.explode(F.array_distinct("mentions")).alias("raw")
+                             ).distinct().join(texts, "raw").groupBy("mark").agg(
+        F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("new"),
         F.sort_array(F.flatten(F.collect_list(F.when(F.col("kind") == "person", untitled(
-            F.col("raw"), F.col("new")))))).alias("_bare"))
-    joined = held.withColumn("_mark", mark).join(per_text, "_mark")
-    pieces = F.transform(F.split(F.col(f"`{text}`"), PATTERN, -1), lambda p: F.struct(
-        *[c.alias(n) for c, n in zip(replace_untitled(p, F.col("_bare")), ("text", "n"))]))
-    rebuilt = F.array_join(F.zip_with(F.col("_pieces.text"), "_mentions", lambda p, m: F.concat(
-        p, F.when(m.isNull(), "").otherwise(F.element_at(F.col("_new"), m)))), "")
-    number = F.size("_mentions") + F.aggregate(F.col("_pieces.n"), F.lit(0), lambda t, n: t + n)
-    changed = joined.withColumn("_pieces", pieces).select(
-        *[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        number.cast("long").alias(count))
-    same = found.where(F.size("_mentions") == 0).select(
-        *[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias(count))
-    return same.unionByName(changed)
+            F.col("raw"), F.col("new")))))).alias("bare"))
+    pieces = F.transform(F.split(own, PATTERN, -1), lambda p: F.struct(
+        *[c.alias(n) for c, n in zip(replace_untitled(p, F.col("bare")), ("text", "n"))]))
+    changed = marked.join(per_text, "mark").withColumn("pieces", pieces)
+    rebuilt = F.array_join(F.zip_with(F.col("pieces.text"), "mentions", lambda p, m: F.concat(
+        p, F.when(m.isNull(), "").otherwise(F.element_at(F.col("new"), m)))), "")
+    number = F.size("mentions") + F.aggregate(F.col("pieces.n"), F.lit(0), lambda t, n: t + n)
+
+    def columns(whole: Column) -> list[Column]:
+        return [(whole if c == text else F.col("row").getField(c)).alias(c) for c in names]
+
+    same = found.where(F.size("mentions") == 0).select(
+        *columns(own), F.lit(0).cast("long").alias(count))
+    return same.unionByName(changed.select(*columns(rebuilt), number.cast("long").alias(count)))
 
 
 def op1_pii_surrogates(spark, sf_dir: str) -> DataFrame:

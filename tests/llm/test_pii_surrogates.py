@@ -67,7 +67,9 @@ FORMS = ["+14155552671", "4155552671", "+49 30 123456", "030/1234567", "01 23 45
          "DE89 3704 0044 0532 0130 00", "NL91ABNA0417164300",
          "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8::8a2e:370:7334"]
 PLAIN = ["01.02.2024", "1/2/2024", "10:30:15", "std::vector", "1700000000", "3.14159", "AB12 ONLY",
-         "1,000,000", "2024-01-16", "pages 100-200"]
+         "1,000,000", "2024-01-16", "pages 100-200", "ISBN 978-3-16-148410-0", "9783161484100",
+         "ISBN 0-306-40615-2", "order 01234567", "01234567", "part no. 2123456789",
+         "0123.456.789", "12.345.678", "The Dr. In The House"]
 
 
 def test_more_forms(spark):
@@ -96,6 +98,57 @@ def test_untitled_names_of_a_titled_one(spark):
     assert got[3][1] == 3 and "Müller" not in got[3][0]
 
 
+def test_one_name_whatever_its_title(spark):
+    """A title's gender doesn't split a name; names of one gender keep it."""
+    got = [t for _, t, _ in sorted(run(spark, [
+        (1, "Mr. John Smith and Dr. John Smith, Prof. John Smith; MR. JOHN SMITH"),
+        (2, "Dr. Anna Ross, Mrs. Anna Ross; Mr. Kim Ross, Ms. Kim Ross")]))]
+    a, b, c, d = re.fullmatch(
+        r"Mr\. (\w+ \w+) and Dr\. (\w+ \w+), Prof\. (\w+ \w+); MR\. (\w+ \w+)", got[0]).groups()
+    assert a == b == c != "John Smith" and d == a.upper()
+    anna, nna, kim, im = re.fullmatch(
+        r"Dr\. (\w+) \w+, Mrs\. (\w+) \w+; Mr\. (\w+) \w+, Ms\. (\w+) \w+", got[1]).groups()
+    assert anna == nna and anna.endswith("a") and kim == im and kim.endswith("y")
+
+
+def test_one_phone_number_with_and_without_country_code(spark):
+    rows = [(1, "+49 30 1234567"), (2, "030 1234567"), (3, "0049 30 1234567"),
+            (4, "+49 (0)30 1234567"), (5, "+33 1 23 45 67 89"), (6, "01 23 45 67 89")]
+    got = {i: re.sub(r"\D", "", t) for i, t, _ in run(spark, rows)}
+    own = got[2].removeprefix("0")
+    assert len(own) == 9 and own != "301234567"
+    assert (got[1], got[3], got[4]) == ("49" + own, "0049" + own, "490" + own)
+    assert got[5] == "33" + got[6].removeprefix("0") and got[6].startswith("0")
+
+
+def test_keys_known_by_their_beginning(spark):
+    body = "MIIEowIBAAKCAQEA75xyz\n" * 3
+    rows = [(1, "use ghp_" + "a1B2" * 9 + " now"), (2, "sk_live_" + "Zz09" * 6),
+            (3, f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----")]
+    got = {i: t for i, t, _ in run(spark, rows)}
+    assert re.fullmatch(r"use ghp_(?:[a-z]\d[A-Z]\d){9} now", got[1]) and got[1] != rows[0][1]
+    assert re.fullmatch(r"sk_live_(?:[A-Z][a-z]\d\d){6}", got[2]) and got[2] != rows[1][1]
+    def shape(t):
+        return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "9", t)))
+
+    assert shape(got[3]) == shape(rows[2][1]) and "MIIEowIB" not in got[3]
+    assert got[3].startswith("-----BEGIN RSA PRIVATE KEY-----\n")
+
+
+def test_no_name_of_the_callers_columns_matters(spark):
+    """Columns named like ours come back as they went in, so no real name can leak through one."""
+    names = ["mentions", "_mentions", "row", "mark", "_mark", "new", "bare", "pieces", "raw"]
+    df = spark.createDataFrame([(1, "Mr. John Smith, a@b.org"), (2, "nothing")],
+                               "doc_id int, text string")
+    for n in names:
+        df = df.withColumn(n, F.lit(f"own {n}"))
+    out = replace_private(df)
+    assert out.columns == [*df.columns, "n_mentions"]
+    for r in out.collect():
+        assert [r[n] for n in names] == [f"own {n}" for n in names]
+        assert "Smith" not in str(r) and "a@b.org" not in str(r)
+
+
 def test_counts_keys_and_rows(spark):
     rows = run(spark, ROWS)
     counts = {i: n for i, _, n in rows}
