@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import (
+    BID_COLUMN,
     CONVERSION_COLUMN,
     EVENT_TIME,
     EXCLUDED_TRAINING_COLUMNS,
@@ -62,7 +63,7 @@ from .models.train import PREDICTION, save_model
 from .plans import features, scoring, training
 from .plans.report import conversion_share, score_bins
 from .session import run_stamp_column, stage_path
-from .streaming import realtime
+from .streaming import admission, realtime, stateful
 from .sources import standins
 from .sources.files import (
     latest_partition,
@@ -1229,6 +1230,71 @@ def q_live_pricing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "event_ts": F.col("event_ts").cast("timestamp_ntz")})
 
 
+# The log as it is delivered: in periods of 12 days, one in seven events a period late, one in ten
+# delivered again a period later, one in thirty twice at once. Four days' delay is allowed.
+_ARRIVAL = "CAST(floor(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) / 1036800) AS INT)"
+LIVE_DELAY = "4 days"
+SQL_DELIVERIES = f"""
+    SELECT event_id, ts, {_ARRIVAL} + (event_id % 7 = 3)::INT AS a FROM events
+    UNION ALL SELECT event_id, ts, {_ARRIVAL} + (event_id % 7 = 3)::INT + 1 FROM events
+    WHERE event_id % 10 = 0
+    UNION ALL SELECT event_id, ts, {_ARRIVAL} + (event_id % 7 = 3)::INT FROM events
+    WHERE event_id % 30 = 0"""
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the number of their delivery's period."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first = F.floor(F.timestamp_diff(
+        "SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1036800
+    ) + (F.col("event_id") % 7 == 3).cast("int")
+    times = F.when(F.col("event_id") % 30 == 0, F.array(first, first + 1, first)).when(
+        F.col("event_id") % 10 == 0, F.array(first, first + 1)).otherwise(F.array(first))
+    return events.withColumn("arrival", F.explode(times.cast("array<int>")))
+
+
+@register("live_pricing_admitted", f"""
+    WITH d AS ({SQL_DELIVERIES}),
+    m AS (SELECT a, max(ts) AS m FROM d GROUP BY a),
+    j AS (SELECT d.event_id, d.ts, d.a, d.ts <= max(m.m) - INTERVAL {LIVE_DELAY} AS late
+          FROM (SELECT row_number() OVER () AS k, * FROM d) d LEFT JOIN m ON m.a < d.a
+          GROUP BY d.k, d.event_id, d.ts, d.a),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_id, coalesce(late, false)
+                                       ORDER BY a) AS turn FROM j)
+    SELECT p.ehhn, p.event_id, p.event_ts,
+           CASE WHEN NOT coalesce(late, false) AND turn = 1 THEN p.basebid END AS basebid,
+           CASE WHEN coalesce(late, false) THEN 'late' WHEN turn > 1 THEN 'repeated'
+                ELSE p.reason END AS reason
+    FROM r JOIN ({ORACLE_SQL["live_pricing_exact"]}) p USING (event_id)""")
+def q_live_pricing_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 + D2: every delivery of the log once, priced, repeated, without weekly features or late.
+    Admission and pricing are stopped and begun again as the periods arrive."""
+    bt = _exact_bid(spark, sf_dir)
+    weekly = stage(scoring.household_vectors(spark, sf_dir, bt.encoding).select(
+        KEY, *training.BID_FEATURES), "weekly-features")
+    source, root, sink = (stage_path(spark, f"live-{x}") for x in ("source", "admitted", "priced"))
+    checkpoints = [stage_path(spark, f"live-{x}-checkpoint") for x in ("admission", "pricing")]
+    events = stage(deliveries(spark, sf_dir), "deliveries")
+    arrivals = [r["arrival"] for r in events.select("arrival").distinct().orderBy(
+        "arrival").collect()]
+    for arrival in arrivals:
+        write_parquet(events.where(F.col("arrival") == arrival).drop("arrival"), source,
+                      mode="append")
+        stream = realtime.impression_stream(spark, source)
+        admission.start_admission(stream, root, checkpoints[0], LIVE_DELAY).awaitTermination()
+        if arrival in (arrivals[0], arrivals[-1]):
+            accepted = admission.accepted_stream(spark, root, stream.schema)
+            bids = stateful.live_bids_stateful(accepted, weekly, bt.encoding, bt.result.best,
+                                               LIVE_DELAY)
+            realtime.start_live_pricing(bids, sink, checkpoints[1]).awaitTermination()
+    late = admission.late_impressions(spark, root, stream.schema).select(
+        KEY, "event_id", realtime.EVENT_TS, F.lit(None).cast("double").alias(BID_COLUMN),
+        F.lit("late").alias("reason"))
+    every = spark.read.parquet(sink).unionByName(late)
+    return every.withColumns({BID_COLUMN: F.round(BID_COLUMN, 9),
+                              realtime.EVENT_TS: F.col(realtime.EVENT_TS).cast("timestamp_ntz")})
+
+
 # ---------------------------------------------------------------------------------
 # Sources and sinks: S2 S3 S4 S5 K1 K2 K3 (+ latest partition)
 # ---------------------------------------------------------------------------------
