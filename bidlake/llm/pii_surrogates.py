@@ -46,7 +46,7 @@ CAPITALS = "MR|HERR|SR|MONSIEUR|MRS|MS|MISS|FRAU|SRA|MME|MADAME|DR|PROF"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 #: Capitalised words that are no names (as in a heading: "The Dr. In The House").
 NO_NAME = r"(?!(?:A|An|And|At|By|Das|Der|Die|For|From|In|Is|Of|On|Or|The|To|Was|Who|With)\b)"
-TITLED = (rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{EITHER}|{CAPITALS})\.? "
+TITLED = (rf"(?=[\p{{Lu}}г])(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{EITHER}|{CAPITALS})\.? "
           rf"{NO_NAME}{NAME}(?: {NO_NAME}{NAME})?")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
@@ -60,23 +60,23 @@ BLOCK_END = r"-----END [A-Z ]{0,24}PRIVATE KEY-----"
 PREFIXED = (rf"(?<![A-Za-z0-9])(?:{STARTS})[A-Za-z0-9_-]{{16,}}"
             rf"|{BLOCK}[A-Za-z0-9+/=\s]{{16,}}{BLOCK_END}")
 TOKEN = r"(?i:\btoken|\bapi[_-]?key|\bsecret)\s?[:=]\s?\"?[A-Za-z0-9_-]{16,}\"?"
-IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)"
+IP = rf"(?=\d)(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)"
 #: Words before a number that is no phone or card number.
 LABELLED = (r"(?<!\b(?i:isbn(?:-1[03])?|part|order|item|ref|sku|serial|invoice|article|model|nr|no"
             r"|number)[ .:#]{1,3})")
 BOOK = r"(?!97[89][ -]?\d)"
-CARD = rf"(?<![\w+-]){LABELLED}{BOOK}(?!00\d{{1,3}}[ -])\d(?:[ -]?\d){{12,18}}(?![\w-])"
+CARD = rf"(?=\d)(?<![\w+-]){LABELLED}{BOOK}(?!00\d{{1,3}}[ -])\d(?:[ -]?\d){{12,18}}(?![\w-])"
 #: An amount with points between thousands.
 AMOUNT = r"\d{1,4}(?:\.\d{3})+(?![.\d])"
-PHONE = (rf"(?<![\w+]){LABELLED}{BOOK}(?!{AMOUNT})(?:\+\d{{1,3}}[ .-]?)?"
+PHONE = (rf"(?=[+(\d])(?<![\w+]){LABELLED}{BOOK}(?!{AMOUNT})(?:\+\d{{1,3}}[ .-]?)?"
          r"(?:\(\d{2,4}\)[ .-]?|(?!00)\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)")
 HEX = r"[0-9A-Fa-f]{1,4}"
-IP6 = (rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}"
+IP6 = (rf"(?=[0-9A-Fa-f:])(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}"
        rf"|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)")
-IBAN = (r"(?<![A-Za-z0-9])(?=(?:[A-Z ]{0,8}\d){8})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}"
+IBAN = (r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])(?=(?:[A-Z ]{0,8}\d){8})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}"
         r"(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 #: Social security numbers (US); DNI and NIE (Spain). A French NIR is found as a card number.
-NATIONAL = (r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?:\d{8}|[XYZ]-?\d{7})-?[A-Z])(?![\w-])")
+NATIONAL = (r"(?=[\dXYZ])(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?:\d{8}|[XYZ]-?\d{7})-?[A-Z])(?![\w-])")
 #: What may stand between two digits of a phone number.
 BETWEEN = r"(?: \(|\) |[ ()./-])?"
 DATE = r"\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?!\d)"
@@ -84,14 +84,15 @@ DATE = r"\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?!\d)"
 #: eleven digits, if nothing separates them); nine digits in the Spanish groups; ten North American
 #: digits without punctuation.
 PHONE_MORE = (rf"(?<![\w+])\+[1-9](?:{BETWEEN}\d){{6,14}}(?!\w)"
-              rf"|(?<![\w+.,/-]){LABELLED}00[1-9](?:{BETWEEN}\d){{7,14}}(?![\w]|[./-]\d)"
-              rf"|(?<![\w+.,/-]){LABELLED}(?!{DATE})(?!{AMOUNT})(?!\d{{8,9}}(?!\d))"
+              rf"|(?=00)(?<![\w+.,/-]){LABELLED}00[1-9](?:{BETWEEN}\d){{7,14}}(?![\w]|[./-]\d)"
+              rf"|(?=\(?0)(?<![\w+.,/-]){LABELLED}(?!{DATE})(?!{AMOUNT})(?!\d{{8,9}}(?!\d))"
               rf"\(?0[1-9](?:{BETWEEN}\d){{6,10}}(?![\w]|[./-]\d)"
               r"|(?<![\w+.,/-])[6-9]\d{2}(?:[ .-]\d{2}){3}(?![\w]|[./-]\d)"
-              rf"|(?<![\w+.,$€£/-]){LABELLED}[2-9]\d{{2}}[2-9]\d{{6}}(?![\w-]|[.,]\d)")
+              rf"|(?=[2-9]\d{{9}})(?<![\w+.,$€£/-]){LABELLED}[2-9]\d{{2}}[2-9]\d{{6}}(?![\w-]|[.,]\d)")
 #: Country calling codes of one and two digits; all others have three (fixed values).
 CALLING = (r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 PHONES = rf"(?:{PHONE}|{PHONE_MORE})"
+# Alternatives begin with a look at the next character, so most places in a text are left at once.
 PATTERN = "|".join((EMAIL, AWS, PASSWORD, TOKEN, PREFIXED, IP, IP6, IBAN, NATIONAL, CARD, PHONES, TITLED))
 
 #: Made-up name parts: first, middle and last syllables by script; endings by gender.
