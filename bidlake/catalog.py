@@ -30,10 +30,13 @@ from .functions.metrics import (
     average_precision,
     error_metrics,
     log_loss,
+    median_error,
+    pr_curve,
     regression_metrics,
     roc_auc,
     threshold_metrics,
 )
+from .operators.bitmap import restrict_by_bitmap
 from .operators.broadcast import maybe_broadcast
 from .operators.encoding import ordinal_fit
 from .operators.impute import impute
@@ -51,6 +54,7 @@ from .operators.split import (
     SPLIT,
     TEST,
     TRAIN,
+    exact_sample,
     exact_split,
     features_and_label,
     hash_split,
@@ -210,6 +214,14 @@ def q_audience_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict_to_keys(log, standins.campaign_scores(spark, sf_dir))
 
 
+@register("audience_bitmap", f"SELECT * FROM ({SQL_LOG}) lg "
+                             f"WHERE ehhn IN (SELECT ehhn FROM ({SQL_SCORES}))")
+def q_audience_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audience restriction by bitmaps of the keys, one bit tested per impression."""
+    log = features.impression_log(spark, sf_dir)
+    return restrict_by_bitmap(log, standins.campaign_scores(spark, sf_dir))
+
+
 @register("distinct_keys", "SELECT DISTINCT o_custkey AS ehhn FROM orders")
 def q_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = standins.table(spark, sf_dir, "orders", ["o_custkey"])
@@ -465,6 +477,24 @@ def q_exclude_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 _U = shift_value(SPLIT_SEED)
 
 
+#: Rows of each class in the exact sample: conversions are rare.
+SAMPLE_SIZES = {1: 400, 0: 800}
+
+
+@register("exact_sample", f"""
+    SELECT event_id, ehhn, (event_type = 'purchase')::INT AS converted FROM ({SQL_LOG})
+    QUALIFY row_number() OVER (PARTITION BY event_type = 'purchase' ORDER BY
+        ('0x' || substr(md5('{training.DEFAULT_SEED}|=' || event_id::VARCHAR), 1, 13))::BIGINT,
+        event_id) <= CASE WHEN event_type = 'purchase' THEN {SAMPLE_SIZES[1]}
+                          ELSE {SAMPLE_SIZES[0]} END""")
+def q_exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly so many impressions of each class, whatever the imbalance."""
+    log = features.impression_log(spark, sf_dir).select(
+        "event_id", KEY, F.coalesce(F.col("event_type") == "purchase", F.lit(False)).cast("int")
+        .alias("converted"))
+    return exact_sample(log, "converted", SAMPLE_SIZES, ["event_id"], training.DEFAULT_SEED)
+
+
 @register("label_shift", f"""
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
         CAST(MediaCostInBucks AS DOUBLE) - CAST('{SHIFT_BASE!r}' AS DOUBLE)
@@ -640,6 +670,19 @@ def q_metric_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "explained_variance": F.round("explained_variance", 9)})
 
 
+@register("metric_median_error", """
+    WITH t AS (
+        SELECT l_returnflag, l_extendedprice AS y,
+               avg(l_extendedprice) OVER (PARTITION BY p_brand) AS p
+        FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT l_returnflag, round(median(abs(y - p)), 4) AS median_absolute_error
+    FROM t GROUP BY l_returnflag""")
+def q_metric_median_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median absolute error of the brand-mean baseline, by selection."""
+    out = median_error(brand_baseline(spark, sf_dir, 1.0), "y", "p", ["l_returnflag"])
+    return out.withColumn("median_absolute_error", F.round("median_absolute_error", 4))
+
+
 SQL_OUTCOMES = """
     SELECT lang, toxic, quality,
            CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + CAST(2000.0 AS DOUBLE)) AS s
@@ -745,6 +788,20 @@ def q_metric_auc_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roc_auc(outcome_scores(spark, sf_dir), "quality", "s")
 
 
+@register("pr_curve", f"""
+    WITH c AS ({_sql_counts("toxic", "lang")}),
+    r AS (SELECT lang, s AS score,
+            sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY lang) AS p
+          FROM c WINDOW w AS (PARTITION BY lang ORDER BY s DESC NULLS LAST
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT lang, score, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / (tp + fp), 9) AS precision,
+           CASE WHEN p > 0 THEN round(tp / p, 9) END AS recall FROM r""")
+def q_pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall at every distinct score, per language."""
+    out = pr_curve(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"])
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
+
+
 @register("metric_average_precision", _sql_ap("toxic", "lang"))
 def q_metric_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return average_precision(outcome_scores(spark, sf_dir), "toxic", "s", ["lang"]).withColumn(

@@ -14,6 +14,7 @@ the libraries differ or warn):
   Var(y) = 0.
 * ``accuracy`` = share of right predictions; ``kappa`` = agreement beyond chance (Cohen), NULL
   when chance agreement is 1; ``log_loss`` with scores kept ``LOG_LOSS_EPS`` away from 0 and 1.
+* ``median_absolute_error`` = the exact median of |y - p|; NULL without rows.
 * ``average_precision`` = sum over distinct scores, descending, of
   (recall_n - recall_n-1) * precision_n; NULL without positives.
 
@@ -33,6 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.selection import medians
 from ..operators.sequence import running_totals
 from ..sources.files import stage
 
@@ -74,6 +76,15 @@ def error_metrics(df: DataFrame, label: str, prediction: str,
         F.col("_vy") > 0, 1 - F.col("_ve") / F.col("_vy")).alias("explained_variance"))
 
 
+def median_error(df: DataFrame, label: str, prediction: str, group_cols: Sequence[str] = ()
+                 ) -> DataFrame:
+    """``median_absolute_error`` per group, over rows with both values present: an exact median by
+    selection (``operators/selection.py``), without a sort of the errors."""
+    name = "median_absolute_error"
+    errors = df.select(*group_cols, F.abs(_i(label) - _i(prediction)).alias(name))
+    return medians(errors, name, group_cols, out_col=name)
+
+
 # ------------------------------------------------------------------------- classification
 def confusion_counts(df: DataFrame, label: str, predicted: Column,
                      group_cols: Sequence[str] = ()) -> DataFrame:
@@ -198,6 +209,20 @@ def average_precision(df: DataFrame, label: str, score: str, group_cols: Sequenc
     return agg.select(*group_cols, ap.alias("average_precision"))
 
 
+def pr_curve(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
+             partitions: int | None = None) -> DataFrame:
+    """Precision and recall of "score at least this" for every distinct score: (groups..., score,
+    tp, fp, precision, recall), as a distributed table. Recall is NULL without positives."""
+    counts, part = _sliced(_score_counts(df, label, score, group_cols), score, True, partitions)
+    cum = running_totals(counts, [F.col(score).desc_nulls_last()], ["pos", "neg"], group_cols,
+                         partitions, bucket=part, with_total=True)
+    tp, fp, all_ = F.col("pos_cum"), F.col("neg_cum"), F.col("pos_total")
+    return cum.select(
+        *group_cols, F.col(score).alias("score"), tp.alias("tp"), fp.alias("fp"),
+        (tp.cast("double") / (tp + fp).cast("double")).alias("precision"),
+        F.when(all_ > 0, tp.cast("double") / all_.cast("double")).alias("recall"))
+
+
 # ------------------------------------------------------------------------------ registry
 @dataclass(frozen=True)
 class Metric:
@@ -215,6 +240,8 @@ METRICS: dict[str, Metric] = {
     "mae": Metric("mae", "regression", False, error_metrics, "mae"),
     "explained_variance": Metric("explained_variance", "regression", True, error_metrics,
                                  "explained_variance"),
+    "median_absolute_error": Metric("median_absolute_error", "regression", False, median_error,
+                                    "median_absolute_error"),
     "accuracy": Metric("accuracy", "threshold", True, agreement_metrics, "accuracy"),
     "kappa": Metric("kappa", "threshold", True, agreement_metrics, "kappa"),
     "log_loss": Metric("log_loss", "rank", False, log_loss, "log_loss"),

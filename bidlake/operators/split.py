@@ -15,11 +15,13 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LABEL, SHIFT_BASE, SHIFT_SPAN, SPLIT_FRACTIONS
 from ..sources.files import stage
+from .broadcast import maybe_broadcast
+from .selection import RANK, VALUE, kth_smallest
 from .sequence import running_totals
 
 SPLIT = "split"
@@ -102,3 +104,35 @@ def stratified_sample(df: DataFrame, label: str, fractions: dict, seed: int) ->
     negatives) for the "sampled" training set the workflow trains on. A sampling
     operator: the fractions are the feature, nothing else is capped."""
     return df.sampleBy(label, fractions=fractions, seed=seed)
+
+
+def exact_sample(df: DataFrame, label: str, sizes: dict, key_cols: Sequence[str],
+                 seed: int, few: int | None = None) -> DataFrame:
+    """Exactly ``sizes[class]`` rows of each class (all, if it has fewer; none of a class that
+    isn't named): those with the smallest seeded hashes of their keys, in any order.
+
+    The hash that bounds a class is its k-th smallest, found by selection, not by a sort; all rows
+    below it are taken where they lie. Rows whose hash equals the bound (one, or copies of a key)
+    are numbered by their keys, so many of them may be equal, but not different."""
+    h, bound = "_sample_hash", "_sample_bound"
+    # 52 bits of the md5, as a whole number that a double holds
+    tagged = stage(df.withColumn(h, F.conv(F.substring(hash_text(key_cols, seed), 1, 13), 16, 10)
+                                 .cast("bigint")), "exact-sample")
+    spark = df.sparkSession
+    kind = df.schema[label].dataType
+    named = spark.createDataFrame(
+        [(None if c is None else str(c), int(n)) for c, n in sizes.items()],
+        f"c string, {RANK} bigint").select(F.col("c").cast(kind).alias(label), RANK)
+    counts = stage(tagged.groupBy(label).agg(F.count("*").alias("_n")), "classes")
+    wanted = counts.join(named.withColumnRenamed(label, "_c"), F.col(label).eqNullSafe(F.col("_c"))
+                         ).select(label, F.least(RANK, "_n").alias(RANK)).where(F.col(RANK) > 0)
+    more = {} if few is None else {"few": few}
+    found = kth_smallest(tagged, h, wanted, [label], **more).select(
+        F.col(label).alias("_c"), F.col(VALUE).alias(bound),
+        (F.col(RANK) - F.col("below")).alias("_still"))
+    limits, _ = maybe_broadcast(found)
+    kept = tagged.join(limits, F.col(label).eqNullSafe(F.col("_c")) & (F.col(h) <= F.col(bound)))
+    below = kept.where(F.col(h) < F.col(bound))
+    at = kept.where(F.col(h) == F.col(bound)).withColumn("_turn", F.row_number().over(
+        Window.partitionBy("_c").orderBy(*key_cols))).where(F.col("_turn") <= F.col("_still"))
+    return below.select(*df.columns).unionByName(at.select(*df.columns))
