@@ -54,6 +54,7 @@ from .operators.split import (
     SPLIT,
     TEST,
     TRAIN,
+    VALIDATION,
     exact_sample,
     exact_split,
     features_and_label,
@@ -62,6 +63,7 @@ from .operators.split import (
     shift_value,
 )
 from .operators.target_stats import ordered_target_statistics
+from .models.ensemble import fit_ensemble
 from .models.score import load_model
 from .models.train import PREDICTION, save_model
 from .plans import features, scoring, training
@@ -1136,6 +1138,58 @@ def q_rf_regressor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.first(PREDICTION) * 1000, 9).alias("bid"))
 
 
+# An ensemble of three one-split trees, one for each yes/no feature: SQL knows their predictions (the
+# training means by feature), and selects greedily as the library does.
+def _sql_ensemble(additions: int) -> str:
+    names = list(STEP_FEATURES)
+    k = range(len(names))
+    pairs = [(i, j) for i in k for j in k]
+
+    def error(counts: list[str], n: int) -> str:
+        return "(" + " + ".join(f"({counts[i]}) * ({counts[j]}) * e{i}{j}" for i, j in pairs) + \
+            f") / {n * n}.0::DOUBLE"
+
+    text = f"""WITH rows AS MATERIALIZED ({SQL_STEPS}),
+    p AS (SELECT split, y, {", ".join(
+        f"avg(y) FILTER (split = 'train') OVER (PARTITION BY {f}) - y AS d{i}"
+        for i, f in enumerate(names))} FROM rows),
+    e AS MATERIALIZED (SELECT {", ".join(f"sum(d{i} * d{j}) AS e{i}{j}" for i, j in pairs)},
+        var_pop(y) * count(*) AS sst FROM p WHERE split = 'validation'),
+    g0 AS (SELECT {", ".join(f"0 AS c{i}" for i in k)})"""
+    for n in range(1, additions + 1):
+        options = [error([f"c{i} + 1" if i == j else f"c{i}" for i in k], n) for j in k]
+        text += f""",
+    o{n} AS MATERIALIZED (SELECT c0, c1, c2, least({", ".join(options)}) AS best,
+        {", ".join(f"{o} AS a{j}" for j, o in enumerate(options))} FROM g{n - 1}, e),
+    g{n} AS MATERIALIZED (SELECT {n} AS n, best, {", ".join(
+        f"c{i} + (a{i} = best {' '.join(f'AND a{j} <> best' for j in range(i))})::INT AS c{i}"
+        for i in k)} FROM o{n})"""
+    steps = " UNION ALL ".join(f"SELECT * FROM g{n}" for n in range(1, additions + 1))
+    return text + f""",
+    w AS (SELECT * FROM ({steps}) ORDER BY best, n LIMIT 1)
+    """ + " UNION ALL ".join(
+        f"SELECT '{f}' AS member, round(c{i} / n, 6) AS weight, round(1 - e{i}{i} / sst, 6) AS r2, "
+        f"round(1 - best / sst, 6) AS ensemble_r2 FROM w, e" for i, f in enumerate(names))
+
+
+ENSEMBLE_ADDITIONS = 8
+
+
+@register("ensemble_exact", _sql_ensemble(ENSEMBLE_ADDITIONS))
+def q_ensemble_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: weights of three members from one aggregate of the products of their errors."""
+    rows = stage(_steps(spark, sf_dir), "steps")
+    stump = {"RF": {"numTrees": [1], "maxDepth": [1], "bootstrap": [False],
+                    "featureSubsetStrategy": ["all"]}}
+    models = [training.train_bid_model(spark, sf_dir, stump, prepared=rows, feature_cols=(f,)
+                                       ).result.best for f in STEP_FEATURES]
+    _, report = fit_ensemble(models, rows.where(F.col(SPLIT) == VALIDATION), LABEL,
+                             ENSEMBLE_ADDITIONS)
+    names = F.array(*[F.lit(f) for f in STEP_FEATURES])
+    return report.select(F.element_at(names, F.col("member") + 1).alias("member"), *[
+        F.round(c, 6).alias(c) for c in ("weight", "r2", "ensemble_r2")])
+
+
 # Households as the scorers see them: latest impression and order, encoded like the training rows.
 _VECTOR_COLUMNS = ["ehhn", "cohort", "event_type", "prop_k", "UserHourOfWeek", "ngr_score",
                    "o_totalprice", "o_orderstatus", "o_orderpriority"]

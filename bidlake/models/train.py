@@ -76,6 +76,8 @@ class TrainingResult:
     best_score: float
     #: (family, params, rounds): rounds kept, null for families without rounds
     rounds: DataFrame
+    #: all candidates' models, in the leaderboard's order (``ensemble.py`` weighs them)
+    models: list[PipelineModel]
 
 
 def expand_grid(grid: Mapping[str, Sequence] | None) -> list[dict]:
@@ -201,7 +203,7 @@ def _search(train, validation, label, families, m, fit, score_col):
         [(fam, json.dumps(params, sort_keys=True), boosting.rounds_used(model))
          for (fam, params), (model, _) in zip(candidates, fitted)],
         "family string, params string, rounds int")
-    return TrainingResult(board, best[2], best[3], best[4], best[0], rounds)
+    return TrainingResult(board, best[2], best[3], best[4], best[0], rounds, models)
 
 
 def save_model(model: PipelineModel, path: str, overwrite: bool = False) -> str:
