@@ -43,28 +43,68 @@ def read_partition(spark: SparkSession, root: str, **partition_values) -> DataFr
     return df.where(cond) if cond is not None else df
 
 
+def _children(spark: SparkSession, directory: str) -> list[tuple[str, bool]]:
+    """(path, is a folder) of what lies in one directory, by the Hadoop file system; hidden names
+    (``_``, ``.``) aside."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    return [(f.getPath().toString(), f.isDirectory()) for f in found
+            if not f.getPath().getName().startswith(("_", "."))]
+
+
+def _level(spark: SparkSession, directory: str, fixed: Mapping[str, str]
+           ) -> list[tuple[str, str, str]]:
+    """(folder, column, value) of a directory's partition folders that agree with ``fixed``."""
+    out = []
+    for path, folder in _children(spark, directory):
+        column, equals, value = path.rstrip("/").rsplit("/", 1)[-1].partition("=")
+        column, value = unquote(column), unquote(value)
+        if folder and equals and fixed.get(column, value) == value:
+            out.append((path, column, value))
+    return out
+
+
+def _has_file(spark: SparkSession, directory: str) -> bool:
+    children = _children(spark, directory)
+    return any(not folder for _, folder in children) or any(
+        _has_file(spark, path) for path, folder in children if folder)
+
+
+def _newest_first(values: set[str]) -> list[str]:
+    """Numbers as numbers, all others (ISO dates too) as texts, descending."""
+    try:
+        return sorted(values, key=float, reverse=True)
+    except ValueError:
+        return sorted(values, reverse=True)
+
+
 def latest_partition(spark: SparkSession, root: str, partition_col: str,
                      **fixed_values) -> DataFrame:
-    """Read the newest value of ``partition_col`` (e.g. the latest ``cycle_date``).
+    """Read the newest value of ``partition_col`` (e.g. the latest ``cycle_date``) that has files.
 
-    The newest value comes from the file names (``inputFiles``; no data is read); as a
-    literal filter it then prunes the scan to one directory. Values compare as Spark reads
-    them (dates as dates, numbers as numbers).
+    Directories are listed one level at a time, and only where the fixed values lead; below the
+    newest value's folders Spark lists the files. So a tree of any number of channels and weeks
+    costs one listing per level, and no name of another leaf's file goes to the driver. Numbers
+    compare as numbers, dates and texts as texts; the null partition is never the newest.
     """
-    df = read_partition(spark, root, **fixed_values)
-    # names are escaped twice: as partition values and as a URI
-    leaves = ({unquote(unquote(k)): unquote(unquote(v)) for k, e, v in (
-        part.partition("=") for part in file.split("/")) if e}
-        for file in spark.read.parquet(root).inputFiles())
-    names = {leaf[partition_col] for leaf in leaves
-             if all(leaf.get(k) == str(v) for k, v in fixed_values.items())}
-    names.discard(DEFAULT_PARTITION)
-    if not names:
-        return df.where(F.lit(False))
-    kind = df.schema[partition_col].dataType
-    values = spark.createDataFrame([(n,) for n in sorted(names)], "v string").select(
-        F.max(F.col("v").cast(kind)).alias("m"))
-    return df.where(F.col(partition_col) == F.lit(values.first()["m"]))
+    fixed = {k: str(v) for k, v in fixed_values.items()}
+    level = [root]
+    while level:
+        below = [x for directory in level for x in _level(spark, directory, fixed)]
+        newest = {v for _, column, v in below if column == partition_col}
+        if newest:
+            for value in _newest_first(newest - {DEFAULT_PARTITION}):
+                leaves = [path for path, column, v in below
+                          if column == partition_col and v == value
+                          and _has_file(spark, path)]
+                if leaves:
+                    df = spark.read.option("basePath", root).parquet(*leaves)
+                    kind = df.schema[partition_col].dataType
+                    return df.where(F.col(partition_col) == F.lit(value).cast(kind))
+            break
+        level = [path for path, _, _ in below]
+    return read_partition(spark, root, **fixed_values).where(F.lit(False))
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str,

@@ -78,3 +78,35 @@ def test_latest_partition(spark):
     write_parquet(df, root, partition_by=["channel_type", "cycle_date"])
     got = latest_partition(spark, root, "cycle_date", channel_type="1")
     assert sorted(r.id for r in got.collect()) == [5, 11]
+
+
+def test_latest_partition_lists_no_other_leaf(spark, monkeypatch):
+    """Of 3 channels and 40 weeks, the root, one channel and one leaf are listed."""
+    from bidlake.sources import files
+
+    df = spark.range(240).selectExpr("id", "CAST(id % 3 AS STRING) AS channel_type",
+                                     "CAST(id % 40 + 1 AS INT) AS week")
+    root = stage_path(spark, "listed-tree")
+    write_parquet(df.repartition(1), root, partition_by=["channel_type", "week"])
+    listed = []
+    children = files._children
+    monkeypatch.setattr(files, "_children", lambda s, d: listed.append(d) or children(s, d))
+    got = files.latest_partition(spark, root, "week", channel_type="1")
+    assert {(r.channel_type, r.week) for r in got.collect()} == {(1, 40)}
+    assert [d.split("listed-tree")[-1].split("/", 1)[-1] for d in listed][1:] == [
+        "channel_type=1", "channel_type=1/week=40"]
+    assert all("channel_type=1/week=40/" in f for f in got.inputFiles())
+    # over all channels: the newest week of any
+    assert {r.week for r in files.latest_partition(spark, root, "week").collect()} == {40}
+
+
+def test_latest_partition_without_files_or_values(spark):
+    from bidlake.sources import files
+
+    df = spark.createDataFrame([(1, 9), (2, 10), (3, None)], "x int, week int")
+    root = stage_path(spark, "gaps-tree")
+    write_parquet(df, root, partition_by=["week"])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/week=11")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    assert [r.x for r in files.latest_partition(spark, root, "week").collect()] == [2]
+    assert files.latest_partition(spark, root, "week", week="77").count() == 0
