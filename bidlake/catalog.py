@@ -50,6 +50,7 @@ from .operators.relational import (
     rename_columns,
     restrict_to_keys,
 )
+from .operators.similarity import top_similar
 from .operators.split import (
     SPLIT,
     TEST,
@@ -224,6 +225,26 @@ def q_audience_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict_by_bitmap(log, standins.campaign_scores(spark, sf_dir))
 
 
+@register("campaign_similarity", """
+    WITH w AS (SELECT l_suppkey AS campaign, l_partkey AS d, sum(l_quantity)::DOUBLE AS w
+               FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 0),
+    n AS (SELECT campaign, sum(w * w) AS n FROM w GROUP BY campaign),
+    p AS (SELECT a.campaign, b.campaign AS other, sum(a.w * b.w) AS dot
+          FROM w a JOIN w b ON a.d = b.d AND a.campaign <> b.campaign GROUP BY ALL)
+    SELECT campaign, row_number() OVER (PARTITION BY campaign
+               ORDER BY dot / sqrt(n.n * o.n) DESC, other)::INT AS rank,
+           other, round(dot / sqrt(n.n * o.n), 9) AS similarity
+    FROM p JOIN n USING (campaign) JOIN (SELECT campaign AS other, n FROM n) o USING (other)
+    QUALIFY rank <= 5""")
+def q_campaign_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: the five most similar campaigns of each, suppliers standing in for campaigns and
+    the quantities of their parts for weights."""
+    sold = standins.table(spark, sf_dir, "lineitem", ["l_suppkey", "l_partkey", "l_quantity"])
+    return top_similar(sold, 5, "l_suppkey", "l_partkey", "l_quantity").select(
+        F.col("l_suppkey").alias("campaign"), "rank", "other",
+        F.round("similarity", 9).alias("similarity"))
+
+
 @register("distinct_keys", "SELECT DISTINCT o_custkey AS ehhn FROM orders")
 def q_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = standins.table(spark, sf_dir, "orders", ["o_custkey"])
