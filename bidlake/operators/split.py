@@ -5,9 +5,8 @@ Hash split (default): each row's bucket is ``md5(seed | key...)`` read as a numb
 answer on every rerun and in any SQL engine with md5.
 
 Exact split: the reference cuts a shuffled frame at positions floor(.6n) and floor(.8n).
-Here the "shuffle" is the order of the full md5 hash (ties broken by the key), positions
-come from running counts over hash-prefix buckets (no one-task window), and n from the
-per-bucket totals.
+Here the "shuffle" is the order of the full md5 hash (ties broken by the key); hashes are counted
+by their first digits, and only the rows next to the two cuts are ordered.
 """
 
 from __future__ import annotations
@@ -21,11 +20,11 @@ from pyspark.sql import functions as F
 from ..constants import LABEL, SHIFT_BASE, SHIFT_SPAN, SPLIT_FRACTIONS
 from ..sources.files import stage
 from .broadcast import maybe_broadcast
-from .selection import RANK, VALUE, kth_smallest
-from .sequence import running_totals
+from .selection import FEW, RANK, VALUE, kth_smallest
 
 SPLIT = "split"
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
+_HASH, _NUMBER = "_split_hash", "_split_number"
 
 
 def _key_text(c: str) -> Column:
@@ -39,6 +38,11 @@ def hash_text(key_cols: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_key_text(c) for c in key_cols]))
 
 
+def _number(hash_col: str) -> Column:
+    """The first 52 bits of a hash's text, as a whole number that a double holds."""
+    return F.conv(F.substring(F.col(hash_col), 1, 13), 16, 10).cast("bigint")
+
+
 def hash_bucket(key_cols: Sequence[str], seed: int, buckets: int = 100) -> Column:
     head = F.substring(hash_text(key_cols, seed), 1, 8)
     return F.conv(head, 16, 10).cast("bigint") % F.lit(buckets)
@@ -58,28 +62,69 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], seed: int,
                          .otherwise(TEST))
 
 
+def _cut_prefix(counts: list[tuple[str, int]], below: int, rank: int) -> tuple[str, int, int]:
+    """(prefix, rows before it, rows in it) of the bucket that holds the row at ``rank`` (from 1),
+    ``below`` rows being before all buckets."""
+    for prefix, n in sorted(counts):
+        if rank <= below + n:
+            return prefix, below, n
+        below += n
+    raise ValueError(f"no row at rank {rank}")
+
+
 def exact_split(df: DataFrame, key_cols: Sequence[str], seed: int,
                 fractions: Sequence[float] = SPLIT_FRACTIONS, out_col: str = SPLIT,
-                partitions: int | None = None) -> DataFrame:
-    """T2 + T3 (exact mode): sizes floor(.6n), floor(.8n) - floor(.6n), n - floor(.8n)."""
+                partitions: int | None = None, few: int = FEW) -> DataFrame:
+    """T2 + T3 (exact mode): sizes floor(.6n), floor(.8n) - floor(.6n), n - floor(.8n).
+
+    Only the rows next to the two cuts need an order. Hashes are counted by their first four hex
+    digits (65 536 numbers to the driver, whatever the input), and the two buckets that hold a cut
+    by their next four, until such a bucket has at most ``few`` rows. Rows of all other buckets get
+    their label where they lie, without a shuffle; those of the two buckets are numbered. ``df`` is
+    read once a count and twice for the labels, so pass a written table rather than an expensive
+    plan. ``partitions`` is kept for callers and has no effect."""
     a, b = _percent(fractions)
-    h = "_split_hash"
-    # Written once: the local ranks and the buckets' totals both read it, so the input plan
-    # (joins, say) and the hash are computed once.
-    tagged = stage(df.withColumn(h, hash_text(key_cols, seed))
-                   .withColumn("_one", F.lit(1).cast("bigint")), "exact-split")
-    # md5 is uniform, so its first 6 hex digits cut the order into even, ordered buckets
-    # (no sampling pass, no staging): bucket = prefix * B / 16^6.
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(n * 16, 16 ** 6))
-    prefix = F.conv(F.substring(F.col(h), 1, 6), 16, 10).cast("bigint")
-    bucket = F.floor(prefix * F.lit(buckets) / F.lit(16 ** 6)).cast("int")
-    ranked = running_totals(tagged, [h, *key_cols], ["_one"], partitions=partitions,
-                            with_total=True, bucket=bucket)
-    pos = F.col("_one_cum")
-    label = (F.when(pos <= F.expr(f"(_one_total * {a}) div 100"), TRAIN)
-             .when(pos <= F.expr(f"(_one_total * {b}) div 100"), VALIDATION).otherwise(TEST))
-    return ranked.select(*df.columns, label.alias(out_col))
+    hashed = df.withColumn(_HASH, hash_text(key_cols, seed))
+    hashes = hashed.select(_HASH)
+
+    def prefix(length: int) -> Column:
+        return F.substring(F.col(_HASH), 1, length)
+
+    def counted(length: int, within: list[str]) -> list[tuple[str, int]]:
+        rows = hashes.where(prefix(length - 4).isin(within)) if within else hashes
+        return [(r["p"], r["n"]) for r in rows.groupBy(prefix(length).alias("p")).agg(
+            F.count(F.lit(1)).alias("n")).collect()]
+
+    length = 4
+    counts = counted(length, [])
+    n = sum(c for _, c in counts)
+    cuts = sorted({k for k in (n * a // 100, n * b // 100) if k})
+    found = {k: _cut_prefix(counts, 0, k) for k in cuts}
+    while length < 32 and any(rows > few for _, _, rows in found.values()):
+        length += 4
+        finer = counted(length, [p for p, _, _ in found.values()])
+        found = {k: _cut_prefix([x for x in finer if x[0].startswith(p)], below, k)
+                 for k, (p, below, _) in found.items()}
+
+    def named(position: Column) -> Column:
+        return F.when(position <= n * a // 100, TRAIN).when(
+            position <= n * b // 100, VALIDATION).otherwise(TEST)
+
+    # a row outside the cuts' buckets lies behind all cuts whose bucket is before its own
+    own, behind = prefix(length), F.lit(0)
+    for k, (p, _, _) in found.items():
+        behind = F.when(own > p, k + 1).otherwise(behind)
+    at_cut = own.isin([p for p, _, _ in found.values()]) if found else F.lit(False)
+    before = F.lit(0)
+    for p, below, _ in found.values():
+        before = F.when(own == p, below).otherwise(before)
+    position = F.row_number().over(Window.partitionBy(own).orderBy(_HASH, *key_cols)) + before
+    start = F.when(behind > 0, behind).otherwise(0 if cuts and cuts[0] == n * a // 100
+                                                 else n * a // 100 + 1)
+    inner = hashed.where(~at_cut).select(*df.columns, named(start).alias(out_col))
+    ties = hashed.where(at_cut).withColumn("_position", position).select(
+        *df.columns, named(F.col("_position")).alias(out_col))
+    return inner.unionByName(ties)
 
 
 def shift_value(seed: int) -> float:
@@ -107,7 +152,7 @@ def stratified_sample(df: DataFrame, label: str, fractions: dict, seed: int) ->
 
 
 def exact_sample(df: DataFrame, label: str, sizes: dict, key_cols: Sequence[str],
-                 seed: int, few: int | None = None) -> DataFrame:
+                 seed: int, few: int = FEW) -> DataFrame:
     """Exactly ``sizes[class]`` rows of each class (all, if it has fewer; none of a class that
     isn't named): those with the smallest seeded hashes of their keys, in any order.
 
@@ -115,9 +160,8 @@ def exact_sample(df: DataFrame, label: str, sizes: dict, key_cols: Sequence[str]
     below it are taken where they lie. Rows whose hash equals the bound (one, or copies of a key)
     are numbered by their keys, so many of them may be equal, but not different."""
     h, bound = "_sample_hash", "_sample_bound"
-    # 52 bits of the md5, as a whole number that a double holds
-    tagged = stage(df.withColumn(h, F.conv(F.substring(hash_text(key_cols, seed), 1, 13), 16, 10)
-                                 .cast("bigint")), "exact-sample")
+    tagged = stage(df.withColumn(h, hash_text(key_cols, seed)).withColumn(h, _number(h)),
+                   "exact-sample")
     spark = df.sparkSession
     kind = df.schema[label].dataType
     named = spark.createDataFrame(
@@ -126,8 +170,7 @@ def exact_sample(df: DataFrame, label: str, sizes: dict, key_cols: Sequence[str]
     counts = stage(tagged.groupBy(label).agg(F.count("*").alias("_n")), "classes")
     wanted = counts.join(named.withColumnRenamed(label, "_c"), F.col(label).eqNullSafe(F.col("_c"))
                          ).select(label, F.least(RANK, "_n").alias(RANK)).where(F.col(RANK) > 0)
-    more = {} if few is None else {"few": few}
-    found = kth_smallest(tagged, h, wanted, [label], **more).select(
+    found = kth_smallest(tagged, h, wanted, [label], few).select(
         F.col(label).alias("_c"), F.col(VALUE).alias(bound),
         (F.col(RANK) - F.col("below")).alias("_still"))
     limits, _ = maybe_broadcast(found)

@@ -25,6 +25,21 @@ def test_exact_split_sizes(spark):
         assert out.select("k").distinct().count() == n
 
 
+def test_exact_split_equals_positions_in_hash_order(spark):
+    """Selection with brackets of few rows, and copies of a key at a cut."""
+    import hashlib
+
+    keys = list(range(700)) + [7] * 300
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    out = exact_split(df, ["k"], 3, few=20)
+    assert out.columns == ["k", "i", "split"] and out.count() == 1000
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"3|={k}".encode()).hexdigest(), k))
+    expected = [(k, "train" if p < 600 else "validation" if p < 800 else "test")
+                for p, k in enumerate(order)]
+    assert sorted((r.k, r.split) for r in out.collect()) == sorted(expected)
+    assert exact_split(df.limit(0), ["k"], 3).collect() == []
+
+
 def test_label_shift_constant(spark):
     df = spark.createDataFrame([("1.0",), ("2.5",)], "biddingprice string")
     got = [r.biddingprice for r in label_shift(df, "biddingprice", 0.0002).collect()]
