@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stage
+from .common import partitions, release, stage
 
 KEY = "bidlake"
 #: Draws from the mention's own format before it is made longer.
@@ -278,7 +278,9 @@ def surrogate(type_: Column, name: Column, attempt: Column, key: str) -> Column:
 def assign(names: DataFrame, key: str) -> DataFrame:
     """(type, name, surrogate) of all ``names`` (type, name), no two of a type alike and none
     like a name that occurs."""
-    drawn = stage(names.distinct().withColumn("attempt", F.lit(0)).withColumn(
+    # drawing costs far more than a name's bytes let Spark expect, so tasks are asked for
+    drawn = stage(names.distinct().repartition(
+        partitions(names.sparkSession), "type", "name").withColumn("attempt", F.lit(0)).withColumn(
         "surrogate", surrogate(F.col("type"), F.col("name"), F.col("attempt"), key)), "drawn")
     while True:
         real = drawn.select(F.col("type").alias("t"), F.col("name").alias("n"))
