@@ -44,43 +44,48 @@ _US = "_event_us"
 _REPEAT = "_repeated"
 
 
-class Household(StatefulProcessor):
-    """Attaches the weekly vector to each impression and marks repeated deliveries."""
-
-    def __init__(self, weekly: StructType, names: list[str], delay_us: int,
-                 event_id: str = "event_id"):
-        self.weekly_schema, self.delay_us, self.event_id = weekly, delay_us, event_id
-        self.out = Row(*names)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.weekly = handle.getValueState("weekly", self.weekly_schema)
-        self.priced = handle.getMapState("priced", "event_id bigint", "event_us bigint")
-        self.clock = handle.getValueState("clock", "latest_us bigint, dropped_us bigint")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.weekly.update(tuple(initialState[f.name] for f in self.weekly_schema))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        vector = self.weekly.get() if self.weekly.exists() else None
-        empty = (None,) * len(self.weekly_schema)
-        latest, dropped = self.clock.get() if self.clock.exists() else (None, None)
-        newest = latest
-        for row in rows:
-            seen = self.priced.containsKey((row[self.event_id],))
-            if not seen:
-                self.priced.updateValue((row[self.event_id],), (row[_US],))
-            newest = row[_US] if newest is None else max(newest, row[_US])
-            yield self.out(*row, vector is not None, seen, *(empty if vector is None else vector))
-        if latest is not None and (dropped is None or latest - dropped > self.delay_us):
-            for (known,) in list(self.priced.keys()):
-                at = self.priced.getValue((known,))
-                if at is not None and at[0] <= latest - self.delay_us:
-                    self.priced.removeKey((known,))
-            dropped = latest
-        self.clock.update((newest, dropped))
-
-    def close(self) -> None:
-        pass
+def household_processor(weekly_schema: StructType, names: list[str], delay_us: int,
+                        event_id: str = "event_id") -> StatefulProcessor:
+    """Attaches the weekly vector to each impression and marks repeated deliveries.
+
+    The class is made here, so it goes to the workers by value: they need not have this package.
+    """
+    empty = (None,) * len(weekly_schema)
+    fields = [f.name for f in weekly_schema]
+    out = Row(*names)
+
+    class Household(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.weekly = handle.getValueState("weekly", weekly_schema)
+            self.priced = handle.getMapState("priced", "event_id bigint", "event_us bigint")
+            self.clock = handle.getValueState("clock", "latest_us bigint, dropped_us bigint")
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self.weekly.update(tuple(initialState[f] for f in fields))
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            vector = self.weekly.get() if self.weekly.exists() else None
+            latest, dropped = self.clock.get() if self.clock.exists() else (None, None)
+            newest = latest
+            for row in rows:
+                at = row[_US]
+                seen = self.priced.containsKey((row[event_id],))
+                if not seen:
+                    self.priced.updateValue((row[event_id],), (at,))
+                newest = at if newest is None else max(newest, at)
+                yield out(*row, vector is not None, seen, *(empty if vector is None else vector))
+            if latest is not None and (dropped is None or latest - dropped > delay_us):
+                for (known,) in list(self.priced.keys()):
+                    at = self.priced.getValue((known,))
+                    if at is not None and at[0] <= latest - delay_us:
+                        self.priced.removeKey((known,))
+                dropped = latest
+            self.clock.update((newest, dropped))
+
+        def close(self) -> None:
+            pass
+
+    return Household()
 
 
 def delay_micros(spark, delay: str) -> int:
@@ -101,7 +106,7 @@ def with_weekly_state(impressions: DataFrame, weekly: DataFrame, delay: str) ->
     for c in columns:
         out = out.add(f"_w_{c}", weekly.schema[c].dataType)
     stated = rows.groupBy(KEY).transformWithState(
-        Household(vector, out.names, delay_micros(spark, delay)), out, "append", "None",
+        household_processor(vector, out.names, delay_micros(spark, delay)), out, "append", "None",
         initialState=weekly.groupBy(KEY))
     return stated.withColumn(EVENT_TS, F.timestamp_micros(_US)).drop(_US)
 
