@@ -5,8 +5,9 @@ query, the admission, judges lateness itself and loses nothing: each micro-batch
 ``accepted`` and ``late``, and both are written. Pricing reads ``accepted`` as its stream.
 
 The rule is Spark's: a row is late when its event time is not after the greatest event time of the
-*earlier* micro-batches less the allowed delay. That greatest time is kept in a small table, one
-row per micro-batch, next to the sinks. A row without an event time can't be judged and is late.
+*earlier* micro-batches less the allowed delay. That greatest time is kept in a small table next to
+the sinks, one row per micro-batch, which the next one reads. A row without an event time can't be
+judged and is late.
 
 Exactly once: a micro-batch writes into folders of its own number and replaces them, and the file
 with its counts is written last. A batch that a restart repeats holds the same rows, sees the
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.broadcast import maybe_broadcast
 from .realtime import EVENT_TS
 
 VERDICT = "verdict"
 ACCEPTED, LATE = "accepted", "late"
 BATCH = "batch"
 #: Times are microseconds, which no session time zone can shift on their way over the driver.
+#: ``latest_us`` is the greatest time up to and with the batch.
 CLOCK = "rows bigint, accepted bigint, late bigint, latest_us bigint"
 
 
@@ -61,10 +64,11 @@ def is_late(event_ts: Column, latest: Column, delay: str) -> Column:
 def _admit(root: str, delay: str, event_ts: str) -> Callable[[DataFrame, int], None]:
     def admit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        # the clock has a row per batch: its greatest time is one number
-        before = clock(spark, root).where(F.col(BATCH) < number).agg(
-            F.max("latest_us").alias("latest_us"))
-        latest = F.timestamp_micros(F.lit(before.first()["latest_us"]).cast("bigint"))
+        last = f"{clock_path(root)}/{BATCH}={number - 1}"
+        seen = None
+        if number > 0 and _exists(spark, last):
+            seen = spark.read.schema(CLOCK).parquet(last).first()["latest_us"]
+        latest = F.timestamp_micros(F.lit(seen).cast("bigint"))
         judged = batch.withColumn(VERDICT, F.when(is_late(
             F.col(event_ts), latest, delay), LATE).otherwise(ACCEPTED))
         counted = Observation()
@@ -76,8 +80,9 @@ def _admit(root: str, delay: str, event_ts: str) -> Callable[[DataFrame, int], N
         ).write.mode("overwrite").partitionBy(VERDICT).parquet(
             f"{rows_path(root)}/{BATCH}={number}")
         got = counted.get
+        newest = max((t for t in (seen, got["latest_us"]) if t is not None), default=None)
         spark.createDataFrame(
-            [(got["rows"], got["accepted"], got["late"], got["latest_us"])], CLOCK
+            [(got["rows"], got["accepted"], got["late"], newest)], CLOCK
         ).coalesce(1).write.mode("overwrite").parquet(f"{clock_path(root)}/{BATCH}={number}")
     return admit
 
@@ -97,14 +102,14 @@ def start_admission(impressions: DataFrame, root: str, checkpoint_path: str, del
 
 
 def _finished(spark: SparkSession, root: str, verdict: str, schema: StructType | str) -> DataFrame:
-    done = clock(spark, root).select(BATCH)
+    done, _ = maybe_broadcast(clock(spark, root).select(BATCH))
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     whole = StructType(list(fields.fields)).add(BATCH, "long").add(VERDICT, "string")
     if not _exists(spark, rows_path(root)):
         return spark.createDataFrame([], fields)
-    # a folder per batch: the clock's rows prune them; an unfinished batch has none
+    # an unfinished batch has no row in the clock
     return (spark.read.schema(whole).parquet(rows_path(root)).where(F.col(VERDICT) == verdict)
-            .join(F.broadcast(done), BATCH, "left_semi").drop(VERDICT, BATCH))
+            .join(done, BATCH, "left_semi").drop(VERDICT, BATCH))
 
 
 def late_impressions(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
