@@ -80,11 +80,11 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], seed: int,
     Only the rows next to the two cuts need an order. Hashes are counted by their first four hex
     digits (65 536 numbers to the driver, whatever the input), and the two buckets that hold a cut
     by their next four, until such a bucket has at most ``few`` rows. Rows of all other buckets get
-    their label where they lie, without a shuffle; those of the two buckets are numbered. ``df`` is
-    read once a count and twice for the labels, so pass a written table rather than an expensive
-    plan. ``partitions`` is kept for callers and has no effect."""
+    their label where they lie, without a shuffle; those of the two buckets are numbered. Rows and
+    hashes are written once, as the counts and the labels both read them. ``partitions`` is kept
+    for callers and has no effect."""
     a, b = _percent(fractions)
-    hashed = df.withColumn(_HASH, hash_text(key_cols, seed))
+    hashed = stage(df.withColumn(_HASH, hash_text(key_cols, seed)), "exact-split")
     hashes = hashed.select(_HASH)
 
     def prefix(length: int) -> Column:

@@ -11,15 +11,16 @@ judged and is late.
 
 Exactly once: a micro-batch writes into folders of its own number and replaces them, and the file
 with its counts is written last. A batch that a restart repeats holds the same rows, sees the
-clock of the batches before it, and so writes the same again. The counts come from ``observe`` on
-the very write that fills the sinks, so nothing is read twice for them.
+clock of the batches before it, and so writes the same again. The counts come from one column of
+what was written. (Not from ``observe``: a session that holds an ``Observation`` can no longer send
+MLlib's classifiers to its tasks, as their training summaries refer to the session.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -71,15 +72,13 @@ def _admit(root: str, delay: str, event_ts: str) -> Callable[[DataFrame, int], N
         latest = F.timestamp_micros(F.lit(seen).cast("bigint"))
         judged = batch.withColumn(VERDICT, F.when(is_late(
             F.col(event_ts), latest, delay), LATE).otherwise(ACCEPTED))
-        counted = Observation()
-        judged.observe(
-            counted, F.count(F.lit(1)).alias("rows"),
+        path = f"{rows_path(root)}/{BATCH}={number}"
+        judged.write.mode("overwrite").partitionBy(VERDICT).parquet(path)
+        got = spark.read.schema(judged.schema).parquet(path).agg(
+            F.count(F.lit(1)).alias("rows"),
             F.count_if(F.col(VERDICT) == ACCEPTED).alias("accepted"),
             F.count_if(F.col(VERDICT) == LATE).alias("late"),
-            F.max(F.unix_micros(event_ts)).alias("latest_us"),
-        ).write.mode("overwrite").partitionBy(VERDICT).parquet(
-            f"{rows_path(root)}/{BATCH}={number}")
-        got = counted.get
+            F.max(F.unix_micros(event_ts)).alias("latest_us")).first()
         newest = max((t for t in (seen, got["latest_us"]) if t is not None), default=None)
         spark.createDataFrame(
             [(got["rows"], got["accepted"], got["late"], newest)], CLOCK
