@@ -14,8 +14,10 @@ take part; bodies join at the end, by record id.
 Defined results: "earlier" orders by (captured, record_id), so ties are settled by the smaller
 record id; a revisit without an earlier full response, without a validator, or whose validator
 differs stays unresolved, with that reason; records without URL or time are kept as
-unresolved ``no_earlier_response``; null headers are empty; repeated rows are kept. Response
-records are no revisits and give no row. Extra columns are not read.
+unresolved ``no_earlier_response``; null headers are empty. Repeated revisits are kept, one row
+each; repeated responses count once (of bodies under one record id the smallest text), and
+responses without a record id can't be referred to, so they aren't used. Response records are no
+revisits and give no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -71,7 +73,8 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast(
         "array<bigint>")
     cut = F.size(F.filter(cuts, lambda b: b <= F.unix_micros("captured")))
-    usable = (F.col("kind") == "response") & (F.col("status") == 200)
+    usable = ((F.col("kind") == "response") & (F.col("status") == 200)
+              & F.col("record_id").isNotNull())
     order = F.struct("captured", "record_id", "headers")
     sliced = (narrow.where(F.col("url").isNotNull() & F.col("captured").isNotNull()
                            & (usable | (F.col("kind") == "revisit")))
@@ -115,9 +118,18 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         F.when(ok, F.col("source.record_id")).alias("refers_to"),
         F.when(ok, 200).otherwise(304).alias("status"),
         F.when(ok, merged).otherwise(mine).alias("headers"))
-    bodies = records.where((F.col("kind") == "response") & (F.col("status") == 200)).select(
-        F.col("record_id").alias("refers_to"), "payload")
-    return resolved.join(bodies, "refers_to", "left")
+    # Revisits without a body have keys of their own, so they don't meet in one task. The key is
+    # no column of the aggregate: so the join has its own exchange, which AQE can split where
+    # many revisits refer to one body.
+    bodies = (records.where((F.col("kind") == "response") & (F.col("status") == 200)
+                            & F.col("record_id").isNotNull())
+              .groupBy("record_id").agg(F.min("payload").alias("payload"))
+              .select(F.concat(F.lit("body "), F.col("record_id").cast("string")).alias("_key"),
+                      "payload"))
+    keyed = resolved.withColumn("_key", F.coalesce(
+        F.concat(F.lit("body "), F.col("refers_to").cast("string")),
+        F.concat(F.lit("none "), F.col("record_id").cast("string"))))
+    return keyed.join(bodies, "_key", "left").drop("_key")
 
 
 def captures(pages: DataFrame) -> DataFrame:

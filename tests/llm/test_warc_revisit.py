@@ -102,3 +102,27 @@ def test_empty_and_repeated(spark):
     one = visit(5, "http://a.org", 3, {"etag": "1"})
     got = resolve_revisits(make(spark, [one, one, full(1, "http://a.org", 0, {"etag": "1"})]))
     assert [(r["record_id"], r["refers_to"]) for r in got.collect()] == [(5, 1), (5, 1)]
+
+
+def test_repeated_responses_count_once(spark):
+    """Each revisit has one row, however often its response is stored."""
+    same = full(1, "http://a.org", 0, {"etag": "1"}, "b")
+    rows = [same, same, same, full(1, "http://a.org", 0, {"etag": "1"}, "a"),
+            visit(5, "http://a.org", 3, {"etag": "1"}), visit(6, "http://a.org", 4, {"etag": "2"}),
+            visit(None, "http://a.org", 5, {"etag": "1"}), visit(7, None, 5, {"etag": "1"})]
+    got = [(r["record_id"], r["refers_to"], r["payload"])
+           for r in resolve_revisits(make(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(5, 1, "a"), (6, None, None), (None, 1, "a"), (7, None, None)], key=str)
+
+
+def test_responses_without_id_are_not_used(spark):
+    rows = [full(None, "http://a.org", 2, {"etag": "1"}), full(1, "http://a.org", 0, {"etag": "1"}),
+            visit(5, "http://a.org", 3, {"etag": "1"}), visit(None, None, None, None)]
+    assert found(make(spark, rows)) == {5: ("resolved", 1), None: ("no_earlier_response", None)}
+
+
+def test_clashing_names(spark):
+    rows = [full(1, "http://a.org", 0, {"etag": "1"}), visit(5, "http://a.org", 3, {"etag": "1"})]
+    clash = make(spark, rows).withColumn("_key", F.lit("x")).withColumn("refers_to", F.lit(9))
+    assert found(clash) == {5: ("resolved", 1)}
