@@ -1,7 +1,9 @@
 """The k most similar campaigns of each campaign, without comparing all pairs (D3).
 
 A campaign is a sparse vector of non-negative weights (of households, sites, parts ...); likeness
-is the cosine. Every step is a join on a shared dimension, but not of all dimensions with all:
+is the cosine. Where the campaigns of a dimension are few, on average at most ``DIRECT`` over the
+weights, all that meet are compared at once. Otherwise every step is a join on a shared dimension,
+but not of all dimensions with all:
 
 1. *Floor.* Dimensions that at most ``RARE`` campaigns share are joined with themselves, which makes
    at most ``RARE`` - 1 rows per weight. As weights aren't negative, their part of a cosine is a lower
@@ -14,6 +16,12 @@ is the cosine. Every step is a join on a shared dimension, but not of all dimens
    below the floor go.
 4. *Exact.* For the partners left, the rest's part is added, and k rows per campaign are kept.
 
+Campaigns that meet are never shuffled pair by pair: a dimension's campaigns go as arrays of at most
+about ``PART`` to the tasks of each campaign that has it, and the pairs are made, added up and ranked
+there. So the exchange takes the other's id and weight per meeting, and its length unless the lengths
+are small enough to be broadcast; nothing else grows with the meetings.
+The number of tasks follows the meetings (``MEETINGS`` each), so their tables fit into memory.
+
 Lengths of the rests are running totals over range partitions, so a campaign with very many
 dimensions is no single task's window. Ties go to the smaller campaign. A campaign that shares
 nothing with k others has fewer rows; repeated weights add up; null and zero weights are none.
@@ -21,38 +29,83 @@ nothing with k others has fewer rows; repeated weights add up; null and zero wei
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import stage
+from .broadcast import maybe_broadcast
 from .sequence import running_totals
 
 #: Campaigns that share a rare dimension, at most.
 RARE = 32
+#: Campaigns met per weight up to which floors cost more than they save.
+DIRECT = 2 * RARE
+#: Campaigns in an array, about.
+PART = 1024
+#: Meetings in a task, about.
+MEETINGS = 2_000_000
 #: Rounding errors can't lose a partner by this much.
 SLACK = 1e-9
 
 
-def _vectors(weights: DataFrame, campaign: str, dimension: str, weight: str) -> DataFrame:
-    """(c, d, w, sq, len2, shared, before): a weight, the squared length of its vector, how many
-    campaigns share the dimension, and the squares of the campaign's rarer dimensions."""
+def _entries(weights: DataFrame, campaign: str, dimension: str, weight: str) -> DataFrame:
+    """(c, d, w, len2, shared): a weight, the squared length of its vector and how many campaigns
+    share the dimension."""
     entries = stage(weights.where(F.col(weight) > 0).where(
         F.col(campaign).isNotNull() & F.col(dimension).isNotNull()).groupBy(
         F.col(campaign).alias("c"), F.col(dimension).alias("d")).agg(
         F.sum(F.col(weight).cast("double")).alias("w")), "weights")
     lengths = entries.groupBy("c").agg(F.sum(F.col("w") * F.col("w")).alias("len2"))
     shares = entries.groupBy("d").agg(F.count("*").alias("shared"))
-    whole = entries.join(lengths, "c").join(shares, "d").withColumn("sq", F.col("w") * F.col("w"))
+    return entries.join(lengths, "c").join(shares, "d").select("c", "d", "w", "len2", "shared")
+
+
+def _ordered(entries: DataFrame) -> DataFrame:
+    """The entries with ``sq`` and ``before``, the squares of the campaign's rarer dimensions."""
+    whole = entries.withColumn("sq", F.col("w") * F.col("w"))
     totals = running_totals(whole, ["shared", "d"], ["sq"], ["c"])
     return stage(totals.withColumn("before", F.col("sq_cum") - F.col("sq")).drop("sq_cum"),
                  "vectors")
 
 
+def _vectors(weights: DataFrame, campaign: str, dimension: str, weight: str) -> DataFrame:
+    """(c, d, w, sq, len2, shared, before): see ``_entries`` and ``_ordered``."""
+    return _ordered(_entries(weights, campaign, dimension, weight))
+
+
 def _others(v: DataFrame) -> DataFrame:
     return v.select("d", F.col("c").alias("o"), F.col("w").alias("ow"),
                     F.col("len2").alias("olen2"))
 
 
+def _met(own: DataFrame, v: DataFrame, *kept: str) -> DataFrame:
+    """(c, o, dot, len2, olen2, *kept): the campaigns that share one of the dimensions in ``own``,
+    with their part of the product. The rows of a campaign lie in one partition; ``kept`` are its
+    own columns."""
+    meetings = own.agg(F.sum("shared").alias("n")).first()["n"] or 0
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                ceil(meetings / MEETINGS))
+    parts = F.ceil(F.col("shared") / PART)
+    lengths, known = maybe_broadcast(v.groupBy(F.col("c").alias("o")).agg(
+        F.max("len2").alias("olen2")))
+    fields = ["c", "w"] if known else ["c", "w", "len2"]
+    arrays = v.withColumn("part", F.pmod(F.xxhash64("c"), parts)).repartition(
+        tasks, "d", "part").groupBy("d", "part").agg(
+        F.collect_list(F.struct(*fields)).alias("m")).select(
+        "d", "part", *[F.col(f"m.{x}").alias(f"o_{x}") for x in fields])
+    asked = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    sent = asked.select("c", "d", "part", "w", "len2", *kept).repartition(
+        tasks, "d", "part").join(arrays, ["d", "part"]).drop("d", "part").repartition(tasks, "c")
+    pairs = sent.select("*", F.posexplode("o_c").alias("at", "o")).where(F.col("c") != F.col("o"))
+    sums = [F.sum(F.col("w") * F.col("o_w")[F.col("at")]).alias("dot"),
+            F.max("len2").alias("len2"), *[F.max(x).alias(x) for x in kept]]
+    if known:
+        return pairs.groupBy("c", "o").agg(*sums).join(lengths, "o")
+    return pairs.groupBy("c", "o").agg(*sums, F.max(F.col("o_len2")[F.col("at")]).alias("olen2"))
+
+
 def _cosine(dot: Column) -> Column:
     return dot / F.sqrt(F.col("len2") * F.col("olen2"))
 
@@ -60,9 +113,7 @@ def _cosine(dot: Column) -> Column:
 def _floors(v: DataFrame, k: int) -> DataFrame:
     """(c, floor): the k-th greatest part of a cosine over rare dimensions, where there is one."""
     rare = v.where((F.col("shared") <= RARE) & (F.col("shared") > 1))
-    parts = rare.join(_others(rare), "d").where(F.col("c") != F.col("o")).groupBy("c", "o").agg(
-        F.sum(F.col("w") * F.col("ow")).alias("dot"), F.max("len2").alias("len2"),
-        F.max("olen2").alias("olen2")).select("c", _cosine(F.col("dot")).alias("part"))
+    parts = _met(rare, rare).select("c", _cosine(F.col("dot")).alias("part"))
     turn = Window.partitionBy("c").orderBy(F.desc("part"))
     return parts.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k).where(
         F.col("turn") == k).select("c", F.col("part").alias("floor"))
@@ -80,27 +131,38 @@ def _split(v: DataFrame, k: int) -> DataFrame:
 def partners(split: DataFrame, v: DataFrame) -> DataFrame:
     """(c, o, dot, len2, olen2): who may be among the k best, with the prefix's part."""
     rest = split.where(~F.col("prefix")).groupBy("c").agg(F.sum("sq").alias("rest2"))
-    met = split.where("prefix").join(_others(v), "d").where(F.col("c") != F.col("o")).groupBy(
-        "c", "o").agg(F.sum(F.col("w") * F.col("ow")).alias("dot"), F.max("len2").alias("len2"),
-                      F.max("olen2").alias("olen2"), F.max("floor").alias("floor"))
+    met = _met(split.where("prefix"), v, "floor")
     most = _cosine(F.col("dot")) + F.sqrt(F.coalesce("rest2", F.lit(0.0)) / F.col("len2"))
     return met.join(rest, "c", "left").where(most + SLACK >= F.col("floor")).select(
         "c", "o", "dot", "len2", "olen2")
 
 
-def top_similar(weights: DataFrame, k: int, campaign: str = "campaign",
-                dimension: str = "dimension", weight: str = "weight") -> DataFrame:
-    """(campaign, rank, other, similarity): the ``k`` campaigns of greatest positive cosine."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    v = _vectors(weights, campaign, dimension, weight)
+def _is_sparse(entries: DataFrame) -> bool:
+    met = entries.agg(F.avg("shared").alias("met")).first()["met"]
+    return met is None or met <= DIRECT
+
+
+def _by_floors(v: DataFrame, k: int) -> DataFrame:
+    """(c, o, similarity): the exact cosines of the pairs that the bounds leave."""
     split = _split(v, k)
     found = stage(partners(split, v), "partners")
     late = split.where(~F.col("prefix")).select("c", "d", "w")
     more = found.select("c", "o").join(late, "c").join(_others(v), ["d", "o"]).groupBy(
         "c", "o").agg(F.sum(F.col("w") * F.col("ow")).alias("more"))
-    exact = found.join(more, ["c", "o"], "left").select("c", "o", _cosine(
+    return found.join(more, ["c", "o"], "left").select("c", "o", _cosine(
         F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("similarity"))
+
+
+def top_similar(weights: DataFrame, k: int, campaign: str = "campaign",
+                dimension: str = "dimension", weight: str = "weight") -> DataFrame:
+    """(campaign, rank, other, similarity): the ``k`` campaigns of greatest positive cosine."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    entries = stage(_entries(weights, campaign, dimension, weight), "entries")
+    if _is_sparse(entries):
+        exact = _met(entries, entries).select("c", "o", _cosine(F.col("dot")).alias("similarity"))
+    else:
+        exact = _by_floors(_ordered(entries), k)
     turn = Window.partitionBy("c").orderBy(F.desc("similarity"), "o")
     return exact.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select(
         F.col("c").alias(campaign), "rank", F.col("o").alias("other"), "similarity")

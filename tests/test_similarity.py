@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -66,6 +67,29 @@ def test_a_dimension_that_all_share_makes_no_pairs(spark):
     assert S.partners(split, v).count() <= 240 * 5
 
 
+@pytest.mark.parametrize("limit", ["0", "10m"])
+@pytest.mark.parametrize("direct", [0, 1000])
+def test_small_arrays_and_many_tasks(spark, monkeypatch, limit, direct):
+    monkeypatch.setattr(S, "PART", 4)
+    monkeypatch.setattr(S, "MEETINGS", 300)
+    monkeypatch.setattr(S, "DIRECT", direct)
+    rows = groups(60, 5)
+    spark.conf.set("bidlake.broadcast.maxBytes", limit)
+    try:
+        got = S.top_similar(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    finally:
+        spark.conf.unset("bidlake.broadcast.maxBytes")
+    assert {(r["campaign"], r["rank"]): (r["other"], r["similarity"]) for r in got} == plain(rows, 4)
+
+
+def test_pairs_are_not_shuffled(spark):
+    top = S.top_similar(spark.createDataFrame(groups(60, 2, common=False), SCHEMA), 3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan
+    assert not re.search(r"hashpartitioning\(c#\d+, o#", plan)
+    assert "Exchange" not in plan.split("posexplode")[0]  # nor anything else made of them
+
+
 def test_empty_and_wrong_k(spark):
     assert S.top_similar(spark.createDataFrame([], SCHEMA), 3).collect() == []
     with pytest.raises(ValueError):
