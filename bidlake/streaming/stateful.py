@@ -16,6 +16,12 @@ Every impression comes out once per delivery, with a bid or the reason why not:
 weekly features`` or, with a time-to-live, ``weekly features expired``. New weekly vectors begin a
 new query with a new checkpoint.
 
+Every state call is a round trip between the worker and the store, so their number goes with the
+households of a micro-batch and not with its impressions: a household with more than ``FEW`` of
+them reads all its ids at once and appends the new ones as lists of up to ``CHUNK``. With fewer,
+each id is looked up and kept as an entry of its own, and the lists, if any, are read. An id is in
+one of the two places.
+
 The state's Python code only compares and remembers; encoding, feature choice and the model are
 JVM-side plans before and after it. A hot household's impressions meet in one task: its state is one
 place. They are a stream in there, and its memory is the ids of one delay.
@@ -24,6 +30,7 @@ place. They are a stream in there, and its memory is the ids of one delay.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row
@@ -42,6 +49,10 @@ EXPIRED = "weekly features expired"
 AS_OF = "as_of"
 _US = "_event_us"
 _REPEAT = "_repeated"
+#: A household's impressions in a micro-batch whose ids are looked up and kept one by one.
+FEW = 8
+#: Ids in one element of a household's list, at most.
+CHUNK = 8192
 
 
 def household_processor(weekly_schema: StructType, names: list[str], delay_us: int,
@@ -53,33 +64,63 @@ def household_processor(weekly_schema: StructType, names: list[str], delay_us: i
     empty = (None,) * len(weekly_schema)
     fields = [f.name for f in weekly_schema]
     out = Row(*names)
+    few, chunk, us = FEW, CHUNK, _US
+
+    def packed(ids: dict) -> list[tuple]:
+        every = iter(ids.items())
+        parts = iter(lambda: list(islice(every, chunk)), [])
+        return [([i for i, _ in part], [at for _, at in part]) for part in parts]
 
     class Household(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.weekly = handle.getValueState("weekly", weekly_schema)
             self.priced = handle.getMapState("priced", "event_id bigint", "event_us bigint")
+            self.many = handle.getListState("priced_lists",
+                                            "event_ids array<bigint>, event_us array<bigint>")
             self.clock = handle.getValueState("clock", "latest_us bigint, dropped_us bigint")
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
             self.weekly.update(tuple(initialState[f] for f in fields))
 
+        def entries(self) -> dict:
+            return {known: at for (known,), (at,) in self.priced.iterator()}
+
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-            vector = self.weekly.get() if self.weekly.exists() else None
-            latest, dropped = self.clock.get() if self.clock.exists() else (None, None)
+            vector = self.weekly.get()
+            latest, dropped = self.clock.get() or (None, None)
+            first = list(islice(rows, few + 1))
+            bulk = len(first) > few
+            drops = latest is not None and (dropped is None or latest - dropped > delay_us)
+            listed, single = {}, {}  # without a clock nothing was priced yet
+            if latest is not None:
+                listed = {i: at for ids, times in self.many.get() for i, at in zip(ids, times)}
+                single = self.entries() if bulk or drops else None
+            new = {}
             newest = latest
-            for row in rows:
-                at = row[_US]
-                seen = self.priced.containsKey((row[event_id],))
+            for row in chain(first, rows):
+                at, known = row[us], row[event_id]
+                seen = known in new or known in listed or (
+                    known in single if single is not None else self.priced.containsKey((known,)))
                 if not seen:
-                    self.priced.updateValue((row[event_id],), (at,))
+                    new[known] = at
                 newest = at if newest is None else max(newest, at)
                 yield out(*row, vector is not None, seen, *(empty if vector is None else vector))
-            if latest is not None and (dropped is None or latest - dropped > delay_us):
-                for (known,) in list(self.priced.keys()):
-                    at = self.priced.getValue((known,))
-                    if at is not None and at[0] <= latest - delay_us:
-                        self.priced.removeKey((known,))
+            if drops:
+                until = latest - delay_us
+                for known in [i for i, at in single.items() if at <= until]:
+                    self.priced.removeKey((known,))
+                kept = {i: at for i, at in listed.items() if at > until}
+                if not kept and listed:
+                    self.many.clear()
+                elif len(kept) < len(listed):
+                    self.many.put(packed(kept))
+                new = {i: at for i, at in new.items() if at > until}
                 dropped = latest
+            if bulk and new:
+                self.many.appendList(packed(new))
+            elif not bulk:
+                for known, at in new.items():
+                    self.priced.updateValue((known,), (at,))
             self.clock.update((newest, dropped))
 
         def close(self) -> None:

@@ -5,7 +5,9 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bidlake.models.train import train_regressors
 from bidlake.operators.encoding import ordinal_fit
@@ -160,3 +162,115 @@ def test_weekly_features_expire(spark, priced):
         time_to_live="7 days")
     got = {r["event_id"]: r["reason"] for r in spark.read.parquet(sink).collect()}
     assert got == {1: None, 2: "weekly features expired", 3: None}
+
+
+class Held:
+    """Value, list and map states in memory that count their calls."""
+
+    def __init__(self):
+        self.calls, self.states = 0, {}
+
+    def _state(self, name, empty):
+        held = self
+
+        class State:
+            kept = empty
+
+            def __getattribute__(self, attribute):
+                if attribute != "kept":
+                    held.calls += 1
+                return object.__getattribute__(self, attribute)
+
+            def get(self):
+                return iter(self.kept) if isinstance(self.kept, list) else self.kept
+
+            def update(self, value):
+                self.kept = value
+
+            put = update
+
+            def clear(self):
+                self.kept = []
+
+            def exists(self):
+                return self.kept is not None
+
+            def appendList(self, values):
+                self.kept = self.kept + values
+
+            def iterator(self):
+                return iter(list(self.kept.items()))
+
+            def keys(self):
+                return iter(list(self.kept))
+
+            def getValue(self, key):
+                return self.kept.get(key)
+
+            def containsKey(self, key):
+                return key in self.kept
+
+            def updateValue(self, key, value):
+                self.kept[key] = value
+
+            def removeKey(self, key):
+                del self.kept[key]
+
+        self.states[name] = State()
+        return self.states[name]
+
+    def getValueState(self, name, schema):
+        return self._state(name, None)
+
+    def getListState(self, name, schema):
+        return self._state(name, [])
+
+    def getMapState(self, name, key, value):
+        return self._state(name, {})
+
+
+def household(delay, names=("event_id", stateful._US, "weekly", "repeated", "_w_fixed")):
+    held = Held()
+    processor = stateful.household_processor(
+        StructType([StructField("fixed", DoubleType())]), list(names), delay)
+    processor.init(held)
+    row = Row("event_id", stateful._US)
+
+    def batch(deliveries):
+        return [r["repeated"] for r in processor.handleInputRows(
+            (1,), iter([row(*d) for d in deliveries]), None)]
+    return batch, held
+
+
+def test_state_calls_do_not_grow_with_impressions(spark):
+    batch, held = household(1000)
+    assert batch([(k % 5000, k % 5000) for k in range(6000)]) == [False] * 5000 + [True] * 1000
+    assert batch([(4000 + k, 4000 + k) for k in range(6000)]) == [True] * 1000 + [False] * 5000
+    assert batch([(9000 + k, 9000 + k) for k in range(2000)]) == [True] * 1000 + [False] * 1000
+    assert held.calls <= 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ids_are_remembered_in_small_and_large_deliveries(spark, monkeypatch, seed):
+    """Against one plain dictionary of ids, with the same rule of forgetting."""
+    monkeypatch.setattr(stateful, "CHUNK", 3)
+    rng = random.Random(seed)
+    delay, known, latest, dropped = 60, {}, None, None
+    batch, held = household(delay)
+    for turn in range(40):
+        rows = [(rng.randint(0, 150), 20 * turn + rng.randint(-50, 20))
+                for _ in range(rng.choice([1, 2, 8, 9, 10, 30]))]
+        expected, newest = [], latest
+        for i, at in rows:
+            expected.append(i in known)
+            known.setdefault(i, at)
+            newest = at if newest is None else max(newest, at)
+        assert batch(rows) == expected
+        if latest is not None and (dropped is None or latest - dropped > delay):
+            known = {i: at for i, at in known.items() if at > latest - delay}
+            dropped = latest
+        latest = newest
+        lists = [x for part in held.states["priced_lists"].kept for x in zip(*part)]
+        assert all(len(part[0]) <= 3 for part in held.states["priced_lists"].kept)
+        single = [(i, at) for (i,), (at,) in held.states["priced"].kept.items()]
+        assert sorted(lists + single) == sorted(known.items())
