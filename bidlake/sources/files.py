@@ -7,7 +7,8 @@ stamp must not silently overwrite each other.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,3 +160,19 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] | None = None) -
     path = stage_path(spark, name)
     write_parquet(df, path, partition_by=partition_by)
     return spark.read.parquet(path)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A write inside gives back the disk of its shuffles as soon as it is done. By default they stay
+    until the driver happens to collect its garbage, so those of many small steps add up."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -1,13 +1,17 @@
 """The k most similar campaigns against all pairs."""
 
+import glob
 import math
+import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
 
 from bidlake.operators import similarity as S
+from bidlake.sources import files
 
 SCHEMA = "campaign string, dimension int, weight int"
 
@@ -94,3 +98,58 @@ def test_empty_and_wrong_k(spark):
     assert S.top_similar(spark.createDataFrame([], SCHEMA), 3).collect() == []
     with pytest.raises(ValueError):
         S.top_similar(spark.createDataFrame([], SCHEMA), 0)
+
+
+def shuffled_on_disk(spark):
+    """Bytes of shuffles in Spark's local folders."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    total = 0
+    for d in env.blockManager().diskBlockManager().localDirs():
+        for f in glob.glob(f"{d.getPath()}/*/shuffle_*"):
+            try:
+                total += os.path.getsize(f)
+            except OSError:  # it went meanwhile
+                pass
+    return total
+
+
+@pytest.mark.parametrize("direct, part, limit", [(1000, 1024, "0"), (1000, 4, "10m"), (0, 4, "0")])
+def test_rounds_equal_all_pairs(spark, monkeypatch, direct, part, limit):
+    for name, value in {"PART": part, "DIRECT": direct, "ROUND": 1500, "PER_WEIGHT": 0}.items():
+        monkeypatch.setattr(S, name, value)
+    rounds = []
+    monkeypatch.setattr(S, "write_parquet", lambda df, path, mode: (
+        rounds.append(mode), files.write_parquet(df, path, mode)))
+    rows = groups(60, 6)
+    spark.conf.set("bidlake.broadcast.maxBytes", limit)
+    try:
+        got = S.top_similar(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    finally:
+        spark.conf.unset("bidlake.broadcast.maxBytes")
+    expected = plain(rows, 4)
+    assert {(r["campaign"], r["rank"]): (r["other"], r["similarity"]) for r in got} == expected
+    assert len(got) == len(expected)
+    assert rounds.count("append") >= 3
+
+
+def test_a_round_leaves_no_exchange_on_disk(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"c{c:03}", d, rng.randint(1, 50)) for c in range(300) for d in rng.sample(range(60), 40)]
+    weights = spark.createDataFrame(rows, SCHEMA)
+    for name, value in {"DIRECT": 10**6, "ROUND": 1, "PER_WEIGHT": 40}.items():
+        monkeypatch.setattr(S, name, value, raising=False)
+    start, left = shuffled_on_disk(spark), []
+
+    def written(df, path, mode):
+        files.write_parquet(df, path, mode)
+        until = time.time() + 10  # files go in the background
+        while shuffled_on_disk(spark) > start + 100_000 and time.time() < until:
+            time.sleep(0.1)
+        left.append(shuffled_on_disk(spark) - start)
+
+    monkeypatch.setattr(S, "write_parquet", written, raising=False)
+    got = S.top_similar(weights, 3).collect()
+    left.append(shuffled_on_disk(spark) - start)
+    assert {(r["campaign"], r["rank"]): (r["other"], r["similarity"]) for r in got} == plain(rows, 3)
+    assert max(left) <= 100_000
+    assert len(left) == 7

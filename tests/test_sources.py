@@ -5,7 +5,7 @@ from planutil import plan_text
 from pyspark.errors import AnalysisException
 
 from bidlake.session import run_stamp, stage_path
-from bidlake.sources.files import read_partition, stage, write_parquet
+from bidlake.sources.files import freed_shuffles, read_partition, stage, write_parquet
 
 
 def test_repeated_stamp_fails(spark):
@@ -35,6 +35,25 @@ def test_stage_round_trip(spark):
     assert sorted(r.id for r in stage(df, "rt").collect()) == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("before", ["true", "false", None])
+def test_freed_shuffles_leaves_the_setting(spark, before):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name, None)
+    if before:
+        spark.conf.set(name, before)
+    at = spark.conf.get(name, None)
+    try:
+        with pytest.raises(KeyError), freed_shuffles(spark):
+            assert spark.conf.get(name) == "true"
+            raise KeyError
+        assert spark.conf.get(name, None) == at
+    finally:
+        if kept:
+            spark.conf.set(name, kept)
+        else:
+            spark.conf.unset(name)
+
+
 def test_run_stamp_format(spark):
     from bidlake.session import run_stamp_column
 
