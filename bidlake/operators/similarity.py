@@ -54,7 +54,7 @@ PART = 1024
 MEETINGS = 2_000_000
 #: Meetings in a round, at least, and per weight.
 ROUND = 50_000_000
-PER_WEIGHT = 2
+PER_WEIGHT = 3
 #: Rounding errors can't lose a partner by this much.
 SLACK = 1e-9
 
@@ -111,14 +111,22 @@ def _tasks(v: DataFrame, rows: int) -> int:
     return max(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows / MEETINGS))
 
 
-def _arrays(v: DataFrame, fields: list[str], weights: int) -> DataFrame:
-    """(d, parts, part, o_*): the campaigns of a dimension as arrays, one a part."""
-    parts = F.ceil(F.col("shared") / PART)
-    return _staged(v.withColumn("parts", parts).withColumn(
-        "part", F.pmod(F.xxhash64("c"), F.col("parts"))).repartition(
-        _tasks(v, weights), "d", "part").groupBy("d", "parts", "part").agg(
-        F.collect_list(F.struct(*fields)).alias("m")).select(
-        "d", "parts", "part", *[F.col(f"m.{x}").alias(f"o_{x}") for x in fields]), "arrays")
+def _arrays(v: DataFrame, lengths: DataFrame, fields: list[str], seen: Row) -> DataFrame:
+    """(d, parts, part, o_*): the campaigns of a dimension as arrays, one a part. What is needed
+    besides the weights is joined to them, where ``v`` lacks it."""
+    if "len2" in fields and "len2" not in v.columns:
+        v = v.join(lengths, "c")
+    keys = ["d"]
+    if seen["most"] > PART:
+        if "shared" not in v.columns:
+            v = v.join(_shares(v), "d")
+        keys = ["d", "parts", "part"]
+        v = v.withColumn("parts", F.ceil(F.col("shared") / PART)).withColumn(
+            "part", F.pmod(F.xxhash64("c"), F.col("parts")))
+    arrays = v.repartition(_tasks(v, seen["weights"]), *[x for x in keys if x != "parts"]).groupBy(
+        *keys).agg(F.collect_list(F.struct(*fields)).alias("m"))
+    return _staged(arrays.select(*keys, *[F.col(f"m.{x}").alias(f"o_{x}") for x in fields]),
+                   "arrays")
 
 
 def _met(arrays: DataFrame, lengths: DataFrame | None, tasks: int, asks: Column,
@@ -129,17 +137,20 @@ def _met(arrays: DataFrame, lengths: DataFrame | None, tasks: int, asks: Column,
     known = lengths is not None
     others = ["o_c", "o_w"] if known else ["o_c", "o_w", "o_len2"]
     facts = ["w", *kept] if known else ["w", "len2", *kept]
+    keys = [x for x in ("d", "parts") if x in arrays.columns]
     own = arrays.select("*", F.posexplode("o_c").alias("at", "c")).where(asks).select(
-        "d", "parts", "c", *[F.col(f"o_{x}")[F.col("at")].alias(x) for x in facts], *others)
+        *keys, "c", *[F.col(f"o_{x}")[F.col("at")].alias(x) for x in facts], *others)
     if known:
         own = own.join(lengths, "c")
         facts = [*facts, "len2"]
-    alone = own.where(F.col("parts") == 1).select("c", *facts, *others)
-    asked = own.where(F.col("parts") > 1).select("d", "c", *facts, F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    answers = arrays.where(F.col("parts") > 1).select("d", "part", *others)
-    sent = alone.unionByName(asked.repartition(tasks, "d", "part").join(
-        answers.repartition(tasks, "d", "part"), ["d", "part"]).select("c", *facts, *others))
+    sent = own.select("c", *facts, *others)
+    if "parts" in keys:
+        alone = own.where(F.col("parts") == 1).select("c", *facts, *others)
+        asked = own.where(F.col("parts") > 1).select("d", "c", *facts, F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+        answers = arrays.where(F.col("parts") > 1).select("d", "part", *others)
+        sent = alone.unionByName(asked.repartition(tasks, "d", "part").join(
+            answers.repartition(tasks, "d", "part"), ["d", "part"]).select("c", *facts, *others))
     pairs = sent.repartition(tasks, "c").select(
         "*", F.posexplode("o_c").alias("at", "o")).where(F.col("c") != F.col("o"))
     sums = [F.sum(F.col("w") * F.col("o_w")[F.col("at")]).alias("dot"),
@@ -158,7 +169,7 @@ def _in_rounds(v: DataFrame, lengths: DataFrame, seen: Row,
     spark = v.sparkSession
     lengths, known = maybe_broadcast(lengths)
     fields = ["c", "w", *([] if known else ["len2"]), *(["prefix"] if prefix else []), *kept]
-    arrays = _arrays(v, fields, seen["weights"])
+    arrays = _arrays(v, lengths, fields, seen)
     rounds = max(1, ceil(seen["meetings"] / max(ROUND, PER_WEIGHT * seen["weights"])))
     tasks = _tasks(v, ceil(seen["meetings"] / rounds))
     asks = F.col("o_prefix")[F.col("at")] if prefix else F.lit(True)
@@ -177,9 +188,11 @@ def _in_rounds(v: DataFrame, lengths: DataFrame, seen: Row,
 
 
 def _seen(v: DataFrame, asks: Column) -> Row:
-    """How many weights and meetings there are of the entries that ask."""
+    """How many weights there are, how many meetings of those that ask, and the most campaigns of
+    a dimension."""
     return v.agg(F.count("*").alias("weights"), F.coalesce(
-        F.sum(F.when(asks, F.col("shared"))), F.lit(0)).alias("meetings")).first()
+        F.sum(F.when(asks, F.col("shared"))), F.lit(0)).alias("meetings"), F.coalesce(
+        F.max("shared"), F.lit(0)).alias("most")).first()
 
 
 def _cosine(dot: Column) -> Column:
@@ -272,9 +285,10 @@ def top_similar(weights: DataFrame, k: int, campaign: str = "campaign",
     shared = F.col("shared")
     with freed_shuffles(w.sparkSession):
         seen = _shares(w).agg(F.coalesce(F.sum(shared), F.lit(0)).alias("weights"), F.coalesce(
-            F.sum(shared * shared), F.lit(0)).alias("meetings")).first()
+            F.sum(shared * shared), F.lit(0)).alias("meetings"), F.coalesce(
+            F.max(shared), F.lit(0)).alias("most")).first()
     if _is_sparse(seen):
-        best = _in_rounds(_entries(w, lengths), lengths, seen, lambda met, _: _best(met.select(
+        best = _in_rounds(w, lengths, seen, lambda met, _: _best(met.select(
             "c", "o", _cosine(F.col("dot")).alias("similarity")), k))
     else:
         best = _by_floors(_ordered(_entries(w, lengths)), k)
